@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import bpe_tree, histogram_shards, jaccard_join, suffix_dedup
+from wattline.llm import bpe_tree, decontaminate, histogram_shards, jaccard_join, license_scan, nbsvm, perplexity, suffix_dedup, toxicity, word_pieces
+from wattline.llm.common import broadcast_rows, stored, text_key
 
 SHARDS = 40
 EMPTY_SHA = F.sha2(F.lit(b""), 256)
@@ -23,6 +24,54 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op3_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.count_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: Rows whose remainder is 0 are held out: labels are never learned from them.
+FOLD = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, kind: str) -> DataFrame:
+    """doc_id, text, label of the rows that may be learned from."""
+    labels = table(spark, sf_dir, "labels", "doc_id", kind).where(F.col(kind).isNotNull() & (FOLD != 0))
+    return docs.select("doc_id", "text").join(labels.select("doc_id", F.col(kind).alias("label")), "doc_id")
+
+
+def _verdict(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(FOLD == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return _verdict(toxicity.score(docs, toxicity.learn(labelled(spark, docs, sf_dir, "toxic"))), 0.5)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item in it."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text")), "found")
+    k1, k2 = text_key(F.col("text"))
+    keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"))
+    joined = keyed.join(broadcast_rows(found, decontaminate.BROADCAST_ROWS), ["k1", "k2"])
+    return joined.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_found")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and template in it."""
+    out = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.inline("licenses"))
+
+
+def op7_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return _verdict(nbsvm.score(docs, nbsvm.learn(labelled(spark, docs, sf_dir, "quality"))), 0.3)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -44,5 +93,5 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op8_ngram_join, op9_suffix_dedup, op10_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_perplexity, op3_word_pieces, op4_toxicity, op5_decontaminate, op6_license_scan, op7_nbsvm, op8_ngram_join, op9_suffix_dedup, op10_bpe_tree)}
 ORACLES: dict[str, str] = {}

@@ -349,11 +349,21 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, hot: int = 100_000) -> DataFrame:
+def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters at its edges."""
+    while start < end and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, hot: int = 100_000, characters: bool = False) -> DataFrame:
     """docs with `kept` (binary, the bytes that remain) and `removed` (array of byte spans), for every row.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else, in the same
-    text or another; all copies go. Null and empty texts keep nothing and lose nothing; texts under
+    text or another; all copies go. With `characters`, a character of several bytes goes only if all of
+    them do, so that what is kept stays UTF-8. Null and empty texts keep nothing and lose nothing; texts under
     `length` bytes stay whole. Repeated rows count as copies of each other. Input columns named
     `kept` or `removed` are replaced; no other name can clash.
     """
@@ -370,6 +380,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, hot:
             for t, s in zip(texts, spans, strict=True):
                 runs = merged(np.asarray(s.values)) if s.is_valid else []
                 t = t.as_py() or b""
+                if characters:
+                    runs = [r for a, b in runs if (r := whole_characters(t, a, b))[0] < r[1]]
                 edges = [0, *(x for r in runs for x in r), len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else t)
                 removed.append([{"start": a, "end": b} for a, b in runs])
