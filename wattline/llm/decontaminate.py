@@ -30,7 +30,7 @@ def shingle_set(words: Column, n: int = SHINGLE) -> Column:
     count = F.size(words)
     starts = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     # single elements, as a slice would copy the whole array for each shingle; beyond the end they are null, which the hash skips
-    return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))))
+    return F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))))
 
 
 def extra_bits(least: int, contained: float, recall: float) -> int:
@@ -69,7 +69,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_tex
     source = docs.select(F.col(text).alias("t"), k1.alias("k1"), k2.alias("k2")).where(F.col("t").isNotNull())
     split = source.select("k1", "k2", words_of(F.col("t")).alias("w"))  # a column of its own: lambdas would split the text anew for each shingle
     sets = split.select("k1", "k2", shingle_set(F.col("w"), words).alias("s"))
-    sets = sets.withColumn("k", F.ceil(F.log2(F.greatest(F.size("s"), F.lit(1)))).cast("int"))
+    # never null, or the join's check for nulls would be pushed to the scan, and with it all of the expression
+    sets = sets.withColumn("k", F.coalesce(F.ceil(F.log2(F.greatest(F.size("s"), F.lit(1)))).cast("int"), F.lit(0)))
     shifted = F.concat(F.array(F.lit(None).cast("long")), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))))
     mins = sets.select("k1", "k2", "k", F.inline(F.arrays_zip(F.col("s").alias("h"), shifted.alias("before"))))
     bits = F.least(F.col("k") + extra, F.lit(63))
