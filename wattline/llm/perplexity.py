@@ -95,9 +95,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         t = level[k]
         ones = [F.count_if(F.col("n") == i).alias(f"t{i}") for i in (1, 2, 3, 4)]
-        y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+        y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
         share = t.groupBy("lang").agg(*ones).select(
-            "lang", *[F.coalesce(F.greatest(F.lit(0.01), F.least(F.lit(i - 0.01), i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}"))), F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)]
+            "lang", *[F.coalesce(F.greatest(F.lit(0.01), F.least(F.lit(i - 0.01), i - (i + 1) * y * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}")))), F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)]
         )
         t = t.join(share, "lang").withColumn("d", F.expr("case n when 1 then d1 when 2 then d2 else d3 end"))
         context = F.shiftright("gram", 8).alias("ctx")
