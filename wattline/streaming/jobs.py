@@ -54,6 +54,6 @@ def lease_expiry(events: DataFrame, as_of: str, lease_seconds: int, key: str = "
 def idempotent_ingest(events: DataFrame, id_col: str = "event_id", delay: str = "1 hour") -> DataFrame:
     """The first delivery of each id; in a stream among those within the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([id_col])
+        return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark([id_col])
     first = F.row_number().over(Window.partitionBy(id_col).orderBy("ts"))
     return events.withColumn("__wl_n", first).where("__wl_n = 1").drop("__wl_n")
