@@ -94,4 +94,19 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_perplexity, op3_word_pieces, op4_toxicity, op5_decontaminate, op6_license_scan, op7_nbsvm, op8_ngram_join, op9_suffix_dedup, op10_bpe_tree)}
-ORACLES: dict[str, str] = {}
+_SHINGLES = "unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) s"
+
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": rf"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') w FROM documents),
+  b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') w FROM benchmark),
+  i AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, {_SHINGLES} FROM b WHERE len(w) > 0) x), n AS (SELECT item_id, count(*) n_item FROM i GROUP BY item_id),
+  ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, {_SHINGLES} FROM d WHERE len(w) > 0) y WHERE s IN (SELECT s FROM i))
+  SELECT doc_id, ds2.item_id, n_item, n_found FROM (SELECT doc_id, item_id, count(*) n_found FROM ds JOIN i ON i.s = ds.s GROUP BY doc_id, item_id) ds2 JOIN n ON n.item_id = ds2.item_id WHERE n_found >= 0.8e0 * n_item - 1e-9""",
+    "op8_ngram_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') w FROM documents),
+  s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, {_SHINGLES} FROM d WHERE len(w) > 0) x), n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+  o AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  e AS (SELECT a, b, x.n = y.n AND x.n = k AS same FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8e0 * (x.n + y.n - k) - 1e-9),
+  r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+  SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) class_id, coalesce(l.n_links, 0) n_links, coalesce(l.n_copies, 0) n_copies
+  FROM documents LEFT JOIN (SELECT a, count(*) n_links, count(CASE WHEN same THEN 1 END) n_copies FROM e GROUP BY a) l ON l.a = doc_id""",
+}
