@@ -159,3 +159,34 @@ def merge_sources(rows: DataFrame) -> DataFrame:
     best = F.max_by("row", F.struct(F.col("row.score"), F.col("row.tier"), (-F.col("n")).alias("early")))
     out = numbered.groupBy("canonical").agg(F.min_by("row.url", "n").alias("url"), best.alias("best"), F.collect_set(F.when(F.col("n") <= 21, F.col("row.url"))).alias("urls"), F.count("*").alias("rows"))
     return out.select("canonical", "url", F.col("best.score").alias("score"), F.col("best.source_type").alias("source_type"), F.sort_array(F.array_remove("urls", F.col("url"))).alias("alias_urls"), "rows")
+
+
+def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """Runs of lines with two or more cells (cut at tabs or two spaces) are tables: doc, page, block, header, rows."""
+    lines = pages.select(doc, page, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    cells = lines.withColumn("cells", F.filter(F.split(F.trim("line"), r"\t|\s{2,}"), lambda c: c != "")).where(F.size("cells") >= 2)
+    island = F.col("at") - F.row_number().over(Window.partitionBy(doc, page).orderBy("at"))
+    rows = F.sort_array(F.collect_list(F.struct("at", "cells")))
+    out = cells.withColumn("block", island).groupBy(doc, page, "block").agg(rows.alias("r"))
+    return out.select(doc, page, "block", F.element_at("r", 1)["cells"].alias("header"), F.transform(F.slice("r", 2, 1 << 20), lambda x: x["cells"]).alias("rows"))
+
+
+def extract_rows(lines: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
+    """Station rows in linear text: name, quarter, change, annual, change. names: key, name. Only the annual value is a fact."""
+    hit = lines.join(names, "key").where(F.instr(F.col(text), F.col("name")) > 0)
+    rest = F.filter(F.split(F.trim(F.expr(f"substr({text}, instr({text}, name) + length(name))")), r"\s+"), lambda x: x != "")
+    return hit.where(F.size(rest) >= 4).select("key", "name", tx.parse_number(F.get(rest, F.lit(2))).alias("annual"))
+
+
+def sentence_context(text: Column, word: str, longest: int = 500, around: int = 48) -> Column:
+    """The sentence around the first hit of a literal word, or `around` characters on both sides of it if the sentence is too long."""
+    sentence = F.trim(F.regexp_extract(text, rf"([^.!?\n]*{word}[^.!?\n]*)", 1))
+    return F.when(F.length(sentence) <= longest, sentence).otherwise(F.regexp_extract(text, rf"(.{{0,{around}}}{word}.{{0,{around}}})", 1))
+
+
+def relevance(text: Column, name: Column, year: Column) -> Column:
+    """0.55 for the name, 0.20 for the year within 180 characters of a word of generation, 0.15 for an annual scope, 0.10 for a unit of energy."""
+    term = "(?:generation|发电量|output)"
+    window = F.regexp_extract(text, rf"(?is)(.{{0,180}}{term}.{{0,180}})", 1)
+    score = F.when(F.instr(F.lower(text), F.lower(name)) > 0, 0.55).otherwise(0.0) + F.when(F.instr(window, year) > 0, 0.20).otherwise(0.0)
+    return F.round(score + F.when(tx.full_year_clue(text), 0.15).otherwise(0.0) + F.when(text.rlike("(?i)[gmtk]wh|千瓦时"), 0.10).otherwise(0.0), 4)

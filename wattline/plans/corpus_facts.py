@@ -491,3 +491,103 @@ def _(r, s):
     known = s.where("status = 'operating'").select("entity_id", F.lit(1).alias("known"))
     good = F.col("known").isNotNull() & (F.col("period_type") == "calendar_year") & (F.col("value_type") == "actual")
     return r.join(known, "entity_id", "left").agg(F.count("*").alias("read"), F.count_if(good).alias("accepted"))
+
+
+@query("slug", "stations", "SELECT entity_id, regexp_replace(upper(canonical_name), '[^A-Z0-9]+', '-', 'g') slug FROM stations")
+def _(s):
+    return s.select("entity_id", tx.slug(F.col("canonical_name")).alias("slug"))
+
+
+@query("compact_name", "stations", "SELECT entity_id, regexp_replace(lower(canonical_name), '[^a-z0-9]', '', 'g') compact FROM stations")
+def _(s):
+    return s.select("entity_id", tx.compact_name(F.col("canonical_name")).alias("compact"))
+
+
+@query("block_page", "pages", f"SELECT page_id, regexp_matches(lower(substr(html, 1, 8192)), '{BLOCKED}') blocked FROM pages")
+def _(p):
+    return p.select("page_id", F.lower(F.substring("html", 1, 8192)).rlike(BLOCKED).alias("blocked"))
+
+
+@query("full_year_clue", "sentences", "SELECT doc_id, lower(text) LIKE '%annual%' clue FROM sentences")
+def _(s):
+    return s.select("doc_id", tx.full_year_clue(F.col("text")).alias("clue"))
+
+
+@query("metric_clue", "sentences", "SELECT doc_id, CASE WHEN text LIKE '%net generation%' THEN 'net_generation' ELSE 'gross_generation' END metric FROM sentences")
+def _(s):
+    return s.select("doc_id", tx.metric_clue(F.col("text")).alias("metric"))
+
+
+@query("value_type_clue", "sentences", "SELECT doc_id, CASE WHEN text LIKE '%forecast%' THEN 'forecast' ELSE 'actual' END kind FROM sentences")
+def _(s):
+    return s.select("doc_id", tx.value_type_clue(F.col("text")).alias("kind"))
+
+
+@query("scope_clue", "sentences", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'group' WHEN doc_id % 3 = 1 THEN 'complex' ELSE 'plant' END scope FROM sentences")
+def _(s):
+    tail = F.when(F.col("doc_id") % 3 == 0, " of the group").when(F.col("doc_id") % 3 == 1, " of the cascade").otherwise("")
+    return s.select("doc_id", tx.scope_clue(F.concat("text", tail)).alias("scope"))
+
+
+@query("period_type", "sentences", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'fiscal_year' WHEN doc_id % 4 = 1 THEN 'quarter' ELSE 'calendar_year' END period FROM sentences")
+def _(s):
+    tail = F.when(F.col("doc_id") % 4 == 0, " in fiscal terms").when(F.col("doc_id") % 4 == 1, " in the quarter").otherwise("")
+    return s.select("doc_id", tx.period_type(F.concat("text", tail)).alias("period"))
+
+
+@query("sentence_ctx", "sentences", "SELECT doc_id, 'Net output of ' || want_year context FROM sentences")
+def _(s):
+    text = F.concat(F.lit("First part! Net output of "), "want_year", F.lit("\nLast part"))
+    return s.select("doc_id", ex.sentence_context(text, "output").alias("context"))
+
+
+@query("layout_tables", "sentences", "SELECT doc_id, 'year|value' header, want_year || '|' || want_value AS first_row FROM sentences")
+def _(s):
+    page = F.concat(F.lit("Report\nyear  value\n"), "want_year", F.lit("   "), "want_value", F.lit("\n\nnotes follow"))
+    out = ex.layout_tables(s.select("doc_id", F.lit(1).alias("page"), page.alias("text")), "doc_id", "page", "text")
+    return out.select("doc_id", F.array_join("header", "|").alias("header"), F.array_join(F.element_at("rows", 1), "|").alias("first_row"))
+
+
+@query("extract_rows", "orders customer", "SELECT o_orderkey AS id, c_name AS name, o_totalprice annual FROM orders JOIN customer ON c_custkey = o_custkey")
+def _(o, c):
+    line = F.concat_ws("  ", F.lit("1"), "c_name", F.lit("10.5"), F.lit("1.2"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("3.4"))
+    lines = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("key"), line.alias("text"), "c_name")
+    return ex.extract_rows(lines.select("key", "text"), lines.select("key", F.col("c_name").alias("name"))).select(F.col("key").alias("id"), "name", "annual")
+
+
+@query("extract_all", "sentences", "SELECT doc_id, want_year AS year, count(*) n FROM sentences GROUP BY doc_id, want_year")
+def _(s):
+    """Facts of text and of tables, the same fact once."""
+    a = ex.extract_text(s, "doc_id", "text").select("doc_id", "year", "value_raw", "unit_raw")
+    b = s.select("doc_id", F.col("want_year").alias("year"), F.col("want_value").alias("value_raw"), F.col("want_unit").alias("unit_raw"))
+    return a.unionByName(b).dropDuplicates(["doc_id", "year", "value_raw", "unit_raw"]).groupBy("doc_id", "year").agg(F.count("*").alias("n"))
+
+
+@query("relevance", "sentences", "SELECT doc_id, CASE WHEN want_unit = 'MW' THEN 0.9e0 ELSE 1.0e0 END score FROM sentences")
+def _(s):
+    return s.select("doc_id", ex.relevance(F.col("text"), F.regexp_extract("text", r"(Customer#\d+)", 1), F.col("want_year")).alias("score"))
+
+
+def _id(key: str, sql: str, column):
+    query(key, "records", f"SELECT id, {sql} AS value FROM records")(lambda r: r.select("id", column().alias("value")))
+
+
+_K = F.col
+
+
+_id("id_task", "entity_id || '::generation::' || period_label || CASE WHEN period_type <> 'calendar_year' THEN '::' || period_type ELSE '' END", lambda: tx.task_id(_K("entity_id"), F.lit("generation"), _K("period_label"), _K("period_type")))
+_id("id_document", "'doc_' || substr(sha1(source_id || '::' || candidate_id), 1, 16)", lambda: tx.short_id("doc_", _K("source_id"), _K("candidate_id")))
+_id("id_source", "'src_' || substr(sha1(source_id || '::' || candidate_id), 1, 16)", lambda: tx.short_id("src_", _K("source_id"), _K("candidate_id")))
+def _fact():
+    return F.concat_ws("|", *[F.coalesce(_K(c), F.lit("")) for c in ("entity_id", "period_type", "period_label", "value_type", "measurement_scope", "metric")])
+
+
+_FACT_SQL = "entity_id || '|' || period_type || '|' || period_label || '|' || value_type || '|' || measurement_scope"
+_id("id_evidence", f"'ev_' || substr(sha1('generation::' || {_FACT_SQL} || '|' || metric || '::' || coalesce(evidence_id, '')), 1, 16)", lambda: tx.short_id("ev_", F.lit("generation"), _fact(), _K("evidence_id")))
+_id("id_review", f"'rv_' || substr(sha1(entity_id || '::generation::' || {_FACT_SQL}), 1, 16)", lambda: tx.short_id("rv_", _K("entity_id"), F.lit("generation"), F.concat_ws("|", "entity_id", "period_type", "period_label", "value_type", "measurement_scope")))
+_id("id_lead", "'lead_' || substr(sha256(entity_id || chr(31) || coalesce(evidence_id, '') || chr(31) || source_id), 1, 20)", lambda: tx.stable_id("lead_", _K("entity_id"), _K("evidence_id"), _K("source_id")))
+_id("id_candidate_source", "'cs_' || substr(sha256(source_id || chr(31) || entity_id), 1, 20)", lambda: tx.stable_id("cs_", _K("source_id"), _K("entity_id")))
+_id("id_attempt", "'att_' || substr(sha256(source_id || chr(31) || cast(id AS string)), 1, 20)", lambda: tx.stable_id("att_", _K("source_id"), _K("id").cast("string")))
+_id("id_candidate", "'cand_' || substr(sha256(entity_id || chr(31) || period_label || chr(31) || candidate_id), 1, 20)", lambda: tx.stable_id("cand_", _K("entity_id"), _K("period_label"), _K("candidate_id")))
+_id("lineage_hash", "sha256(candidate_id || '::' || coalesce(evidence_id, '') || '::' || source_id)", lambda: F.sha2(F.concat_ws("::", "candidate_id", F.coalesce("evidence_id", F.lit("")), "source_id"), 256))
+_id("candidate_hash", "sha256(candidate_id || '|' || entity_id || '|' || metric || '|' || period_label)", lambda: F.sha2(F.concat_ws("|", "candidate_id", "entity_id", "metric", "period_label"), 256))
