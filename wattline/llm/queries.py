@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattline.llm import bpe_tree, decontaminate, histogram_shards, jaccard_join, license_scan, nbsvm, perplexity, suffix_dedup, toxicity, word_pieces
 from wattline.llm.common import broadcast_rows, stored, text_key
 
 SHARDS = 40
-EMPTY_SHA = F.sha2(F.lit(b""), 256)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,18 +31,19 @@ def op3_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.count_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-#: Rows whose remainder is 0 are held out: labels are never learned from them.
-FOLD = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+def fold() -> Column:
+    """Rows whose remainder is 0 are held out: labels are never learned from them."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, kind: str) -> DataFrame:
     """doc_id, text, label of the rows that may be learned from."""
-    labels = table(spark, sf_dir, "labels", "doc_id", kind).where(F.col(kind).isNotNull() & (FOLD != 0))
+    labels = table(spark, sf_dir, "labels", "doc_id", kind).where(F.col(kind).isNotNull() & (fold() != 0))
     return docs.select("doc_id", "text").join(labels.select("doc_id", F.col(kind).alias("label")), "doc_id")
 
 
 def _verdict(scored: DataFrame, least: float) -> DataFrame:
-    return scored.select("doc_id", F.coalesce(FOLD == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
