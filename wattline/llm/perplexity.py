@@ -23,6 +23,7 @@ from wattline.llm.common import SPACE, mixed, stored, utf8
 
 ORDER = 5
 SLICE = 4_000_000  # entries of the model broadcast at a time: 48 MB
+MOST_LANGUAGES = 10_000  # whose discounts and bands are broadcast
 START = 2  # a byte that stands for what comes before the text
 MIN_WORDS, MOST_REPEATED = 10, 20  # words; percent
 PIECE = 1 << 21
@@ -86,9 +87,16 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
 
 
+def _hint(rows: DataFrame, lang: str):
+    """A broadcast for frames of one row for each language, if there are few; a shuffle on a handful of keys would fill as few tasks."""
+    few = rows.select(lang).distinct().limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    return F.broadcast if few else (lambda frame: frame)
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, gram, logp) of counted five-byte grams: interpolated modified Kneser-Ney, natural logarithm."""
     level = {ORDER: counts.select("lang", "gram", "n")}
+    small = _hint(counts, "lang")
     for k in range(ORDER - 1, 0, -1):  # how many bytes were seen before a gram of k bytes
         level[k] = level[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
     lower = None
@@ -99,7 +107,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         share = t.groupBy("lang").agg(*ones).select(
             "lang", *[F.coalesce(F.greatest(F.lit(0.01), F.least(F.lit(i - 0.01), i - (i + 1) * y * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}")))), F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)]
         )
-        t = t.join(share, "lang").withColumn("d", F.expr("case n when 1 then d1 when 2 then d2 else d3 end"))
+        t = t.join(small(share), "lang").withColumn("d", F.expr("case n when 1 then d1 when 2 then d2 else d3 end"))
         context = F.shiftright("gram", 8).alias("ctx")
         whole = t.groupBy("lang", context).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left"))
         t = t.withColumn("ctx", F.shiftright("gram", 8)).join(whole, ["lang", "ctx"])
@@ -208,11 +216,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper
     schema = scored.drop(text).withColumns({c: F.lit(0).cast("long") for c in (*COUNTS, "__wl_letters")}).schema
     out = stored(scored.mapInArrow(counted, schema), "scored")
     out = out.withColumn("__wl_log", F.when(F.col("__wl_letters") > 0, -F.col("__wl_sum") / F.col("__wl_letters")))
+    small = _hint(out, "__wl_lang")
     mid = out.groupBy("__wl_lang").agg(F.percentile_approx("__wl_log", 0.5, 10_000).alias("mid"))
-    off = out.join(mid, "__wl_lang").groupBy("__wl_lang").agg(F.first("mid").alias("mid"), (F.percentile_approx(F.abs(F.col("__wl_log") - F.col("mid")), 0.5, 10_000) * 1.4826).alias("spread"))
+    off = out.join(small(mid), "__wl_lang").groupBy("__wl_lang").agg(F.first("mid").alias("mid"), (F.percentile_approx(F.abs(F.col("__wl_log") - F.col("mid")), 0.5, 10_000) * 1.4826).alias("spread"))
     band = stored(off.select(F.col("__wl_lang"), (F.col("mid") - lower * F.col("spread")).alias("__wl_low"), (F.col("mid") + upper * F.col("spread")).alias("__wl_high")), "bands")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     inside = F.coalesce(F.col("__wl_log").between(F.col("__wl_low"), F.col("__wl_high")), F.lit(False))
-    return out.join(band, "__wl_lang", "left").select(
+    return out.join(small(band), "__wl_lang", "left").select(
         *[c for c in names if c != text], *COUNTS, failed.alias("base_failed"), F.exp("__wl_log").alias("perplexity"), F.exp("__wl_low").alias("band_low"), F.exp("__wl_high").alias("band_high"), (~failed & inside).alias("kept")
     )
