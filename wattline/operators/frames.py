@@ -60,15 +60,27 @@ def assign_versions(docs: DataFrame) -> DataFrame:
     return first.withColumns({"document_id": ident, "version": version.cast("long")})
 
 
+def _then(f: Column, g: Column) -> Column:
+    """The map s -> min(high, max(low, s + shift)) that applies f, then g; such maps compose to one of the same form."""
+    clamp = lambda x: F.least(g["high"], F.greatest(g["low"], x + g["shift"]))
+    return F.struct((f["shift"] + g["shift"]).alias("shift"), clamp(f["low"]).alias("low"), clamp(f["high"]).alias("high"))
+
+
 def fold_reliability(events: DataFrame, key: str, order: list[str], ok: Column, initial: float = 0.5) -> DataFrame:
-    """Per key, events in order: success adds 0.05 up to 1, failure takes 0.10 down to 0.
+    """Per key, events in order: success adds 0.05, failure takes 0.10, always within 0 and 1.
 
-    A step is the map s -> min(high, max(low, s + shift)), and such maps compose to one of the same
-    form; so a key's events need not be gathered in one place to be folded, only ordered by the window.
+    Each day of a key is folded to one map on its own, then the days' maps in order: no task holds more than a key's
+    events of a day, or its days. order[0] is the time.
     """
-    steps = F.sort_array(F.collect_list(F.struct(*order, ok.alias("ok"))))
-    score = F.aggregate(steps, F.lit(initial), lambda s, x: F.when(x["ok"], F.least(F.lit(1.0), s + 0.05)).otherwise(F.greatest(F.lit(0.0), s - 0.10)))
-    return events.groupBy(key).agg(score.alias("score"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("failure_count"))
+    rows = events.select(key, *order, ok.alias("__wl_ok"), F.date_trunc("day", F.col(order[0])).alias("__wl_day"))
+    same = F.struct(F.lit(0.0).alias("shift"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+    step = lambda good: F.struct(F.when(good, 0.05).otherwise(-0.10).alias("shift"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    day = F.aggregate(F.sort_array(F.collect_list(F.struct(*order, "__wl_ok"))), same, lambda f, x: _then(f, step(x["__wl_ok"])))
+    days = rows.groupBy(key, "__wl_day").agg(day.alias("f"), F.count_if("__wl_ok").alias("good"), F.count_if(~F.col("__wl_ok")).alias("bad"))
+    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("__wl_day", "f"))), same, lambda f, x: _then(f, x["f"]))
+    out = days.groupBy(key).agg(whole.alias("f"), F.sum("good").alias("success_count"), F.sum("bad").alias("failure_count"))
+    score = F.least(F.col("f.high"), F.greatest(F.col("f.low"), F.lit(initial) + F.col("f.shift")))
+    return out.select(key, score.alias("score"), "success_count", "failure_count")
 
 
 #: Which task status may follow which.

@@ -26,17 +26,25 @@ def quota_admit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds:
     rows = calls.select(F.col(key).cast("string").alias("key"), "event_id", "ts")
     schema = "event_id long, key string, ts timestamp, admitted boolean"
 
-    def judged(key, frame: pd.DataFrame, window: list[float]) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
+    def judged(frame: pd.DataFrame, window: list[float]) -> pd.DataFrame:
         ok = _admit([t.timestamp() for t in frame.ts], window, limit, seconds)
-        return pd.DataFrame({"event_id": frame.event_id, "key": key[0], "ts": frame.ts, "admitted": ok})
+        return pd.DataFrame({"event_id": frame.event_id, "key": frame.key, "ts": frame.ts, "admitted": ok})
+
+    def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by key and time: one key's window is held at a time, whatever the number of its rows."""
+        now, window = None, []
+        for frame in frames:
+            for key, part in frame.groupby("key", sort=False):
+                if key != now:
+                    now, window = key, []
+                yield judged(part, window)
 
     if not calls.isStreaming:
-        return rows.groupBy("key").applyInPandas(lambda key, frame: judged(key, frame, []), schema)
+        return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(in_order, schema)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window = list(state.get[0]) if state.exists else []
-        out = judged(key, pd.concat(frames), window)
+        out = judged(pd.concat(frames).assign(key=key[0]).sort_values(["ts", "event_id"]), window)
         state.update((window,))
         yield out
 
