@@ -70,19 +70,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the least node of each node's connected component.
 
-    Minimum labels travel along edges, then each label is replaced by its own label, so long
-    chains shorten by half each round. Every round is one aggregation and one join of narrow
-    rows, stored in the shared folder. Nodes without edges are not returned.
+    Each round every node takes its least neighbour (or itself) as parent, parents are replaced by their
+    parents until they are roots, and the graph is contracted to the roots; edges within a root
+    vanish, so a star is gone after one round, and the number of roots at least halves. Every step is an aggregation
+    or a join of narrow rows, stored in the shared folder. Nodes without edges are not returned.
     """
-    spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = stored(both.union(both.select("v", "u")).distinct(), "edges")
-    label = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "labels")
-    while True:
-        near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        lower = label.join(near, "u", "left").select("u", F.least("l", "m").alias("n"), F.col("l").alias("was"))
-        jump = label.select(F.col("u").alias("n"), F.col("l").alias("j"))
-        new = stored(lower.join(jump, "n", "left").select("u", F.least("n", "j").alias("l"), "was"), "labels")
-        if new.where("l <> was").limit(1).count() == 0:
-            return new.select(F.col("u").alias("node"), F.col("l").alias("root"))
-        label = new.select("u", "l")
+    now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
+    first = True
+    while now.limit(1).count():
+        both = now.union(now.select("v", "u"))
+        up = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("r")), "parents")
+        moved = True
+        while moved:
+            parent = up.select(F.col("u").alias("r"), F.col("r").alias("higher"))
+            jumped = stored(up.join(parent, "r").select("u", F.col("higher").alias("r"), F.col("r").alias("was")), "parents")
+            moved, up = jumped.where("r <> was").limit(1).count() > 0, jumped.select("u", "r")
+        if first:
+            out, first = up.select(F.col("u").alias("node"), F.col("r").alias("root")), False
+        else:
+            out = out.join(up.select(F.col("u").alias("root"), F.col("r").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+        ends = now.join(up.select("u", F.col("r").alias("ru")), "u").join(up.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v")
+        now = stored(ends.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "edges")
+    return stored(out, "components")
