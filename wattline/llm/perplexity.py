@@ -26,7 +26,8 @@ SLICE = 4_000_000  # entries of the model broadcast at a time: 48 MB
 MOST_LANGUAGES = 10_000  # whose discounts and bands are broadcast
 START = 2  # a byte that stands for what comes before the text
 MIN_WORDS, MOST_REPEATED = 10, 20  # words; percent
-PIECE = 1 << 21
+PIECE = 1 << 19
+ROWS = 256  # texts scored at a time
 SYMBOLS = "#*$%&|<>"
 
 _LETTER = np.array([chr(b).isalnum() if b < 128 else b >= 192 for b in range(256)])  # bytes that begin a letter or digit
@@ -151,39 +152,53 @@ def _sorted_arrays(model: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h[by], p[by]
 
 
-def log_probability(docs: DataFrame, model: DataFrame, text: str, lang: str) -> DataFrame:
-    """docs with `__wl_sum`: the sum of log probabilities of the bytes of each text under its language's model."""
+def _sums(langs: list[str], column: pa.Array, arrays: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each text the sum of those log probabilities of its bytes that this slice of the model has."""
+    hashes, logp = arrays
+    out = np.zeros(len(langs))
+    for first, end, gram, own in grams(*utf8(column)):
+        if not len(gram) or not len(hashes):
+            continue
+        which = np.repeat(np.arange(end - first), np.diff(own))
+        seeds = {x: mixed(np.array([int.from_bytes(x.encode()[:64].ljust(8, b"\0"), "big") % (2**64 - 59)], np.uint64))[0] for x in set(langs[first:end])}
+        h = mixed(gram.view(np.uint64) ^ np.array([seeds[x] for x in langs[first:end]], np.uint64)[which])
+        h, inverse = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        out[first:end] += np.bincount(which, np.where(hashes[at] == h, logp[at], 0.0)[inverse], end - first)
+    return out
+
+
+def scored(docs: DataFrame, model: DataFrame, text: str, lang: str) -> DataFrame:
+    """docs without the text, with `__wl_sum` (log probability of all bytes under the language's model), `__wl_letters` and the base counts.
+
+    Each slice of the model is one pass over the texts in a chain; the last pass also counts, and drops the text.
+    """
     sc = docs.sparkSession.sparkContext
     docs = docs.withColumn("__wl_sum", F.lit(0.0))
 
-    def adder(shared):
+    def passed(shared, last: bool):
         def run(batches):
-            hashes, logp = shared.value
             for batch in batches:
-                langs = batch.column(batch.schema.get_field_index(lang)).to_pylist()
-                total = np.asarray(batch.column(batch.schema.get_field_index("__wl_sum"))).copy()
-                for first, end, gram, own in grams(*utf8(batch.column(batch.schema.get_field_index(text)))):
-                    if not len(gram):
-                        continue
-                    h = np.empty(len(gram), np.uint64)
-                    for i in range(first, end):
-                        h[own[i - first] : own[i - first + 1]] = gram[own[i - first] : own[i - first + 1]].view(np.uint64)
-                    which = np.repeat(np.arange(first, end), np.diff(own))
-                    row_lang = np.array(langs[first:end], object)
-                    seeds = {x: mixed(np.array([int.from_bytes(x.encode()[:64].ljust(8, b"\0"), "big") % (2**64 - 59)], np.uint64))[0] for x in set(row_lang.tolist())}
-                    h = mixed(h ^ np.array([seeds[x] for x in row_lang.tolist()], np.uint64)[which - first])
-                    h, inverse = np.unique(h, return_inverse=True)
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    value = np.where(hashes[at] == h, logp[at], 0.0)[inverse] if len(hashes) else np.zeros(len(inverse))
-                    total[first:end] += np.bincount(which - first, value, end - first)
-                cols = [batch.column(c) if c != "__wl_sum" else pa.array(total) for c in batch.schema.names]
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+                for i in range(0, len(batch), ROWS):
+                    part = batch.slice(i, ROWS)
+                    column = part.column(part.schema.get_field_index(text))
+                    total = np.asarray(part.column(part.schema.get_field_index("__wl_sum"))) + _sums(part.column(part.schema.get_field_index(lang)).to_pylist(), column, shared.value)
+                    cols = {c: part.column(c) if c != "__wl_sum" else pa.array(total) for c in part.schema.names if not (last and c == text)}
+                    if last:
+                        data, at = utf8(column)
+                        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+                        got = zip(*(base_counts(t.as_py()) for t in column), strict=True)
+                        cols |= {c: pa.array(x, pa.int64()) for c, x in zip(COUNTS, got, strict=True)} | {"__wl_letters": pa.array(letters[at[1:]] - letters[at[:-1]], pa.int64())}
+                    yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
         return run
 
-    for arrays in _sorted_arrays(model):
-        docs = docs.mapInArrow(adder(sc.broadcast(arrays)), docs.schema)
-    return docs
+    done = docs.drop(text).withColumns({c: F.lit(0).cast("long") for c in (*COUNTS, "__wl_letters")}).schema
+    slices = _sorted_arrays(model)
+    now = next(slices)
+    for after in slices:
+        docs, now = docs.mapInArrow(passed(sc.broadcast(now), False), docs.schema), after
+    return docs.mapInArrow(passed(sc.broadcast(now), True), done)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper: float = 5.0, lower: float = 20.0) -> DataFrame:
@@ -200,21 +215,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper
     names = [c for c in docs.columns if c not in added]
     docs = docs.select(*names).withColumn("__wl_lang", F.coalesce(F.col(lang), F.lit("")))
     model = kneser_ney(stored(docs.select(text, "__wl_lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts"))
-    scored = log_probability(docs, model, text, "__wl_lang")
-
-    def counted(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            got = [base_counts(t.as_py()) for t in column]
-            data, at = utf8(column)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-            size = letters[at[1:]] - letters[at[:-1]]
-            rest = [(c, batch.column(c)) for c in batch.schema.names if c != text]
-            cols = [pa.array(x, pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64()) for _ in COUNTS]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), *cols, pa.array(size, pa.int64())], names=[*(c for c, _ in rest), *COUNTS, "__wl_letters"])
-
-    schema = scored.drop(text).withColumns({c: F.lit(0).cast("long") for c in (*COUNTS, "__wl_letters")}).schema
-    out = stored(scored.mapInArrow(counted, schema), "scored")
+    out = stored(scored(docs, model, text, "__wl_lang"), "scored")
     out = out.withColumn("__wl_log", F.when(F.col("__wl_letters") > 0, -F.col("__wl_sum") / F.col("__wl_letters")))
     small = _hint(out, "__wl_lang")
     mid = out.groupBy("__wl_lang").agg(F.percentile_approx("__wl_log", 0.5, 10_000).alias("mid"))
