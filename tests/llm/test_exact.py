@@ -213,6 +213,21 @@ def test_quality_rules(docs, none):
     assert perplexity.quality_rules(none.select("doc_id", "text", "lang")).count() == 0
 
 
+def test_copies_do_not_set_the_band(spark):
+    own, others = prose(60), [prose(60) for _ in range(40)]
+    rows = [(t, "half") for t in [own] * 60 + others] + [(t, "fewer") for t in [own] * 33 + others]
+    rows += [(t, "near") for t in [*(own + f" {i}" for i in range(60)), *others]]
+    rows += [(t, "two") for t in [own] * 5 + others[:1]] + [(own, "one")] * 3
+    out = perplexity.quality_rules(spark.createDataFrame(rows, "text string, lang string")).toPandas()
+    once = perplexity.quality_rules(spark.createDataFrame([(t, "half") for t in [own, *others]], "text string, lang string")).toPandas()
+    assert not out.base_failed.any() and (out.band_low < out.band_high).all()
+    share = out.groupby("lang").kept.mean()
+    assert share["two"] == share["one"] == 1
+    for lang in ("half", "fewer"):  # of the distinct texts as many stay as without copies, but for one
+        rest = out[(out.lang == lang) & (out.perplexity > out[out.lang == lang].perplexity.min() + 1e-9)]
+        assert len(rest) == 40 and rest.kept.sum() >= once.kept.sum() - 2
+
+
 def test_probabilities_sum_to_one(spark):
     data = np.frombuffer(("abcabd" * 9 + LONG[:3000]).encode(), np.uint8)
     gram = next(perplexity.grams(data, np.array([0, len(data)])))[2]

@@ -6,7 +6,7 @@ continuation counts, discounts and backed-off probabilities with joins of count
 probability of every gram that occurs goes into arrays sorted by hash, cut into slices of a bounded
 number of entries; each slice is broadcast in turn and adds its share to every text's sum, so a
 task holds one slice at a time however large the model gets. A language's texts outside its band
-(median plus or minus a multiple of the spread, both computed over all of its texts) are rejected.
+(median plus or minus a multiple of the spread, both computed over all of its distinct texts) are rejected.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from wattline.llm.common import SPACE, mixed, stored, utf8
+from wattline.llm.common import SPACE, mixed, stored, text_key, utf8
 
 ORDER = 5
 SLICE = 4_000_000  # entries of the model broadcast at a time: 48 MB
 MOST_LANGUAGES = 10_000  # whose discounts and bands are broadcast
 START = 2  # a byte that stands for what comes before the text
 MIN_WORDS, MOST_REPEATED = 10, 20  # words; percent
+LEAST_SPREAD = 0.02  # of the logarithm of perplexity: near copies or a few texts alike make no band of one point
 PIECE = 1 << 19
 ROWS = 256  # texts scored at a time
 SYMBOLS = "#*$%&|<>"
@@ -201,6 +202,11 @@ def scored(docs: DataFrame, model: DataFrame, text: str, lang: str) -> DataFrame
     return docs.mapInArrow(passed(sc.broadcast(now), True), done)
 
 
+def _median(value: Column) -> Column:
+    """The mean of the lower and the upper median, so that of two values neither is preferred."""
+    return (F.percentile_approx(value, 0.5, 10_000) - F.percentile_approx(-value, 0.5, 10_000)) / 2
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper: float = 5.0, lower: float = 20.0) -> DataFrame:
     """docs without the text, with the base counts, base_failed, perplexity, band_low, band_high and kept.
 
@@ -208,18 +214,21 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper
     repeated five-word windows. perplexity is per letter (other bytes count in the sum: what is padded with symbols costs more for each letter); null, and
     kept false, for a text without letters. kept is false if base_failed, else
     whether the perplexity lies in its language's band: the median minus `lower`, plus `upper` times the spread (median
-    absolute deviation, times 1.4826), of the logarithm. Null texts count as empty, a null language as a language of its own.
+    absolute deviation, times 1.4826; LEAST_SPREAD at least), of the logarithm. Copies of a text count once in the band. Null texts count as empty, a null language as a language of its own.
     Columns with the names of results are replaced.
     """
     added = [*COUNTS, "base_failed", "perplexity", "band_low", "band_high", "kept"]
     names = [c for c in docs.columns if c not in added]
     docs = docs.select(*names).withColumn("__wl_lang", F.coalesce(F.col(lang), F.lit("")))
     model = kneser_ney(stored(docs.select(text, "__wl_lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts"))
-    out = stored(scored(docs, model, text, "__wl_lang"), "scored")
+    k1, k2 = text_key(F.col(text))
+    out = stored(scored(docs.withColumns({"__wl_k1": k1, "__wl_k2": k2}), model, text, "__wl_lang"), "scored")
     out = out.withColumn("__wl_log", F.when(F.col("__wl_letters") > 0, -F.col("__wl_sum") / F.col("__wl_letters")))
     small = _hint(out, "__wl_lang")
-    mid = out.groupBy("__wl_lang").agg(F.percentile_approx("__wl_log", 0.5, 10_000).alias("mid"))
-    off = out.join(small(mid), "__wl_lang").groupBy("__wl_lang").agg(F.first("mid").alias("mid"), (F.percentile_approx(F.abs(F.col("__wl_log") - F.col("mid")), 0.5, 10_000) * 1.4826).alias("spread"))
+    distinct = stored(out.groupBy("__wl_lang", "__wl_k1", "__wl_k2").agg(F.max("__wl_log").alias("__wl_log")).select("__wl_lang", "__wl_log"), "texts")  # copies have equal sums
+    mid = distinct.groupBy("__wl_lang").agg(_median(F.col("__wl_log")).alias("mid"))
+    spread = F.greatest(_median(F.abs(F.col("__wl_log") - F.col("mid"))) * 1.4826, F.lit(LEAST_SPREAD))
+    off = distinct.join(small(mid), "__wl_lang").groupBy("__wl_lang").agg(F.first("mid").alias("mid"), spread.alias("spread"))
     band = stored(off.select(F.col("__wl_lang"), (F.col("mid") - lower * F.col("spread")).alias("__wl_low"), (F.col("mid") + upper * F.col("spread")).alias("__wl_high")), "bands")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     inside = F.coalesce(F.col("__wl_log").between(F.col("__wl_low"), F.col("__wl_high")), F.lit(False))
