@@ -145,6 +145,23 @@ def test_equal_bytes_and_hot_key(spark):
     assert len(got) == 16 and got["count"].max() - got["count"].min() <= 2
 
 
+def test_slots_of_neighbouring_ties():
+    for first in (list(range(6)), [3, 3, 3, 9, 9, 9], [-5] * 32 + [8] * 32, [1, 1, 2, 2, 3, 3], [-7] * 7 + [0] * 9 + [4] * 32):
+        probes = np.array([(a, 10 * i) for i, a in enumerate(first)], histogram_shards.KEY)
+        keys = [(a, b) for a in {*first, *(x + 1 for x in first), min(first) - 1} for b in range(-5, 10 * len(first) + 15, 5)]
+        got = histogram_shards._slots(np.array([a for a, _ in keys]), np.array([b for _, b in keys]), probes)
+        assert got.tolist() == [sum(tuple(p) <= k for p in probes.tolist()) for k in keys]
+
+
+def test_neighbouring_hot_texts(spark):
+    for low, high in ((7, 8), (-3, 40), (0, 1 << 40), (5, 6)):
+        frame = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, low).otherwise(high).alias("h"))
+        got = histogram_shards.shard(frame, [F.col("h"), F.xxhash64("id")], F.lit(10), 16).withColumn("b", F.xxhash64("id")).toPandas()
+        assert sorted(got.groupby("shard").size()) == [250] * 16
+        by = got.sort_values(["shard", "slot"])
+        assert list(zip(by.h, by.b, strict=True)) == sorted(zip(by.h, by.b, strict=True))
+
+
 def test_containment(docs, spark):
     items = [(1, PASSAGE), (2, " ".join(BASE[3].split()[:30])), (3, "one two"), (4, None), (5, ""), (6, prose(40)), (6, PASSAGE)]
     bench = spark.createDataFrame(items, "item_id long, text string")

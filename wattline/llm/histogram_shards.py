@@ -43,8 +43,9 @@ def _slots(a: np.ndarray, b: np.ndarray, probes: np.ndarray) -> np.ndarray:
     tie = np.flatnonzero((slot < len(first)) & (first[np.minimum(slot, len(first) - 1)] == a)) if len(first) else []
     if len(tie):  # probes with the same first part: order by the second
         end = np.searchsorted(first, a[tie], side="right")
-        for s, e in set(zip(slot[tie].tolist(), end.tolist(), strict=True)):
-            own = tie[slot[tie] == s]
+        start = slot[tie]  # a copy: a row may get the slot where the next probes with one first part start
+        for s, e in set(zip(start.tolist(), end.tolist(), strict=True)):
+            own = tie[start == s]
             slot[own] = s + np.searchsorted(probes["b"][s:e], b[own], side="right")
     return slot
 
