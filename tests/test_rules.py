@@ -67,6 +67,41 @@ def test_spans_of_cells(spark):
     assert row[1].parsed.ok is False
 
 
+def test_document_links(spark):
+    from urllib.parse import urljoin, urlparse
+
+    hrefs = ["/annual-report.pdf", "/annual-reports.pdf", "/the", "/about", "mailto:report@x.example", "data.csv?v=2", "/a/b", "/annual-report.pdf", "#top", "?report=1", "https://other.example/x.XLSX", "//cdn.example/statement", "javascript:report()", "/news/2019", "/report-1999", "/report-2020"]
+    marks = ["", "", "", "<b>Annual</b> figures", "", "", "", "again", "report", "", "", "", "", "2019", "", ""]
+    more = [f"/report-{i}/" for i in range(9)]
+    url = "https://www.x.example/en/list/index.html?p=1#q"
+    pages = [(1, url, "".join(f"<p><a href='{h}'>{t}</a> report 2019" for h, t in zip(hrefs, marks, strict=True))), (2, "http://y.example", "".join(f"<a href='{h}'>x</a>" for h in more)), (3, url, None), (4, None, "<a href='/report.pdf'>a</a><a href='http://z.example/report.pdf'>b</a>")]
+    parsed = ex.parse_pages(spark.createDataFrame(pages, "page_id int, url string, html string"))
+    terms, ends = ex.DOCUMENT_TERM.split("|"), (".pdf", ".xlsx", ".xls", ".csv", ".json", ".xml")
+
+    def wanted(page, base, links, texts, year, most):
+        seen, out = {base.rstrip("/").lower()}, []
+        for at, (h, t) in enumerate(zip(links, texts, strict=True)):
+            full = urljoin(base, h)
+            corpus = f"{full} {t}".lower()
+            suffix, term = urlparse(full).path.lower().endswith(ends), any(x in corpus for x in terms)
+            dated = year is None or any(str(y) in corpus for y in (year - 1, year, year + 1)) or suffix and term
+            if full.startswith("http") and (suffix or term) and dated and (key := full.rstrip("/").lower()) not in seen:
+                seen.add(key)
+                out.append((page, at, h))
+        return out[:most]
+
+    for year, most in ((None, 8), (None, 99), (2019, 99)):
+        got = sorted(map(tuple, ex.document_links(parsed, year=year, most=most).collect()))
+        want = wanted(1, url, hrefs, [t.replace("<b>", "").replace("</b>", "") for t in marks], year, most) + wanted(2, "http://y.example", more, ["x"] * 9, year, most)
+        assert got == want + [(4, 1, "http://z.example/report.pdf")]
+    from wattline.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    real = ex.parse_pages(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")).collect()
+    want = [x for r in real for x in wanted(r.page_id, r.url, r.parsed.links, r.parsed.link_texts, None, 8)]
+    assert sorted(map(tuple, catalog.QUERIES["link_filter"](spark, data).collect())) == sorted(want)
+
+
 def test_quota_window(spark):
     rows = jobs.quota_admit(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), limit=2, seconds=36_000).where("admitted").orderBy("ts").collect()
     per: dict = {}

@@ -25,15 +25,16 @@ def extract_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 class _Page(HTMLParser):
-    """Title, text, links and tables of one page; spans of cells are expanded."""
+    """Title, text, links (with their texts) and tables of one page; spans of cells are expanded."""
 
     SKIP = {"script", "style", "head", "noscript"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.text, self.links, self.tables = "", [], [], []
+        self.anchors: list[list] = []  # of each link the pieces of its text
         self.skip = 0
-        self.in_title = False
+        self.in_title = self.in_link = False
         self.rows = self.row = self.cell = None
         self.open: dict[int, list] = {}
 
@@ -42,8 +43,11 @@ class _Page(HTMLParser):
         if tag in self.SKIP:
             self.skip += 1
         self.in_title |= tag == "title"
+        if tag == "a":
+            self.in_link = bool(attrs.get("href"))
         if tag == "a" and attrs.get("href"):
             self.links.append(attrs["href"])
+            self.anchors.append([])
         elif tag == "table":
             self.rows, self.open = [], {}
         elif tag == "tr" and self.rows is not None:
@@ -55,6 +59,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
+        if tag == "a":
+            self.in_link = False
         if tag == "title":
             self.in_title = False
         elif tag in ("td", "th") and self.cell is not None and self.row is not None:
@@ -84,22 +90,24 @@ class _Page(HTMLParser):
             self.title += data
         elif not self.skip:
             (self.cell[0] if self.cell is not None else self.text).append(data)
+            if self.in_link:
+                self.anchors[-1].append(data)
 
 
-PARSED = "struct<ok:boolean,title:string,text:string,links:array<string>,tables:array<array<array<string>>>>"
+PARSED = "struct<ok:boolean,title:string,text:string,links:array<string>,link_texts:array<string>,tables:array<array<array<string>>>>"
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages without the markup, with `parsed` (ok, title, text, links, tables); null is not ok. One pass over each page."""
-    kind = pa.struct([("ok", pa.bool_()), ("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))])
+    """pages without the markup, with `parsed` (ok, title, text, links, link_texts, tables); null is not ok. One pass over each page."""
+    kind = pa.struct([("ok", pa.bool_()), ("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("link_texts", pa.list_(pa.string())), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))])
 
     def parse(body: str | None) -> dict:
         page = _Page()
         if body is None:
-            return {"ok": False, "title": None, "text": None, "links": [], "tables": []}
+            return {"ok": False, "title": None, "text": None, "links": [], "link_texts": [], "tables": []}
         page.feed(body)
         page.close()
-        return {"ok": True, "title": " ".join(page.title.split()), "text": " ".join("".join(page.text).split()), "links": page.links, "tables": page.tables}
+        return {"ok": True, "title": " ".join(page.title.split()), "text": " ".join("".join(page.text).split()), "links": page.links, "link_texts": [" ".join(" ".join(x).split()) for x in page.anchors], "tables": page.tables}
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +118,32 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.mapInArrow(run, pages.drop(html).withColumn("parsed", F.lit(None).cast(PARSED)).schema)
 
 
+DOCUMENT_SUFFIX = r"\.(pdf|xlsx|xls|csv|json|xml)$"
+DOCUMENT_TERM = "download|attachment|report|annual|generation|production|statement|disclosure|公告|附件|下载|报告|年报|发电量"
+
+
+def document_links(pages: DataFrame, page: str = "page_id", year: int | None = None, most: int = 8) -> DataFrame:
+    """page, at, href of the links that look like documents or reports: the first `most` of each page, by place.
+
+    pages: page, url and `parsed`. A link is read as an absolute http URL; it has the suffix of a document or a term of reports in
+    URL or text. If a year is wanted, it or one next to it is in URL or text, or suffix and term both are. The page
+    itself and repeats of a URL do not count.
+    """
+    links = pages.select(page, "url", F.posexplode(F.arrays_zip(F.col("parsed.links").alias("href"), F.col("parsed.link_texts").alias("text"))).alias("at", "x"))
+    href, scheme, host = F.trim("x.href"), F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract("url", "^([^/?#]*//[^/?#]*)", 1)
+    folder = F.concat(host, F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "^[^/]*//[^/]*(/.*/|/)", 1), F.lit("")), F.lit("/")))
+    path = F.when(href.startswith("?") | href.startswith("#"), F.concat(F.regexp_replace("url", F.when(href.startswith("?"), "[?#].*$").otherwise("#.*$"), F.lit("")), href))
+    full = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.coalesce(path, F.concat(folder, href)))
+    links = links.select(page, "at", "url", F.col("x.href").alias("href"), full.alias("full"), F.substring("x.text", 1, 500).alias("text")).where(F.col("full").rlike("(?i)^https?://"))
+    corpus = F.lower(F.concat_ws(" ", "full", "text"))
+    suffix, term = F.lower(F.regexp_replace("full", "[?#].*$", "")).rlike(DOCUMENT_SUFFIX), corpus.rlike(DOCUMENT_TERM)
+    dated = F.lit(True) if year is None else corpus.rlike("|".join(str(y) for y in (year - 1, year, year + 1))) | (suffix & term)
+    key = [F.lower(F.regexp_replace(c, "/+$", "")) for c in ("full", "url")]
+    kept = links.where((suffix | term) & dated & (key[0] != F.coalesce(key[1], F.lit("")))).withColumn("key", key[0])
+    once = kept.groupBy(page, "key").agg(F.min_by(F.struct("at", "href"), "at").alias("x")).select(page, "x.*")
+    return once.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("at"))).where(F.col("n") <= most).select(page, "at", "href")
+
+
 def validate_candidates(candidates: DataFrame, stations: DataFrame) -> DataFrame:
     """candidates with `issues` (code, severity), `passed`: nothing but low confidence."""
     over = F.col("generation_gwh") > tx.capacity_ceiling(F.col("capacity_mw"))

@@ -466,10 +466,8 @@ def _(s):
 
 @query("link_filter", "pages")
 def _(p):
-    """Links of a page that look like documents or reports: eight for each page, by place."""
-    links = ex.parse_pages(p.select("page_id", "html")).select("page_id", F.posexplode("parsed.links").alias("at", "href"))
-    keep = links.where(F.length("href") % 2 == 0)
-    return keep.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where("n <= 8").select("page_id", "at", "href")
+    """Links of a page that look like documents or reports: eight for each page, by place. Pages have no year of a task."""
+    return ex.document_links(ex.parse_pages(p.select("page_id", "url", "html")))
 
 
 @query("expand_attachments", "pages")
