@@ -67,6 +67,14 @@ def test_spans_of_cells(spark):
     assert row[1].parsed.ok is False
 
 
+def test_record_confidence(spark):
+    high = [("UNIT_UNCLEAR", "high")]
+    rows = [(1, [], True, 0.9, True, True), (2, [], True, 0.9, None, None), (3, high * 3, False, 0.2, True, False), (4, high, False, None, True, True), (5, high * 3, False, 0.8, None, None), (6, [], True, 1.2, True, True)]
+    frame = spark.createDataFrame(rows, "id int, issues array<struct<code:string,severity:string>>, passed boolean, confidence double, has_evidence boolean, has_page boolean")
+    got = {r.id: r.x for r in frame.select("id", ex.record_confidence().alias("x")).collect()}
+    assert got == {1: 0.925, 2: 0.85, 3: 0.0, 4: 0.475, 5: 0.25, 6: 1.0}
+
+
 def test_document_links(spark):
     from urllib.parse import urljoin, urlparse
 

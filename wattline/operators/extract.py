@@ -163,10 +163,12 @@ def validate_candidates(candidates: DataFrame, stations: DataFrame) -> DataFrame
 
 
 def record_confidence() -> Column:
-    """0.8 if passed, else 0.6 less 0.3 for each high and 0.1 for each medium issue; averaged with the extractor's (0.5 if unknown)."""
+    """0.8 if passed, else 0.6 less 0.3 for each high and 0.1 for each medium issue; 0.1 more for evidence, 0.05 for its page; averaged
+    with the extractor's (0.5 if unknown), within 0 and 1."""
     loss = F.aggregate("issues", F.lit(0.0), lambda a, x: a + F.when(x["severity"] == "high", 0.3).when(x["severity"] == "medium", 0.1).otherwise(0.0))
-    own = F.when(F.col("passed"), 0.8).otherwise(F.greatest(F.lit(0.0), 0.6 - loss))
-    return F.round((own + F.coalesce(F.col("confidence"), F.lit(0.5))) / 2, 6)
+    own = F.when(F.col("passed"), 0.8).otherwise(0.6 - loss)
+    own += F.when(F.col("has_evidence"), 0.1).otherwise(0.0) + F.when(F.col("has_page"), 0.05).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (own + F.coalesce(F.col("confidence"), F.lit(0.5))) / 2)), 6)
 
 
 def needs_review() -> Column:

@@ -258,9 +258,10 @@ def _(x, s):
     return ex.validate_candidates(x, s).select("candidate_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("issues"))
 
 
-@query("score_record", "candidates stations")
-def _(x, s):
-    return ex.validate_candidates(x, s).select("candidate_id", ex.record_confidence().alias("score"))
+@query("score_record", "candidates stations candidate_evidence evidence")
+def _(x, s, l, e):
+    found = l.join(e.select("evidence_id", "page_number"), "evidence_id").groupBy("candidate_id").agg(F.lit(True).alias("has_evidence"), (F.max("page_number") > 0).alias("has_page"))
+    return ex.validate_candidates(x, s).join(found, "candidate_id", "left").select("candidate_id", ex.record_confidence().alias("score"))
 
 
 @query("needs_review", "candidates stations", f"SELECT priority_tier, count(*) n FROM candidates c LEFT JOIN stations s ON s.entity_id = c.entity_id WHERE coalesce(priority_tier, '') = 'A' OR len(list_filter({ISSUES}, lambda x: x IS NOT NULL AND x <> 'LOW_CONFIDENCE')) > 0 GROUP BY priority_tier")
