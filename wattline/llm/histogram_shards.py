@@ -4,8 +4,11 @@ Rows are ordered by (hash of the text, hash of the row's id). Splitters between
 counting: each round sends a bounded list of probe keys to all partitions, which count the bytes and
 rows below each probe exactly; the probes then close in on each wanted boundary. When all
 splitters are within tolerance, or no key lies between two probes, every row is exchanged once.
-Equal texts are neighbours in this order, and a splitter falls between texts where one within
-tolerance exists; a group of copies larger than that is cut by the second part of the key.
+Equal texts are neighbours in this order, and a splitter falls between texts, unless a group of copies
+holds more than GROUP_SHARE of a shard's bytes: such a group is cut by the second part of the key.
+
+A shard's rows are numbered in parts of about a million, cut by further splitters with a wide tolerance;
+where each part starts is a small table that is joined.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wattline.llm.common import stored
+from wattline.llm.common import broadcast_rows, stored
 
 PROBES = 32  # for each splitter and round
 TOLERANCE = 0.001  # of a shard's bytes
+GROUP_SHARE = 0.01  # of a shard's bytes: smaller groups of copies are never cut
 SUB_ROWS = 1_000_000  # rows numbered in one task
+MOST_PARTS = 200_000  # whose first slots are broadcast
+SUB_PROBES, SUB_TOLERANCE = 4, 0.25  # for the parts in which rows are numbered
 
 _LOW = -(1 << 63)
 
@@ -66,62 +72,88 @@ def _between(low: tuple[int, int], high: tuple[int, int], n: int) -> list[tuple[
     return sorted({(low[0], low[1] + int(step * (i + 1))) for i in range(n)} - {low})
 
 
-def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """shards - 1 keys; shard i has the keys from splitter i - 1 on, below splitter i. keyed: a, b, size."""
-    total, most = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, group_share: float = GROUP_SHARE, probes: int = PROBES) -> list[tuple[int, int]]:
+    """shards - 1 keys; shard i has the keys from splitter i - 1 on, below splitter i. keyed: a, b, size.
+
+    The driver keeps two keys for each splitter and gets one row for each probe; its work is linear in the shards.
+    """
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     wanted = [total * i // shards for i in range(1, shards)]
-    slack = tolerance * total / shards
+    slack, share = tolerance * total / shards, group_share * total / shards
     top = ((1 << 63) - 1, (1 << 63) - 1)
-    # of each wanted boundary: the last key known to have fewer bytes below it, the first known to have more, their bytes and rows
+    # of each wanted boundary: the last key known to have at most so many bytes below it, the first known to have more, their bytes and rows
     low = [((_LOW, _LOW), 0, 0)] * len(wanted)
     high = [(top, total, -1)] * len(wanted)
+
+    def searching(i: int) -> bool:
+        (a, below, first), (b, above, last) = low[i], high[i]
+        if min(wanted[i] - below, above - wanted[i]) <= slack or first == last - 1 or a == b:
+            return False
+        return not (a[1] == b[1] == _LOW and b[0] == a[0] + 1 and above - below <= share)  # a group too small to be cut
+
     while True:
-        open_ = [i for i, w in enumerate(wanted) if min(w - low[i][1], high[i][1] - w) > slack and low[i][2] != high[i][2] - 1 and high[i][0] != low[i][0]]
-        ask = sorted({p for i in open_ for p in _between(low[i][0], high[i][0], PROBES)} - {l[0] for l in low} - {h[0] for h in high})
+        open_ = [i for i in range(len(wanted)) if searching(i)]
+        known = {x[0] for i in open_ for x in (low[i], high[i])}
+        ask = sorted({p for i in open_ for p in _between(low[i][0], high[i][0], probes)} - known)
         if not ask:
             break
-        probes = np.array(ask, KEY)
-        counted = keyed.select("a", "b", "size").mapInArrow(lambda it: _below(it, probes), "slot long, bytes long, rows long")  # noqa: B023
+        keys = np.array(ask, KEY)
+        counted = keyed.select("a", "b", "size").mapInArrow(lambda it: _below(it, keys), "slot long, bytes long, rows long")  # noqa: B023
         bytes_, rows = np.zeros(len(ask) + 1, np.int64), np.zeros(len(ask) + 1, np.int64)
         for r in counted.groupBy("slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect():  # at most a row for each probe
             bytes_[r.slot], rows[r.slot] = r.bytes, r.rows
-        bytes_, rows = np.cumsum(bytes_), np.cumsum(rows)
-        for i in open_:
-            for k, p in enumerate(ask):
-                own = (p, int(bytes_[k]), int(rows[k]))
-                if own[1] <= wanted[i] and p > low[i][0]:
-                    low[i] = own
-                elif own[1] > wanted[i] and p < high[i][0]:
-                    high[i] = own
+        bytes_, rows = np.cumsum(bytes_)[:-1], np.cumsum(rows)[:-1]  # below each probe
+        after = np.searchsorted(bytes_, [wanted[i] for i in open_], side="right")
+        for i, k in zip(open_, after.tolist(), strict=True):
+            if k and ask[k - 1] > low[i][0]:
+                low[i] = (ask[k - 1], int(bytes_[k - 1]), int(rows[k - 1]))
+            if k < len(ask) and ask[k] < high[i][0]:
+                high[i] = (ask[k], int(bytes_[k]), int(rows[k]))
     return [lo[0] if w - lo[1] <= hi[1] - w else hi[0] for w, lo, hi in zip(wanted, low, high, strict=True)]
 
 
-def shard(docs: DataFrame, order: list[Column], size: Column, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
+def shard(docs: DataFrame, order: list[Column], size: Column, shards: int, tolerance: float = TOLERANCE, group_share: float = GROUP_SHARE, sub_rows: int = SUB_ROWS) -> DataFrame:
     """docs with `shard` (0 to shards - 1) and `slot` (0, 1, ... within a shard, in key order), exchanged once.
 
-    order: two long columns, the sort key (rows equal in both stay together and are ordered by all
-    columns). size: the bytes of a row. Fewer rows than shards leave shards empty; empty tables stay
+    order: two long columns, the sort key; rows equal in the first are a group (equal texts), rows equal in both
+    stay together and are ordered by all columns. size: the bytes of a row, not null. Shards differ from the mean by
+    `tolerance` of it at each end, or by half a row or a group of at most `group_share` where one lies there; larger groups
+    are cut. Null and empty texts are rows like any other (their size says what they weigh), a very long one
+    counts whole. Fewer rows than shards leave shards empty; empty tables stay
     empty. Columns named shard or slot are replaced.
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     keyed = docs.select(*names, order[0].alias("__wl_a"), order[1].alias("__wl_b"), size.cast("long").alias("__wl_size"))
     narrow = stored(keyed.select(F.col("__wl_a").alias("a"), F.col("__wl_b").alias("b"), F.col("__wl_size").alias("size")), "keys")
-    rows = narrow.count()
-    parts = shards * max(1, -(-rows // (shards * SUB_ROWS)))  # a shard is numbered in parts of a bounded number of rows
-    cuts = np.array(splitters(narrow, parts, tolerance * shards / parts if parts > shards else tolerance), KEY)
+    cuts = splitters(narrow, shards, tolerance, group_share)
+    parts = -(-narrow.count() // sub_rows)
+    within = splitters(narrow, parts, SUB_TOLERANCE, 0.0, SUB_PROBES) if parts > 1 else []
+    bounds = np.array(sorted([*cuts, *within]), KEY)  # equal neighbours only make parts without rows
+    owner = np.searchsorted(np.array(cuts, KEY), bounds, side="right") if cuts else np.zeros(len(bounds), np.int64)
+    owner = np.concatenate([[0], owner]).astype(np.int32)  # of each part its shard
 
     def dealt(batches):
         for batch in batches:
             n = batch.num_columns
-            part = _slots(np.asarray(batch.column(n - 3)), np.asarray(batch.column(n - 2)), cuts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=[*batch.schema.names, "__wl_part"])
-
-    placed = keyed.mapInArrow(dealt, keyed.withColumn("__wl_part", F.lit(0)).schema)
-    counts = {r[0]: r[1] for r in narrow.mapInArrow(lambda it: _below(it, cuts), "slot long, bytes long, rows long").groupBy("slot").agg(F.sum("rows")).collect()}
-    offset, per = [], parts // shards
-    for p in range(parts):
-        offset.append(0 if p % per == 0 else offset[-1] + counts.get(p - 1, 0))
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in offset]), F.col("__wl_part") + 1)
+            part = _slots(np.asarray(batch.column(n - 3)), np.asarray(batch.column(n - 2)), bounds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(owner[part])], names=[*batch.schema.names, "__wl_part", "shard"])
+
+    placed = keyed.mapInArrow(dealt, keyed.withColumns({"__wl_part": F.lit(0), "shard": F.lit(0)}).schema)
+    counts = _part_counts(narrow, bounds, owner)
+    start = F.sum("rows").over(Window.partitionBy("own").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stored(counts.select(F.col("part").alias("__wl_part"), F.coalesce(start, F.lit(0)).alias("__wl_start")), "starts")
     tie = [c for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
     rank = F.row_number().over(Window.partitionBy("__wl_part").orderBy("__wl_a", "__wl_b", *tie))
-    return placed.select(*names, F.floor(F.col("__wl_part") / per).cast("int").alias("shard"), (start + rank - 1).cast("long").alias("slot"))
+    numbered = placed.withColumn("__wl_rank", rank).join(broadcast_rows(starts, MOST_PARTS), "__wl_part")
+    return numbered.select(*names, "shard", (F.col("__wl_start") + F.col("__wl_rank") - 1).cast("long").alias("slot"))
+
+
+def _part_counts(narrow: DataFrame, bounds: np.ndarray, owner: np.ndarray) -> DataFrame:
+    """part, own (its shard), rows of every part that has rows."""
+
+    def counted(batches):
+        for found in _below(batches, bounds):
+            part = np.asarray(found.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(owner[part]), found.column(2)], names=["part", "own", "rows"])
+
+    return narrow.mapInArrow(counted, "part int, own int, rows long").groupBy("part", "own").agg(F.sum("rows").alias("rows"))
