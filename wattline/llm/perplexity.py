@@ -3,10 +3,10 @@
 The model is a modified Kneser-Ney model of five-byte grams for each language, counted over all
 documents by Spark: tasks count their own grams with numpy, Spark sums them and derives lower-order
 continuation counts, discounts and backed-off probabilities with joins of count tables. The
-probability of every gram that occurs goes into arrays sorted by hash, cut into slices of a bounded
-number of entries; each slice is broadcast in turn and adds its share to every text's sum, so a
-task holds one slice at a time however large the model gets. A language's texts outside its band
-(median plus or minus a multiple of the spread, both computed over all of its distinct texts) are rejected.
+probability of every gram that occurs is kept under its hash. The most frequent grams, of a bounded number, go to
+all tasks as arrays sorted by hash; one pass over the texts sums what they say. Grams that a text has beyond those
+are rare ones: they are counted for each distinct text in that pass, joined with the rest of the model by hash, and summed. A
+language's texts outside its band (median minus or plus a multiple of the spread, both computed over all of its distinct texts) are rejected.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattline.llm.common import SPACE, mixed, stored, text_key, utf8
 
 ORDER = 5
-SLICE = 4_000_000  # entries of the model broadcast at a time: 48 MB
+HEAD = 4_000_000  # entries of the model that are broadcast, the most frequent ones: 48 MB
 MOST_LANGUAGES = 10_000  # whose discounts and bands are broadcast
 START = 2  # a byte that stands for what comes before the text
 MIN_WORDS, MOST_REPEATED = 10, 20  # words; percent
@@ -96,7 +97,7 @@ def _hint(rows: DataFrame, lang: str):
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, gram, logp) of counted five-byte grams: interpolated modified Kneser-Ney, natural logarithm."""
+    """(lang, gram, n, logp) of counted five-byte grams: interpolated modified Kneser-Ney, natural logarithm."""
     level = {ORDER: counts.select("lang", "gram", "n")}
     small = _hint(counts, "lang")
     for k in range(ORDER - 1, 0, -1):  # how many bytes were seen before a gram of k bytes
@@ -119,87 +120,99 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         else:
             t = t.withColumn("rest", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(lower, ["lang", "rest"])
             p = own + F.col("left") * F.col("q")
-        t = t.select("lang", "gram", p.alias("q"))
-        lower = t.withColumnRenamed("gram", "rest")
-    return t.select("lang", "gram", F.log("q").alias("logp"))
+        t = t.select("lang", "gram", "n", p.alias("q"))
+        lower = t.select("lang", F.col("gram").alias("rest"), "q")
+    return t.select("lang", "gram", "n", F.log("q").alias("logp"))
 
 
-def _hash(lang: str, gram: np.ndarray) -> np.ndarray:
-    seed = int.from_bytes(lang.encode()[:64].ljust(8, b"\0"), "big") % (2**64 - 59)
-    return mixed(gram.view(np.uint64) ^ mixed(np.array([seed], np.uint64)))
+def _seed(lang: str) -> np.ndarray:
+    return mixed(np.array([xxhash.xxh3_64_intdigest(lang.encode())], np.uint64))
 
 
-def _sorted_arrays(model: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slices of (hashes, log probabilities), sorted by hash, of a bounded number of entries each."""
+def hashed(model: DataFrame) -> DataFrame:
+    """h, n, logp of the model's grams, stored; h is a 64-bit hash of language and gram."""
 
-    def hashed(batches):
+    def run(batches):
         for batch in batches:
-            langs, gram = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-            h = np.zeros(len(gram), np.int64)
-            which = np.array(langs, object)
-            for lang in set(langs):
-                h[which == lang] = _hash(lang, gram[which == lang]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(2)], names=["h", "logp"])
-
-    table = stored(model.mapInArrow(hashed, "h long, logp double"), "model")
-    n = table.count()
-    parts = max(1, -(-n // SLICE))
-    width = 2**64 // parts + 1
-    for i in range(parts):
-        low, high = i * width - 2**63, min(2**63 - 1, (i + 1) * width - 2**63 - 1)
-        got = table.where(F.col("h").between(low, high)).select("h", F.col("logp").cast("float").alias("logp")).toArrow()
-        h, p = np.asarray(got.column("h")).view(np.uint64), np.asarray(got.column("logp"))
-        by = np.argsort(h)
-        yield h[by], p[by]
-
-
-def _sums(langs: list[str], column: pa.Array, arrays: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of each text the sum of those log probabilities of its bytes that this slice of the model has."""
+            langs, gram = batch.column(0).dictionary_encode(), np.asarray(batch.column(1)).view(np.uint64)
+            seeds = np.concatenate([np.zeros(0, np.uint64), *(_seed(x) for x in langs.dictionary.to_pylist())])
+            h = mixed(gram ^ seeds[np.asarray(langs.indices)]) if len(gram) else gram
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2), batch.column(3).cast(pa.float32())], names=["h", "n", "logp"])
+
+    return stored(model.mapInArrow(run, "h long, n long, logp float"), "model")
+
+
+def head_and_tail(table: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """The (hashes, log probabilities) of the most frequent grams, `most` at most, sorted by hash, and the other rows of the table."""
+    scale = {r.p: r.rows for r in table.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("rows")).collect()}  # at most 63 rows
+    least = next(p for p in range(65) if sum(r for q, r in scale.items() if q >= p) <= most)
+    rows = F.floor(F.log2("n")) >= least
+    got = table.where(rows).select("h", "logp").toArrow()
+    h, p = np.asarray(got.column("h")).view(np.uint64), np.asarray(got.column("logp"))
+    by = np.argsort(h)
+    return (h[by], p[by]), table.where(~rows) if any(q < least for q in scale) else None
+
+
+def _sums(langs: list[str], column: pa.Array, arrays: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of each text the sum of those log probabilities of its bytes that the arrays have; hashes and counts of its other grams."""
     hashes, logp = arrays
-    out = np.zeros(len(langs))
+    out, missed, times = np.zeros(len(langs)), [np.zeros(0, np.int64)] * len(langs), [np.zeros(0, np.int64)] * len(langs)
     for first, end, gram, own in grams(*utf8(column)):
-        if not len(gram) or not len(hashes):
+        if not len(gram):
             continue
         which = np.repeat(np.arange(end - first), np.diff(own))
-        seeds = {x: mixed(np.array([int.from_bytes(x.encode()[:64].ljust(8, b"\0"), "big") % (2**64 - 59)], np.uint64))[0] for x in set(langs[first:end])}
+        seeds = {x: _seed(x)[0] for x in set(langs[first:end])}
         h = mixed(gram.view(np.uint64) ^ np.array([seeds[x] for x in langs[first:end]], np.uint64)[which])
         h, inverse = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        out[first:end] += np.bincount(which, np.where(hashes[at] == h, logp[at], 0.0)[inverse], end - first)
-    return out
-
-
-def scored(docs: DataFrame, model: DataFrame, text: str, lang: str) -> DataFrame:
+        at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+        known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+        if len(hashes):
+            out[first:end] += np.bincount(which, np.where(known, logp[at], 0.0)[inverse], end - first)
+        if not known.all():
+            lost = np.flatnonzero(~known[inverse])
+            pairs, n = np.unique(which[lost] * np.int64(len(h)) + inverse[lost], return_counts=True)
+            edge = np.searchsorted(pairs, np.arange(end - first + 1) * np.int64(len(h)))
+            for i in np.flatnonzero(np.diff(edge)).tolist():
+                missed[first + i] = h[pairs[edge[i] : edge[i + 1]] - i * len(h)].view(np.int64)
+                times[first + i] = n[edge[i] : edge[i + 1]]
+    return out, missed, times
+
+
+def scored(docs: DataFrame, model: DataFrame, text: str, lang: str, most: int = HEAD) -> DataFrame:
     """docs without the text, with `__wl_sum` (log probability of all bytes under the language's model), `__wl_letters` and the base counts.
 
-    Each slice of the model is one pass over the texts in a chain; the last pass also counts, and drops the text.
+    docs has the texts' keys as __wl_k1, __wl_k2. A gram that the model does not have counts as its least probable one.
     """
-    sc = docs.sparkSession.sparkContext
-    docs = docs.withColumn("__wl_sum", F.lit(0.0))
-
-    def passed(shared, last: bool):
-        def run(batches):
-            for batch in batches:
-                for i in range(0, len(batch), ROWS):
-                    part = batch.slice(i, ROWS)
-                    column = part.column(part.schema.get_field_index(text))
-                    total = np.asarray(part.column(part.schema.get_field_index("__wl_sum"))) + _sums(part.column(part.schema.get_field_index(lang)).to_pylist(), column, shared.value)
-                    cols = {c: part.column(c) if c != "__wl_sum" else pa.array(total) for c in part.schema.names if not (last and c == text)}
-                    if last:
-                        data, at = utf8(column)
-                        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-                        got = zip(*(base_counts(t.as_py()) for t in column), strict=True)
-                        cols |= {c: pa.array(x, pa.int64()) for c, x in zip(COUNTS, got, strict=True)} | {"__wl_letters": pa.array(letters[at[1:]] - letters[at[:-1]], pa.int64())}
-                    yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-        return run
-
-    done = docs.drop(text).withColumns({c: F.lit(0).cast("long") for c in (*COUNTS, "__wl_letters")}).schema
-    slices = _sorted_arrays(model)
-    now = next(slices)
-    for after in slices:
-        docs, now = docs.mapInArrow(passed(sc.broadcast(now), False), docs.schema), after
-    return docs.mapInArrow(passed(sc.broadcast(now), True), done)
+    table = hashed(model)
+    head, tail = head_and_tail(table, most)
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                column = part.column(part.schema.get_field_index(text))
+                total, missed, times = _sums(part.column(part.schema.get_field_index(lang)).to_pylist(), column, shared.value)
+                cols = {c: part.column(c) for c in part.schema.names if c != text}
+                cols |= {"__wl_sum": pa.array(total), "__wl_missed": pa.array(missed, pa.list_(pa.int64())), "__wl_times": pa.array(times, pa.list_(pa.int64()))}
+                data, at = utf8(column)
+                letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+                got = zip(*(base_counts(t.as_py()) for t in column), strict=True)
+                cols |= {c: pa.array(x, pa.int64()) for c, x in zip(COUNTS, got, strict=True)} | {"__wl_letters": pa.array(letters[at[1:]] - letters[at[:-1]], pa.int64())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    numbers = F.expr("cast(array() as array<bigint>)")
+    schema = docs.drop(text).withColumns({"__wl_sum": F.lit(0.0), "__wl_missed": numbers, "__wl_times": numbers} | {c: F.lit(0).cast("long") for c in (*COUNTS, "__wl_letters")}).schema
+    out = stored(docs.mapInArrow(run, schema), "scored")
+    done = out.drop("__wl_missed", "__wl_times")
+    if tail is None and not out.where(F.size("__wl_missed") > 0).limit(1).count():
+        return done
+    key = [lang, "__wl_k1", "__wl_k2"]
+    rare = out.select(*key, F.inline(F.arrays_zip(F.col("__wl_missed").alias("h"), F.col("__wl_times").alias("n")))).groupBy(*key, "h").agg(F.max("n").alias("n"))  # copies once
+    floor = table.agg(F.min("logp")).first()[0] or 0.0
+    rest = (table if tail is None else tail).select("h", "logp")
+    sums = stored(rare.join(rest, "h", "left").groupBy(*key).agg(F.sum(F.col("n") * F.coalesce("logp", F.lit(floor))).alias("__wl_rare")), "rare")
+    return done.join(sums, key, "left").withColumn("__wl_sum", F.col("__wl_sum") + F.coalesce("__wl_rare", F.lit(0.0))).drop("__wl_rare")
 
 
 def _median(value: Column) -> Column:
@@ -207,7 +220,7 @@ def _median(value: Column) -> Column:
     return (F.percentile_approx(value, 0.5, 10_000) - F.percentile_approx(-value, 0.5, 10_000)) / 2
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper: float = 5.0, lower: float = 20.0) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper: float = 5.0, lower: float = 20.0, most: int = HEAD) -> DataFrame:
     """docs without the text, with the base counts, base_failed, perplexity, band_low, band_high and kept.
 
     Words are runs of other bytes than space and \\t to \\r. base_failed: under 10 words, or over 20 % of the words in
@@ -222,7 +235,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", upper
     docs = docs.select(*names).withColumn("__wl_lang", F.coalesce(F.col(lang), F.lit("")))
     model = kneser_ney(stored(docs.select(text, "__wl_lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts"))
     k1, k2 = text_key(F.col(text))
-    out = stored(scored(docs.withColumns({"__wl_k1": k1, "__wl_k2": k2}), model, text, "__wl_lang"), "scored")
+    out = scored(docs.withColumns({"__wl_k1": k1, "__wl_k2": k2}), model, text, "__wl_lang", most)
     out = out.withColumn("__wl_log", F.when(F.col("__wl_letters") > 0, -F.col("__wl_sum") / F.col("__wl_letters")))
     small = _hint(out, "__wl_lang")
     distinct = stored(out.groupBy("__wl_lang", "__wl_k1", "__wl_k2").agg(F.max("__wl_log").alias("__wl_log")).select("__wl_lang", "__wl_log"), "texts")  # copies have equal sums
