@@ -47,7 +47,7 @@ def shingles(words, n=5):
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
+@pytest.mark.parametrize("hot", [50_000, 3])
 def test_suffix_dedup(docs, hot):
     for length in (200, 70):
         out = suffix_dedup.remove_repeats(docs.select("doc_id", "text", "kept"), length=length, hot=hot).collect()
@@ -145,6 +145,29 @@ def test_equal_bytes_and_hot_key(spark):
     assert len(got) == 16 and got["count"].max() - got["count"].min() <= 2
 
 
+def test_small_groups_stay_whole(spark):
+    sizes = [1, 2, 3, 7, 40, 200] * 30
+    rows = [(t, i, 1 + t % 3) for t, n in enumerate(sizes) for i in range(n)]
+    frame = spark.createDataFrame(rows, "t long, i long, size long").select("*", F.xxhash64("t").alias("h"), F.xxhash64("t", "i").alias("b")).repartition(3)
+    total = sum(r[2] for r in rows)
+    for shards, sub in ((8, 10**6), (8, 100), (3, 500)):
+        got = histogram_shards.shard(frame, [F.col("h"), F.col("b")], F.col("size"), shards, sub_rows=sub).toPandas()
+        share = histogram_shards.GROUP_SHARE * total / shards
+        per = got.groupby("t").agg(shards=("shard", "nunique"), bytes=("size", "sum"))
+        assert (per.shards[per.bytes <= share] == 1).all()
+        assert (got.groupby("shard")["size"].sum() - total / shards).abs().max() <= share + 3
+        for _, g in got.groupby("shard"):
+            assert sorted(g.slot) == list(range(len(g)))
+        by = got.sort_values(["shard", "slot"])
+        assert list(zip(by.h, by.b, strict=True)) == sorted(zip(got.h, got.b, strict=True))
+
+
+def test_three_hot_texts(spark):
+    frame = spark.createDataFrame([(t, i) for t in range(3) for i in range(2000)], "t long, i long")
+    got = histogram_shards.shard(frame, [F.xxhash64("t"), F.xxhash64("t", "i")], F.lit(10), 4, tolerance=0.0).toPandas()
+    assert sorted(got.groupby("shard").size()) == [1500] * 4
+
+
 def test_slots_of_neighbouring_ties():
     for first in (list(range(6)), [3, 3, 3, 9, 9, 9], [-5] * 32 + [8] * 32, [1, 1, 2, 2, 3, 3], [-7] * 7 + [0] * 9 + [4] * 32):
         probes = np.array([(a, 10 * i) for i, a in enumerate(first)], histogram_shards.KEY)

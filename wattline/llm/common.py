@@ -16,22 +16,42 @@ SHINGLE, SIMILAR = 5, 0.8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share, with a part of its own for this application.
+
+    Where none is configured, a temporary one will do if driver and executors are one process; on a cluster it would lose data.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-wattline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-wattline-"))
+    return f"{at.rstrip('/')}/wattline-{spark.sparkContext.applicationId}"
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BUCKET_BYTES, MOST_BUCKETS = 1 << 25, 100_000  # of one bucket; the number that Spark allows
+
+
+def bucketed(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """df stored in the shared folder in buckets of `key`: joins on it need no exchange of df. size: its bytes, about."""
+    spark = df.sparkSession
+    n = min(MOST_BUCKETS, size // BUCKET_BYTES + 1)
+    table = f"wattline_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def broadcast_rows(df: DataFrame, most: int) -> DataFrame:
     """A broadcast hint for a stored table of at most `most` rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

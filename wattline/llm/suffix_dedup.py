@@ -2,11 +2,12 @@
 
 Every string of `length` bytes that starts at two places is found, and all bytes it covers are removed.
 
-1. Anchors. Of each `length`-byte window the k-gram with the least hash is its anchor (ties: the
+1. Blocks. Texts are packed into blocks of about half a megabyte and stored once, bucketed by block, so that
+   what later steps find for a block meets its texts again without another exchange of text.
+2. Anchors. Of each `length`-byte window the k-gram with the least hash is its anchor (ties: the
    leftmost). Equal windows have the same anchor at the same offset, so it is enough to compare
-   windows whose anchors are equal k-grams. About one position in 80 is an anchor.
-2. Anchors are counted (one aggregation of 64-bit hashes); a bit table of those that occur twice
-   goes to all tasks. Its size has a fixed upper bound; when it gets full it only filters less.
+   windows whose anchors are equal k-grams. About one position in 80 is an anchor. Blocks learn by
+   joins of 64-bit hashes which of their anchors occur twice.
 3. The surroundings of repeated anchors are shuffled by anchor and suffix-sorted twice: the
    suffixes from the anchor on, and the reversed prefixes before it. Deep-shallow sorting does
    both: a multikey quicksort on eight-byte keys to a shallow depth, for all buckets of a chunk
@@ -14,27 +15,32 @@ Every string of `length` bytes that starts at two places is found, and all bytes
 4. A window that reaches l bytes before the anchor is repeated if another row is in the same run
    of prefixes with a common part >= l and in the same run of suffixes with one >= length - l.
 
-Anchors with more than `hot` occurrences (no bound on their number in one task otherwise) are
-judged by counting the 128-bit hashes of their windows instead, an aggregation that Spark
-combines before it shuffles.
+A group of more than `hot` surroundings is split by more of its bytes before it is sorted: windows that
+reach at least a and at most b bytes before the anchor all hold the a bytes before it and the length - k - b
+after it, so the two halves of the range of reaches are two groups with longer keys each. Splitting
+goes on until groups are small or a range is one window, whose rows only have to be counted. All of
+that are aggregations and joins of Spark; no task holds more than `hot` surroundings of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
-from wattline.llm.common import byte_table, mixed, stored, text_key, utf8
+from wattline.llm.common import bucketed, byte_table, mixed, stored, utf8
 
 GRAM = 32
 SHALLOW = 6  # words of eight bytes
-PIECE = 1 << 19  # bytes hashed at a time; positions in a piece fit 20 bits
+PIECE = 1 << 19  # bytes hashed at a time, and of a block; positions in a piece fit 20 bits
 CHUNK = 20_000  # rows sorted at a time
-MAX_BITS = 30  # of the bit table's size: 128 MB
+HOT = 50_000  # surroundings of a group sorted in one task; larger groups are split first
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -93,51 +99,74 @@ def anchors(piece, length: int):
     return h[p], rows[starts[first]], offs[p], p, starts[first], starts[last]
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows packed into blocks of about PIECE bytes of text: block (a hash of its texts and their order), rows.
+
+    The same input gives the same blocks, so that a task may run again. Two blocks with the same texts share
+    their number, and everything that is found for it holds for both.
+    """
     for batch in batches:
-        found = [x[0] for piece in pieces(*utf8(batch.column(0)), length) if (x := anchors(piece, length))]
-        if found:
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        column = batch.column(batch.schema.get_field_index(text))
+        size = np.diff(utf8(column)[1])
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // PIECE)) + 1
+        edges = [0, *cut.tolist(), len(batch)]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if first == end:
+                continue
+            part = batch.slice(first, end - first)
+            name = xxhash.xxh3_64()
+            data, at = utf8(part.column(part.schema.get_field_index(text)))
+            name.update(at.tobytes())
+            name.update(data.tobytes())
+            rows = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+            rows = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([pa.array([name.intdigest() - 2**63]), rows], names=["block", "rows"])
 
 
-FOUND = "h long, k1 long, k2 long, p int, off int, n int, ctx binary"
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of the batch, bytes, bounds) of each block: column 1 holds its texts."""
+    for i, texts in enumerate(batch.column(1)):
+        yield i, *utf8(texts.values)
 
 
-def _contexts(batches, length: int, table, hot) -> Iterator[pa.RecordBatch]:
-    """Surroundings of repeated anchors, once for each batch. Rows without ctx are covered spans (p, p + n) already certain.
+def _anchor_counts(batches, length: int) -> Iterator[pa.RecordBatch]:
+    """(h, block, n): how often each anchor occurs in each block."""
+    for batch in batches:
+        for i, data, at in _texts(batch):
+            found = [x[0] for piece in pieces(data, at, length) if (x := anchors(piece, length))]
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), batch.column(0)[i].as_py())), pa.array(n)], names=["h", "block", "n"])
 
-    Equal surroundings within a batch prove each other repeated at once; one row of them goes on, to be compared with others.
-    """
-    bits, hot = table.value, hot.value
-    mask = np.uint64(len(bits) * 8 - 1)
+
+#: g: group; least, most: the range of reaches it is about; off: bytes before the anchor; places: rows and starts in the block
+FOUND = "g long, least int, most int, off int, n long, block long, places binary, ctx binary"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("g", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("off", pa.int32()), ("n", pa.int64()), ("block", pa.int64()), ("places", pa.binary()), ("ctx", pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def _contexts(batches, length: int) -> Iterator[pa.RecordBatch]:
+    """Surroundings of each block's repeated anchors (column 2); equal ones are one row with all their places."""
     for batch in batches:
-        data, at = utf8(batch.column(0))
-        k1, k2 = (np.asarray(batch.column(i)) for i in (1, 2))
-        seen: dict[tuple, list[int]] = {}
-        sure: set[tuple] = set()
-        for piece in pieces(data, at, length):
-            if not (x := anchors(piece, length)):
-                continue
-            h, row, off, p, lo, hi = x
-            b = h & mask
-            keep = ((bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            if len(hot):
-                keep &= ~np.isin(h, hot)
-            raw = piece[0].tobytes()
-            for hh, r, o, pp, a, z in zip(*(v[keep].tolist() for v in (h.view(np.int64), row, off, p, lo, hi)), strict=True):
-                key = (hh, pp - a, raw[a : z + length])
-                me = (r, o)
-                if (had := seen.get(key)) is None:
-                    seen[key] = [me, 1]
-                else:
-                    n = had[1] = 2
-                    for r2, o2 in {had[0], me}:
-                        sure.add((r2, o2 - key[1], len(key[2])))
-        out = [(h, k1[r], k2[r], o, d, n, c) for (h, d, c), ((r, o), n) in seen.items()] + [(None, k1[r], k2[r], s, None, n, None) for r, s, n in sure]
-        for i in range(0, len(out), 50_000):
-            h, a, b, p, o, n, c = zip(*out[i : i + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.int32()), pa.array(o, pa.int32()), pa.array(n, pa.int32()), pa.array(c, pa.binary())], names=["h", "k1", "k2", "p", "off", "n", "ctx"])
+        for i, data, at in _texts(batch):
+            wanted = np.sort(np.asarray(batch.column(2)[i].values)).view(np.uint64)
+            wanted.sort()
+            block = batch.column(0)[i].as_py()
+            seen: dict[tuple, list[int]] = {}
+            for piece in pieces(data, at, length):
+                if not (x := anchors(piece, length)):
+                    continue
+                h, row, off, p, lo, hi = x
+                keep = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                raw = piece[0].tobytes()
+                for hh, r, o, pp, a, z in zip(*(v[keep].tolist() for v in (h.view(np.int64), row, off, p, lo, hi)), strict=True):
+                    seen.setdefault((hh, pp - a, raw[a : z + length]), []).append(r << 32 | o)
+            out = [(h, 0, length - GRAM, d, len(where), block, np.array(where, np.int64).tobytes(), c) for (h, d, c), where in seen.items()]
+            for k in range(0, len(out), CHUNK):
+                yield _found(out[k : k + CHUNK])
 
 
 def blind_trie(strings: list[bytes]) -> list[int]:
@@ -224,24 +253,37 @@ def _runs(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     return run
 
 
+def _spans(block, places, off, first, last, length: int) -> pa.RecordBatch:
+    """Covered spans: of row i of the arguments all windows that reach first[i] to last[i] bytes before the anchor."""
+    where = [np.frombuffer(x, np.int64) for x in places]
+    times = np.fromiter(map(len, where), np.int64, len(where))
+    place = np.concatenate(where) if where else np.zeros(0, np.int64)
+    p, row = place & 0xFFFFFFFF, place >> 32
+    s, e = p - np.repeat(last, times), p - np.repeat(first, times) + length
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(block, times)), pa.array(row), pa.array(s << 32 | e)], names=["block", "row", "span"])
+
+
+SPANS = "block long, row long, span long"
+
+
 def _judge(rows: pa.Table, length: int) -> pa.RecordBatch:
-    """Covered spans of every row of whole anchor groups."""
-    h, k1, k2, p, off, n = (np.asarray(rows.column(c)) for c in ("h", "k1", "k2", "p", "off", "n"))
-    ctx = rows.column("ctx").to_pylist()
+    """Covered spans of every row of whole groups."""
+    g, low, high, off, n, block = (np.asarray(rows.column(c)) for c in ("g", "least", "most", "off", "n", "block"))
+    ctx, places = rows.column("ctx").to_pylist(), rows.column("places").to_pylist()
     index: dict[tuple, int] = {}
-    mine = np.fromiter((index.setdefault(x, len(index)) for x in zip(h.tolist(), off.tolist(), ctx, strict=True)), np.int64, len(ctx))
+    mine = np.fromiter((index.setdefault(x, len(index)) for x in zip(g.tolist(), low.tolist(), high.tolist(), off.tolist(), ctx, strict=True)), np.int64, len(ctx))
     m = len(index)
-    count = np.bincount(mine, weights=n, minlength=m) >= 2
-    group, before, text = np.array([x[0] for x in index]), np.array([x[1] for x in index]), [x[2] for x in index]
-    most = before
-    least = np.array([length - len(t) for t in text]) + before  # windows reach from `least` to `most` bytes before the anchor
+    count = np.bincount(mine, weights=n, minlength=m) >= 2  # equal rows are sorted once
+    group, before, text = np.array([x[0] for x in index]), np.array([x[3] for x in index]), [x[4] for x in index]
+    least = np.maximum(np.array([length - len(t) for t in text]) + before, [x[1] for x in index])  # windows reach from `least` to `most` bytes before the anchor
+    most = np.minimum(before, [x[2] for x in index])
     hit = np.zeros((m, length - GRAM + 2), bool)
     _, inverse, per = np.unique(group, return_inverse=True, return_counts=True)
     some = np.flatnonzero(per[inverse] > 1)
     if len(some):
-        g = group[some]
-        right = deep_shallow(g, [text[i][before[i] :] for i in some.tolist()])
-        left = deep_shallow(g, [text[i][: before[i]][::-1] for i in some.tolist()])
+        own = group[some]
+        right = deep_shallow(own, [text[i][before[i] :] for i in some.tolist()])
+        left = deep_shallow(own, [text[i][: before[i]][::-1] for i in some.tolist()])
         for reach in range(int(least[some].min()), int(most[some].max()) + 1):
             own = np.flatnonzero((least[some] <= reach) & (reach <= most[some]))
             both = _runs(*left, reach)[own] * np.int64(len(some) + 1) + _runs(*right, length - reach)[own]
@@ -250,32 +292,26 @@ def _judge(rows: pa.Table, length: int) -> pa.RecordBatch:
     reach = np.arange(hit.shape[1] - 1)
     hit[:, :-1] |= count[:, None] & (least[:, None] <= reach) & (reach <= most[:, None])
     edge = np.diff(hit.astype(np.int8), axis=1, prepend=0)
-    c, lo = np.nonzero(edge == 1)
-    hi = np.nonzero(edge == -1)[1] - 1
-    # spans of context c start `hi` bytes before the anchor and end at length - lo after it
-    by, first = np.argsort(c, kind="stable"), np.searchsorted(c, np.arange(m + 1))
-    times = np.diff(first)[mine]
+    c, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    # each run of reaches of a context, for each row with that context
+    by, start = np.argsort(c, kind="stable"), np.searchsorted(c, np.arange(m + 1))
+    times = np.diff(start)[mine]
     row = np.repeat(np.arange(len(mine)), times)
-    span = by[first[mine][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)]
-    s, e = p[row] - hi[span], p[row] - lo[span] + length
-    return pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(s.astype(np.int64) << 32 | e)], names=["k1", "k2", "span"])
+    run = by[start[mine][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)]
+    return _spans(block[row], [places[i] for i in row.tolist()], off[row], first[run], last[run], length)
 
 
 def _sorted_groups(batches, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by h. Whole anchor groups are judged together, about CHUNK rows at a time."""
+    """Rows come sorted by g. Whole groups are judged together, about CHUNK rows at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        sure = batch.filter(batch.column("h").is_null())
-        if len(sure):
-            s = np.asarray(sure.column("p")).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([sure.column("k1"), sure.column("k2"), pa.array(s << 32 | s + np.asarray(sure.column("n")))], names=["k1", "k2", "span"])
-            batch = batch.filter(batch.column("h").is_valid())
         for i in range(0, len(batch), CHUNK):
             held.append(batch.slice(i, CHUNK))
             if sum(map(len, held)) >= CHUNK:
                 rows = pa.Table.from_batches(held).combine_chunks()
-                h = np.asarray(rows.column("h"))
-                cut = int(np.searchsorted(h, h[-1]))
+                g = np.asarray(rows.column("g"))
+                cut = int(np.searchsorted(g, g[-1]))
                 held = rows.slice(cut).to_batches()
                 if cut:
                     yield _judge(rows.slice(0, cut), length)
@@ -283,58 +319,69 @@ def _sorted_groups(batches, length: int) -> Iterator[pa.RecordBatch]:
         yield _judge(pa.Table.from_batches(held).combine_chunks(), length)
 
 
-WINDOWS = "w1 long, w2 long, n int, k1 long, k2 long, s int"
+def _certain(batches, length: int) -> Iterator[pa.RecordBatch]:
+    """Covered spans of rows all of whose windows are repeated."""
+    for batch in batches:
+        low, high, off, block = (np.asarray(batch.column(batch.schema.get_field_index(c))).astype(np.int64) for c in ("least", "most", "off", "block"))
+        ctx = batch.column(batch.schema.get_field_index("size"))
+        first, last = np.maximum(low, length - np.asarray(ctx) + off), np.minimum(high, off)
+        ok = np.flatnonzero(first <= last)
+        places = batch.column(batch.schema.get_field_index("places")).take(pa.array(ok)).to_pylist()
+        yield _spans(block[ok], places, off[ok], first[ok], last[ok], length)
 
 
-def _hot_windows(batches, length: int, hot) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows of hot anchors, one row for each key, start and batch."""
-    tables, p = (byte_table(21), byte_table(22)), 0x9E3779B97F4A7C15
-    power = np.array([pow(p, length - 1 - i, 2**64) for i in range(length)], np.uint64)
-    for batch in batches:
-        data, at = utf8(batch.column(0))
-        k1, k2 = (np.asarray(batch.column(i)) for i in (1, 2))
-        rows: dict[tuple, list] = {}
-        for piece in pieces(data, at, length):
-            if not (x := anchors(piece, length)):
-                continue
-            h, row, _, _, lo, hi = x
-            for i in np.flatnonzero(np.isin(h, hot.value)).tolist():
-                seen = np.lib.stride_tricks.sliding_window_view(piece[0][lo[i] : hi[i] + length], length)
-                w = [mixed((t[seen] * power).sum(1)).view(np.int64).tolist() for t in tables]
-                for j, (a, b) in enumerate(zip(*w, strict=True)):
-                    key = (a, b, int(k1[row[i]]), int(k2[row[i]]), int(piece[2][lo[i]]) + j)
-                    rows[key] = rows.get(key, 0) + 1
-        if rows:
-            a, b, c, d, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(rows.values()), pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32())], names=["w1", "w2", "n", "k1", "k2", "s"])
-
-
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200, hot: int = 100_000) -> DataFrame:
-    """(k1, k2, spans): for each content key (see text_key) the byte spans, start << 32 | end, covered by repeats."""
-    spark = docs.sparkSession
-    k1, k2 = text_key(F.col(text))
-    long = docs.where(F.octet_length(text) >= length)
-    counted = long.select(text).mapInArrow(lambda it: _count_anchors(it, length), "h long, n long")
-    twice = stored(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
-    total = twice.count()
-    bits = 1 << min(MAX_BITS, max(16, (16 * total).bit_length()))
-    byte = F.shiftright(F.col("h").bitwiseAND(bits - 1), 3)
-    words = twice.groupBy(byte.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("h").bitwiseAND(7).cast("int"))).alias("bits"))
-    table = np.zeros(bits >> 3, np.uint8)
-    for batch in words.select(F.col("at").cast("int"), F.col("bits").cast("int")).toArrow().to_batches():
-        table[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).astype(np.uint8)
-    heavy = np.array([r.h for r in twice.where(F.col("n") > hot).select("h").limit(2**20).collect()], np.int64).view(np.uint64)
-    table, big = (spark.sparkContext.broadcast(x) for x in (table, heavy))
-    keyed = long.select(text, k1.alias("k1"), k2.alias("k2"))
-    found = keyed.mapInArrow(lambda it: _contexts(it, length, table, big), FOUND)
-    dealt = found.repartition(F.coalesce("h", F.xxhash64("k1", "p"))).sortWithinPartitions(F.col("h").asc_nulls_first())
-    spans = dealt.mapInArrow(lambda it: _sorted_groups(it, length), "k1 long, k2 long, span long")
-    if len(heavy):
-        windows = stored(keyed.mapInArrow(lambda it: _hot_windows(it, length, big), WINDOWS), "windows")
-        again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-        start = F.col("s").cast("long")
-        spans = spans.union(windows.join(again, ["w1", "w2"], "left_semi").select("k1", "k2", F.shiftleft(start, 32).bitwiseOR(start + length)))
-    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+def split_hot(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows of groups of at most `hot`, frames of spans that are already certain).
+
+    Equal surroundings of a larger group repeat each other and are counted; one of each goes on, without
+    places. What is left of the group is halved by the range of its reaches, with a longer key.
+    """
+    small, sure = [], []
+    while True:
+        large = stored(rows.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("g"), "hot")
+        if not large.limit(1).count():
+            return reduce(DataFrame.unionByName, small, rows), sure
+        small.append(rows.join(large, "g", "left_anti").select(rows.columns))
+        big = rows.join(large, "g", "left_semi").select(*rows.columns, F.xxhash64("ctx").alias("x1"), F.xxhash64(F.lit("second"), "ctx").alias("x2"))
+        big = stored(big, "large")
+        same = ["g", "off", "x1", "x2"]
+        times = stored(big.groupBy(*same).agg(F.sum("n").alias("total"), F.count("*").alias("copies"), F.min(F.struct("block", "places")).alias("one")), "equal")
+        again = big.join(times.where("total > 1").select(*same), same, "left_semi")
+        sure.append(again.select("least", "most", "off", "block", "places", F.octet_length("ctx").alias("size")).mapInArrow(lambda it: _certain(it, length), SPANS))
+        distinct = big.join(times.select(*same, "total", "one"), same).where("block = one.block and places = one.places").dropDuplicates(same)
+        distinct = distinct.select("g", "least", "most", "off", F.least("total", F.lit(2).cast("long")).alias("n"), "block", F.when(F.col("total") > 1, F.lit(b"")).otherwise(F.col("places")).alias("places"), "ctx")
+        middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("least").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("most").alias("b")))
+        parts = distinct.where("least < most").select("*", F.explode(halves).alias("r"))
+        # windows of this range need r.a bytes before the anchor, and so many after it; where there are fewer, it has none
+        after = length - F.col("r.b")
+        parts = parts.where((F.col("off") >= F.col("r.a")) & (F.octet_length("ctx") - F.col("off") >= after))
+        key = F.xxhash64("g", "r.a", F.substring(F.col("ctx"), F.col("off") - F.col("r.a") + 1, F.col("r.a") + after))
+        parts = parts.select(key.alias("g"), F.col("r.a").alias("least"), F.col("r.b").alias("most"), "off", "n", "block", "places", "ctx")
+        single = distinct.where("least = most")  # one window, which is the key: the rows of a group repeat each other
+        sure.append(single.where("octet_length(places) > 0").select("least", "most", "off", "block", "places", F.octet_length("ctx").alias("size")).mapInArrow(lambda it: _certain(it, length), SPANS))
+        rows = stored(parts, "halves")
+
+
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(block, rows) of docs, stored in buckets of blocks."""
+    schema = docs.limit(0).select(F.lit(0).cast("long").alias("block"), F.array(F.struct(*docs.columns)).alias("rows")).schema
+    schema["rows"].dataType = ArrayType(docs.schema, True)
+    total = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return bucketed(docs.mapInArrow(lambda it: _blocks(it, text), schema), "block", total, "blocks")
+
+
+def repeated_spans(blocks: DataFrame, text: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
+    """(block, spans): for each block the byte spans covered by repeats, as (row, start << 32 | end)."""
+    texts = blocks.select("block", F.col("rows").getField(text).alias("texts"))
+    counted = stored(texts.mapInArrow(lambda it: _anchor_counts(it, length), "h long, block long, n long"), "anchors")
+    twice = counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    wanted = counted.join(twice, "h", "left_semi").groupBy("block").agg(F.collect_set("h").alias("hs"))
+    found = texts.join(wanted, "block").mapInArrow(lambda it: _contexts(it, length), FOUND)
+    small, sure = split_hot(stored(found, "contexts"), length, hot)
+    judged = small.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _sorted_groups(it, length), SPANS)
+    spans = reduce(DataFrame.unionByName, sure, judged)
+    return spans.groupBy("block").agg(F.collect_set(F.struct("row", "span")).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -358,37 +405,41 @@ def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, hot: int = 100_000, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, hot: int = HOT, characters: bool = False) -> DataFrame:
     """docs with `kept` (binary, the bytes that remain) and `removed` (array of byte spans), for every row.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else, in the same
     text or another; all copies go. With `characters`, a character of several bytes goes only if all of
     them do, so that what is kept stays UTF-8. Null and empty texts keep nothing and lose nothing; texts under
-    `length` bytes stay whole. Repeated rows count as copies of each other. Input columns named
+    `length` bytes stay whole, very long ones are hashed in overlapping pieces. Repeated rows count as copies
+    of each other, so ties lose all copies alike. An empty table gives an empty one. Input columns named
     `kept` or `removed` are replaced; no other name can clash.
     """
-    k1, k2 = text_key(F.col(text))
-    names = [c for c in docs.columns if c not in ("kept", "removed")]
-    spans = repeated_spans(docs, text, length, hot).select(F.struct("k1", "k2").alias("__wl_key"), F.col("spans").alias("__wl_spans"))
-    keyed = docs.select(*names, F.struct(k1.alias("k1"), k2.alias("k2")).alias("__wl_key"))
-    joined = keyed.join(spans, "__wl_key", "left").drop("__wl_key")
+    docs = docs.select(*[c for c in docs.columns if c not in ("kept", "removed")])
+    blocks = packed(docs, text)
+    joined = blocks.join(repeated_spans(blocks, text, length, hot), "block", "left").select("rows", "spans")
 
     def cut(batches):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            spans, texts = batch.column(batch.num_columns - 1), batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-            kept, removed = [], []
-            for t, s in zip(texts, spans, strict=True):
-                runs = merged(np.asarray(s.values)) if s.is_valid else []
-                t = t.as_py() or b""
-                if characters:
-                    runs = [r for a, b in runs if (r := whole_characters(t, a, b))[0] < r[1]]
-                edges = [0, *(x for r in runs for x in r), len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else t)
-                removed.append([{"start": a, "end": b} for a, b in runs])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*batch.schema.names[:-1], "kept", "removed"])
-
-    schema = joined.drop("__wl_spans").withColumns({"kept": F.lit(b""), "removed": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")}).schema
+            for rows, found in zip(batch.column(0), batch.column(1), strict=True):
+                rows = rows.values
+                own: dict[int, list[int]] = {}
+                for x in found.as_py() or []:
+                    own.setdefault(x["row"], []).append(x["span"])
+                kept, removed = [], []
+                for i, t in enumerate(rows.field(text).cast(pa.binary())):
+                    runs = merged(np.array(own[i])) if i in own else []
+                    t = t.as_py() or b""
+                    if characters:
+                        runs = [r for a, b in runs if (r := whole_characters(t, a, b))[0] < r[1]]
+                    edges = [0, *(x for r in runs for x in r), len(t)]
+                    kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else t)
+                    removed.append([{"start": a, "end": b} for a, b in runs])
+                names = [f.name for f in rows.type]
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*names, "kept", "removed"])
+
+    schema = docs.withColumns({"kept": F.lit(b""), "removed": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")}).schema
     return joined.mapInArrow(cut, schema)
 
 
