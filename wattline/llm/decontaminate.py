@@ -3,10 +3,12 @@
 Only DataFrame and SQL functions. Documents are partitioned by the number of their distinct shingles; a
 partition of sizes up to 2**k hashes by one permutation into 2**(k + extra) bins and keeps the least
 value of each bin. An item's shingle that is contained in a document is its bin's minimum in the
-document with a known probability, which depends on the number of bins for each shingle alone;
-`extra` is chosen so that an item of the least size and the least containment still shares a
-minimum with the chance `recall`. Sketches of documents and items meet in one join on those
-values; pairs found are verified by counting the item's shingles in the whole document.
+document with a known probability, which depends on the number of bins for each shingle alone.
+Items are partitioned by size too: `extra` is chosen for each size so that the least containment still shares a
+minimum with the chance `recall`. Bins are leading bits of a hash, so the sketches of all `extra` are nested, and one
+sketch of a document, with the largest `extra` in use, serves all sizes. Sketches of documents and items meet in one join
+on those values; pairs found are verified by counting the item's shingles in the whole document.
+An item of fewer words than a shingle is a shingle of its own, which only a text of just these words has: its sketch is exact.
 """
 
 from __future__ import annotations
@@ -46,26 +48,38 @@ def extra_bits(least: int, contained: float, recall: float) -> int:
     return 40
 
 
+def bin_minimum(k: Column, extra: Column) -> Column:
+    """Whether h is its bin's least value, among sorted hashes: it and the hash before it differ in their first k + extra bits."""
+    bits = F.least(k + extra, F.lit(63))
+    shift = (64 - bits).cast("int")
+    first = [F.call_function("shiftrightunsigned", F.col(c), shift) for c in ("h", "before")]
+    return F.col("before").isNull() | (bits > 0) & (first[0] != first[1])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", words: int = SHINGLE, contained: float = SIMILAR, recall: float = 1 - 1e-6) -> DataFrame:
     """(k1, k2, item_id, n_item, n_found): content keys of texts (see text_key) that hold at least `contained` of an item's distinct shingles.
 
-    Texts are compared as lower-case words without punctuation. Null or wordless texts and items match
-    nothing; an item under `words` words is one shingle, which only a text of the same words has.
-    Repeated items give repeated rows with their ids; repeated texts share a key.
+    Texts are compared as lower-case words without punctuation. Null, empty or wordless texts and items match
+    nothing; an item under `words` words is one shingle, which only a text of the same words has. Very long texts are
+    sketched whole. An exact share of `contained` counts as enough.
+    Repeated items give repeated rows with their ids; repeated texts share a key. An empty table on either side gives no
+    rows; other columns of both tables are not looked at.
     """
     k1, k2 = text_key(F.col(text))
     item = items.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("w"))
-    item = stored(item.select("item_id", shingle_set(F.col("w"), words).alias("s")).withColumn("n_item", F.size("s")), "items").where("n_item > 0")
-    least = item.agg(F.min("n_item")).first()[0]
-    empty = docs.select(k1.alias("k1"), k2.alias("k2")).limit(0).crossJoin(item.select("item_id", "n_item").limit(0)).withColumn("n_found", F.lit(0).cast("long"))
-    if least is None:
-        return empty
-    extra = extra_bits(least, contained, recall)
-    flat = item.select("item_id", "n_item", F.posexplode("s").alias("at", "h"), "s")
+    item = item.select("item_id", (F.size("w") < words).alias("short"), shingle_set(F.col("w"), words).alias("s")).withColumn("n_item", F.size("s")).where("n_item > 0")
+    by_shared = [extra_bits(i, 1.0, recall) for i in range(1, 65)]  # 64 shared shingles need no extra bins at any sensible recall
+    shared = F.ceil(F.col("n_item") * contained - 1e-9)
+    extra = F.when(F.col("short"), 0).otherwise(F.element_at(F.array(*map(F.lit, by_shared)), F.least(shared, F.lit(64)).cast("int")))
+    item = stored(item.withColumn("extra", extra), "items")
+    most = item.agg(F.max("extra")).first()[0]
+    if most is None:
+        return docs.select(k1.alias("k1"), k2.alias("k2")).limit(0).crossJoin(item.select("item_id", "n_item").limit(0)).withColumn("n_found", F.lit(0).cast("long"))
+    flat = item.select("item_id", "n_item", "extra", F.posexplode("s").alias("at", "h"), "s")
     # an item's shingle is its own bin's minimum from this partition on: bins of partition k are leading bits, nested
     before = F.when(F.col("at") > 0, F.element_at("s", F.col("at")))
-    same = F.when(before.isNull(), 0).otherwise(64 - F.length(F.bin(F.col("h").bitwiseXOR(before))))
-    index = stored(flat.select("item_id", "n_item", "h", F.greatest(same + 1 - extra, F.lit(0)).cast("int").alias("from_k")), "index")
+    same = F.when(before.isNull(), -1).otherwise(64 - F.length(F.bin(F.col("h").bitwiseXOR(before))))
+    index = stored(flat.select("item_id", "n_item", "extra", "h", F.greatest(same + 1 - F.col("extra"), F.lit(0)).cast("int").alias("from_k")), "index")
     source = docs.select(F.col(text).alias("t"), k1.alias("k1"), k2.alias("k2")).where(F.col("t").isNotNull())
     split = source.select("k1", "k2", words_of(F.col("t")).alias("w"))  # a column of its own: lambdas would split the text anew for each shingle
     sets = split.select("k1", "k2", shingle_set(F.col("w"), words).alias("s"))
@@ -73,10 +87,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_tex
     sets = sets.withColumn("k", F.coalesce(F.ceil(F.log2(F.greatest(F.size("s"), F.lit(1)))).cast("int"), F.lit(0)))
     shifted = F.concat(F.array(F.lit(None).cast("long")), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))))
     mins = sets.select("k1", "k2", "k", F.inline(F.arrays_zip(F.col("s").alias("h"), shifted.alias("before"))))
-    bits = F.least(F.col("k") + extra, F.lit(63))
-    apart = F.expr(f"shiftrightunsigned(h, 64 - least(k + {extra}, 63)) <> shiftrightunsigned(before, 64 - least(k + {extra}, 63))")
-    mins = mins.where(F.col("before").isNull() | (bits > 0) & apart).select("k1", "k2", "k", "h")
-    hits = mins.join(broadcast_rows(index, BROADCAST_ROWS), "h").where("k >= from_k")
+    mins = mins.where(bin_minimum(F.col("k"), F.lit(most)))
+    hits = mins.join(broadcast_rows(index, BROADCAST_ROWS), "h").where((F.col("k") >= F.col("from_k")) & bin_minimum(F.col("k"), F.col("extra")))
     pairs = stored(hits.select("k1", "k2", "item_id").distinct(), "pairs")
     # whole documents of the pairs, and the exact count of each item's shingles in them
     keys = pairs.select("k1", "k2").distinct()
@@ -88,7 +100,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_tex
 
 
 def without_items(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs without the rows whose text holds an item; all columns, repeated rows and null texts as they are."""
+    """docs without the rows whose text holds an item; all columns, repeated rows, null and empty texts as they are.
+
+    An empty table on either side changes nothing. Columns of any name stay.
+    """
     k1, k2 = text_key(docs[text])
     bad = stored(contaminated(docs, items, text, **options).select(F.col("k1").alias("__wl_k1"), F.col("k2").alias("__wl_k2")).distinct(), "bad")
     return docs.join(broadcast_rows(bad, BROADCAST_ROWS), [k1 == bad["__wl_k1"], k2 == bad["__wl_k2"]], "left_anti")
