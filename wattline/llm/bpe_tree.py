@@ -3,8 +3,8 @@
 The encodings of text segments form a monoid: the value of a segment is its list of pieces (the
 pattern's matches) with their ids, and two neighbours are joined by encoding a window around the
 seam again, growing it until what lies outside is provably unchanged. Segments are halved until
-they are small, so a long text is a balanced tree of joins; a long piece (an unbroken run of
-letters) is reduced in the same way, with tokens in place of pieces.
+they are a few lines long, so a text is a balanced tree of joins, and its value comes up to the root; a long
+piece (an unbroken run of letters) is reduced in the same way, with tokens in place of pieces.
 
 Why the windows suffice:
 - The pattern scans left to right without memory: from a place where a match began, the scan is
@@ -25,14 +25,15 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, functions as F
 
-LEAF = 1 << 13  # characters of a segment that is not halved
-PIECE = 128  # bytes of a piece that is not halved
+LEAF = 256  # characters of a segment that is not halved
+PIECE = 32  # bytes of a piece that is not halved
 CACHED = 1 << 18  # pieces remembered in a process
 
 
@@ -42,6 +43,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+Segment = tuple[list[str], list[tuple[int, ...]]]
+
+
 class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern)
@@ -87,14 +91,27 @@ class Coder:
 
     # -- segments of text --------------------------------------------------------------------
 
-    def split(self, text: str) -> list[str]:
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        ids = self.seen.get(piece)
+        if ids is None:
+            ids = tuple(self.run(piece.encode()))
+            if len(piece) <= 64:
+                if len(self.seen) >= CACHED:
+                    self.seen.clear()
+                self.seen[piece] = ids
+        return ids
+
+    def segment(self, text: str) -> Segment:
+        """The value of a text: its pieces, and the ids of each."""
         if len(text) <= LEAF:
-            return self.find.findall(text)
+            pieces = self.find.findall(text)
+            return pieces, list(map(self.ids_of, pieces))
         half = len(text) // 2
-        return self.join_pieces(self.split(text[:half]), self.split(text[half:]))
+        return self.joined(self.segment(text[:half]), self.segment(text[half:]))
 
-    def join_pieces(self, a: list[str], b: list[str]) -> list[str]:
-        """The matches of both texts together."""
+    def joined(self, left: Segment, right: Segment) -> Segment:
+        """The value of both texts together; only the pieces of the window are encoded again."""
+        (a, a_ids), (b, b_ids) = left, right
         back = reach = 0
         while back < len(a) and reach < 3:  # matches that end three characters or more before the seam stand
             back += 1
@@ -104,36 +121,32 @@ class Coder:
         head = "".join(a[len(a) - back :])
         width = 8
         while True:
-            right = b[:width]
             bounds, at = [], len(head)
-            for p in right:
+            for p in b[:width]:
                 at += len(p)
                 bounds.append(at)
-            seam = head + "".join(right)
+            seam, whole = head + "".join(b[:width]), width >= len(b)
             # matches near the end of the window may change with what follows, so a joint end must lie before it
-            out, last = [], len(seam) if width >= len(b) else len(seam) - 3
+            out, last, same = [], len(seam) if whole else len(seam) - 3, -1
             for m in self.find.finditer(seam):
                 out.append(m.group())
                 e = m.end()
                 k = bisect_left(bounds, e)
-                if e > len(head) and e <= last and k < len(bounds) and bounds[k] == e:
-                    return a[: len(a) - back] + out + b[k + 1 :]
-            if width >= len(b):
-                return a[: len(a) - back] + out
+                if len(head) < e <= last and k < len(bounds) and bounds[k] == e:
+                    same = k
+                    break
+            if same >= 0 or whole:
+                same = same if same >= 0 else len(b)
+                del a[len(a) - back :], a_ids[len(a_ids) - back :]
+                a += out
+                a_ids += map(self.ids_of, out)
+                a += b[same + 1 :]
+                a_ids += b_ids[same + 1 :]
+                return a, a_ids
             width *= 2
 
     def encode(self, text: str) -> list[int]:
-        seen, out = self.seen, []
-        for piece in self.split(text):
-            ids = seen.get(piece)
-            if ids is None:
-                ids = tuple(self.run(piece.encode()))
-                if len(piece) <= 64:
-                    if len(seen) >= CACHED:
-                        seen.clear()
-                    seen[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(self.segment(text)[1]))
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -164,7 +177,10 @@ def ship(sc: SparkContext, path: str) -> None:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with `ids` (array of int): the encoding of each whole text; null counts as empty. A column of that name is replaced."""
+    """docs with `ids` (array of int): the encoding of each whole text, however long; null and empty texts have none.
+
+    Repeated rows stay repeated, an empty table stays empty. A column named like `ids` is replaced, other names cannot clash.
+    """
     ship(docs.sparkSession.sparkContext, path)
     names = [c for c in docs.columns if c != ids]
     docs = docs.select(*names)
@@ -202,7 +218,9 @@ def decode_ids(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out:
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one pass.
 
-    The digests are made beside the ids, so that arrays of all ids need not travel between processes.
+    The digests are made beside the ids, so that arrays of all ids need not travel between processes. Null and empty
+    texts have no tokens and the digest of nothing; a very long text is a higher tree; repeated rows stay repeated, an empty table
+    stays empty. Columns with the names of results are replaced.
     """
     ship(docs.sparkSession.sparkContext, path)
     added = ("n_tokens", "ids_sha256", "decoded_sha256")
