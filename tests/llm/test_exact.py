@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.llm import bpe_tree, decontaminate, histogram_shards, jaccard_join, license_scan, nbsvm, perplexity, suffix_dedup, toxicity, word_pieces
+from wattline.llm import bpe_tree, decontaminate, histogram_shards, jaccard_join, license_scan, licenses, nbsvm, perplexity, suffix_dedup, toxicity, word_pieces
 from wattline.llm.common import components
 
 rng = random.Random(5)
@@ -24,7 +24,7 @@ def prose(n: int) -> str:
 
 PASSAGE, LONG = prose(70), prose(20_000)
 BASE = [prose(rng.randrange(5, 160)) for _ in range(40)]
-TEXTS = [None, "", " \n\t", "one", "one two three", "x" * 900, LONG, LONG, *BASE, *BASE[:6], *[b + PASSAGE for b in BASE[:5]], *[b.replace(b.split()[0], "zz", 1) for b in BASE[20:30]], "Released under the MIT License", "a a a a a a a a a a a a a a", None, ""]
+TEXTS = [None, "", " \n\t", "one", "one two three", "x" * 900, LONG, LONG, *BASE, *BASE[:6], *[b + PASSAGE for b in BASE[:5]], *[b.replace(b.split()[0], "zz", 1) for b in BASE[20:30]], "Released under the MIT License", licenses.TEMPLATES["MIT-text"] + PASSAGE, PASSAGE + licenses.TEMPLATES["BSD-2-Clause-text"].replace("SOFTWARE", "CODE"), "a a a a a a a a a a a a a a", None, ""]
 
 
 @pytest.fixture(scope="module")
@@ -186,7 +186,8 @@ def test_neighbouring_hot_texts(spark):
 
 
 def test_containment(docs, spark):
-    items = [(1, PASSAGE), (2, " ".join(BASE[3].split()[:30])), (3, "one two"), (4, None), (5, ""), (6, prose(40)), (6, PASSAGE)]
+    items = [(1, PASSAGE), (2, " ".join(BASE[3].split()[:30])), (3, "one two"), (4, None), (5, ""), (6, prose(40)), (6, PASSAGE), (7, "ONE, two three"), (8, "one")]
+    items += [(100 + n, " ".join(BASE[n % 40].split()[2 : 2 + n])) for n in range(5, 30)] + [(200 + n, " ".join(LONG.split()[5000 : 5000 + n])) for n in (5, 6, 8, 40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def toks(t):

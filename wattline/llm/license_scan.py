@@ -20,21 +20,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from wattline.llm.common import SHINGLE, SIMILAR, mixed
+from wattline.llm.licenses import TEMPLATES
 from wattline.llm.shingles import shingle_hashes
 
-#: Opening words of public licences and common rights lines, by SPDX identifier where there is one.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "rights": "All rights reserved",
-}
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -125,7 +113,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
 
     A template counts as present if at least `contained` of its word shingles (five words; all of its words for
     shorter ones) lie within one window; the place is that of its best window. Words are lower-case runs of letters
-    and digits. Null, empty and wordless texts have none. A column named licenses is replaced.
+    and digits. Null, empty and wordless texts have none; very long texts are scanned whole; of windows that hold equally many
+    shingles of a template the first is its place. Repeated rows stay repeated, an empty table stays empty. A column named
+    licenses is replaced.
     """
     templates = TEMPLATES if templates is None else templates
     docs = docs.select(*[c for c in docs.columns if c != "licenses"])
