@@ -100,6 +100,18 @@ def test_jaccard_join(docs, block):
     assert Counter(r.doc_id for r in kept) == Counter([*{min(v) for k, v in least.items() if own[k]}, *blank])
 
 
+def test_large_families_are_parted(spark):
+    """Chains of texts that share half of their words meet in bands by chance; links are those of all pairs."""
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words[i * 5 : i * 5 + 60]) for i in range(120)] + [" ".join(words[3000 + i : 3060 + i]) for i in range(60)]
+    own = [shingles(t.split()) for t in texts]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in own) - 1 for a in own]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (512, 10):
+        got = {r.doc_id: r.n_links for r in jaccard_join.classes(frame, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == links
+
+
 def test_null_ids_stay(docs):
     assert jaccard_join.classes(docs).count() == docs.count()
     assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} - {r.doc_id for r in docs.collect()} == set()

@@ -2,8 +2,10 @@
 
 Texts with the same set of shingles are one representative. Bands of MinHash values are shuffled
 by their hash; rows that meet in a band are joined to the band's least member (a star, not all
-pairs), so candidate families are connected components. Every pair inside a family is then
-decided on the full sets: the members' sets are sent to blocks of a bounded number of rows, each
+pairs), so candidate families are connected components. A family of more than one block may hang together by
+chance meetings: its members are banded again among themselves with twice the rows to a band (and as many more bands as
+keep the recall), which parts what is only loosely alike. Every pair inside a family is then
+decided on the full sets: the members' sets are sent to blocks of a bounded number of rows and bytes, each
 pair of blocks is one small task, and an inverted index inside it yields exact overlaps. Only
 counts and a spanning forest of the links leave a block, never all pairs.
 """
@@ -18,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattline.llm.common import SHINGLE, SIMILAR, components, mixed, stored, text_key
-from wattline.llm.shingles import set_keys, sets, shingle_hashes
+from wattline.llm.common import SHINGLE, SIMILAR, components, mixed, stored, text_key, utf8
+from wattline.llm.shingles import PIECE, set_keys, sets, shingle_hashes
 
 BLOCK = 512  # representatives compared in one task
+BLOCK_SHINGLES = 1 << 21  # of one block on the average: 16 MB
+STRICT = 12  # rows of a band within large families
 
 
 @dataclass(frozen=True)
@@ -88,6 +92,21 @@ def _bands(batches, words: int, bands: Bands) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64).ravel()), pa.array(np.repeat(s1[new], bands.count)), pa.array(np.repeat(s2[new], bands.count))], names=["band", "s1", "s2"])
 
 
+def _strict_bands(batches, bands: Bands) -> Iterator[pa.RecordBatch]:
+    """(root, band, s1, s2) of stored sets, about PIECE shingles at a time."""
+    for batch in batches:
+        data, at = utf8(batch.column(3))
+        at = at // 8
+        first = 0
+        while first < len(batch):
+            end = max(first + 1, int(np.searchsorted(at, at[first] + PIECE)) - 1)
+            h = data[at[first] * 8 : at[end] * 8].copy().view(np.uint64)
+            sig = _signatures(h, at[first : end + 1] - at[first], bands)
+            r, x, y = (np.repeat(np.asarray(batch.column(i))[first:end], bands.count) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(sig.view(np.int64).ravel()), pa.array(x), pa.array(y)], names=["root", "band", "s1", "s2"])
+            first = end
+
+
 def _arrays(batches, words: int) -> Iterator[pa.RecordBatch]:
     """Each set of a batch once, with its shingles."""
     for batch in batches:
@@ -190,6 +209,12 @@ def _decide(batches, similar: float) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _stars(banded: DataFrame, keys: list[str]) -> DataFrame:
+    """Each set with the least set of each of its bands, as pairs a, b."""
+    least = banded.groupBy(*keys).agg(F.min(F.struct("s1", "s2")).alias("b"), F.max(F.struct("s1", "s2")).alias("top")).where("b <> top").select(*keys, "b")
+    return stored(banded.join(least, keys).select(F.struct("s1", "s2").alias("a"), "b").where("a <> b").distinct(), "stars")
+
+
 def similar_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, similar: float = SIMILAR, recall: float = 1 - 1e-6, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, reps).
 
@@ -204,16 +229,28 @@ def similar_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     reps = stored(members.groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("size").alias("size")), "reps")
     bands = Bands.for_recall(similar, recall)
     banded = stored(source.select("t").mapInArrow(lambda it: _bands(it, words, bands), "band long, s1 long, s2 long"), "bands")
-    least = banded.groupBy("band").agg(F.min(F.struct("s1", "s2")).alias("b"), F.max(F.struct("s1", "s2")).alias("top")).where("b <> top").select("band", "b")
-    stars = stored(banded.join(least, "band").select(F.struct("s1", "s2").alias("a"), "b").where("a <> b").distinct(), "stars")
-    family = components(stars, "a", "b")
-    total = family.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    copies = reps.select(F.struct("s1", "s2").alias("node"), "copies")
-    deal = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    family = stored(family.join(total, "root").join(copies, "node").select(F.col("root.s1").alias("root"), "node.s1", "node.s2", "copies", deal.alias("blk"), "blocks"), "family")
-    holder = members.join(family, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-    full = source.join(holder, ["k1", "k2"], "left_semi").select("t").mapInArrow(lambda it: _arrays(it, words), "s1 long, s2 long, set binary")
-    full = full.join(family, ["s1", "s2"]).dropDuplicates(["s1", "s2"])
+
+    def whole(some: DataFrame) -> DataFrame:
+        """some (s1, s2 and more, once each) with the shingles of these sets."""
+        holder = members.join(some, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+        full = source.join(holder, ["k1", "k2"], "left_semi").select("t").mapInArrow(lambda it: _arrays(it, words), "s1 long, s2 long, set binary")
+        return full.join(some, ["s1", "s2"]).dropDuplicates(["s1", "s2"])
+
+    size = reps.select("s1", "s2", "copies", "size")
+    family = components(_stars(banded, ["band"]), "a", "b").select(F.col("root.s1").alias("root"), "node.s1", "node.s2")
+    crowd = stored(family.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > block).select("root"), "crowd")
+    if crowd.limit(1).count():
+        strict = Bands.for_recall(similar, recall, STRICT)
+        loose = whole(family.join(crowd, "root", "left_semi")).select("root", "s1", "s2", "set")
+        again = stored(loose.mapInArrow(lambda it: _strict_bands(it, strict), "root long, band long, s1 long, s2 long"), "strict")
+        parts = components(_stars(again, ["root", "band"]), "a", "b").select(F.col("root.s1").alias("root"), "node.s1", "node.s2")
+        family = stored(family.join(crowd, "root", "left_anti").select("root", "s1", "s2").union(parts), "families")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    family = stored(family.join(size, ["s1", "s2"]), "sized")
+    total = family.groupBy("root").agg(blocks.alias("blocks"))
+    deal = F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")
+    family = stored(family.join(total, "root").select("root", "s1", "s2", "copies", deal.alias("blk"), "blocks"), "family")
+    full = whole(family)
     sent = full.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o")).select(
         "root", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), (F.col("blk") > F.col("o")).cast("int").alias("side"), "s1", "s2", "set", (F.col("blk") != F.col("o")).alias("mixed"), "copies"
     )
@@ -233,7 +270,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     a class is what links connect. n_links counts the other rows linked with this one, n_copies
     those among them with the same set. Texts under `words` words are one shingle; null, empty and
     blank texts have no shingle: no links, each row its own class. Repeated rows are copies. A null
-    doc_id loses its class id only if all of the class are null.
+    doc_id loses its class id only if all of the class are null. Very long texts are compared whole; an empty
+    table gives no rows; other columns are not looked at.
     """
     members, reps = similar_links(docs, doc_id, text, words, similar, recall, block)
     named = reps.groupBy("root1", "root2").agg(F.min("first").alias("class_id"))
@@ -250,7 +288,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, similar: float = SIMILAR, recall: float = 1 - 1e-6, block: int = BLOCK) -> DataFrame:
     """docs with one row of each class: that with the least doc_id (nulls last), then the least text key.
 
-    Null, empty and blank texts all stay. Of rows equal in doc_id and text one stays.
+    Null, empty and blank texts all stay. Of rows equal in doc_id and text the one with the least other columns stays. Very long
+    texts are compared whole; an empty table stays empty. Columns of any other name stay as they are.
     """
     members, reps = similar_links(docs, doc_id, text, words, similar, recall, block)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
@@ -267,6 +306,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     kept = docs.join(goes, same(goes), "left_anti")
     twice = fate.where("__wl_stay and rows > 1").select("__wl_id", "__wl_k1", "__wl_k2")
     if twice.limit(1).count():  # rows equal in doc_id and text: one of them
-        extra = docs.join(twice, same(twice)).groupBy("__wl_id", "__wl_k1", "__wl_k2").agg(*[F.first(c).alias(c) for c in docs.columns])
-        kept = kept.unionByName(extra.select(*docs.columns))
+        sorts = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+        extra = docs.join(twice, same(twice)).groupBy("__wl_id", "__wl_k1", "__wl_k2").agg(F.min_by(F.struct(*docs.columns), F.struct(*sorts)).alias("__wl_row"))
+        kept = kept.unionByName(extra.select("__wl_row.*"))
     return kept
