@@ -42,14 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BUCKET_BYTES, MOST_BUCKETS = 1 << 25, 100_000  # of one bucket; the number that Spark allows
 
 
-def bucketed(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
-    """df stored in the shared folder in buckets of `key`: joins on it need no exchange of df. size: its bytes, about."""
+def bucketed(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """df stored in the shared folder in buckets of `key`, and their number; size: its bytes, about.
+
+    A join on key with a frame repartitioned to that number needs no exchange of df.
+    """
     spark = df.sparkSession
     n = min(MOST_BUCKETS, size // BUCKET_BYTES + 1)
     table = f"wattline_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), n
 
 
 def broadcast_rows(df: DataFrame, most: int) -> DataFrame:

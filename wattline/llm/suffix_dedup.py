@@ -363,25 +363,25 @@ def split_hot(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, list[D
         rows = stored(parts, "halves")
 
 
-def packed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(block, rows) of docs, stored in buckets of blocks."""
+def packed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """(block, rows) of docs, stored in buckets of blocks, and the number of buckets."""
     schema = docs.limit(0).select(F.lit(0).cast("long").alias("block"), F.array(F.struct(*docs.columns)).alias("rows")).schema
     schema["rows"].dataType = ArrayType(docs.schema, True)
     total = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     return bucketed(docs.mapInArrow(lambda it: _blocks(it, text), schema), "block", total, "blocks")
 
 
-def repeated_spans(blocks: DataFrame, text: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
-    """(block, spans): for each block the byte spans covered by repeats, as (row, start << 32 | end)."""
+def repeated_spans(blocks: DataFrame, buckets: int, text: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
+    """(block, spans): for each block the byte spans covered by repeats, as (row, start << 32 | end); partitioned like the blocks."""
     texts = blocks.select("block", F.col("rows").getField(text).alias("texts"))
     counted = stored(texts.mapInArrow(lambda it: _anchor_counts(it, length), "h long, block long, n long"), "anchors")
     twice = counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    wanted = counted.join(twice, "h", "left_semi").groupBy("block").agg(F.collect_set("h").alias("hs"))
-    found = texts.join(wanted, "block").mapInArrow(lambda it: _contexts(it, length), FOUND)
+    wanted = counted.join(twice, "h", "left_semi").select("block", "h").repartition(buckets, "block").groupBy("block").agg(F.collect_set("h").alias("hs"))
+    found = texts.join(wanted.hint("merge"), "block").mapInArrow(lambda it: _contexts(it, length), FOUND)
     small, sure = split_hot(stored(found, "contexts"), length, hot)
     judged = small.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _sorted_groups(it, length), SPANS)
     spans = reduce(DataFrame.unionByName, sure, judged)
-    return spans.groupBy("block").agg(F.collect_set(F.struct("row", "span")).alias("spans"))
+    return spans.repartition(buckets, "block").groupBy("block").agg(F.collect_set(F.struct("row", "span")).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -416,8 +416,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, hot:
     `kept` or `removed` are replaced; no other name can clash.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("kept", "removed")])
-    blocks = packed(docs, text)
-    joined = blocks.join(repeated_spans(blocks, text, length, hot), "block", "left").select("rows", "spans")
+    blocks, buckets = packed(docs, text)
+    joined = blocks.join(repeated_spans(blocks, buckets, text, length, hot).hint("merge"), "block", "left").select("rows", "spans")
 
     def cut(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
