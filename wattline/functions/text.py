@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # ---- cleaning ---------------------------------------------------------------------------------
@@ -47,25 +49,30 @@ def aliases(c: Column) -> Column:
 
 # ---- numbers and units ------------------------------------------------------------------------
 
-#: Energy units in GWh. ASCII units must be equal; the Chinese ones may be part of the text, in this order.
-ENERGY = {"twh": 1000.0, "gwh": 1.0, "mwh": 0.001, "kwh": 0.000001, "wh": 0.000000001, "亿千瓦时": 100.0, "亿度": 100.0, "万千瓦时": 0.01, "万度": 0.01, "千瓦时": 0.000001, "度": 0.000001}
+#: Energy units in GWh. Latin units must be equal, the Chinese ones may be part of the text; the first that fits counts.
+ENERGY = {
+    "亿千瓦时": 100.0, "亿度": 100.0, "万千瓦时": 0.01, "万度": 0.01, "度": 0.000001, "千瓦时": 0.000001, "兆瓦时": 0.001,
+    "kwh": 0.000001, "mwh": 0.001, "gwh": 1.0, "twh": 1000.0,
+}
 #: Units of power, which are not energy.
-POWER = ("gw", "mw", "kw", "万千瓦", "千瓦", "兆瓦")
+POWER = ("kw", "mw", "gw", "千瓦", "兆瓦", "万千瓦")
+
+
+def _unit(unit: Column, name: str) -> Column:
+    return F.regexp_replace(F.lower(unit), r"\s", "") == name if name.isascii() else unit.contains(name)
 
 
 def unit_factor(unit: Column) -> Column:
     """GWh of one unit; null for power and unclear units."""
-    u = F.lower(F.trim(unit))
-    out = F.when(u.isin(*[p for p in POWER if p.isascii()]), F.lit(None).cast("double"))
+    out = F.when(unit.isNull(), F.lit(None).cast("double"))
     for name, factor in ENERGY.items():
-        hit = u == name if name.isascii() else (u.contains(name) & ~((F.lit(name) == "度") & (u.contains("季度") | u.contains("年度"))))
-        out = out.when(hit, F.lit(factor))
+        out = out.when(_unit(unit, name), F.lit(factor))
     return out
 
 
 def unit_kind(unit: Column) -> Column:
-    u = F.lower(F.trim(unit))
-    return F.when(unit_factor(unit).isNotNull(), "energy").when(u.isin(*POWER), "power").otherwise("unclear")
+    power = reduce(Column.__or__, [_unit(unit, name) for name in POWER])
+    return F.when(unit_factor(unit).isNotNull(), "energy").when(power, "power").otherwise("unclear")
 
 
 def parse_number(raw: Column, decimal_comma: Column | None = None) -> Column:
@@ -77,7 +84,7 @@ def parse_number(raw: Column, decimal_comma: Column | None = None) -> Column:
     local = F.coalesce(decimal_comma, F.lit(False)) if decimal_comma is not None else F.lit(False)
     text = (
         F.when((dots > 0) & (commas > 0), F.when(F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), "."), F.replace(no_dot, F.lit(","), F.lit("."))).otherwise(no_comma))
-        .when((dots > 1) | local & s.rlike(r"^\d{1,3}\.\d{3}$"), no_dot)
+        .when((dots > 1) | local & s.rlike(r"^\d{1,3}(\.\d{3})+$"), no_dot)
         .when((commas == 1) & ~s.rlike(r",\d{3}$"), F.replace(s, F.lit(","), F.lit(".")))
         .otherwise(no_comma)
     )
@@ -92,25 +99,44 @@ def capacity_ceiling(mw: Column) -> Column:
 # ---- URLs -------------------------------------------------------------------------------------
 
 #: Query keys that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "spm", "from", "ref", "source")
+TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "referrer", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 
 
 def _url(u: Column, group: int) -> Column:
+    """1: scheme, 2: authority, 3: path, 4: query with its mark."""
     return F.regexp_extract(F.trim(u), r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", group)
 
 
+def host(u: Column) -> Column:
+    """Lower-case host of a URL, without user, port and the dot of the root."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_url(u, 2)), "^.*@", ""), r"(:\d*)?$", "")
+
+
+def _form(text: Column) -> Column:
+    """A part of a query, decoded and encoded anew."""
+    coded = F.url_encode(F.coalesce(F.try_url_decode(text), text))
+    return F.replace(F.replace(coded, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
 def canonical_url(u: Column) -> Column:
-    """Lower-case scheme and host, no default port, single slashes, no trailing slash, no tracking keys, no fragment."""
-    scheme = F.lower(_url(u, 1))
-    host = F.regexp_replace(F.lower(_url(u, 2)), F.when(scheme == "https", r":443$").otherwise(r":80$"), F.lit(""))
-    path = F.regexp_replace(F.regexp_replace(_url(u, 3), "/+", "/"), "/$", "")
-    keep = F.filter(F.split(F.substring(_url(u, 4), 2, 1 << 20), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
-    query = F.array_join(keep, "&")
-    return F.when(scheme == "", F.trim(u)).otherwise(F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    """Lower-case scheme and host, no user, no default port, single slashes, no trailing slash but the root's, no tracking keys, no
+    fragment; query parts are encoded alike and keep their order. What is not http keeps all but its trailing slashes."""
+    scheme, name = F.lower(_url(u, 1)), host(u)
+    port = F.regexp_extract(_url(u, 2), r"(:\d+)$", 1)
+    default = (scheme == "https") & (port == ":443") | (scheme == "http") & (port == ":80")
+    slashes = F.regexp_replace(_url(u, 3), "/+", "/")
+    path = F.when(slashes.isin("", "/"), "/").otherwise(F.regexp_replace(slashes, "/$", ""))
+    parts = F.filter(F.split(F.regexp_replace(_url(u, 4), r"^\?", ""), "&"), lambda p: p != "")
+    named = F.transform(parts, lambda p: F.struct(_form(F.substring_index(p, "=", 1)).alias("k"), _form(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
+    kept = F.filter(named, lambda p: ~F.lower(p["k"]).isin(*TRACKING))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    whole = F.concat(scheme, F.lit("://"), name, F.when(default, "").otherwise(port), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(scheme.isin("http", "https") & (name != ""), whole).otherwise(F.regexp_replace(F.trim(u), "/+$", ""))
 
 
 def publisher_domain(u: Column) -> Column:
-    return F.regexp_replace(F.lower(_url(u, 2)), r"^www\.|:\d+$", "")
+    """Host and port of the canonical URL, without www."""
+    return F.regexp_replace(F.lower(_url(canonical_url(u), 2)), r"^www\.", "")
 
 
 def doc_type(u: Column) -> Column:
@@ -125,9 +151,16 @@ def path_template(u: Column) -> Column:
     return F.nullif(F.nullif(path, F.lit("/")), F.lit(""))
 
 
-def link_class(u: Column) -> Column:
-    d = publisher_domain(u)
-    return F.when(d.rlike(r"\.gov(\.|$)"), "authority").when(d.contains("official"), "official").when(d.endswith(".org"), "organisation").otherwise("other")
+#: Words that mark a link as official.
+OFFICIAL = ("official", "operator", "owner", "官网", "官方", "运营商", "业主")
+
+
+def link_class(u: Column, context: Column | None = None) -> Column:
+    """kind and score of an outside link, by its host and the words around it."""
+    name, words = F.regexp_replace(host(u), r"^www\.", ""), F.lower(F.coalesce(context, F.lit(""))) if context is not None else F.lit("")
+    kind = lambda k, score: F.struct(F.lit(k).alias("kind"), F.lit(score).alias("score"))
+    out = F.when(name.contains(".gov"), kind("authority", 0.95)).when(words.rlike("|".join(OFFICIAL)), kind("official", 0.92))
+    return out.when(name.endswith(".org"), kind("reference", 0.72)).otherwise(kind("reference", 0.65))
 
 
 # ---- first-match rules ------------------------------------------------------------------------
@@ -139,7 +172,8 @@ def find_years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(YEAR), 1))
 
 
-def _first(text: Column, rules: dict[str, str], default: str) -> Column:
+def _first(text: Column, rules: dict[str, str], default: str | None) -> Column:
+    """The name of the first pattern that is found."""
     out = None
     for name, pattern in rules.items():
         hit = text.rlike(f"(?iU){pattern}")
@@ -147,11 +181,35 @@ def _first(text: Column, rules: dict[str, str], default: str) -> Column:
     return out.otherwise(default)
 
 
-#: Words of each class; the first class that matches wins.
-PERIOD = {"rolling_12_months": "rolling|trailing 12|last twelve|过去12个月", "ytd": r"ytd|year[- ]to[- ]date|截至|累计至", "quarter": r"q[1-4]\b|quarter|季度|trimestre", "fiscal_year": r"fy ?\d|fiscal|财年|exercício", "month": r"monthly|month of|月度|\d月份"}
-METRIC = {"net_generation": "net generation|net output|上网净|净发电", "energy_sent_out": "sent out|上网电量", "electricity_sales": "sales|售电", "gross_generation": "gross|generat|发电|geração|producción"}
-VALUE_TYPE = {"forecast": "forecast|expected|planned|target|预计|计划|previsto", "estimate": "estimate|约|estimad", "actual": "actual|achieved|完成|实际|was|were"}
-SCOPE = {"group": r"\bgroup\b|集团", "region": r"region|province|全省", "complex": "complex|cascade|梯级"}
+#: What says which period a figure is about; the first that is found counts.
+PERIOD = {
+    "rolling_12_months": r"rolling\s*12\s*months?|trailing\s*12\s*months?|滚动\s*12\s*个?月",
+    "ytd": r"\bytd\b|year[- ]to[- ]date|年初至今|截至.{0,12}(?:累计|发电)",
+    "quarter": r"\bQ[1-4]\b|第?[一二三四1-4]季度",
+    "fiscal_year": r"\bFY\s?\d{2,4}\b|财年|财政年度|fiscal\s+year|\b(?:19|20)\d{2}\s*[/–—-]\s*(?:19|20)\d{2}\b",
+    "month": r"(?:19|20)\d{2}[-/.年]\s*(?:0?[1-9]|1[0-2])\s*月?|\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b",
+}
+#: What names a metric.
+METRIC = {
+    "net_generation": r"净发电量|net\s+(?:electricity\s+)?generation",
+    "energy_sent_out": r"上网电量|送出电量|energy\s+sent\s+out|electricity\s+supplied",
+    "electricity_sales": r"售电量|electricity\s+sales|power\s+sales",
+    "gross_generation": r"总发电量|毛发电量|完成发电量|gross\s+(?:electricity\s+)?generation|\b(?:annual\s+)?generation\b|\b(?:energia\s+)?gerad[ao]\b|\bgera[cç][aã]o\b|\bprodu[cç][aã]o\b|\bgeneraci[oó]n\b",
+}
+#: Words that tell forecasts from actual figures.
+VALUE_TYPE = {
+    "forecast": "forecast|projected|projection|estimate|estimated|expected|planned|target|预计|预测|计划|目标|拟",
+    "actual": "actual|reported|recorded|achieved|实际|实发|累计完成|已完成|完成|达到|实现|atingiu|foi de|realizada|registrou|produziu",
+}
+#: Words that tell what a figure covers.
+SCOPE = {
+    "group": "group total|company total|集团合计|公司合计|全公司",
+    "region": "total|aggregate|combined|basin|cascade|region|province|流域|梯级|合计|总计|全省|全区|区域",
+    "complex": "complex|power base|电站群|基地|枢纽群",
+    "plant": "station|plant|单站|本站|该电站|电站|usina|hidrelétrica|hidreletrica|hydroelectric",
+}
+#: Words for a whole year.
+FULL_YEAR = r"全年|年度|annual(?:ly)?|anual(?:mente)?|full\s+year|calendar\s+year|yearly"
 
 
 def period_type(text: Column) -> Column:
@@ -163,15 +221,17 @@ def metric_clue(text: Column) -> Column:
 
 
 def value_type_clue(text: Column) -> Column:
-    return _first(text, VALUE_TYPE, "actual")
+    """forecast or actual; null where no word says so."""
+    return _first(text, VALUE_TYPE, None)
 
 
 def scope_clue(text: Column) -> Column:
-    return _first(text, SCOPE, "plant")
+    """group, region, complex or plant; null where no word says so."""
+    return _first(text, SCOPE, None)
 
 
 def full_year_clue(text: Column) -> Column:
-    return text.rlike("(?i)annual|full[- ]year|全年|年度|anual")
+    return text.rlike(f"(?iU){FULL_YEAR}")
 
 
 # ---- identifiers ------------------------------------------------------------------------------

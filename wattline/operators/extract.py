@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -10,22 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattline.functions import text as tx
 
-FACT = r"((?:19|20)\d{2})\D{1,40}?(\d[\d.,]*)\s*([A-Za-z]{2,4}|亿千瓦时|万千瓦时|千瓦时)"
-
-
-def extract_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row for each 'year ... value unit' in a text: JVM regular expressions, no Python."""
-    groups = [F.regexp_extract_all(text, F.lit(FACT), i) for i in (1, 2, 3)]
-    rows = docs.select(doc_id, text, F.explode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("year", "value_raw", "unit_raw"), strict=True)])).alias("x"))
-    value = tx.parse_number(F.col("value_raw"))
-    return rows.select(doc_id, text, "x.*").withColumns({
-        "value": value, "unit_kind": tx.unit_kind(F.col("unit_raw")), "gwh": value * tx.unit_factor(F.col("unit_raw")),
-        "metric": tx.metric_clue(F.col(text)), "value_type": tx.value_type_clue(F.col(text)), "measurement_scope": tx.scope_clue(F.col(text)), "period_type": tx.period_type(F.col(text)),
-    })
-
-
 class _Page(HTMLParser):
-    """Title, text, links (with their texts) and tables of one page; spans of cells are expanded."""
+    """Title, text, links (with their texts) and tables (headers, rows, caption) of one page; spans of cells are expanded."""
 
     SKIP = {"script", "style", "head", "noscript"}
 
@@ -35,7 +22,7 @@ class _Page(HTMLParser):
         self.anchors: list[list] = []  # of each link the pieces of its text
         self.skip = 0
         self.in_title = self.in_link = False
-        self.rows = self.row = self.cell = None
+        self.rows = self.row = self.cell = self.caption = None
         self.open: dict[int, list] = {}
 
     def handle_starttag(self, tag, attrs):
@@ -49,12 +36,13 @@ class _Page(HTMLParser):
             self.links.append(attrs["href"])
             self.anchors.append([])
         elif tag == "table":
-            self.rows, self.open = [], {}
+            self.rows, self.open, self.caption, self.heads = [], {}, [], 0
         elif tag == "tr" and self.rows is not None:
-            self.row = []
+            self.row, self.all_heads = [], True
         elif tag in ("td", "th") and self.row is not None:
             span = [int(v) if (v := attrs.get(k, "1") or "1").isdigit() else 1 for k in ("colspan", "rowspan")]
-            self.cell = [[], max(1, min(span[0], 1000)), max(1, span[1])]
+            self.cell = [[], max(1, min(span[0], 1000)), max(1, span[1])]  # HTML itself allows 1,000 columns at most
+            self.all_heads &= tag == "th"
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
@@ -74,11 +62,19 @@ class _Page(HTMLParser):
         elif tag == "tr" and self.row is not None:
             self._held()
             if self.row:
+                self.heads += self.all_heads and self.heads == len(self.rows)
                 self.rows.append(self.row)
             self.row = None
         elif tag == "table" and self.rows is not None:
-            self.tables.append(self.rows)
-            self.rows = None
+            self.tables.append(self._table())
+            self.rows = self.caption = None
+
+    def _table(self) -> dict:
+        """The first rows of header cells alone are one header: of each column the different texts, in order."""
+        width = max(map(len, self.rows), default=0)
+        rows = [r + [""] * (width - len(r)) for r in self.rows]
+        columns = [dict.fromkeys(x for r in rows[: self.heads] if (x := r[c])) for c in range(width)]
+        return {"headers": [" ".join(c) for c in columns] if self.heads else [], "rows": rows[self.heads :], "caption": " ".join("".join(self.caption).split()) or None}
 
     def _held(self):
         while (held := self.open.get(len(self.row))) and held[1] > 0:
@@ -89,17 +85,18 @@ class _Page(HTMLParser):
         if self.in_title:
             self.title += data
         elif not self.skip:
-            (self.cell[0] if self.cell is not None else self.text).append(data)
+            into = self.cell[0] if self.cell is not None else self.caption if self.caption is not None else self.text
+            into.append(data if into is not self.text else f" {data} ")
             if self.in_link:
                 self.anchors[-1].append(data)
 
 
-PARSED = "struct<ok:boolean,title:string,text:string,links:array<string>,link_texts:array<string>,tables:array<array<array<string>>>>"
+PARSED = "struct<ok:boolean,title:string,text:string,links:array<string>,link_texts:array<string>,tables:array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>>"
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without the markup, with `parsed` (ok, title, text, links, link_texts, tables); null is not ok. One pass over each page."""
-    kind = pa.struct([("ok", pa.bool_()), ("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("link_texts", pa.list_(pa.string())), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))])
+    kind = pa.struct([("ok", pa.bool_()), ("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string())), ("link_texts", pa.list_(pa.string())), ("tables", pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))), ("caption", pa.string())])))])
 
     def parse(body: str | None) -> dict:
         page = _Page()
@@ -144,22 +141,58 @@ def document_links(pages: DataFrame, page: str = "page_id", year: int | None = N
     return once.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("at"))).where(F.col("n") <= most).select(page, "at", "href")
 
 
-def validate_candidates(candidates: DataFrame, stations: DataFrame) -> DataFrame:
-    """candidates with `issues` (code, severity), `passed`: nothing but low confidence."""
-    over = F.col("generation_gwh") > tx.capacity_ceiling(F.col("capacity_mw"))
-    rules = [
-        ("VALUE_OUT_OF_RANGE", "high", F.col("generation_gwh").isNull() | (F.col("generation_gwh") < 0)),
-        ("CAPACITY_GENERATION_CONFLICT", "high", over),
-        ("UNIT_UNCLEAR", "high", F.col("normalized_unit") != "gwh"),
-        ("METRIC_UNCLEAR", "medium", F.col("metric") == "unknown"),
-        ("ACTUAL_FORECAST_MIXED", "medium", F.col("value_type") != "actual"),
-        ("PERIOD_AMBIGUOUS", "medium", F.col("period_type") != "calendar_year"),
-        ("ENTITY_AMBIGUOUS", "high", F.col("known").isNull()),
-        ("LOW_CONFIDENCE", "low", F.coalesce(F.col("confidence"), F.lit(0.0)) < 0.55),
+def _issue(code: str, severity: str, field: str, test: Column) -> Column:
+    return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field")))
+
+
+DUPLICATE_KEY = ("entity_id", "period_label", "value_type", "measurement_scope")
+
+
+def validate_candidates(candidates: DataFrame, stations: DataFrame, tasks: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """candidates with `issues` (code, severity, field; in the order of the rules), `passed` (nothing but low confidence), `blocking` (an issue is high), `severity` (the highest).
+
+    candidates have `flags`, an array. stations: entity_id, capacity_mw. tasks: task_id, target_period, task_period_type: what was
+    asked for; without it a calendar year is. existing: facts that are there already, by DUPLICATE_KEY.
+    """
+    rows = candidates.join(stations.select("entity_id", "capacity_mw"), "entity_id", "left")
+    if tasks is not None:
+        rows = rows.join(tasks.select("task_id", "target_period", "task_period_type"), "task_id", "left")
+    else:
+        rows = rows.withColumns({"target_period": F.lit(None).cast("string"), "task_period_type": F.lit(None).cast("string")})
+    there = F.lit(False)
+    if existing is not None:
+        own = existing.select(*[F.col(k).alias(f"__{k}") for k in DUPLICATE_KEY]).distinct().withColumn("__there", F.lit(True))
+        same = reduce(Column.__and__, [(F.col(k).eqNullSafe(F.col(f"__{k}")) if k != "entity_id" else F.col(k) == F.col(f"__{k}")) for k in DUPLICATE_KEY])
+        rows = rows.join(own, same, "left").drop(*[f"__{k}" for k in DUPLICATE_KEY])
+        there = F.col("__there")
+    flag = lambda *names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
+    gwh, metric, kind, asked = (F.col(c) for c in ("generation_gwh", "metric", "value_type", "task_period_type"))
+    years = tx.find_years(F.col("period_label"))
+    fiscal = F.col("period_type").eqNullSafe("fiscal_year")
+    issues = [
+        _issue("UNIT_UNCLEAR", "high", "normalized_unit", ~F.col("normalized_unit").eqNullSafe("gwh")),
+        _issue("UNIT_UNCLEAR", "high", "unit_raw", flag("UNIT_UNCLEAR")),
+        _issue("CAPACITY_GENERATION_CONFLICT", "high", "unit_raw", flag("UNIT_NOT_ENERGY", "CAPACITY_SUSPECT")),
+        _issue("VALUE_OUT_OF_RANGE", "high", "generation_gwh", gwh < 0),
+        _issue("METRIC_UNCLEAR", "high", "metric", metric.isNull() | (metric == "unknown")),
+        _issue("METRIC_MISMATCH", "high", "metric", ~metric.isin("unknown", "gross_generation")),
+        _issue("ACTUAL_FORECAST_MIXED", "high", "value_type", kind == "forecast"),
+        _issue("ACTUAL_FORECAST_MIXED", "medium", "value_type", kind.isNull()),
+        _issue("ENTITY_AMBIGUOUS", "high", "measurement_scope", F.col("measurement_scope").isin("region", "complex", "group")),
+        _issue("YEAR_MISMATCH", "high", "period_label", (F.size(years) > 0) & ~F.array_contains(years, F.col("target_period"))),
+        _issue("YEAR_MISMATCH", "medium", "period_type", (F.coalesce(asked, F.lit("calendar_year")) == "calendar_year") & fiscal),
+        _issue("PERIOD_AMBIGUOUS", "high", "period_type", (asked == "fiscal_year") & ~fiscal),
+        _issue("PERIOD_AMBIGUOUS", "medium", "period_type", flag("PERIOD_UNCLEAR")),
+        _issue("CAPACITY_GENERATION_CONFLICT", "high", "generation_gwh", (gwh > 0) & (F.col("capacity_mw") != 0) & (gwh > tx.capacity_ceiling(F.col("capacity_mw")))),
+        _issue("DUPLICATE_RECORD", "medium", "", there),
+        _issue("LOW_CONFIDENCE", "medium", "confidence", F.col("confidence") < 0.55),
     ]
-    rows = candidates.join(stations.select("entity_id", "capacity_mw", F.lit(1).alias("known")), "entity_id", "left")
-    issues = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, test in rules]))
-    return rows.withColumn("issues", issues).withColumn("passed", ~F.exists("issues", lambda x: x["code"] != "LOW_CONFIDENCE")).drop("known")
+    out = rows.withColumn("issues", F.array_compact(F.array(*issues))).drop("__there", "target_period", "task_period_type")
+    has = lambda level: F.exists("issues", lambda x: x["severity"] == level)
+    return out.withColumns({
+        "passed": ~F.exists("issues", lambda x: x["code"] != "LOW_CONFIDENCE"), "blocking": has("high"),
+        "severity": F.when(has("high"), "high").when(has("medium"), "medium").when(F.size("issues") > 0, "low"),
+    })
 
 
 def record_confidence() -> Column:
@@ -171,16 +204,23 @@ def record_confidence() -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (own + F.coalesce(F.col("confidence"), F.lit(0.5))) / 2)), 6)
 
 
+#: Issues that a person must see whatever their severity.
+REVIEW_CODES = ("LOW_CONFIDENCE", "ENTITY_AMBIGUOUS", "UNIT_UNCLEAR", "YEAR_MISMATCH", "PERIOD_AMBIGUOUS", "ACTUAL_FORECAST_MIXED", "CAPACITY_GENERATION_CONFLICT", "DUPLICATE_RECORD")
+
+
 def needs_review() -> Column:
-    return ~F.col("passed") | (F.coalesce(F.col("priority_tier"), F.lit("")) == "A") | F.exists("issues", lambda x: x["severity"] == "high")
+    """Read from an image, of a top entity (tier A), not passed, an issue that is high or in REVIEW_CODES."""
+    seen = F.exists("issues", lambda x: x["code"].isin(*REVIEW_CODES))
+    return F.array_contains("flags", "OCR_DERIVED") | (F.coalesce(F.col("priority_tier"), F.lit("")) == "A") | ~F.col("passed") | F.col("blocking") | seen
 
 
-def promotion_gates() -> Column:
-    """Names of the gates that a candidate fails."""
+def promotion_gates(review_required: bool = True) -> Column:
+    """Names of the gates that a candidate fails. It has `flags`, `has_evidence` and `review_status`."""
+    year = (F.col("period_type") == "calendar_year") & F.col("period_label").rlike("^(?:19|20)[0-9]{2}$") & ~F.array_contains("flags", "PERIOD_UNCLEAR")
     gates = {
-        "entity": F.col("entity_id").isNotNull(), "period": F.col("period_label").rlike("^[0-9]{4}$") & (F.col("period_type") == "calendar_year"), "metric": F.col("metric") == "gross_generation",
-        "scope": F.col("measurement_scope") == "plant", "value_type": F.col("value_type") == "actual", "unit": (F.col("normalized_unit") == "gwh") & F.col("generation_gwh").isNotNull(),
-        "evidence": F.col("has_evidence"), "review": F.col("review_status") == "approved",
+        "entity": F.col("entity_id") != "", "period": year, "metric": F.col("metric") == "gross_generation", "scope": F.col("measurement_scope") == "plant", "value_type": F.col("value_type") == "actual",
+        "unit": (F.col("normalized_unit") == "gwh") & (tx.unit_kind(F.col("unit_raw")) == "energy") & F.col("generation_gwh").isNotNull(),
+        "evidence": F.col("has_evidence"), "review": F.col("review_status") == "approved" if review_required else F.lit(True),
     }
     return F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(n)) for n, g in gates.items()]))
 

@@ -31,12 +31,12 @@ def trust_violations(records: DataFrame, spec: TrustSpec = TrustSpec()) -> DataF
 
 
 def trusted_chain(records: DataFrame, candidates: DataFrame, links: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """Records whose candidate agrees in id and eight values and leads over evidence to the document version it was read from."""
-    c = candidates.select("candidate_id", *CHAIN_KEYS)
+    """Records whose candidate agrees in id and eight values and leads over evidence to the document it was read from, in that version."""
+    c = candidates.select("candidate_id", *CHAIN_KEYS, "document_id")
     e = evidence.select("evidence_id", "document_id", "content_hash")
     d = documents.select("document_id", "content_hash")
     chain = records.join(c, ["candidate_id", *CHAIN_KEYS]).join(links.select("candidate_id", "evidence_id"), ["candidate_id", "evidence_id"])
-    return chain.join(e, "evidence_id").join(d, ["document_id", "content_hash"])
+    return chain.join(e, ["evidence_id", "document_id"]).join(d, ["document_id", "content_hash"])
 
 
 def top_n(rows: DataFrame, year: str, n: int = 100) -> DataFrame:

@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wattline.functions import text as tx
-from wattline.operators import extract as ex, frames as fr, trust as t
+from wattline.operators import extract as ex, facts as fa, frames as fr, trust as t
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
 from wattline.streaming import jobs
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
-TRACK = ", ".join(f"'{x}'" for x in tx.TRACKING)
+#: Query keys that only track.
+TRACK = "'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'referrer', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'"
 
 
 def g(i: int) -> str:
     return f"regexp_extract(trim(url), '{URL}', {i})"
 
 
-CANON = f"""(lower({g(1)}) || '://' || regexp_replace(lower({g(2)}), CASE WHEN lower({g(1)}) = 'https' THEN ':443$' ELSE ':80$' END, '') || regexp_replace(regexp_replace({g(3)}, '/+', '/', 'g'), '/$', '')
-  || CASE WHEN len(list_filter(string_split(substr({g(4)}, 2), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({TRACK}))) > 0 THEN '?' || array_to_string(list_filter(string_split(substr({g(4)}, 2), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({TRACK})), '&') ELSE '' END)"""
+PARTS = f"list_filter(string_split(substr({g(4)}, 2), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({TRACK}))"
+CANON = f"""(lower({g(1)}) || '://' || lower({g(2)}) || CASE WHEN regexp_replace({g(3)}, '/+', '/', 'g') IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace({g(3)}, '/+', '/', 'g'), '/$', '') END
+  || CASE WHEN len({PARTS}) > 0 THEN '?' || array_to_string({PARTS}, '&') ELSE '' END)"""
 
 
-@query("canonical_url", "candidate_urls", f"SELECT page_id, {CANON} canonical FROM candidate_urls")
-def _(u):
-    return u.select("page_id", tx.canonical_url(F.col("url")).alias("canonical"))
+@query("canonical_url", "urls candidate_urls", f"SELECT doc_id id, canonical FROM urls UNION ALL SELECT page_id, {CANON} FROM candidate_urls")
+def _(cases, u):
+    both = cases.select(F.col("doc_id").alias("id"), "url").union(u.select("page_id", "url"))
+    return both.select("id", tx.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query("publisher_domain", "candidate_urls", rf"SELECT page_id, regexp_replace(lower({g(2)}), '^www\.|:[0-9]+$', '', 'g') domain FROM candidate_urls")
+@query("publisher_domain", "urls", r"SELECT doc_id, regexp_extract(canonical, '^https://(?:www\.)?([^/?]*)', 1) AS domain FROM urls")
 def _(u):
-    return u.select("page_id", tx.publisher_domain(F.col("url")).alias("domain"))
+    return u.select("doc_id", tx.publisher_domain(F.col("url")).alias("domain"))
 
 
 @query("doc_type", "sources", "SELECT url, CASE WHEN lower(url) LIKE '%.pdf' THEN 'pdf' WHEN lower(url) LIKE '%.csv' THEN 'csv' ELSE 'html' END kind FROM sources")
@@ -42,9 +45,12 @@ def _(s):
     return s.select("url", tx.path_template(F.col("url")).alias("template"))
 
 
-@query("link_class", "sources", r"SELECT url, CASE WHEN regexp_matches(url, '\.gov/') THEN 'authority' WHEN url LIKE '%.org/%' THEN 'organisation' ELSE 'other' END class FROM sources")
+@query("link_class", "sources", r"""SELECT url, CASE WHEN regexp_matches(url, '\.gov/') THEN 'authority' WHEN lower(title) LIKE '%7' THEN 'official' ELSE 'reference' END kind,
+  CASE WHEN regexp_matches(url, '\.gov/') THEN 0.95e0 WHEN lower(title) LIKE '%7' THEN 0.92e0 WHEN url LIKE '%.org/%' THEN 0.72e0 ELSE 0.65e0 END score FROM sources""")
 def _(s):
-    return s.select("url", tx.link_class(F.col("url")).alias("class"))
+    """Every tenth source's title says that it is the operator's."""
+    words = F.concat("title", F.when(F.col("title").endswith("7"), " Operator site").otherwise(" news"))
+    return s.select("url", F.inline(F.array(tx.link_class(F.col("url"), words))))
 
 
 @query("report_urls", "sources", "SELECT url, y.year, regexp_extract(url, '^(https?://[^/]+)', 1) || '/reports/' || y.year || '/annual.pdf' report FROM sources CROSS JOIN (SELECT unnest(['2018', '2019', '2020']) AS year) y")
@@ -130,11 +136,12 @@ def _(p):
     return ex.parse_pages(p.select("page_id", "html")).select("page_id", F.posexplode("parsed.links").alias("at", "href"))
 
 
-@query("html_tables", "sentences")
+@query("html_tables", "fact_pages", r"""SELECT doc_id, headers, row_text FROM (SELECT doc_id, doc_id % 5 AS k, name, regexp_extract(html, '([3-8]{7})', 1) v, regexp_extract(html, '((?:19|20)[0-9]{2})(?: report|<| gen| ann)', 1) y FROM fact_pages) p JOIN
+  (SELECT * FROM (VALUES (0, 'Station|Y Generation (GWh)|Y Generation change %', 'N Hydropower Station|V|3'), (0, 'Station|Y Generation (GWh)|Y Generation change %', 'Other dam|55|1'), (1, 'Plant|Output MWh|Output 第一季度 MWh', 'N|V|7'),
+   (2, '', 'In Y annual generation|V GWh'), (3, 'Plant|Season 季度', 'N|V'), (4, 'N|Y generation GWh', 'N|V')) t(tk, h, r)) t ON tk = k, LATERAL (SELECT replace(replace(h, 'Y', y), 'N', name) headers, replace(replace(replace(r, 'Y', y), 'V', v), 'N', name) row_text) z""")
 def _(s):
-    html = F.concat(F.lit("<table><tr><th>year</th><th>value</th></tr><tr><td rowspan=2>"), "want_year", F.lit("</td><td>"), "want_value", F.lit("</td></tr><tr><td>x</td></tr></table>"))
-    parsed = ex.parse_pages(s.select("doc_id", html.alias("html")))
-    return parsed.select("doc_id", F.posexplode(F.flatten("parsed.tables")).alias("row", "cells"))
+    tables = ex.parse_pages(s.select("doc_id", "html")).select("doc_id", F.explode("parsed.tables").alias("t"))
+    return tables.select("doc_id", F.array_join("t.headers", "|").alias("headers"), F.explode("t.rows").alias("row")).select("doc_id", "headers", F.array_join("row", "|").alias("row_text"))
 
 
 @query("json_doc", "events", "SELECT event_id, json_valid(props) ok, cast(json_extract(props, '$.k') AS bigint) k FROM events")
@@ -175,31 +182,39 @@ def _(p):
     return p.select("page_id", status.alias("status"))
 
 
-@query("extract_text", "sentences", """SELECT doc_id, want_year AS year, want_unit AS unit_raw, round(CASE want_unit WHEN 'GWh' THEN cast(want_value AS double) WHEN 'MWh' THEN cast(want_value AS double) * 0.001e0 WHEN 'TWh' THEN cast(want_value AS double) * 1000 END, 6) gwh,
-  CASE WHEN text LIKE '%net generation%' THEN 'net_generation' ELSE 'gross_generation' END metric, CASE WHEN text LIKE '%forecast%' THEN 'forecast' ELSE 'actual' END value_type FROM sentences""")
-def _(s):
-    return ex.extract_text(s, "doc_id", "text").select("doc_id", "year", "unit_raw", F.round("gwh", 6).alias("gwh"), "metric", "value_type")
+FACT_COLUMNS = "period_label, value_raw, unit_raw, round(gwh, 6) gwh, metric, value_type, measurement_scope, period_type, flags"
+
+
+def _facts(rows):
+    return rows.withColumns({"gwh": F.round("generation_gwh", 6), "flags": F.array_join("flags", ",")}).select("doc_id", F.col("at").alias("nth"), "period_label", "value_raw", "unit_raw", "gwh", "metric", "value_type", "measurement_scope", "period_type", "flags")
 
 
-@query("find_years", "sentences", "SELECT doc_id, want_year found FROM sentences")
+@query("extract_text", "fact_texts facts", f"SELECT doc_id, nth, {FACT_COLUMNS} FROM facts")
+def _(texts, _expected):
+    return _facts(fa.extract_text(texts, "doc_id", "text"))
+
+
+@query("find_years", "year_lists", "SELECT doc_id, listed FROM year_lists")
 def _(s):
-    return s.select("doc_id", F.array_join(tx.find_years(F.regexp_replace("text", r"#\d+|was [\d.]+", "")), ",").alias("found"))
+    return s.select("doc_id", F.array_join(tx.find_years(F.col("text")), ",").alias("listed"))
 
 
-@query("unit_norm", "sentences", "SELECT doc_id, CASE want_unit WHEN 'MW' THEN 'power' ELSE 'energy' END kind, CASE want_unit WHEN 'GWh' THEN 1.0e0 WHEN 'MWh' THEN 0.001e0 WHEN 'TWh' THEN 1000.0e0 END factor FROM sentences")
+@query("unit_norm", "units", "SELECT doc_id, kind, factor FROM units")
 def _(s):
-    return s.select("doc_id", tx.unit_kind(F.col("want_unit")).alias("kind"), tx.unit_factor(F.col("want_unit")).alias("factor"))
+    return s.select("doc_id", tx.unit_kind(F.col("unit")).alias("kind"), tx.unit_factor(F.col("unit")).alias("factor"))
 
 
-@query("parse_number", "sentences", "SELECT doc_id, cast(want_value AS double) v FROM sentences")
+@query("parse_number", "numbers", "SELECT doc_id, number FROM numbers")
 def _(s):
-    return s.select("doc_id", tx.parse_number(F.regexp_replace(F.format_number(F.col("want_value").cast("double"), 2), "^$", "0")).alias("v"))
+    return s.select("doc_id", tx.parse_number(F.col("raw")).alias("number"))
 
 
-@query("text_clues", "sentences", "SELECT doc_id, CASE WHEN text LIKE '%net generation%' THEN 'net_generation' ELSE 'gross_generation' END metric, 'calendar_year' period, 'plant' scope, true full_year FROM sentences")
+@query("text_clues", "clues", "SELECT period, metric, value_type, scope, full_year, count(*) n FROM clues GROUP BY period, metric, value_type, scope, full_year")
 def _(s):
+    """How often each combination of clues occurs."""
     x = F.col("text")
-    return s.select("doc_id", tx.metric_clue(x).alias("metric"), tx.period_type(x).alias("period"), tx.scope_clue(x).alias("scope"), tx.full_year_clue(x).alias("full_year"))
+    found = s.select(tx.period_type(x).alias("period"), tx.metric_clue(x).alias("metric"), tx.value_type_clue(x).alias("value_type"), tx.scope_clue(x).alias("scope"), tx.full_year_clue(x).alias("full_year"))
+    return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
 
 
 @query("clean_cols", "projects", r"SELECT entity_id, nullif(trim(canonical_name), '') name, regexp_replace(regexp_replace(upper(canonical_name), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') slug, regexp_replace(lower(canonical_name), '[^a-z0-9]', '', 'g') compact FROM projects")
@@ -249,52 +264,11 @@ def _(s):
     return s.select("entity_id", F.sha2(F.concat_ws("|", *parts), 256).alias("hash"))
 
 
-ISSUES = """[CASE WHEN generation_gwh IS NULL OR generation_gwh < 0 THEN 'VALUE_OUT_OF_RANGE' END, CASE WHEN generation_gwh > capacity_mw * 8760 / 1000 * 1.15e0 THEN 'CAPACITY_GENERATION_CONFLICT' END, CASE WHEN metric = 'unknown' THEN 'METRIC_UNCLEAR' END, CASE WHEN value_type <> 'actual' THEN 'ACTUAL_FORECAST_MIXED' END,
-  CASE WHEN period_type <> 'calendar_year' THEN 'PERIOD_AMBIGUOUS' END, CASE WHEN s.entity_id IS NULL THEN 'ENTITY_AMBIGUOUS' END, CASE WHEN coalesce(confidence, 0) < 0.55e0 THEN 'LOW_CONFIDENCE' END]"""
-
-
-@query("validate_candidates", "candidates stations", f"SELECT candidate_id, array_to_string(list_filter({ISSUES}, lambda x: x IS NOT NULL), ',') issues FROM candidates c LEFT JOIN stations s ON s.entity_id = c.entity_id")
-def _(x, s):
-    return ex.validate_candidates(x, s).select("candidate_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("issues"))
-
-
-@query("score_record", "candidates stations candidate_evidence evidence")
-def _(x, s, l, e):
-    found = l.join(e.select("evidence_id", "page_number"), "evidence_id").groupBy("candidate_id").agg(F.lit(True).alias("has_evidence"), (F.max("page_number") > 0).alias("has_page"))
-    return ex.validate_candidates(x, s).join(found, "candidate_id", "left").select("candidate_id", ex.record_confidence().alias("score"))
-
-
-@query("needs_review", "candidates stations", f"SELECT priority_tier, count(*) n FROM candidates c LEFT JOIN stations s ON s.entity_id = c.entity_id WHERE coalesce(priority_tier, '') = 'A' OR len(list_filter({ISSUES}, lambda x: x IS NOT NULL AND x <> 'LOW_CONFIDENCE')) > 0 GROUP BY priority_tier")
-def _(x, s):
-    rows = ex.validate_candidates(x, s).join(s.select("entity_id", "priority_tier"), "entity_id", "left")
-    return rows.where(ex.needs_review()).groupBy("priority_tier").agg(F.count("*").alias("n"))
-
-
 @query("validate_projects", "projects", "SELECT entity_id, coalesce(status, '') NOT IN ('newly_commissioned', 'under_construction', 'approved') bad_status, capacity_mw < 0 bad_capacity, status = 'newly_commissioned' AND commissioning_year > 2010 bad_year FROM projects")
 def _(p):
     return p.select("entity_id", (~F.coalesce("status", F.lit("")).isin("newly_commissioned", "under_construction", "approved")).alias("bad_status"), (F.col("capacity_mw") < 0).alias("bad_capacity"), ((F.col("status") == "newly_commissioned") & (F.col("commissioning_year") > 2010)).alias("bad_year"))
 
 
-GATES = """[CASE WHEN period_type <> 'calendar_year' THEN 'period' END, CASE WHEN metric <> 'gross_generation' THEN 'metric' END, CASE WHEN value_type <> 'actual' THEN 'value_type' END, CASE WHEN generation_gwh IS NULL THEN 'unit' END, CASE WHEN ce.candidate_id IS NULL THEN 'evidence' END, CASE WHEN review_status <> 'approved' THEN 'review' END]"""
-LINKED = "candidates c LEFT JOIN (SELECT DISTINCT candidate_id FROM candidate_evidence) ce ON ce.candidate_id = c.candidate_id"
-
-
-def _linked(x, ce):
-    return x.join(ce.select("candidate_id").distinct().withColumn("has_evidence", F.lit(True)), "candidate_id", "left")
-
-
-@query("promotion_gates", "candidates candidate_evidence", f"SELECT c.candidate_id, array_to_string(list_filter({GATES}, lambda x: x IS NOT NULL), ',') failed FROM {LINKED}")
-def _(x, ce):
-    return _linked(x, ce).select("candidate_id", F.array_join(ex.promotion_gates(), ",").alias("failed"))
-
-
-@query("promote", "records candidates candidate_evidence", f"""SELECT r.id, CASE WHEN p.candidate_id IS NOT NULL THEN 'publishable' ELSE r.publication_status END publication_status FROM records r
-  LEFT JOIN (SELECT c.candidate_id FROM {LINKED} WHERE len(list_filter({GATES}, lambda x: x IS NOT NULL)) = 0) p ON p.candidate_id = r.candidate_id""")
-def _(r, x, ce):
-    passed = _linked(x, ce).where(F.size(ex.promotion_gates()) == 0).select("candidate_id", F.lit(True).alias("pass"))
-    return r.join(passed, "candidate_id", "left").select("id", F.when(F.col("pass"), "publishable").otherwise(F.col("publication_status")).alias("publication_status"))
-
-
 @query("review_enqueue", "reviews", "SELECT review_id, CASE WHEN n = 1 THEN fact_key ELSE fact_key || '#' || candidate_id END fact_key, CASE WHEN n > 1 THEN 'CONFLICT_CANDIDATE' ELSE reason END reason FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, fact_type, fact_key ORDER BY created_at, review_id) n FROM reviews) x")
 def _(r):
     n = F.row_number().over(Window.partitionBy("entity_id", "fact_type", "fact_key").orderBy("created_at", "review_id"))
@@ -302,18 +276,6 @@ def _(r):
     return rows.select("review_id", F.when(F.col("n") == 1, F.col("fact_key")).otherwise(F.concat_ws("#", "fact_key", "candidate_id")).alias("fact_key"), F.when(F.col("n") > 1, "CONFLICT_CANDIDATE").otherwise(F.col("reason")).alias("reason"))
 
 
-@query("approval_reuse", "reviews candidates", "SELECT review_id, c.candidate_id IS NOT NULL reusable FROM reviews r LEFT JOIN candidates c ON c.candidate_id = r.candidate_id AND c.metric = 'gross_generation' AND c.generation_gwh IS NOT NULL WHERE r.status = 'approved'")
-def _(r, x):
-    same = x.where("metric = 'gross_generation' and generation_gwh is not null").select("candidate_id", F.lit(True).alias("same"))
-    return r.where("status = 'approved'").join(same, "candidate_id", "left").select("review_id", F.col("same").isNotNull().alias("reusable"))
-
-
-@query("apply_decisions", "reviews tasks", "SELECT t.task_id, CASE WHEN o.n IS NULL AND t.status = 'needs_review' THEN 'success' ELSE t.status END status FROM tasks t LEFT JOIN (SELECT task_id, count(*) n FROM reviews WHERE status = 'open' GROUP BY task_id) o ON o.task_id = t.task_id")
-def _(r, x):
-    still = r.where("status = 'open'").groupBy("task_id").agg(F.count("*").alias("n"))
-    return x.join(still, "task_id", "left").select("task_id", F.when(F.col("n").isNull() & (F.col("status") == "needs_review"), "success").otherwise(F.col("status")).alias("status"))
-
-
 @query("record_history", "records", "SELECT id, entity_id, round(lag(generation_gwh) OVER (PARTITION BY entity_id, period_label ORDER BY created_at, id), 4) old_gwh, round(generation_gwh, 4) new_gwh FROM records")
 def _(r):
     w = Window.partitionBy("entity_id", "period_label").orderBy("created_at", "id")
@@ -442,14 +404,10 @@ def _(e):
     return e.select("event_id", F.coalesce((F.size(F.array_except(keys, known)) == 0) & value.isNotNull(), F.lit(False)).alias("valid"))
 
 
-@query("extract_tables", "sentences", "SELECT doc_id, want_year AS year, cast(want_value AS double) v FROM sentences")
-def _(s):
-    """Cells of the generation column, with the year of their row; columns of change are left out."""
-    html = F.concat(F.lit("<table><tr><th>year</th><th>generation</th><th>change</th></tr><tr><td>"), "want_year", F.lit("</td><td>"), "want_value", F.lit("</td><td>3</td></tr></table>"))
-    table = F.element_at("parsed.tables", 1)
-    rows = ex.parse_pages(s.select("doc_id", html.alias("html"))).select("doc_id", F.element_at(table, 1).alias("head"), F.explode(F.slice(table, 2, 10_000)).alias("row"))
-    cell = rows.select("doc_id", F.element_at("row", 1).alias("year"), F.explode(F.arrays_zip(F.col("head").alias("h"), F.col("row").alias("v"))).alias("c"))
-    return cell.where("c.h = 'generation'").select("doc_id", "year", tx.parse_number(F.col("c.v")).alias("v"))
+@query("extract_tables", "fact_pages page_facts", "SELECT doc_id, locator, period_label, value_raw, unit_raw, round(gwh, 6) gwh, metric, measurement_scope FROM page_facts")
+def _(pages, _expected):
+    parsed = ex.parse_pages(pages.select("doc_id", F.array("name").alias("names"), "html"))
+    return fa.extract_tables(parsed, "doc_id", "names").select("doc_id", "locator", "period_label", "value_raw", "unit_raw", F.round("generation_gwh", 6).alias("gwh"), "metric", "measurement_scope")
 
 
 @query("entity_country_conflict", "stations sources", "SELECT s.entity_id, (url LIKE '%.gov/%' AND country <> 'NATION_1') conflict FROM stations s JOIN sources o ON o.entity_id = s.entity_id")
@@ -479,19 +437,6 @@ def _(p):
     return links.select("page_id", child.alias("child"), tx.stable_id("cand_", F.col("url"), child).alias("id"))
 
 
-@query("approval_invalidate", "reviews candidates", "SELECT review_id FROM reviews r JOIN candidates c ON c.candidate_id = r.candidate_id WHERE r.status = 'approved' AND c.metric = 'unknown'")
-def _(r, x):
-    changed = x.where("metric = 'unknown'").select("candidate_id")
-    return r.where("status = 'approved'").join(changed, "candidate_id", "left_semi").select("review_id")
-
-
-@query("import_candidates", "records stations", f"SELECT count(*) read, count(CASE WHEN s.entity_id IS NOT NULL AND r.period_type = 'calendar_year' AND r.value_type = 'actual' THEN 1 END) accepted FROM records r LEFT JOIN stations s ON s.entity_id = r.entity_id AND s.status = 'operating'")
-def _(r, s):
-    known = s.where("status = 'operating'").select("entity_id", F.lit(1).alias("known"))
-    good = F.col("known").isNotNull() & (F.col("period_type") == "calendar_year") & (F.col("value_type") == "actual")
-    return r.join(known, "entity_id", "left").agg(F.count("*").alias("read"), F.count_if(good).alias("accepted"))
-
-
 @query("slug", "stations", "SELECT entity_id, regexp_replace(upper(canonical_name), '[^A-Z0-9]+', '-', 'g') slug FROM stations")
 def _(s):
     return s.select("entity_id", tx.slug(F.col("canonical_name")).alias("slug"))
@@ -507,31 +452,29 @@ def _(p):
     return p.select("page_id", F.lower(F.substring("html", 1, 8192)).rlike(BLOCKED).alias("blocked"))
 
 
-@query("full_year_clue", "sentences", "SELECT doc_id, lower(text) LIKE '%annual%' clue FROM sentences")
+@query("full_year_clue", "clues", "SELECT doc_id, full_year clue FROM clues")
 def _(s):
     return s.select("doc_id", tx.full_year_clue(F.col("text")).alias("clue"))
 
 
-@query("metric_clue", "sentences", "SELECT doc_id, CASE WHEN text LIKE '%net generation%' THEN 'net_generation' ELSE 'gross_generation' END metric FROM sentences")
+@query("metric_clue", "clues", "SELECT doc_id, metric FROM clues")
 def _(s):
     return s.select("doc_id", tx.metric_clue(F.col("text")).alias("metric"))
 
 
-@query("value_type_clue", "sentences", "SELECT doc_id, CASE WHEN text LIKE '%forecast%' THEN 'forecast' ELSE 'actual' END kind FROM sentences")
+@query("value_type_clue", "clues", "SELECT doc_id, value_type kind FROM clues")
 def _(s):
     return s.select("doc_id", tx.value_type_clue(F.col("text")).alias("kind"))
 
 
-@query("scope_clue", "sentences", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'group' WHEN doc_id % 3 = 1 THEN 'complex' ELSE 'plant' END scope FROM sentences")
+@query("scope_clue", "clues", "SELECT doc_id, scope FROM clues")
 def _(s):
-    tail = F.when(F.col("doc_id") % 3 == 0, " of the group").when(F.col("doc_id") % 3 == 1, " of the cascade").otherwise("")
-    return s.select("doc_id", tx.scope_clue(F.concat("text", tail)).alias("scope"))
+    return s.select("doc_id", tx.scope_clue(F.col("text")).alias("scope"))
 
 
-@query("period_type", "sentences", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'fiscal_year' WHEN doc_id % 4 = 1 THEN 'quarter' ELSE 'calendar_year' END period FROM sentences")
+@query("period_type", "clues", "SELECT doc_id, period FROM clues")
 def _(s):
-    tail = F.when(F.col("doc_id") % 4 == 0, " in fiscal terms").when(F.col("doc_id") % 4 == 1, " in the quarter").otherwise("")
-    return s.select("doc_id", tx.period_type(F.concat("text", tail)).alias("period"))
+    return s.select("doc_id", tx.period_type(F.col("text")).alias("period"))
 
 
 @query("sentence_ctx", "sentences", "SELECT doc_id, 'Net output of ' || want_year context FROM sentences")
@@ -554,12 +497,11 @@ def _(o, c):
     return ex.extract_rows(lines.select("key", "text"), lines.select("key", F.col("c_name").alias("name"))).select(F.col("key").alias("id"), "name", "annual")
 
 
-@query("extract_all", "sentences", "SELECT doc_id, want_year AS year, count(*) n FROM sentences GROUP BY doc_id, want_year")
-def _(s):
-    """Facts of text and of tables, the same fact once."""
-    a = ex.extract_text(s, "doc_id", "text").select("doc_id", "year", "value_raw", "unit_raw")
-    b = s.select("doc_id", F.col("want_year").alias("year"), F.col("want_value").alias("value_raw"), F.col("want_unit").alias("unit_raw"))
-    return a.unionByName(b).dropDuplicates(["doc_id", "year", "value_raw", "unit_raw"]).groupBy("doc_id", "year").agg(F.count("*").alias("n"))
+@query("extract_all", "fact_pages page_facts", """SELECT doc_id, locator, period_label, unit_raw, round(gwh, 6) gwh FROM page_facts
+  UNION ALL SELECT doc_id, 'text', regexp_extract(html, '<p>In ([0-9]+)', 1), 'GWh', cast(regexp_extract(html, 'generation ([0-9]+) GWh</p>', 1) AS double) FROM fact_pages WHERE doc_id % 5 = 4""")
+def _(pages, _expected):
+    parsed = ex.parse_pages(pages.select("doc_id", F.array("name").alias("names"), "html"))
+    return fa.extract_all(parsed, "doc_id", "names").select("doc_id", "locator", "period_label", "unit_raw", F.round("generation_gwh", 6).alias("gwh"))
 
 
 @query("relevance", "sentences", "SELECT doc_id, CASE WHEN want_unit = 'MW' THEN 0.9e0 ELSE 1.0e0 END score FROM sentences")

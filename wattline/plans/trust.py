@@ -14,7 +14,7 @@ RULE = """value_type = 'actual' AND period_type = 'calendar_year' AND measuremen
 CHAIN_SQL = """chain AS (SELECT r.* FROM records r JOIN candidates c ON r.candidate_id = c.candidate_id AND r.entity_id = c.entity_id AND r.period_type = c.period_type
   AND r.period_label = c.period_label AND r.value_type = c.value_type AND r.measurement_scope = c.measurement_scope AND r.metric = c.metric
   AND r.normalized_unit = c.normalized_unit AND r.generation_gwh = c.generation_gwh JOIN candidate_evidence ce ON ce.candidate_id = r.candidate_id AND ce.evidence_id = r.evidence_id
-  JOIN evidence e ON e.evidence_id = r.evidence_id JOIN archive d ON d.document_id = e.document_id AND d.content_hash = e.content_hash)"""
+  JOIN evidence e ON e.evidence_id = r.evidence_id JOIN archive d ON d.document_id = c.document_id AND d.document_id = e.document_id AND d.content_hash = e.content_hash)"""
 TRUSTED_SQL = f", trusted AS (SELECT * FROM records WHERE {RULE}) "
 CHAINED = f", {CHAIN_SQL}, ok AS (SELECT * FROM chain WHERE {RULE}) "
 

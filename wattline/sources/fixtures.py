@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattline.sources import phrases as ph
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 #: In order of dependence. Ids are strings as in the domain; years are ints.
@@ -32,12 +34,15 @@ FRAMES: dict[str, str] = {
         o_orderdate created_at, o_orderdate updated_at FROM orders""",
     "candidates": """SELECT 'C' || cast(o_orderkey AS string) candidate_id, 'T' || cast(o_orderkey AS string) task_id, cast(o_custkey AS string) entity_id,
         CASE WHEN o_orderkey % 10 = 1 THEN 'fiscal_year' ELSE 'calendar_year' END period_type, cast(year(o_orderdate) AS string) period_label,
-        CASE WHEN o_orderkey % 10 = 0 THEN 'forecast' ELSE 'actual' END value_type, 'plant' measurement_scope,
-        CASE WHEN o_orderkey % 19 = 0 THEN 'unknown' ELSE 'gross_generation' END metric, 'gwh' normalized_unit,
+        CASE WHEN o_orderkey % 10 = 0 THEN 'forecast' WHEN o_orderkey % 43 = 2 THEN NULL ELSE 'actual' END value_type, CASE WHEN o_orderkey % 37 = 1 THEN 'region' ELSE 'plant' END measurement_scope,
+        CASE WHEN o_orderkey % 19 = 0 THEN 'unknown' WHEN o_orderkey % 19 = 1 THEN 'net_generation' ELSE 'gross_generation' END metric, 'gwh' normalized_unit,
         CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice / 50 WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_totalprice / 100 END generation_gwh,
         CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE cast(6 - cast(substr(o_orderpriority, 1, 1) AS int) AS double) / 5 END confidence,
         CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'rejected' ELSE 'pending' END review_status, o_orderdate extracted_at,
-        'doc_' || cast(o_orderkey % 50 AS string) document_id FROM orders""",
+        CASE WHEN o_orderkey % 7 = 3 THEN 'doc_' || cast(o_orderkey % 50 AS string) ELSE e.document_id END document_id, 'src_' || cast(o_orderkey % 100 AS string) source_id,
+        cast(o_totalprice AS string) value_raw, CASE o_orderkey % 41 WHEN 5 THEN 'MW' WHEN 6 THEN 'hours' ELSE 'GWh' END unit_raw, 'line ' || cast(o_orderkey AS string) snippet,
+        CASE o_orderkey % 31 WHEN 0 THEN 'UNIT_UNCLEAR' WHEN 1 THEN 'UNIT_NOT_ENERGY,CAPACITY_SUSPECT' WHEN 2 THEN 'PERIOD_UNCLEAR' WHEN 3 THEN 'OCR_DERIVED' ELSE '' END flags
+        FROM orders LEFT JOIN (SELECT evidence_id, document_id FROM evidence) e ON e.evidence_id = 'E' || cast(o_orderkey AS string) || '-1'""",
     "candidate_evidence": """SELECT DISTINCT 'C' || cast(l_orderkey AS string) candidate_id, 'E' || cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) evidence_id
         FROM lineitem WHERE l_linenumber % 7 <> 0""",
     "evidence": """SELECT evidence_id, document_id, content_hash, fact_type, page_number, created_at FROM (
@@ -54,7 +59,8 @@ FRAMES: dict[str, str] = {
         FROM supplier LEFT JOIN (SELECT user_id % 100 uid, sum(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END) ok, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) bad,
         max(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN ts END) last_ok, max(CASE WHEN event_type = 'error' THEN ts END) last_bad FROM events GROUP BY user_id % 100) e ON e.uid = s_suppkey""",
     "tasks": """SELECT 'T' || cast(o_orderkey AS string) task_id, CASE WHEN o_orderkey % 3 = 0 THEN 'P' || cast(o_custkey % 100 AS string) ELSE cast(o_custkey AS string) END entity_id,
-        CASE WHEN o_orderkey % 3 = 0 THEN 'project' ELSE 'station' END entity_type, 'generation' task_type, cast(year(o_orderdate) AS string) target_period,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'project' ELSE 'station' END entity_type, 'generation' task_type, cast(year(o_orderdate) + CASE WHEN o_orderkey % 47 = 3 THEN 1 ELSE 0 END AS string) target_period,
+        CASE WHEN o_orderkey % 53 = 4 THEN 'fiscal_year' ELSE 'calendar_year' END task_period_type,
         CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'success' WHEN 3 THEN 'failed' WHEN 4 THEN 'needs_review' ELSE 'cancelled' END status,
         CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END priority_tier, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE cast(o_orderkey % 7 AS int) END collection_priority,
         cast(o_orderkey % 4 AS int) attempts, 3 max_attempts, CASE WHEN o_orderkey % 6 = 3 THEN 'extraction' END failure_stage, o_orderdate created_at, o_orderdate updated_at FROM orders""",
@@ -62,6 +68,18 @@ FRAMES: dict[str, str] = {
         CASE WHEN o_orderkey % 2 = 0 THEN 'generation' ELSE 'capacity' END fact_type, cast(o_custkey AS string) || '|' || cast(year(o_orderdate) AS string) fact_key, o_orderpriority reason,
         CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'rejected' ELSE 'open' END status,
         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'T' || cast(o_orderkey AS string) END task_id, o_orderdate created_at FROM orders""",
+    "whole_chains": """SELECT ce.candidate_id, min(CASE WHEN e.content_hash = d.content_hash THEN 1 ELSE 0 END) whole, min(e.evidence_id) first_evidence FROM candidate_evidence ce
+        LEFT JOIN evidence e ON e.evidence_id = ce.evidence_id LEFT JOIN archive d ON d.document_id = e.document_id GROUP BY ce.candidate_id""",
+    "decisions": """SELECT o_orderkey decision_id, 'rv_' || cast(o_orderkey AS string) review_id, CASE o_orderkey % 7 WHEN 0 THEN 'reject' WHEN 1 THEN 'cancel' WHEN 2 THEN 'request_more_evidence' WHEN 3 THEN 'maybe' ELSE 'approve' END decision,
+        'r' || cast(o_orderkey % 3 AS string) reviewer, CASE WHEN o_orderkey % 4 = 0 THEN 'not enough' END reason, o_orderdate decided_at FROM orders
+        UNION ALL SELECT o_orderkey + 100000000, 'rv_' || cast(o_orderkey AS string), 'reject', 'r9', NULL, o_orderdate FROM orders WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT c_custkey + 200000000, 'rv_none' || cast(c_custkey AS string), 'approve', 'r8', NULL, NULL FROM customer""",
+    "import_rows": """SELECT o_orderkey AS row, CASE WHEN o_orderkey % 29 = 7 THEN 'nobody' ELSE cast(o_custkey AS string) END entity_id, CASE WHEN o_orderkey % 23 = 4 THEN '95' ELSE cast(year(o_orderdate) AS string) END period_label,
+        CASE WHEN o_orderkey % 31 = 2 THEN 'quarter' ELSE 'calendar_year' END period_type, CASE WHEN o_orderkey % 37 = 5 THEN 'net_generation' ELSE 'Gross_Generation' END metric,
+        CASE WHEN o_orderkey % 19 = 3 THEN '' WHEN o_orderkey % 19 = 4 THEN '-5' WHEN o_orderkey % 19 = 5 THEN 'many' ELSE cast(cast(floor(o_totalprice) AS bigint) AS string) END generation_gwh,
+        CASE WHEN o_orderkey % 41 = 9 THEN 'MW' WHEN o_orderkey % 2 = 0 THEN '万千瓦时' ELSE ' GWh' END unit_raw, CASE WHEN o_orderkey % 43 = 11 THEN 'forecast' ELSE 'Actual' END value_type, CASE WHEN o_orderkey % 47 = 13 THEN 'region' ELSE 'plant' END measurement_scope,
+        CASE WHEN o_orderkey % 17 = 1 THEN '1.5' WHEN o_orderkey % 17 = 2 THEN '' WHEN o_orderkey % 17 = 3 THEN 'high' ELSE '0.8' END confidence, CASE WHEN o_orderkey % 13 = 6 THEN 'Another name' ELSE c_name END canonical_name
+        FROM orders JOIN customer ON c_custkey = o_custkey""",
     "transitions": """SELECT cast(user_id AS string) task_id, event_id seq, ts, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'needs_review' END status FROM events""",
     "links": """SELECT 'P' || cast(s_suppkey AS string) project_id, cast(s_suppkey AS string) station_id, 'becomes' link_type, cast(1950 + s_suppkey % 70 AS string) || '-01-01' effective_date FROM supplier WHERE s_suppkey % 3 = 0
         UNION ALL SELECT 'P' || cast(s_suppkey AS string), cast(s_suppkey + 1 AS string), 'expands', CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '2001-01-01' END FROM supplier WHERE s_suppkey % 2 = 0""",
@@ -70,6 +88,16 @@ FRAMES: dict[str, str] = {
     "sentences": """SELECT o_orderkey doc_id, cast(year(o_orderdate) AS string) want_year, cast(o_totalprice AS string) want_value, CASE o_orderkey % 4 WHEN 0 THEN 'GWh' WHEN 1 THEN 'MWh' WHEN 2 THEN 'TWh' ELSE 'MW' END want_unit,
         'Station ' || c_name || ' actual annual generation in ' || cast(year(o_orderdate) AS string) || ' was ' || cast(o_totalprice AS string) || ' ' || CASE o_orderkey % 4 WHEN 0 THEN 'GWh' WHEN 1 THEN 'MWh' WHEN 2 THEN 'TWh' ELSE 'MW' END || CASE o_orderkey % 3 WHEN 0 THEN ' net generation' WHEN 1 THEN ' forecast' ELSE '' END text
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "order_values": """SELECT o_orderkey doc_id, cast(year(o_orderdate) AS string) y, cast(year(o_orderdate) + 1 AS string) z, translate(cast(cast(floor(o_totalprice) AS bigint) + 1000000 AS string), '1290', '3456') v, c_name n FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "clues": f"SELECT doc_id, text, period, metric, nullif(value_type, '') value_type, nullif(scope, '') scope, full_year FROM order_values JOIN {ph.values(ph.CLUES, 'text', 'period', 'metric', 'value_type', 'scope', 'full_year')} c ON k = doc_id % {len(ph.CLUES)}",
+    "units": f"SELECT doc_id, unit, kind, nullif(factor, -1.0e0) factor FROM order_values JOIN {ph.values(ph.UNITS, 'unit', 'kind', 'factor')} c ON k = doc_id % {len(ph.UNITS)}",
+    "numbers": f"SELECT doc_id, raw, nullif(number, -1.0e0) number FROM order_values JOIN {ph.values(ph.NUMBERS, 'raw', 'number')} c ON k = doc_id % {len(ph.NUMBERS)}",
+    "urls": f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' HTTPS://Www.H' ELSE 'https://u@h' END || cast(doc_id % 50 AS string) || '.Example.org' || rest url, 'https://' || CASE doc_id % 3 WHEN 0 THEN 'www.h' ELSE 'h' END || cast(doc_id % 50 AS string) || '.example.org' || fixed canonical FROM order_values JOIN {ph.values(ph.URLS, 'rest', 'fixed')} c ON k = doc_id % {len(ph.URLS)}",
+    "year_lists": f"SELECT doc_id, replace(replace(text, '{{Y}}', y), '{{Z}}', z) text, replace(replace(listed, '{{Y}}', y), '{{Z}}', z) listed FROM order_values JOIN {ph.values(ph.YEAR_LISTS, 'text', 'listed')} c ON k = doc_id % {len(ph.YEAR_LISTS)}",
+    "fact_texts": f"SELECT doc_id, replace(replace(replace(text, '{{Y}}', y), '{{Z}}', z), '{{V}}', v) text FROM order_values JOIN {ph.values(ph.FACT_TEXTS, 'text')} c ON k = doc_id % {len(ph.FACT_TEXTS)}",
+    "facts": f"SELECT doc_id, nth, CASE yr WHEN 'Y' THEN y WHEN 'Z' THEN z END period_label, v value_raw, unit unit_raw, cast(v AS double) * nullif(factor, -1.0e0) gwh, metric, nullif(value_type, '') value_type, nullif(scope, '') measurement_scope, nullif(period, '') period_type, flags FROM order_values JOIN {ph.values(ph.FACTS, 'txt', 'nth', 'yr', 'unit', 'factor', 'metric', 'value_type', 'scope', 'period', 'flags')} c ON txt = doc_id % {len(ph.FACT_TEXTS)}",
+    "fact_pages": f"SELECT doc_id, 'Dam ' || n AS name, replace(replace(replace(replace(html, '{{Y}}', y), '{{Z}}', z), '{{V}}', v), '{{N}}', 'Dam ' || n) html FROM order_values JOIN {ph.values(ph.FACT_PAGES, 'html')} c ON k = doc_id % {len(ph.FACT_PAGES)}",
+    "page_facts": f"SELECT doc_id, locator, CASE yr WHEN 'Y' THEN y WHEN 'Z' THEN z END period_label, v value_raw, unit unit_raw, cast(v AS double) * factor gwh, metric, nullif(scope, '') measurement_scope FROM order_values JOIN {ph.values(ph.PAGE_FACTS, 'page', 'locator', 'yr', 'unit', 'factor', 'metric', 'scope')} c ON page = doc_id % {len(ph.FACT_PAGES)}",
     "candidate_urls": """SELECT page_id, url, page_id % 7 rank_no, cast(page_id % 11 AS double) / 10 score, CASE page_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type FROM pages
         UNION ALL SELECT page_id + 1000000, upper(substr(url, 1, 7)) || substr(url, 8) || '#x', 3, cast(page_id % 5 AS double) / 5, 'search' FROM pages WHERE page_id % 2 = 0""",
 }
