@@ -120,7 +120,7 @@ DOCUMENT_TERM = "download|attachment|report|annual|generation|production|stateme
 
 
 def document_links(pages: DataFrame, page: str = "page_id", year: int | None = None, most: int = 8) -> DataFrame:
-    """page, at, href of the links that look like documents or reports: the first `most` of each page, by place.
+    """page, at, href, full (the absolute address) of the links that look like documents or reports: the first `most` of each page, by place.
 
     pages: page, url and `parsed`. A link is read as an absolute http URL; it has the suffix of a document or a term of reports in
     URL or text. If a year is wanted, it or one next to it is in URL or text, or suffix and term both are. The page
@@ -137,8 +137,8 @@ def document_links(pages: DataFrame, page: str = "page_id", year: int | None = N
     dated = F.lit(True) if year is None else corpus.rlike("|".join(str(y) for y in (year - 1, year, year + 1))) | (suffix & term)
     key = [F.lower(F.regexp_replace(c, "/+$", "")) for c in ("full", "url")]
     kept = links.where((suffix | term) & dated & (key[0] != F.coalesce(key[1], F.lit("")))).withColumn("key", key[0])
-    once = kept.groupBy(page, "key").agg(F.min_by(F.struct("at", "href"), "at").alias("x")).select(page, "x.*")
-    return once.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("at"))).where(F.col("n") <= most).select(page, "at", "href")
+    once = kept.groupBy(page, "key").agg(F.min_by(F.struct("at", "href", "full"), "at").alias("x")).select(page, "x.*")
+    return once.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("at"))).where(F.col("n") <= most).select(page, "at", "href", "full")
 
 
 def _issue(code: str, severity: str, field: str, test: Column) -> Column:
@@ -195,6 +195,34 @@ def validate_candidates(candidates: DataFrame, stations: DataFrame, tasks: DataF
     })
 
 
+#: States of a project.
+PROJECT_STATUS = ("newly_commissioned", "under_construction", "approved", "announced")
+
+
+def validate_projects(projects: DataFrame, year: int) -> DataFrame:
+    """projects with `issues` (code, severity, field) as of a year: status, capacity, dates."""
+    status, since = F.coalesce(F.col("status"), F.lit("")), F.col("commissioning_year")
+    running = status == "newly_commissioned"
+    issues = [
+        _issue("MISSING_REQUIRED_FIELD", "medium", "status", status == ""),
+        _issue("PROJECT_STATUS_CONFLICT", "medium", "status", (status != "") & ~status.isin(*PROJECT_STATUS)),
+        _issue("VALUE_OUT_OF_RANGE", "high", "capacity_mw", F.col("capacity_mw") < 0),
+        _issue("PROJECT_DATE_CONFLICT", "medium", "commissioning_year", running & since.isNull()),
+        _issue("PROJECT_DATE_CONFLICT", "high", "commissioning_year", running & (since > year)),
+    ]
+    return projects.withColumn("issues", F.array_compact(F.array(*issues)))
+
+
+def csv_rows(docs: DataFrame, doc_id: str, body: str, schema: str) -> DataFrame:
+    """doc_id, nth and the columns of schema of each row of a CSV text after its header; blank lines and a byte order mark do not count.
+
+    Quoted commas and quotes are read; a line end inside quotes ends the row. Missing cells are null.
+    """
+    lines = F.filter(F.split(F.regexp_replace(body, "^\ufeff", ""), r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = docs.select(doc_id, F.posexplode(lines).alias("nth", "line")).where("nth > 0")
+    return rows.select(doc_id, "nth", F.from_csv("line", schema, {"escape": '"'}).alias("r")).select(doc_id, "nth", "r.*")
+
+
 def record_confidence() -> Column:
     """0.8 if passed, else 0.6 less 0.3 for each high and 0.1 for each medium issue; 0.1 more for evidence, 0.05 for its page; averaged
     with the extractor's (0.5 if unknown), within 0 and 1."""
@@ -226,15 +254,18 @@ def promotion_gates(review_required: bool = True) -> Column:
 
 
 def merge_sources(rows: DataFrame) -> DataFrame:
-    """rows (url, rank, id, score, source_type) by canonical URL: the first row's url stays, later rows with a greater
-    score overlay the score and type, other spellings are aliases (at most 20), in order of rank and id."""
-    tier = F.when(F.col("source_type") == "official", 3).when(F.col("source_type") == "authority", 2).otherwise(1)
-    keyed = rows.select(tx.canonical_url(F.col("url")).alias("canonical"), F.struct("rank", "id", "url", "score", tier.alias("tier"), "source_type").alias("row"))
-    w = Window.partitionBy("canonical").orderBy("row.rank", "row.id")
-    numbered = keyed.withColumn("n", F.row_number().over(w))
-    best = F.max_by("row", F.struct(F.col("row.score"), F.col("row.tier"), (-F.col("n")).alias("early")))
-    out = numbered.groupBy("canonical").agg(F.min_by("row.url", "n").alias("url"), best.alias("best"), F.collect_set(F.when(F.col("n") <= 21, F.col("row.url"))).alias("urls"), F.count("*").alias("rows"))
-    return out.select("canonical", "url", F.col("best.score").alias("score"), F.col("best.source_type").alias("source_type"), F.sort_array(F.array_remove("urls", F.col("url"))).alias("alias_urls"), "rows")
+    """rows (url, rank, id, score, source_type) by canonical URL: the first row's url stays; score and type are those of the best row
+    (a score, the greater score, the higher kind of source; of equals the first); other spellings are aliases (the first 20), in order
+    of rank and id. Aggregations only: one URL may have any number of rows."""
+    tier = F.when(F.col("source_type") == "official", 3).when(F.col("source_type") == "authority", 2).when(F.col("source_type") == "reference", 1).otherwise(0)
+    order = F.struct("rank", "id")
+    keyed = rows.select("*", tx.canonical_url(F.col("url")).alias("canonical"), order.alias("at"), F.struct(F.col("score").isNotNull(), F.coalesce("score", F.lit(0.0)), tier).alias("quality"))
+    first = keyed.groupBy("canonical").agg(F.min_by("url", "at").alias("url"), F.max("quality").alias("quality"), F.count("*").alias("rows"))
+    best = keyed.groupBy("canonical", "quality").agg(F.min_by(F.struct("score", "source_type"), "at").alias("best"))
+    spellings = keyed.groupBy("canonical", "url").agg(F.min("at").alias("at")).groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("at", "url"))).alias("seen"))
+    out = first.join(best, ["canonical", "quality"]).join(spellings, "canonical")
+    others = F.slice(F.filter(F.transform("seen", lambda x: x["url"]), lambda u: u != F.col("url")), 1, 20)
+    return out.select("canonical", "url", F.col("best.score").alias("score"), F.col("best.source_type").alias("source_type"), others.alias("alias_urls"), "rows")
 
 
 def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
@@ -244,7 +275,7 @@ def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame
     island = F.col("at") - F.row_number().over(Window.partitionBy(doc, page).orderBy("at"))
     rows = F.sort_array(F.collect_list(F.struct("at", "cells")))
     out = cells.withColumn("block", island).groupBy(doc, page, "block").agg(rows.alias("r"))
-    return out.select(doc, page, "block", F.element_at("r", 1)["cells"].alias("header"), F.transform(F.slice("r", 2, 1 << 20), lambda x: x["cells"]).alias("rows"))
+    return out.select(doc, page, "block", F.element_at("r", 1)["cells"].alias("header"), F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["cells"]).alias("rows"))
 
 
 def extract_rows(lines: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
@@ -258,11 +289,3 @@ def sentence_context(text: Column, word: str, longest: int = 500, around: int =
     """The sentence around the first hit of a literal word, or `around` characters on both sides of it if the sentence is too long."""
     sentence = F.trim(F.regexp_extract(text, rf"([^.!?\n]*{word}[^.!?\n]*)", 1))
     return F.when(F.length(sentence) <= longest, sentence).otherwise(F.regexp_extract(text, rf"(.{{0,{around}}}{word}.{{0,{around}}})", 1))
-
-
-def relevance(text: Column, name: Column, year: Column) -> Column:
-    """0.55 for the name, 0.20 for the year within 180 characters of a word of generation, 0.15 for an annual scope, 0.10 for a unit of energy."""
-    term = "(?:generation|发电量|output)"
-    window = F.regexp_extract(text, rf"(?is)(.{{0,180}}{term}.{{0,180}})", 1)
-    score = F.when(F.instr(F.lower(text), F.lower(name)) > 0, 0.55).otherwise(0.0) + F.when(F.instr(window, year) > 0, 0.20).otherwise(0.0)
-    return F.round(score + F.when(tx.full_year_clue(text), 0.15).otherwise(0.0) + F.when(text.rlike("(?i)[gmtk]wh|千瓦时"), 0.10).otherwise(0.0), 4)

@@ -83,6 +83,30 @@ def fold_reliability(events: DataFrame, key: str, order: list[str], ok: Column,
     return out.select(key, score.alias("score"), "success_count", "failure_count")
 
 
+def generate_tasks(stations: DataFrame, projects: DataFrame, years: list[str], station_limit: int | None = None, project_limit: int | None = None) -> DataFrame:
+    """Tasks of entities, the first by tier and priority if there is a limit: a station's generation of each year and its capacity, a project's status and commissioning."""
+    order = ("priority_tier", "collection_priority", "entity_id")
+    cut = lambda rows, n: rows if n is None else rows.orderBy(*[F.asc_nulls_first(c) for c in order]).limit(n)
+    wanted = [("station", [*[("station_generation", y) for y in years], ("station_capacity", None)], cut(stations, station_limit)), ("project", [("project_status", None), ("project_commissioning", None)], cut(projects, project_limit))]
+    out = []
+    for entity_type, kinds, rows in wanted:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("task_type"), F.lit(p).cast("string").alias("target_period")) for k, p in kinds]))
+        out.append(rows.select("entity_id", "priority_tier", "collection_priority", each.alias("x")).select("entity_id", F.lit(entity_type).alias("entity_type"), "x.*", "priority_tier", "collection_priority"))
+    tasks = out[0].unionByName(out[1])
+    return tasks.withColumn("task_id", F.concat_ws("::", "entity_id", "task_type", F.coalesce("target_period", F.lit("-"))))
+
+
+def status_updates(entities: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities with the status of their last update, the history: entity_id, old_status, new_status, seq of each update of a known entity).
+
+    updates: entity_id, status, seq."""
+    last = updates.groupBy("entity_id").agg(F.max_by("status", "seq").alias("__new"))
+    now = entities.join(last, "entity_id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
+    before = F.lag("status").over(Window.partitionBy("entity_id").orderBy("seq"))
+    steps = updates.withColumn("__before", before).join(entities.select("entity_id", F.col("status").alias("__first")), "entity_id")
+    return now, steps.select("entity_id", F.coalesce("__before", "__first").alias("old_status"), F.col("status").alias("new_status"), "seq")
+
+
 #: Which task status may follow which.
 TRANSITIONS = {
     "pending": ("running", "cancelled"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wattline.functions import text as tx
-from wattline.operators import extract as ex, facts as fa, frames as fr, trust as t
+from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, trust as t
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
 from wattline.streaming import jobs
@@ -53,25 +53,12 @@ def _(s):
     return s.select("url", F.inline(F.array(tx.link_class(F.col("url"), words))))
 
 
-@query("report_urls", "sources", "SELECT url, y.year, regexp_extract(url, '^(https?://[^/]+)', 1) || '/reports/' || y.year || '/annual.pdf' report FROM sources CROSS JOIN (SELECT unnest(['2018', '2019', '2020']) AS year) y")
-def _(s):
-    site = F.regexp_extract("url", "^(https?://[^/]+)", 1)
-    return s.select("url", F.explode(F.array(*map(F.lit, ("2018", "2019", "2020")))).alias("year")).withColumn("report", F.concat(site, F.lit("/reports/"), "year", F.lit("/annual.pdf")))
-
-
 @query("known_report_urls", "sources", "SELECT DISTINCT replace(replace(url, '2019', y.year), '{year}', y.year) report FROM sources CROSS JOIN (SELECT unnest(['2017', '2021']) AS year) y WHERE source_type = 'official'")
 def _(s):
     rows = s.where("source_type = 'official'").select("url", F.explode(F.array(F.lit("2017"), F.lit("2021"))).alias("year"))
     return rows.select(F.replace("url", F.lit("2019"), F.col("year")).alias("report")).distinct()
 
 
-@query("query_variants", "stations", """SELECT entity_id, canonical_name || ' generation 2020|' || canonical_name || ' annual report 2020' || CASE WHEN country = 'NATION_1' THEN '|' || canonical_name || ' 发电量 2020' ELSE '' END phrases FROM stations""")
-def _(s):
-    name = F.col("canonical_name")
-    phrases = F.array(F.concat(name, F.lit(" generation 2020")), F.concat(name, F.lit(" annual report 2020")), F.when(F.col("country") == "NATION_1", F.concat(name, F.lit(" 发电量 2020"))))
-    return s.select("entity_id", F.array_join(F.slice(F.array_distinct(phrases), 1, 5), "|").alias("phrases"))
-
-
 @query("merge_sources", "candidate_urls", f"""SELECT canonical, min_url url, round(best, 6) score, n AS rows FROM (SELECT canonical, arg_min(url, rn) min_url, max(score) best, count(*) n FROM (SELECT {CANON} canonical, url, score, row_number() OVER (PARTITION BY {CANON} ORDER BY rank_no, page_id) rn FROM candidate_urls) x GROUP BY canonical) y""")
 def _(u):
     return ex.merge_sources(u.select("url", F.col("rank_no").alias("rank"), F.col("page_id").alias("id"), "score", "source_type")).select("canonical", "url", F.round("score", 6).alias("score"), "rows")
@@ -89,37 +76,6 @@ def _(u, s):
     return both.groupBy("channel").agg(F.count("*").alias("n"), F.count_distinct(tx.canonical_url(F.col("url"))).alias("distinct_urls"))
 
 
-TRUST = "CASE source_type WHEN 'official' THEN 0.7e0 WHEN 'authority' THEN 0.75e0 ELSE 0.4e0 END + CASE WHEN url LIKE '%.gov/%' THEN 0.1e0 WHEN url LIKE '%.org/%' THEN 0.05e0 ELSE 0.0e0 END + CASE WHEN url LIKE 'https:%' THEN 0.02e0 ELSE 0.0e0 END"
-
-
-def reliability():
-    u = F.col("url")
-    base = F.when(F.col("source_type") == "official", 0.7).when(F.col("source_type") == "authority", 0.75).otherwise(0.4)
-    return F.least(F.lit(1.0), base + F.when(u.like("%.gov/%"), 0.1).when(u.like("%.org/%"), 0.05).otherwise(0.0) + F.when(u.like("https:%"), 0.02).otherwise(0.0))
-
-
-def fit():
-    return F.least(F.lit(1.0), F.lit(0.5) + F.when(F.col("url").contains("2019"), 0.2).otherwise(0.0) + F.when(F.col("url").contains("annual"), 0.1).when(F.col("url").endswith(".pdf"), 0.05).otherwise(0.0))
-
-
-FIT = "least(1.0e0, 0.5e0 + CASE WHEN url LIKE '%2019%' THEN 0.2e0 ELSE 0.0e0 END + CASE WHEN url LIKE '%annual%' THEN 0.1e0 WHEN url LIKE '%.pdf' THEN 0.05e0 ELSE 0.0e0 END)"
-
-
-@query("score_reliability", "sources", f"SELECT url, round(least(1.0e0, {TRUST}), 6) score FROM sources")
-def _(s):
-    return s.select("url", F.round(reliability(), 6).alias("score"))
-
-
-@query("score_fit", "sources", f"SELECT url, round({FIT}, 6) score FROM sources")
-def _(s):
-    return s.select("url", F.round(fit(), 6).alias("score"))
-
-
-@query("rank_sources", "sources", f"SELECT entity_id, url, round(0.6e0 * least(1.0e0, {TRUST}) + 0.4e0 * {FIT}, 6) score FROM sources")
-def _(s):
-    return s.select("entity_id", "url", F.round(0.6 * reliability() + 0.4 * fit(), 6).alias("score"))
-
-
 @query("combined_score", "candidate_urls", "SELECT page_id, round(least(1.0e0, 0.65e0 * score + 0.35e0 * coalesce(CASE WHEN page_id % 3 <> 0 THEN score END, 0)), 4) score FROM candidate_urls")
 def _(u):
     relevance = F.coalesce(F.when(F.col("page_id") % 3 != 0, F.col("score")), F.lit(0.0))
@@ -150,36 +106,11 @@ def _(e):
     return e.select("event_id", parsed.isNotNull().alias("ok"), F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
 
 
-@query("csv_doc_table", "sentences", "SELECT doc_id, want_year AS year, want_value AS value FROM sentences")
+@query("csv_doc_table", "order_values", """SELECT doc_id, nth, name, amount, note FROM (SELECT doc_id, 1 nth, 'Dam, ' || n AS name, v AS amount, 'a "b" c' note FROM order_values UNION ALL SELECT doc_id, 2, n, z, NULL FROM order_values) x""")
 def _(s):
-    body = F.concat_ws("\n", F.lit("year,value"), F.concat_ws(",", "want_year", "want_value"), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
-    rows = s.select("doc_id", F.explode(F.slice(lines, 2, 1000)).alias("line"))
-    return rows.select("doc_id", F.from_csv("line", "year string, value string").alias("r")).select("doc_id", "r.year", "r.value")
-
-
-@query("content_kind", "pages", "SELECT page_id, CASE WHEN html LIKE '%PDF-%' AND starts_with(html, '%PDF-') THEN 'pdf' WHEN regexp_matches(lower(substr(html, 1, 200)), '<!doctype html|<html') THEN 'html' WHEN substr(ltrim(html), 1, 1) IN ('{', '[') THEN 'json' ELSE 'unknown' END kind FROM pages")
-def _(p):
-    h = F.col("html")
-    kind = F.when(h.startswith("%PDF-"), "pdf").when(F.lower(F.substring(h, 1, 200)).rlike("<!doctype html|<html"), "html").when(F.substring(F.ltrim(h), 1, 1).isin("{", "["), "json").otherwise("unknown")
-    return p.select("page_id", kind.alias("kind"))
-
-
-BLOCKED = "captcha|access denied|verify you are human|too many requests"
-
-
-@query("fetch_validate", "pages", f"SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'http_error' WHEN length(html) = 0 THEN 'empty' WHEN length(html) > 20000 THEN 'too_large' WHEN regexp_matches(lower(substr(html, 1, 8192)), '{BLOCKED}') THEN 'blocked' ELSE 'ok' END code FROM pages")
-def _(p):
-    h = F.col("html")
-    code = F.when(F.col("page_id") % 13 == 0, "http_error").when(F.length(h) == 0, "empty").when(F.length(h) > 20000, "too_large").when(F.lower(F.substring(h, 1, 8192)).rlike(BLOCKED), "blocked").otherwise("ok")
-    return p.select("page_id", code.alias("code"))
-
-
-@query("probe_status", "pages", "SELECT page_id, CASE WHEN page_id % 7 IN (1, 3) THEN 'requires_browser' WHEN page_id % 7 = 5 THEN 'unavailable' ELSE 'reachable' END status FROM pages")
-def _(p):
-    code = F.element_at(F.array(*map(F.lit, (200, 401, 200, 429, 301, 500, 200))), (F.col("page_id") % 7 + 1).cast("int"))
-    status = F.when(code.isin(401, 403, 429), "requires_browser").when(code >= 400, "unavailable").otherwise("reachable")
-    return p.select("page_id", status.alias("status"))
+    """Quoted commas and quotes, a byte order mark, blank lines and a short row."""
+    body = F.concat(F.lit("\ufeffname,amount,note\r\n\""), F.lit("Dam, "), "n", F.lit('",'), "v", F.lit(',"a ""b"" c"\n\n  \n'), "n", F.lit(","), "z", F.lit("\n"))
+    return ex.csv_rows(s.select("doc_id", body.alias("body")), "doc_id", "body", "name string, amount string, note string")
 
 
 FACT_COLUMNS = "period_label, value_raw, unit_raw, round(gwh, 6) gwh, metric, value_type, measurement_scope, period_type, flags"
@@ -223,12 +154,6 @@ def _(p):
     return p.select("entity_id", tx.clean(n).alias("name"), tx.slug(n).alias("slug"), tx.compact_name(n).alias("compact"))
 
 
-@query("station_aliases", "stations", "SELECT entity_id, canonical_name || '|' || lower(operator) AS names FROM stations")
-def _(s):
-    names = tx.aliases(F.col("aliases"))
-    return s.select("entity_id", F.array_join(names, "|").alias("names"))
-
-
 @query("turbines", "part", "SELECT p_partkey, cast(p_size + p_size % 5 AS int) n FROM part")
 def _(p):
     s = F.concat(F.col("p_size").cast("string"), F.lit(" x 700 MW; "), (F.col("p_size") % 5).cast("string"), F.lit(" X 50 MW"))
@@ -264,9 +189,18 @@ def _(s):
     return s.select("entity_id", F.sha2(F.concat_ws("|", *parts), 256).alias("hash"))
 
 
-@query("validate_projects", "projects", "SELECT entity_id, coalesce(status, '') NOT IN ('newly_commissioned', 'under_construction', 'approved') bad_status, capacity_mw < 0 bad_capacity, status = 'newly_commissioned' AND commissioning_year > 2010 bad_year FROM projects")
+PROJECT_ISSUES = """[CASE WHEN status IS NULL OR status = '' THEN 'MISSING_REQUIRED_FIELD:medium' WHEN status NOT IN ('newly_commissioned', 'under_construction', 'approved', 'announced') THEN 'PROJECT_STATUS_CONFLICT:medium' END, CASE WHEN capacity_mw < 0 THEN 'VALUE_OUT_OF_RANGE:high' END,
+  CASE WHEN status = 'newly_commissioned' AND commissioning_year IS NULL THEN 'PROJECT_DATE_CONFLICT:medium' END, CASE WHEN status = 'newly_commissioned' AND commissioning_year > 2010 THEN 'PROJECT_DATE_CONFLICT:high' END]"""
+VARIED = """(SELECT entity_id, capacity_mw, CASE WHEN length(canonical_name) % 2 = 1 THEN '' WHEN capacity_mw < 1000 THEN 'mothballed' ELSE status END status, CASE WHEN capacity_mw > 8000 THEN NULL ELSE commissioning_year + 40 END commissioning_year FROM projects)"""
+
+
+@query("validate_projects", "projects", f"SELECT entity_id, array_to_string(list_filter({PROJECT_ISSUES}, lambda x: x IS NOT NULL), ',') issues FROM {VARIED} p")
 def _(p):
-    return p.select("entity_id", (~F.coalesce("status", F.lit("")).isin("newly_commissioned", "under_construction", "approved")).alias("bad_status"), (F.col("capacity_mw") < 0).alias("bad_capacity"), ((F.col("status") == "newly_commissioned") & (F.col("commissioning_year") > 2010)).alias("bad_year"))
+    """As of 2010; some statuses are made missing or unknown, some years missing or late."""
+    status = F.when(F.length("canonical_name") % 2 == 1, "").when(F.col("capacity_mw") < 1000, "mothballed").otherwise(F.col("status"))
+    year = F.when(F.col("capacity_mw") <= 8000, F.col("commissioning_year") + 40)
+    rows = ex.validate_projects(p.withColumns({"status": status, "commissioning_year": year}), 2010)
+    return rows.select("entity_id", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["code"], i["severity"])), ",").alias("issues"))
 
 
 @query("review_enqueue", "reviews", "SELECT review_id, CASE WHEN n = 1 THEN fact_key ELSE fact_key || '#' || candidate_id END fact_key, CASE WHEN n > 1 THEN 'CONFLICT_CANDIDATE' ELSE reason END reason FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, fact_type, fact_key ORDER BY created_at, review_id) n FROM reviews) x")
@@ -282,11 +216,11 @@ def _(r):
     return r.select("id", "entity_id", F.round(F.lag("generation_gwh").over(w), 4).alias("old_gwh"), F.round("generation_gwh", 4).alias("new_gwh"))
 
 
-@query("generate_tasks", "stations projects", "SELECT entity_id || '::generation::' || y.year task_id FROM stations CROSS JOIN (SELECT unnest(['1999', '2000']) AS year) y WHERE priority_tier = 'A' UNION ALL SELECT entity_id || '::capacity::-' FROM stations WHERE priority_tier = 'A' UNION ALL SELECT entity_id || '::status::-' FROM projects")
+@query("generate_tasks", "stations projects", """SELECT entity_id || '::' || kind || '::' || period task_id, priority_tier, collection_priority FROM (SELECT * FROM stations ORDER BY priority_tier, collection_priority, entity_id LIMIT 40) s CROSS JOIN (SELECT * FROM (VALUES ('station_generation', '1999'), ('station_generation', '2000'), ('station_capacity', '-')) k(kind, period)) y
+  UNION ALL SELECT entity_id || '::' || kind || '::-', NULL, NULL FROM projects CROSS JOIN (SELECT unnest(['project_status', 'project_commissioning']) AS kind) y""")
 def _(s, p):
-    a = s.where("priority_tier = 'A'")
-    years = a.withColumn("y", F.explode(F.array(F.lit("1999"), F.lit("2000")))).select(F.concat_ws("::", "entity_id", F.lit("generation"), "y").alias("task_id"))
-    return years.union(a.select(F.concat(F.col("entity_id"), F.lit("::capacity::-")))).union(p.select(F.concat(F.col("entity_id"), F.lit("::status::-"))))
+    empty = {"priority_tier": F.lit(None).cast("string"), "collection_priority": F.lit(None).cast("int")}
+    return fr.generate_tasks(s, p.withColumns(empty), ["1999", "2000"], station_limit=40).select("task_id", "priority_tier", "collection_priority")
 
 
 @query("retryable", "tasks", "SELECT task_id FROM tasks WHERE status = 'failed' AND attempts < max_attempts")
@@ -294,10 +228,21 @@ def _(x):
     return x.where("status = 'failed' and attempts < max_attempts").select("task_id")
 
 
-@query("project_status_update", "projects transitions", "SELECT p.entity_id, coalesce(u.status, p.status) status FROM projects p LEFT JOIN (SELECT task_id, arg_max(status, seq) status FROM transitions GROUP BY task_id) u ON 'P' || u.task_id = p.entity_id")
+UPDATES = "(SELECT 'P' || task_id entity_id, status, seq, ts FROM transitions)"
+
+
+@query("project_status_update", "projects transitions", f"SELECT p.entity_id, coalesce(u.status, p.status) status FROM projects p LEFT JOIN (SELECT entity_id, arg_max(status, seq) status FROM {UPDATES} u GROUP BY entity_id) u ON u.entity_id = p.entity_id")
+def _(p, h):
+    return fr.status_updates(p, _updates(h))[0].select("entity_id", "status")
+
+
+@query("project_status_history", "projects transitions", f"SELECT u.entity_id, coalesce(lag(u.status) OVER (PARTITION BY u.entity_id ORDER BY seq), p.status) old_status, u.status new_status, u.seq FROM {UPDATES} u JOIN projects p ON p.entity_id = u.entity_id")
 def _(p, h):
-    last = h.groupBy("task_id").agg(F.max_by("status", "seq").alias("new"))
-    return p.join(last.select(F.concat(F.lit("P"), "task_id").alias("entity_id"), "new"), "entity_id", "left").select("entity_id", F.coalesce("new", "status").alias("status"))
+    return fr.status_updates(p, _updates(h))[1].select("entity_id", "old_status", "new_status", "seq")
+
+
+def _updates(h):
+    return h.select(F.concat(F.lit("P"), "task_id").alias("entity_id"), "status", "seq")
 
 
 OLD, NEW = "id % 3 <> 0", "id % 2 = 0"
@@ -370,10 +315,15 @@ def _(e):
     return jobs.quota_admit(e)
 
 
-@query("lease_expiry", "events", """SELECT s.user_id, last_seen FROM (SELECT user_id, max(ts) last_seen FROM events WHERE event_type IN ('signup', 'click') GROUP BY 1) s LEFT JOIN (SELECT user_id, max(ts) ended FROM events WHERE event_type = 'purchase' GROUP BY 1) d ON d.user_id = s.user_id
-  WHERE (ended IS NULL OR ended < last_seen) AND epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(last_seen)) > 3600""")
+LEASES = """(SELECT user_id task_id, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'done' ELSE 'other' END kind, event_id % 3 worker, ts, event_id FROM events)"""
+
+
+@query("lease_expiry", "events", f"""WITH e AS (SELECT *, last(CASE WHEN kind = 'claim' THEN worker END IGNORE NULLS) OVER w holder FROM {LEASES} l WHERE kind <> 'other' WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)),
+  f AS (SELECT *, last(CASE WHEN kind = 'claim' OR (kind = 'heartbeat' AND worker = holder) THEN ts END IGNORE NULLS) OVER (PARTITION BY task_id ORDER BY ts, event_id) seen FROM e),
+  g AS (SELECT task_id, arg_max(kind, (ts, event_id)) FILTER (WHERE kind IN ('claim', 'done')) state, max(seen) seen, count(CASE WHEN kind = 'claim' THEN 1 END) claims FROM f GROUP BY task_id)
+  SELECT task_id, seen last_seen, claims attempts, 'failed' status FROM g WHERE state = 'claim' AND epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(seen) > 3600""")
 def _(e):
-    return jobs.lease_expiry(e, "2024-01-31 00:00:00", 3600)
+    return jobs.lease_expiry(jobs.leases(e), "2024-01-31 00:00:00", 3600)
 
 
 @query("idempotent_ingest", "events", "SELECT event_id, user_id FROM events")
@@ -417,24 +367,22 @@ def _(s, o):
     return rows.select("entity_id", (F.col("home").isNotNull() & (F.col("home") != F.col("country"))).alias("conflict"))
 
 
-@query("estimate_reliability", "sources", "SELECT url, CASE WHEN url LIKE '%.gov/%' THEN 0.9e0 WHEN url LIKE '%annual%' THEN 0.75e0 ELSE 0.6e0 END score FROM sources")
-def _(s):
-    u = F.col("url")
-    return s.select("url", F.when(u.like("%.gov/%"), 0.9).when(u.like("%annual%"), 0.75).otherwise(0.6).alias("score"))
+LINKED = """, found AS (SELECT page_id, url, nth, href, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^([^/?#]*//[^/?#]*)', 1) || href END full_url FROM (SELECT page_id, url, 1 nth, '/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf' href FROM pages
+  UNION ALL SELECT page_id, url, 2, '/data.csv?v=2' FROM pages UNION ALL SELECT page_id, url, 3, 'https://other.example/' || cast(page_id % 3 AS string) || '.xlsx' FROM pages) z) """
 
 
-@query("link_filter", "pages")
-def _(p):
+@query("link_filter", "linked_pages pages", LINKED + "SELECT page_id, href FROM found")
+def _(p, _pages):
     """Links of a page that look like documents or reports: eight for each page, by place. Pages have no year of a task."""
-    return ex.document_links(ex.parse_pages(p.select("page_id", "url", "html")))
+    return ex.document_links(ex.parse_pages(p)).select("page_id", "href")
 
 
-@query("expand_attachments", "pages")
-def _(p):
-    """Links of a page as child candidates with the parent's id and a stable id of their own."""
-    links = ex.parse_pages(p.select("page_id", "url", "html")).select("page_id", "url", F.explode(F.array_distinct("parsed.links")).alias("href"))
-    child = F.when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), "href")).otherwise(F.col("href"))
-    return links.select("page_id", child.alias("child"), tx.stable_id("cand_", F.col("url"), child).alias("id"))
+@query("expand_attachments", "linked_pages pages", LINKED + r"""SELECT page_id, full_url url, url parent_url, CASE WHEN full_url LIKE '%.pdf' THEN 'pdf' WHEN full_url LIKE '%.xlsx' THEN 'excel' ELSE 'csv' END document_type, 'cand_' || substr(sha256(trim(url) || chr(31) || full_url), 1, 20) id FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, nth) k
+  FROM (SELECT *, regexp_replace(regexp_extract(lower(url), '^[^/?#]*//([^/?#]*)', 1), '^www\.', '') site, row_number() OVER (PARTITION BY lower(full_url) ORDER BY page_id, nth) once FROM found f) x WHERE once = 1) y WHERE k <= 20""")
+def _(p, known):
+    """Links that look like documents, as candidates of their own; the pages of one host are a group."""
+    links = ex.document_links(ex.parse_pages(p)).join(p.select("page_id", "url"), "page_id")
+    return di.expand_attachments(links.withColumn("group", tx.publisher_domain(F.col("url"))), known.select("url")).drop("at")
 
 
 @query("slug", "stations", "SELECT entity_id, regexp_replace(upper(canonical_name), '[^A-Z0-9]+', '-', 'g') slug FROM stations")
@@ -447,11 +395,6 @@ def _(s):
     return s.select("entity_id", tx.compact_name(F.col("canonical_name")).alias("compact"))
 
 
-@query("block_page", "pages", f"SELECT page_id, regexp_matches(lower(substr(html, 1, 8192)), '{BLOCKED}') blocked FROM pages")
-def _(p):
-    return p.select("page_id", F.lower(F.substring("html", 1, 8192)).rlike(BLOCKED).alias("blocked"))
-
-
 @query("full_year_clue", "clues", "SELECT doc_id, full_year clue FROM clues")
 def _(s):
     return s.select("doc_id", tx.full_year_clue(F.col("text")).alias("clue"))
@@ -504,11 +447,6 @@ def _(pages, _expected):
     return fa.extract_all(parsed, "doc_id", "names").select("doc_id", "locator", "period_label", "unit_raw", F.round("generation_gwh", 6).alias("gwh"))
 
 
-@query("relevance", "sentences", "SELECT doc_id, CASE WHEN want_unit = 'MW' THEN 0.9e0 ELSE 1.0e0 END score FROM sentences")
-def _(s):
-    return s.select("doc_id", ex.relevance(F.col("text"), F.regexp_extract("text", r"(Customer#\d+)", 1), F.col("want_year")).alias("score"))
-
-
 def _id(key: str, sql: str, column):
     query(key, "records", f"SELECT id, {sql} AS value FROM records")(lambda r: r.select("id", column().alias("value")))
 

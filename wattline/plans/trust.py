@@ -237,10 +237,13 @@ def _(r, s):
     return r.orderBy(F.desc("updated_at"), F.desc("id")).limit(4).join(s.select("entity_id", "canonical_name"), "entity_id", "left").select("id", "canonical_name")
 
 
-@query("record_detail", "records stations sources", "SELECT r.id, s.canonical_name, o.title FROM records r LEFT JOIN stations s ON s.entity_id = r.entity_id LEFT JOIN (SELECT source_id, min(title) title FROM sources GROUP BY source_id) o ON o.source_id = r.source_id WHERE r.id % 50 = 7")
-def _(r, s, o):
-    title = o.groupBy("source_id").agg(F.min("title").alias("title"))
-    return r.where("id % 50 = 7").join(s.select("entity_id", "canonical_name"), "entity_id", "left").join(title, "source_id", "left").select("id", "canonical_name", "title")
+@query("record_detail", "records stations sources evidence archive", """SELECT r.id, s.canonical_name, o.title, e.page_number, d.original_url, d.content_kind FROM records r LEFT JOIN stations s ON s.entity_id = r.entity_id LEFT JOIN (SELECT source_id, min(title) title FROM sources GROUP BY source_id) o ON o.source_id = r.source_id
+  LEFT JOIN evidence e ON e.evidence_id = r.evidence_id LEFT JOIN archive d ON d.document_id = e.document_id""")
+def _(r, s, o, e, d):
+    titles = o.groupBy("source_id").agg(F.min("title").alias("title"))
+    rows = r.join(s.select("entity_id", "canonical_name"), "entity_id", "left").join(titles, "source_id", "left")
+    rows = rows.join(e.select("evidence_id", "document_id", "page_number"), "evidence_id", "left").join(d.select("document_id", "original_url", "content_kind"), "document_id", "left")
+    return rows.select("id", "canonical_name", "title", "page_number", "original_url", "content_kind")
 
 
 @query("station_generation", "records sources", "SELECT r.entity_id, r.id, period_label, title FROM records r LEFT JOIN (SELECT source_id, min(title) title FROM sources GROUP BY source_id) o ON o.source_id = r.source_id")

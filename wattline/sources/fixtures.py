@@ -98,6 +98,13 @@ FRAMES: dict[str, str] = {
     "facts": f"SELECT doc_id, nth, CASE yr WHEN 'Y' THEN y WHEN 'Z' THEN z END period_label, v value_raw, unit unit_raw, cast(v AS double) * nullif(factor, -1.0e0) gwh, metric, nullif(value_type, '') value_type, nullif(scope, '') measurement_scope, nullif(period, '') period_type, flags FROM order_values JOIN {ph.values(ph.FACTS, 'txt', 'nth', 'yr', 'unit', 'factor', 'metric', 'value_type', 'scope', 'period', 'flags')} c ON txt = doc_id % {len(ph.FACT_TEXTS)}",
     "fact_pages": f"SELECT doc_id, 'Dam ' || n AS name, replace(replace(replace(replace(html, '{{Y}}', y), '{{Z}}', z), '{{V}}', v), '{{N}}', 'Dam ' || n) html FROM order_values JOIN {ph.values(ph.FACT_PAGES, 'html')} c ON k = doc_id % {len(ph.FACT_PAGES)}",
     "page_facts": f"SELECT doc_id, locator, CASE yr WHEN 'Y' THEN y WHEN 'Z' THEN z END period_label, v value_raw, unit unit_raw, cast(v AS double) * factor gwh, metric, nullif(scope, '') measurement_scope FROM order_values JOIN {ph.values(ph.PAGE_FACTS, 'page', 'locator', 'yr', 'unit', 'factor', 'metric', 'scope')} c ON page = doc_id % {len(ph.FACT_PAGES)}",
+    "fetch_log": f"SELECT page_id, status, ctype, replace(replace(replace(replace(replace(body, '{{BIG}}', repeat('x', 300001)), '{{L}}', chr(10)), '{{C3}}', chr(3)), '{{C4}}', chr(4)), '{{B}}', html) body, expected, code, kind FROM pages JOIN {ph.values(ph.FETCHES, 'status', 'ctype', 'body', 'expected', 'code', 'kind')} c ON k = page_id % {len(ph.FETCHES)}",
+    "probe_log": f"SELECT event_id, nullif(status, -1) status, ctype, document_type, 'https://x.example' || tail url, access, state FROM events JOIN {ph.values(ph.PROBES, 'status', 'ctype', 'document_type', 'tail', 'access', 'state')} c ON k = event_id % {len(ph.PROBES)}",
+    "rated_sources": f"SELECT doc_id, 'Big Dam ' || n AS name, y AS year, r.url, r.source_type, r.score reliability, replace(replace(f.url, '{{Y}}', y), '{{S}}', lower(replace('Big Dam ' || n, ' ', ''))) fit_url, f.document_type, replace(replace(preview, '{{Y}}', y), '{{N}}', 'Big Dam ' || n) preview, f.score fit, g.url guess_url, g.document_type guess_type, channel, depth, g.score guess FROM order_values JOIN {ph.values(ph.RELIABILITY, 'url', 'source_type', 'score')} r ON r.k = doc_id % {len(ph.RELIABILITY)} JOIN {ph.values(ph.FITS, 'url', 'document_type', 'preview', 'score')} f ON f.k = doc_id % {len(ph.FITS)} JOIN {ph.values(ph.GUESSES, 'url', 'document_type', 'channel', 'depth', 'score')} g ON g.k = doc_id % {len(ph.GUESSES)}",
+    "named": f"SELECT doc_id, names, known FROM order_values JOIN {ph.values(ph.ALIASES, 'names', 'known')} c ON k = doc_id % {len(ph.ALIASES)}",
+    "phrased": f"SELECT doc_id, y AS year, name, operator, country, domain AS site, fiscal, replace(phrases, '{{Y}}', y) wanted FROM order_values JOIN {ph.values(ph.PHRASED, 'name', 'operator', 'country', 'domain', 'fiscal', 'phrases')} c ON k = doc_id % {len(ph.PHRASED)}",
+    "about": f"SELECT doc_id, y AS year, 'Dam ' || n AS name, replace(replace(replace(text, '{{Y}}', y), '{{V}}', v), '{{N}}', 'Dam ' || n) text, CASE asked WHEN 'disclosure' THEN 'calendar_year' ELSE asked END period_type, asked = 'disclosure' disclosure, reason, score, scope FROM order_values JOIN {ph.values(ph.RELEVANCES, 'text', 'asked', 'reason', 'score', 'scope')} c ON k = doc_id % {len(ph.RELEVANCES)}",
+    "linked_pages": """SELECT page_id, url, html || '<p><a href="/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf">Report</a> <a href="/press/' || cast(page_id AS string) || '">News</a> <a href="/data.csv?v=2">t</a> <a href="https://other.example/' || cast(page_id % 3 AS string) || '.xlsx">x</a></p>' html FROM pages""",
     "candidate_urls": """SELECT page_id, url, page_id % 7 rank_no, cast(page_id % 11 AS double) / 10 score, CASE page_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type FROM pages
         UNION ALL SELECT page_id + 1000000, upper(substr(url, 1, 7)) || substr(url, 8) || '#x', 3, cast(page_id % 5 AS double) / 5, 'search' FROM pages WHERE page_id % 2 = 0""",
 }

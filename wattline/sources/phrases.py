@@ -92,11 +92,67 @@ PAGE_FACTS = [
 ]
 
 
+#: status, declared type, body ({B}: a page, {L}: a line end, {BIG}: more than is allowed), expected kind; what is wrong, the kind
+FETCHES = [
+    (200, "text/html", "{B}", "any", "ok", "html"), (404, "", "{B}", "any", "http_404", "html"), (403, "text/html", "{B}", "any", "http_403", "html"), (429, "", "x", "any", "http_429", "unknown"), (500, "", "x", "any", "http_error", "unknown"),
+    (200, "", "", "any", "empty_body", "unknown"), (200, "", "%PDF-1.7 x", "pdf", "ok", "pdf"), (200, "text/html", "{B}", "pdf", "not_pdf", "html"), (200, "", "  %PDF-1.4", "any", "ok", "pdf"), (200, "application/json", "x", "json", "ok", "json"),
+    (200, "", "{a: 1}", "any", "ok", "json"), (200, "", "[1, 2]", "csv", "not_expected_type", "json"), (200, "", "a,b{L}1,2", "csv", "ok", "csv"), (200, "", "<html><body>Just a moment please", "any", "html_block_page", "html"),
+    (200, "", "<HTML>Access Denied", "any", "html_block_page", "html"), (200, "", "access denied, in plain words", "any", "ok", "unknown"), (200, "text/html", "请稍候", "any", "html_block_page", "html"), (200, "text/csv", "x", "excel", "not_expected_type", "csv"),
+    (200, "application/vnd.ms-excel", "x", "excel", "ok", "excel"), (200, "", "PK{C3}{C4}rest", "any", "ok", "excel"), (200, "", "nothing", "any", "ok", "unknown"), (200, "text/html", "{BIG}", "any", "too_large", "html"), (302, "", "x", "any", "http_error", "unknown"), (204, "", "x", "html", "not_expected_type", "unknown"),
+    (200, "text/html", "We use Cloudflare", "any", "html_block_page", "html"), (200, "text/html", "please enable JavaScript", "any", "html_block_page", "html"), (200, "text/html", "Unusual traffic", "any", "html_block_page", "html"), (200, "text/html", "人机验证", "any", "html_block_page", "html"),
+    (200, "text/html", "Are you a robot?", "any", "html_block_page", "html"), (200, "text/html", "Verifying you are human", "any", "html_block_page", "html"), (200, "text/html", "CAPTCHA", "any", "html_block_page", "html"), (200, "text/html", "403 Forbidden", "any", "html_block_page", "html"),
+    (200, "text/html", "请开启 JavaScript", "any", "html_block_page", "html"),
+]
+#: status (-1: none), declared type, kind of document, end of the address; access and state
+PROBES = [
+    (200, "text/html", "html", "/x", "reachable", "discovered"), (200, "text/html", "PDF", "/x", "requires_browser", "discovered"), (200, "text/html; charset=utf-8", "", "/x.PDF?y=1", "requires_browser", "discovered"), (200, "application/pdf", "pdf", "/x.pdf", "reachable", "discovered"),
+    (301, "", "", "/x", "reachable", "discovered"), (401, "", "", "/x", "requires_browser", "discovered"), (403, "text/html", "pdf", "/x.pdf", "requires_browser", "discovered"), (429, "", "", "/x", "requires_browser", "discovered"),
+    (404, "", "", "/x", "unavailable", "unavailable"), (500, "", "", "/x", "unavailable", "unavailable"), (-1, "", "", "/x", "unknown", "unavailable"),
+]
+#: address, kind of source; reliability
+RELIABILITY = [
+    ("https://www.iea.org/x", "other", 0.90), ("https://notiea.org/x", "search_result", 0.47), ("http://sub.eia.gov/x", "official", 0.95), ("http://power.gov/x", "official", 1.0), ("https://a.gov.br/x", "authority", 0.92), ("http://b.org.uk/", "authority", 0.85),
+    ("https://c.com/", "official", 0.92), ("ftp://c.com/", "other", 0.5), ("http://gov.example.com/", "search_result", 0.40), ("https://nea.gov.cn/", "other", 0.95), ("http://user@ctg.com.cn:80/", "other", 0.90), ("https://iea.org.evil.com/", "unknown", 0.52),
+]
+#: address, kind of document, what is known of the text; fit ({S}: the name without spaces, {N}: the name)
+FITS = [
+    ("https://x.com/{Y}/annual-report.pdf", "pdf", "", 0.8), ("https://x.com/{S}-{Y}.pdf", "pdf", "", 0.95), ("https://x.com/a", "html", "", 0.5), ("https://x.com/a", "html", "{N} {Y} GENERATION of electricity in GWh", 0.8),
+    ("https://x.com/{Y}", "html", "Electricity", 0.76), ("https://x.com/year-report/{S}/{Y}", "pdf", "gwh", 1.0), ("https://x.com/AnnualReport", "", "nothing", 0.6), ("https://x.com/x.pdf", "pdf", "", 0.55),
+]
+#: address, kind of document, channel, depth; estimate
+GUESSES = [
+    ("https://x.gov/a", "pdf", "sitemap", 0, 0.90), ("https://x.gov/a", "html", "sitemap", 0, 0.85), ("https://official.com", "html", "navigation", 2, 0.85), ("https://x.org/a", "pdf", "navigation", 1, 0.85), ("https://x.com/a", "html", "navigation", 1, 0.65),
+    ("https://x.com/a.gov", "pdf", "navigation", 3, 0.75), ("https://x.com/", "html", "sitemap", 1, 0.7), ("https://x.edu/", "html", "search", 0, 0.75), ("https://government.com/", "pdf", "search", 0, 0.95), ("https://wikipedia.com/", "html", "search", 0, 0.70),
+    ("https://x.com/", "pdf", "search", 0, 0.6), ("https://official.net/", "html", "search", 0, 0.75),
+]
+#: names joined by |; aliases joined by |
+ALIASES = [
+    ("Three Gorges Dam Hydroelectric Station|三峡水电站", "Three Gorges Dam Hydroelectric Station|three|gorges|Three Gorges|三峡水电站|三峡电站"), ("Itaipu Binacional", "Itaipu Binacional|itaipu|binacional"), ("长江葛洲坝水电厂", "长江葛洲坝水电厂|葛洲坝水电厂|葛洲坝电站"),
+    (" Belo Monte Power Plant ||Ab", "Belo Monte Power Plant|belo|monte|Belo Monte"), ("Atatürk HES", "Atatürk HES|atatürk"), ("", ""), ("Rio", "Rio"),
+]
+#: name, operator, country, known domain, fiscal year; the phrases joined by |
+PHRASED = [
+    ("Hoover Dam", "USBR", "United States", "", False, "\"Hoover Dam\" {Y} annual generation|\"Hoover Dam\" {Y} annual report generation|\"USBR\" {Y} annual report \"Hoover Dam\" generation"),
+    ("Hoover Dam", "", "United States", "www.USBR.gov", True, "\"Hoover Dam\" {Y} fiscal year annual generation|\"Hoover Dam\" {Y} fiscal year annual report generation|site:usbr.gov \"Hoover Dam\" {Y} annual generation"),
+    ("三峡电站", "长江电力", "China", "", False, "三峡电站 {Y} 完成发电量|三峡电站 {Y} 全年 发电量|长江电力 {Y} 发电量完成情况公告"), ("三峡电站", "", "China", "", True, "三峡电站 {Y} 财政年度 完成发电量|三峡电站 {Y} 财政年度 全年 发电量|三峡电站 {Y} 财政年度 发电量 年度报告"),
+    ("Usina Hidrelétrica Itaipu", "", "Brazil", "", False, "Itaipu {Y} geração anual|Itaipu {Y} relatório anual geração"), ("Atatürk", "DSI", "Türkiye", "", False, "\"Atatürk\" {Y} yıllık elektrik üretimi|\"Atatürk\" {Y} yıllık faaliyet raporu üretim|\"DSI\" {Y} yıllık üretim raporu \"Atatürk\""),
+    ("Aswan", "", "Egypt", "", False, "\"Aswan\" {Y} إنتاج الكهرباء السنوي|\"Aswan\" {Y} التقرير السنوي إنتاج الكهرباء"),
+]
+#: text, kind of period asked for; reason, score, scope
+RELEVANCES = [
+    ("{N}: annual generation in {Y} was {V} GWh", "calendar_year", "confirmed", 1.0, "annual"), ("{N}: annual generation in {Y} was {V} GWh", "fiscal_year", "unclear_period", 0.0, "annual"), ("Another dam: annual generation in {Y}", "calendar_year", "no_name", 0.0, "annual"),
+    ("{N} annual generation", "calendar_year", "no_year", 0.0, "annual"), ("{N} in {Y}: a fine view", "calendar_year", "no_year", 0.0, "unknown"), ("{N} energia gerada no primeiro trimestre, {Y}", "calendar_year", "partial_period", 0.0, "partial"),
+    ("{N} fiscal year {Y}: electricity generation of {V} GWh", "calendar_year", "fiscal_period", 0.0, "fiscal_year"), ("{N} fiscal year {Y}: electricity generation of {V} GWh", "fiscal_year", "confirmed", 1.0, "fiscal_year"),
+    ("{N} 招标: {Y} 发电量", "calendar_year", "excluded", 0.0, "unknown"), ("{N} annual report, 招标: full year {Y} electricity generation", "calendar_year", "confirmed", 1.0, "annual"), ("{N} electricity generation of {Y}", "calendar_year", "unclear_period", 0.0, "unknown"),
+    ("{N} gerou {V} GWh em {Y}, notícia de 5 de maio de 1984", "calendar_year", "confirmed", 1.0, "annual"), ("{N} gerou {V} GWh em janeiro de {Y}", "calendar_year", "partial_period", 0.0, "partial"), ("{Y}年发电量完成情况公告：全年发电量 {V}", "disclosure", "disclosure", 0.72, "annual"),
+]
+
+
 def values(rows: list[tuple] | list[str], *names: str) -> str:
     """A numbered VALUES table that Spark and DuckDB both read."""
 
     def cell(x) -> str:
-        return f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"cast({x!r} AS double)" if isinstance(x, float) else str(x)
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"cast({x!r} AS double)" if isinstance(x, float) else str(x)
 
     lines = ",".join(f"({i}, {', '.join(map(cell, r if isinstance(r, tuple) else (r,)))})" for i, r in enumerate(rows))
     return f"(SELECT * FROM (VALUES {lines}) v(k, {', '.join(names)}))"

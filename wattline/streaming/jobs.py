@@ -51,12 +51,66 @@ def quota_admit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds:
     return rows.groupBy("key").applyInPandasWithState(step, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def lease_expiry(events: DataFrame, as_of: str, lease_seconds: int, key: str = "user_id") -> DataFrame:
-    """Tasks that were claimed (signup), not ended (purchase), and without a heartbeat (click) for the lease: key, last_seen."""
-    seen = events.where("event_type in ('signup', 'click')").groupBy(key).agg(F.max("ts").alias("last_seen"))
-    ended = events.where("event_type = 'purchase'").groupBy(key).agg(F.max("ts").alias("ended"))
-    rows = seen.join(ended, key, "left").where(F.col("ended").isNull() | (F.col("ended") < F.col("last_seen")))
-    return rows.where(F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_seen") > lease_seconds).select(key, "last_seen")
+def leases(events: DataFrame) -> DataFrame:
+    """Events of tasks by the given table: a sign-up claims the task, a click is a heartbeat, a purchase ends it."""
+    kind = F.when(F.col("event_type") == "signup", "claim").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "purchase", "done")
+    return events.select(F.col("user_id").alias("task_id"), kind.alias("kind"), (F.col("event_id") % 3).alias("worker"), F.col("ts").cast("timestamp").alias("ts"), "event_id").where("kind is not null")
+
+
+LEASE = "task_id long, last_seen timestamp, attempts long, status string"
+
+
+def _lease(rows: pd.DataFrame, state: tuple) -> tuple:
+    """(holder, seconds of the last claim or heartbeat of the holder, running, claims) after events in order."""
+    holder, seen, running, claims = state
+    for kind, worker, ts in zip(rows.kind, rows.worker, rows.ts, strict=True):
+        if kind == "claim":
+            holder, seen, running, claims = int(worker), ts.timestamp(), True, claims + 1
+        elif kind == "heartbeat" and worker == holder:
+            seen = max(seen, ts.timestamp())
+        elif kind == "done":
+            running = False
+    return holder, seen, running, claims
+
+
+def lease_expiry(events: DataFrame, as_of: str, lease_seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Tasks whose lease has passed: task_id, last_seen, attempts, status (failed). events: task_id, kind, worker, ts, event_id.
+
+    Only a heartbeat of the worker that claimed the task extends its lease. A batch is judged as of a time; a stream by event time: a timer of the
+    task's state fires once the watermark passes the end of its lease, and late events beyond `delay` do not count.
+    """
+    start = (-1, 0.0, False, 0)
+
+    def expired(key: int, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"task_id": [key], "last_seen": pd.to_datetime([state[1]], unit="s"), "attempts": [state[3]], "status": ["failed"]})
+
+    if not events.isStreaming:
+        task = Window.partitionBy("task_id").orderBy("ts", "event_id")
+        holder = F.last(F.when(F.col("kind") == "claim", F.col("worker")), ignorenulls=True).over(task)
+        rows = events.withColumn("holder", holder)
+        counts = (F.col("kind") == "claim") | (F.col("kind") == "heartbeat") & (F.col("worker") == F.col("holder"))
+        when = F.struct("ts", "event_id")
+        state = rows.groupBy("task_id").agg(F.max(F.when(counts, F.col("ts"))).alias("last_seen"), F.count_if(F.col("kind") == "claim").alias("attempts"), F.max_by("kind", F.when(F.col("kind") != "heartbeat", when)).alias("state"))
+        late = F.lit(as_of).cast("timestamp").cast("double") - F.col("last_seen").cast("double") > lease_seconds
+        return state.where((F.col("state") == "claim") & late).select(F.col("task_id").cast("long").alias("task_id"), "last_seen", "attempts", F.lit("failed").alias("status"))
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else start
+        if state.hasTimedOut:
+            state.update((now[0], now[1], False, now[3]))
+            yield expired(key[0], now)
+            return
+        now = _lease(pd.concat(frames).sort_values(["ts", "event_id"]), now)
+        if now[2] and (now[1] + lease_seconds) * 1000 <= state.getCurrentWatermarkMs():  # it passed before this event was seen
+            state.update((now[0], now[1], False, now[3]))
+            yield expired(key[0], now)
+            return
+        state.update(now)
+        if now[2]:
+            state.setTimeoutTimestamp(int((now[1] + lease_seconds) * 1000) + 1)
+
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return rows.groupBy("task_id").applyInPandasWithState(step, LEASE, "holder long, seen double, running boolean, claims long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def idempotent_ingest(events: DataFrame, id_col: str = "event_id", delay: str = "1 hour") -> DataFrame:
