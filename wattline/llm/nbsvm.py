@@ -121,7 +121,10 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "label", key: st
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `score` (0 to 1) from each whole text; null and empty texts have no features. A column named score is replaced."""
+    """docs with `score` (0 to 1) from each whole text; null and empty texts have no features, so the bias decides.
+
+    Very long texts are read whole; repeated rows get equal scores; an empty table stays empty. A column named score is replaced.
+    """
     names = [c for c in docs.columns if c != "score"]
     docs = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)

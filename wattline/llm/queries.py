@@ -16,6 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes. A null text is 16 bytes like an empty one; copies of a text are a
+    group, which stays whole unless it is over 1 % of a shard; repeated rows have slots of their own; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     raw = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.xxhash64(raw).alias("h"))
@@ -24,10 +27,14 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and perplexity bands of all documents. Null and empty texts have no words and fail the base rules; a null
+    language is one of its own; copies count once in a band; very long texts are counted whole; an empty table gives no rows.
+    """
     return perplexity.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 def op3_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece counts of all documents. Null and empty texts have none; very long texts are counted whole; repeated rows stay."""
     return word_pieces.count_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -37,9 +44,9 @@ def fold() -> Column:
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, kind: str) -> DataFrame:
-    """doc_id, text, label of the rows that may be learned from."""
+    """doc_id, text, label of the rows that may be learned from; of several labels of an id the greatest counts. Null ids and labels teach nothing."""
     labels = table(spark, sf_dir, "labels", "doc_id", kind).where(F.col(kind).isNotNull() & (fold() != 0))
-    return docs.select("doc_id", "text").join(labels.select("doc_id", F.col(kind).alias("label")), "doc_id")
+    return docs.select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max(kind).alias("label")), "doc_id")
 
 
 def _verdict(scored: DataFrame, least: float) -> DataFrame:
@@ -47,12 +54,16 @@ def _verdict(scored: DataFrame, least: float) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents. Null and empty texts get the score of a text without matches; a null doc_id is not held
+    out; repeated rows get equal scores; an empty table gives no rows; without labels the fixed lists alone decide.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return _verdict(toxicity.score(docs, toxicity.learn(labelled(spark, docs, sf_dir, "toxic"))), 0.5)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document and benchmark item in it."""
+    """One row for each document and benchmark item in it. Null, empty and wordless texts and items have none; repeated rows have their own;
+    an empty table on either side gives no rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text")), "found")
     k1, k2 = text_key(F.col("text"))
@@ -62,21 +73,30 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document and template in it."""
+    """One row for each document and template in it. Null, empty and wordless texts have none; repeated rows have their own."""
     out = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", F.inline("licenses"))
 
 
 def op7_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents. Null and empty texts are scored by the bias alone; a null doc_id is not held out; repeated
+    rows get equal scores; an empty table gives no rows; without labels of both kinds the only kind is foretold.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return _verdict(nbsvm.score(docs, nbsvm.learn(labelled(spark, docs, sf_dir, "quality"))), 0.3)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of all documents. Null, empty and blank texts have no links; repeated rows are copies; an empty table
+    gives no rows.
+    """
     return jaccard_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of all documents without repeated 200-byte strings. Null counts as empty; texts under 200 bytes stay whole; repeated
+    rows lose all that is 200 bytes or more; an empty table gives no rows.
+    """
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(
@@ -89,6 +109,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents. Null counts as empty: no tokens; repeated rows stay; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe_tree.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

@@ -199,7 +199,8 @@ def weigh(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> Dat
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `score` (0 to 1) from each whole text; null and empty texts get the score of a text without matches.
 
-    A column named score is replaced.
+    Very long texts are read whole; repeated rows get equal scores; an empty table stays empty. A column named score is replaced,
+    one named __wl_weight is not kept; other names stay.
     """
     names = [c for c in docs.columns if c != "score"]
     curve = 1 / (1 + F.exp(-(F.lit(model.slope) * F.log1p("__wl_weight") + F.lit(model.base))))
