@@ -109,13 +109,36 @@ def test_document_links(spark):
     assert sorted(map(tuple, ex.document_links(ex.parse_pages(pages)).drop("full").collect())) == sorted(want)
 
 
-def test_quota_window(spark):
-    rows = jobs.quota_admit(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), limit=2, seconds=36_000).where("admitted").orderBy("ts").collect()
-    per: dict = {}
-    for r in rows:
-        times = per.setdefault(r.key, [])
-        times.append(r.ts.timestamp())
-        assert sum(t > times[-1] - 36_000 for t in times) <= 2
+def test_quota(spark):
+    """A brute-force walk over each key's calls: budget of a request, failures in a row, admitted calls in the window."""
+    calls = jobs.provider_calls(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    for limit, seconds, budget, failures in ((2, 36_000, 99, 99), (3, 3600, 2, 1), (50, 60, 3, 2)):
+        got = {r.event_id: r.status for r in jobs.quota_admit(calls, limit, seconds, budget, failures).collect()}
+        done: dict = {}
+        for r in sorted(calls.collect(), key=lambda r: (r.ts, r.event_id)):
+            own = done.setdefault(r.key, [])
+            request = []
+            for q in reversed(own):
+                if q.request != r.request:
+                    break
+                request.insert(0, q)
+            taken = [q for q in request if got[q.event_id] == "admitted"]
+            row = 0
+            for q in reversed(taken):
+                if not q.failed:
+                    break
+                row += 1
+            near = [q for q in own if got[q.event_id] == "admitted" and (r.ts - q.ts).total_seconds() < seconds]
+            want = "budget_exhausted" if len(taken) >= budget else "circuit_open" if row >= failures else "rate_limited" if len(near) >= limit else "admitted"
+            assert got[r.event_id] == want
+            own.append(r)
+
+
+def test_ranks_of_parts(spark):
+    from wattline.operators import trust as t
+
+    rows = spark.range(2000).select("id", (F.col("id") % 3).alias("entity_id"), (F.col("id") % 2).alias("y"), (F.col("id") % 97).cast("double").alias("generation_gwh"))
+    assert sorted(t.rank_by(rows, "y", part_rows=90).collect()) == sorted(t.rank_by(rows, "y").collect())
 
 
 def test_leases(spark, tmp_path):
@@ -145,7 +168,7 @@ def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    for name, job in (("quota", jobs.quota_admit), ("ingest", jobs.idempotent_ingest)):
+    for name, job in (("quota", lambda e: jobs.quota_admit(jobs.provider_calls(e), budget=4, failures=2)), ("ingest", jobs.idempotent_ingest)):
         run = job(stream).writeStream.format("memory").queryName(name).outputMode("append").start()
         run.processAllAvailable()
         run.stop()

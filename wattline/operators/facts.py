@@ -156,3 +156,53 @@ def extract_all(parsed: DataFrame, doc_id: str, names: str | None = None) -> Dat
     """Facts of the text and of the tables of parsed pages."""
     texts = extract_text(parsed.select(doc_id, F.col("parsed.text").alias("text")), doc_id, "text")
     return texts.unionByName(extract_tables(parsed, doc_id, names))
+
+
+def locator_meta(locator: Column) -> tuple[Column, Column]:
+    """The page and the cell that a locator names, null where it does not."""
+    page = F.regexp_extract(locator, r"(?i)(?:^|[.\s])page\[(\d+)\](?:\.|$)", 1)
+    table = F.regexp_extract(locator, r"(?i)(table\[\d+\](?:\.row\[\d+\])?(?:\.col\[\d+\])?)", 1)
+    return F.nullif(page, F.lit("")).try_cast("int"), F.nullif(table, F.lit(""))
+
+
+#: Fields of a candidate in a model's answer, and what they may say.
+ANSWER = "period_label string, period_type string, generation_gwh double, metric string, normalized_unit string, value_type string, measurement_scope string, value_raw string, unit_raw string, snippet string, confidence double"
+ALLOWED = {
+    "period_type": ("calendar_year", "fiscal_year", "quarter", "month", "ytd", "rolling_12_months"), "metric": ("gross_generation", "net_generation", "energy_sent_out", "electricity_sales", "unknown"), "normalized_unit": ("gwh",),
+    "value_type": ("actual", "forecast", "estimate"), "measurement_scope": ("plant", "complex", "group", "region"),
+}
+
+
+def llm_candidates(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """key, valid, candidates (with flags) of answers that should be an object with a list `candidates` of known fields.
+
+    Unknown fields, values of another kind, negative amounts and a confidence beyond 0 to 1 make the whole answer invalid; then it has no candidates.
+    """
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+    parsed = F.try_parse_json(body)
+    items = F.try_variant_get(parsed, "$.candidates", "array<variant>")
+    texts = F.from_json(F.col(body), f"candidates array<struct<{', '.join(f'{n}: string' for n in names)}>>")
+    rows = answers.select(key, F.col(body).alias("body"), items.alias("items"), texts["candidates"].alias("texts"), parsed.alias("parsed"))
+    keys_ok = F.forall(F.coalesce("items", F.array().cast("array<variant>")), lambda v: F.size(F.array_except(F.coalesce(F.json_object_keys(F.to_json(v)), F.array(F.lit("?"))), F.array(*map(F.lit, names)))) == 0)
+    top_ok = F.coalesce(F.size(F.array_except(F.json_object_keys("body"), F.array(F.lit("candidates")))) == 0, F.lit(False))
+    number = lambda x: x.isNull() | x.try_cast("double").isNotNull()
+    values_ok = F.forall(
+        F.coalesce("texts", F.expr(f"cast(array() as array<struct<{', '.join(f'{n}: string' for n in names)}>>)")),
+        lambda c: reduce(Column.__and__, [
+            *[c[n].isNull() | c[n].isin(*v) for n, v in ALLOWED.items()], number(c["generation_gwh"]), number(c["confidence"]),
+            F.coalesce(c["generation_gwh"].try_cast("double") >= 0, F.lit(True)), F.coalesce(c["confidence"].try_cast("double").between(0, 1), F.lit(True)),
+        ]),
+    )
+    rows = rows.withColumn("valid", F.coalesce(F.col("parsed").isNotNull() & top_ok & keys_ok & values_ok, F.lit(False)))
+
+    def flags(c: Column) -> Column:
+        kind = tx.unit_kind(F.coalesce(c["unit_raw"], F.lit("")))
+        tests = [
+            ("LLM_SOURCED", F.lit(True)), ("FORECAST_SUSPECT", c["value_type"] == "forecast"), ("SCOPE_NOT_PLANT", c["measurement_scope"].isin("region", "complex", "group")), ("METRIC_UNCLEAR", F.coalesce(c["metric"], F.lit("unknown")) == "unknown"),
+            ("UNIT_NOT_ENERGY", kind == "power"), ("CAPACITY_SUSPECT", kind == "power"), ("UNIT_UNCLEAR", kind == "unclear"),
+            ("PERIOD_UNCLEAR", (c["period_type"] == "calendar_year") & c["period_label"].isNotNull() & ~tx.full_year_clue(F.coalesce(c["snippet"], F.lit("")))),
+        ]
+        return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(n)) for n, test in tests]))
+
+    found = F.transform("texts", lambda c: F.struct(*[(c[n].try_cast("double") if n in ("generation_gwh", "confidence") else c[n]).alias(n) for n in names], flags(c).alias("flags")))
+    return rows.select(key, "valid", F.when(F.col("valid"), F.coalesce(found, F.lit(None))).alias("candidates"))

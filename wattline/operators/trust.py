@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wattline.functions import text as tx
 from wattline.functions.spec import TrustSpec
 
 CHAIN_KEYS = ("entity_id", "period_type", "period_label", "value_type", "measurement_scope", "metric", "normalized_unit", "generation_gwh")
@@ -45,10 +46,35 @@ def top_n(rows: DataFrame, year: str, n: int = 100) -> DataFrame:
     return best.withColumn("rank", rank.cast("long"))
 
 
-def rank_by(rows: DataFrame, *keys: str, k: int | None = None) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("generation_gwh"), "entity_id", "id"))
-    out = rows.withColumn("rank", rank.cast("long"))
-    return out if k is None else out.where(F.col("rank") <= k)
+PART_ROWS = 1_000_000  # ranked in one task
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], first: Column, name: str = "rank", part_rows: int = PART_ROWS) -> DataFrame:
+    """rows with `name`: 1, 2, ... within keys, in the given order; no task ranks more than about `part_rows` rows of a key.
+
+    first: a number by which the order begins, ascending. Large keys are cut at its percentiles; rows are numbered within
+    a part and the sizes of the parts before it are added. Equal values of `first` stay in one part.
+    """
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // part_rows)
+    if parts <= 1:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10 * parts).alias("__cuts"))
+    placed = rows.join(cuts, keys).withColumn("__at", first).withColumn("__part", F.size(F.filter("__cuts", lambda x: x < F.col("__at")))).drop("__cuts", "__at")
+    sizes = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "__part", before.alias("__start"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return placed.withColumn("__own", own).join(starts, [*keys, "__part"]).withColumn(name, (F.col("__start") + F.col("__own")).cast("long")).drop("__part", "__own", "__start")
+
+
+def rank_by(rows: DataFrame, *keys: str, k: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """rows with their rank by generation within keys; the first k only if asked."""
+    order = [F.desc("generation_gwh"), F.asc("entity_id"), F.asc("id")]
+    if k is None:
+        return ranked(rows, list(keys), order, -F.col("generation_gwh"), part_rows=part_rows)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))  # Spark keeps k rows of a key before it shuffles
+    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -72,3 +98,24 @@ def ground_truth(cases: DataFrame, records: DataFrame, tolerance: float = 0.05)
     diff = F.abs(F.col("generation_gwh") - F.col("expected")) / F.col("expected")
     status = F.when(F.col("generation_gwh").isNull(), "missing").when(diff <= tolerance, "matched").otherwise("mismatched")
     return cases.join(newest, ["entity_id", "period_label"], "left").withColumns({"status": status, "diff_pct": F.round(diff * 100, 4)})
+
+
+def holdout_score(found: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One row of counts and rates of what was found (case_id, url) against annotations (case_id, label_status, gold_urls).
+
+    Cases that are confirmed_hit or confirmed_no_hit are reviewed; URLs match by their canonical form. recall and precision are null
+    where nothing can be divided. gate_open: all cases are reviewed. One row for each case, or it is counted as often.
+    """
+    plain = lambda u: F.regexp_replace(tx.canonical_url(u), "/+$", "")
+    urls = found.groupBy("case_id").agg(F.collect_list(plain(F.col("url"))).alias("urls"))
+    rows = annotations.join(urls, "case_id", "left").withColumns({"urls": F.coalesce("urls", F.array().cast("array<string>")), "gold": F.transform("gold_urls", plain)})
+    rows = rows.withColumn("hits", F.size(F.filter("urls", lambda u: F.array_contains(F.col("gold"), u))))
+    status, seen = F.col("label_status"), F.col("label_status").isin("confirmed_hit", "confirmed_no_hit")
+    total = lambda c: F.coalesce(F.sum(F.when(seen, c)), F.lit(0)).cast("long")
+    out = rows.agg(
+        F.count("*").alias("total_cases"), F.count_if(seen).alias("reviewed"), F.count_if(status == "confirmed_hit").alias("hits"), F.count_if(status == "confirmed_no_hit").alias("no_hits"),
+        F.count_if((status == "confirmed_hit") & (F.col("hits") > 0)).alias("matched_hits"), total(F.size("urls")).alias("qualified"), total(F.col("hits")).alias("matched"),
+    )
+    return out.withColumns({
+        "false_positives": F.col("qualified") - F.col("matched"), "recall": F.try_divide("matched_hits", "hits"), "precision": F.try_divide("matched", "qualified"), "gate_open": F.col("reviewed") == F.col("total_cases"),
+    })

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wattline.functions import text as tx
-from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, trust as t
+from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, registry as rg, trust as t
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
 from wattline.streaming import jobs
@@ -59,9 +59,12 @@ def _(s):
     return rows.select(F.replace("url", F.lit("2019"), F.col("year")).alias("report")).distinct()
 
 
-@query("merge_sources", "candidate_urls", f"""SELECT canonical, min_url url, round(best, 6) score, n AS rows FROM (SELECT canonical, arg_min(url, rn) min_url, max(score) best, count(*) n FROM (SELECT {CANON} canonical, url, score, row_number() OVER (PARTITION BY {CANON} ORDER BY rank_no, page_id) rn FROM candidate_urls) x GROUP BY canonical) y""")
+@query("merge_sources", "candidate_urls", f"""SELECT canonical, arg_min(url, rn) url, round(arg_min(score, best), 6) score, arg_min(source_type, best) source_type, count(*) AS rows, coalesce(string_agg(CASE WHEN first_of AND rn > 1 THEN url END, '|' ORDER BY rn), '') others FROM
+  (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY rank_no, page_id) rn, row_number() OVER (PARTITION BY canonical ORDER BY score DESC, CASE source_type WHEN 'official' THEN 3 WHEN 'authority' THEN 2 ELSE 0 END DESC, rank_no, page_id) best,
+    row_number() OVER (PARTITION BY canonical, url ORDER BY rank_no, page_id) = 1 first_of FROM (SELECT *, {CANON} canonical FROM candidate_urls) y) x GROUP BY canonical""")
 def _(u):
-    return ex.merge_sources(u.select("url", F.col("rank_no").alias("rank"), F.col("page_id").alias("id"), "score", "source_type")).select("canonical", "url", F.round("score", 6).alias("score"), "rows")
+    out = ex.merge_sources(u.select("url", F.col("rank_no").alias("rank"), F.col("page_id").alias("id"), "score", "source_type"))
+    return out.select("canonical", "url", F.round("score", 6).alias("score"), "source_type", "rows", F.array_join("alias_urls", "|").alias("others"))
 
 
 @query("normalize_sources", "candidate_urls", f"SELECT page_id, canonical FROM (SELECT page_id, lower(rtrim({CANON}, '/')) canonical, row_number() OVER (PARTITION BY lower(rtrim({CANON}, '/')) ORDER BY score DESC, page_id) n FROM candidate_urls) x WHERE n = 1")
@@ -245,46 +248,40 @@ def _updates(h):
     return h.select(F.concat(F.lit("P"), "task_id").alias("entity_id"), "status", "seq")
 
 
-OLD, NEW = "id % 3 <> 0", "id % 2 = 0"
+ENTITIES = "known_entities new_entities"
+UP = "SELECT coalesce(o.entity_id, n.entity_id) entity_id, coalesce(n.a, o.a) a, {} status FROM known_entities o FULL JOIN new_entities n ON n.entity_id = o.entity_id"
 
 
-@query("insert_absent", "records", f"SELECT id, 'old' origin FROM records WHERE {OLD} UNION ALL SELECT id, 'new' FROM records WHERE {NEW} AND NOT ({OLD})")
-def _(r):
-    return fr.insert_absent(r.where(OLD).select("id", F.lit("old").alias("origin")), r.where(NEW).select("id", F.lit("new").alias("origin")), ["id"])
-
-
-def _upsert(r, policies):
-    old = r.where(OLD).select("id", F.lit("old").alias("a"), F.col("review_status").alias("status"))
-    new = r.where(NEW).select("id", F.lit("new").alias("a"), F.lit("fresh").alias("status"))
-    return fr.upsert(old, new, ["id"], policies)
-
-
-UP = f"SELECT id, CASE WHEN {NEW} THEN 'new' ELSE 'old' END a, {{}} status FROM records WHERE ({OLD}) OR ({NEW})"
+@query("insert_absent", ENTITIES, "SELECT entity_id, a, status FROM known_entities UNION ALL SELECT entity_id, a, status FROM new_entities n WHERE NOT EXISTS (SELECT 1 FROM known_entities o WHERE o.entity_id = n.entity_id)")
+def _(old, new):
+    return fr.insert_absent(old, new, ["entity_id"])
 
 
-@query("upsert", "records", UP.format(f"CASE WHEN {NEW} THEN 'fresh' ELSE review_status END"))
-def _(r):
-    return _upsert(r, None)
+@query("upsert", ENTITIES, UP.format("CASE WHEN n.entity_id IS NULL THEN o.status ELSE n.status END"))
+def _(old, new):
+    return fr.upsert(old, new, ["entity_id"])
 
 
-@query("task_upsert", "records", UP.format(f"CASE WHEN {OLD} THEN review_status ELSE 'fresh' END"))
-def _(r):
-    return _upsert(r, {"status": fr.keep_old})
+@query("task_upsert", ENTITIES, UP.format("CASE WHEN o.entity_id IS NULL THEN n.status ELSE o.status END"))
+def _(old, new):
+    """The old status stays, even none."""
+    return fr.upsert(old, new, ["entity_id"], {"status": fr.keep_old})
 
 
-@query("review_upsert", "records", UP.format(f"CASE WHEN {OLD} THEN review_status ELSE 'fresh' END"))
-def _(r):
-    return _upsert(r, {"status": fr.first_known})
+@query("review_upsert", ENTITIES, UP.format("coalesce(o.status, n.status)"))
+def _(old, new):
+    """The first status that is known stays."""
+    return fr.upsert(old, new, ["entity_id"], {"status": fr.first_known})
 
 
-@query("discovery_upsert", "records", UP.format(f"CASE WHEN ({OLD}) AND (review_status IN ('approved', 'rejected') OR NOT ({NEW})) THEN review_status ELSE 'fresh' END"))
-def _(r):
-    return _upsert(r, {"status": fr.survives("approved", "rejected")})
+@query("discovery_upsert", ENTITIES, UP.format("CASE WHEN n.entity_id IS NULL OR o.status IN ('official', 'authority') THEN o.status ELSE n.status END"))
+def _(old, new):
+    return fr.upsert(old, new, ["entity_id"], {"status": fr.survives("official", "authority")})
 
 
-@query("lead_upsert", "records", UP.format(f"CASE WHEN ({OLD}) AND (review_status = 'rejected' OR NOT ({NEW})) THEN review_status ELSE 'fresh' END"))
-def _(r):
-    return _upsert(r, {"status": fr.survives("rejected")})
+@query("lead_upsert", ENTITIES, UP.format("CASE WHEN n.entity_id IS NULL OR o.status = 'authority' THEN o.status ELSE n.status END"))
+def _(old, new):
+    return fr.upsert(old, new, ["entity_id"], {"status": fr.survives("authority")})
 
 
 @query("merge_page_tables", "lineitem", """SELECT doc, signature, cast(island AS bigint) island, min(page) first_page, max(page) last_page, count(*) pages FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY page) island FROM (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR lag(page) OVER w <> page - 1 OR lag(signature) OVER w <> signature THEN 1 ELSE 0 END fresh
@@ -299,10 +296,23 @@ def _(s, p):
     return s.select("entity_id", F.lit("stations").alias("_sheet"), "latitude").unionByName(p.select("entity_id", F.lit("projects").alias("_sheet")), allowMissingColumns=True)
 
 
-@query("build_registry", "customer", "SELECT c_custkey, upper(trim(c_name)) name, CASE WHEN c_acctbal >= 5000 THEN 'A' WHEN c_acctbal >= 1000 THEN 'B' WHEN c_acctbal > 0 THEN 'C' ELSE 'D' END tier, c_acctbal <= 0 needs_review FROM customer")
+BUILT = """(SELECT 'GEM-' || coalesce(nullif(trim(unit), ''), nullif(trim(location), ''), 'ROW-' || lpad(cast(c_custkey AS string), 6, '0')) entity_id, CASE WHEN lower(trim(status)) IN ('operating', 'retired', 'mothballed') THEN 'station' WHEN trim(status) <> '' THEN 'project' ELSE 'unknown' END entity_type, nullif(trim(name), '') canonical_name,
+  CASE WHEN lower(trim(status)) <> 'operating' THEN 'D' WHEN cap >= 1000 THEN 'A' WHEN cap >= 300 THEN 'B' ELSE 'C' END tier, cap, cap IS NULL OR NOT coalesce(try_cast(latitude AS double), 0) BETWEEN -90 AND 90 OR NOT coalesce(try_cast(longitude AS double), 0) BETWEEN -180 AND 180 needs_review,
+  sha256(concat_ws('|', trim(location), trim(unit), trim(name), trim(capacity), trim(status), trim(country), '')) hash FROM (SELECT *, try_cast(trim(capacity) AS double) cap FROM raw_rows) z)"""
+
+
+@query("build_registry", "raw_rows", f"SELECT entity_id, entity_type, canonical_name, tier, CASE tier WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END priority, round(cap, 4) capacity_mw, needs_review, hash FROM {BUILT} b")
+def _(x):
+    """Stations, projects and the rest, which `split_registry` parts."""
+    built = rg.build_registry(x.withColumn("ordinal", F.col("c_custkey")))
+    return built.select("entity_id", "entity_type", "canonical_name", F.col("priority_tier").alias("tier"), F.col("collection_priority").alias("priority"), F.round("capacity_mw", 4).alias("capacity_mw"), "needs_review", F.col("raw_record_hash").alias("hash"))
+
+
+@query("registry_order", "raw_rows", f"SELECT entity_type, entity_id, row_number() OVER (PARTITION BY entity_type ORDER BY CASE tier WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END, cap DESC NULLS LAST, entity_id) AS place FROM {BUILT} b WHERE entity_type <> 'unknown'")
 def _(x):
-    tier = F.when(F.col("c_acctbal") >= 5000, "A").when(F.col("c_acctbal") >= 1000, "B").when(F.col("c_acctbal") > 0, "C").otherwise("D")
-    return x.select("c_custkey", F.upper(F.trim("c_name")).alias("name"), tier.alias("tier"), (F.col("c_acctbal") <= 0).alias("needs_review"))
+    stations, projects = rg.split_registry(rg.build_registry(x.withColumn("ordinal", F.col("c_custkey"))))
+    order = [F.asc("collection_priority"), F.desc_nulls_last("capacity_mw"), F.asc("entity_id")]
+    return t.ranked(stations.unionByName(projects), ["entity_type"], order, F.col("collection_priority") * 1e9 - F.coalesce("capacity_mw", F.lit(-1e6)), "place").select("entity_type", "entity_id", "place")
 
 
 @query("export_ranking", "records", f"SELECT to_json({{'rank': rank, 'entity_id': entity_id}}) line FROM (SELECT entity_id, row_number() OVER (ORDER BY generation_gwh DESC, entity_id, id) AS rank FROM records WHERE {RULE} AND period_label = '1998') x WHERE rank <= 100")
@@ -312,7 +322,7 @@ def _(r):
 
 @query("quota_admit", "events")
 def _(e):
-    return jobs.quota_admit(e)
+    return jobs.quota_admit(jobs.provider_calls(e), budget=4, failures=2)
 
 
 LEASES = """(SELECT user_id task_id, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'done' ELSE 'other' END kind, event_id % 3 worker, ts, event_id FROM events)"""
@@ -338,20 +348,16 @@ def _(x):
     return raw.select("c_custkey", tx.clean(F.col("r.name")).alias("name"), tx.clean_float(F.col("r.capacity")).alias("capacity"), tx.clean_float(F.col("r.capacity")).isNotNull().alias("ok"))
 
 
-@query("locator_meta", "evidence", "SELECT evidence_id, cast(page_number AS bigint) page, 'table[' || cast(page_number % 3 AS string) || ']' table_ref FROM evidence")
-def _(e):
-    locator = F.format_string("page=%d;table[%d].row[4].col[2]", "page_number", F.col("page_number") % 3)
-    return e.select("evidence_id", F.regexp_extract(locator, r"page=(\d+)", 1).cast("long").alias("page"), F.regexp_extract(locator, r"(table\[\d+\])", 1).alias("table_ref"))
+@query("locator_meta", "locators", "SELECT doc_id, page, table_ref FROM locators")
+def _(x):
+    page, table = fa.locator_meta(F.col("locator"))
+    return x.select("doc_id", page.alias("page"), table.alias("table_ref"))
 
 
-@query("llm_contract", "events", "SELECT event_id, event_id % 4 <> 0 AND event_id % 5 <> 0 valid FROM events")
-def _(e):
-    """Responses must hold exactly the known fields, with a number as value."""
-    body = F.when(F.col("event_id") % 4 == 0, F.lit('{"value": 1, "bogus": 2}')).when(F.col("event_id") % 5 == 0, F.lit('{"value": ')).otherwise(F.concat(F.lit('{"value": '), F.col("value").cast("string"), F.lit(', "unit": "GWh"}')))
-    known = F.array(F.lit("value"), F.lit("unit"))
-    keys = F.json_object_keys(body)
-    value = F.try_variant_get(F.try_parse_json(body), "$.value", "double")
-    return e.select("event_id", F.coalesce((F.size(F.array_except(keys, known)) == 0) & value.isNotNull(), F.lit(False)).alias("valid"))
+@query("llm_contract", "answers", "SELECT doc_id, valid, flags FROM answers")
+def _(a):
+    """Answers must hold exactly the known fields with values of their kinds; what they say is flagged like what rules find."""
+    return fa.llm_candidates(a, "doc_id", "body").select("doc_id", "valid", F.array_join(F.coalesce(F.get("candidates", F.lit(0))["flags"], F.array().cast("array<string>")), ",").alias("flags"))
 
 
 @query("extract_tables", "fact_pages page_facts", "SELECT doc_id, locator, period_label, value_raw, unit_raw, round(gwh, 6) gwh, metric, measurement_scope FROM page_facts")
@@ -420,10 +426,9 @@ def _(s):
     return s.select("doc_id", tx.period_type(F.col("text")).alias("period"))
 
 
-@query("sentence_ctx", "sentences", "SELECT doc_id, 'Net output of ' || want_year context FROM sentences")
-def _(s):
-    text = F.concat(F.lit("First part! Net output of "), "want_year", F.lit("\nLast part"))
-    return s.select("doc_id", ex.sentence_context(text, "output").alias("context"))
+@query("sentence_ctx", "fact_texts fact_sentences", "SELECT doc_id, nth, snippet FROM fact_sentences")
+def _(texts, _expected):
+    return fa.text_figures(texts, ["doc_id"], "text").select("doc_id", F.col("at").alias("nth"), "snippet")
 
 
 @query("layout_tables", "sentences", "SELECT doc_id, 'year|value' header, want_year || '|' || want_value AS first_row FROM sentences")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from wattline.operators import frames as fr
+from wattline.operators import frames as fr, registry as rg, trust as t
 from wattline.operators.trust import latest
 from wattline.plans.registry import query
 
@@ -136,15 +136,15 @@ def _(r, ce, e):
 
 @query("authority_sources", "stations", "SELECT entity_id, CASE country WHEN 'NATION_1' THEN 'https://stats.gov.example' WHEN 'NATION_2' THEN 'https://energy.gov.example' ELSE 'https://international.example' END site, CASE WHEN country IN ('NATION_1', 'NATION_2') THEN 0.95e0 ELSE 0.8e0 END reliability FROM stations")
 def _(s):
-    sites = s.sparkSession.createDataFrame([("NATION_1", "https://stats.gov.example"), ("NATION_2", "https://energy.gov.example")], "country string, site string")
-    return s.join(F.broadcast(sites), "country", "left").select("entity_id", F.coalesce("site", F.lit("https://international.example")).alias("site"), F.when(F.col("site").isNotNull(), 0.95).otherwise(0.8).alias("reliability"))
+    rules = s.sparkSession.createDataFrame([("NATION_1", "https://stats.gov.example", 0.95), ("NATION_2", "https://energy.gov.example", 0.95)], "country string, site string, reliability double")
+    other = F.struct(F.lit("https://international.example").alias("site"), F.lit(0.8).alias("reliability"))
+    return rg.by_country(s, rules, other).select("entity_id", "site", "reliability")
 
 
 @query("operator_hints", "stations", "SELECT entity_id, CASE WHEN country IN ('NATION_1', 'NATION_3') AND canonical_name LIKE '%1%' THEN 'first' WHEN country IN ('NATION_1', 'NATION_4') AND canonical_name LIKE '%2%' THEN 'second' END hint FROM stations")
 def _(s):
     rules = s.sparkSession.createDataFrame([(1, "NATION_1", "1", "first"), (1, "NATION_3", "1", "first"), (2, "NATION_1", "2", "second"), (2, "NATION_4", "2", "second")], "n int, country string, word string, hint string")
-    hits = s.join(F.broadcast(rules), "country").where(F.col("canonical_name").contains(F.col("word"))).groupBy("entity_id").agg(F.min_by("hint", "n").alias("hint"))
-    return s.select("entity_id").join(hits, "entity_id", "left")
+    return rg.first_hint(s, rules, "entity_id", "canonical_name")
 
 
 @query("backfill_task", "reviews", "SELECT review_id, coalesce(task_id, 'backfill::' || entity_id || '::' || fact_key) task_id FROM reviews")
@@ -259,12 +259,15 @@ def _(s):
     return s.select(dims).groupBy("x.dim", "x.v").agg(c("n"))
 
 
-@query("holdout_score", "labels documents", """SELECT count(*) cases, count(CASE WHEN quality IS NULL THEN 1 END) not_reviewed, count(CASE WHEN found AND quality = 1 THEN 1 END) matched, count(CASE WHEN found AND quality = 0 THEN 1 END) false_positives, round(1.0e0 * count(CASE WHEN found AND quality = 1 THEN 1 END) / nullif(count(CASE WHEN quality = 1 THEN 1 END), 0), 6) recall
-  FROM (SELECT l.quality, d.n_chars > 1000 found FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) x""")
-def _(lab, d):
-    rows = d.select("doc_id", (F.col("n_chars") > 1000).alias("found")).join(lab.select("doc_id", "quality"), "doc_id", "left")
-    hit = F.count_if(F.col("found") & (F.col("quality") == 1))
-    return rows.agg(c("cases"), F.count_if(F.col("quality").isNull()).alias("not_reviewed"), hit.alias("matched"), F.count_if(F.col("found") & (F.col("quality") == 0)).alias("false_positives"), F.round(F.try_divide(hit.cast("double"), F.count_if(F.col("quality") == 1)), 6).alias("recall"))
+CANON_FOUND = "regexp_replace(regexp_replace(lower(regexp_replace(url, '[?].*$', '')), '([^:])/+', '\\1/', 'g'), '/$', '')"
+
+
+@query("holdout_score", "found_urls gold_urls", f"""SELECT count(*) total_cases, count(CASE WHEN label_status <> 'pending' THEN 1 END) reviewed, count(CASE WHEN label_status = 'confirmed_hit' THEN 1 END) hits, count(CASE WHEN label_status = 'confirmed_no_hit' THEN 1 END) no_hits, count(CASE WHEN label_status = 'confirmed_hit' AND matched > 0 THEN 1 END) matched_hits,
+  cast(sum(CASE WHEN label_status <> 'pending' THEN n ELSE 0 END) AS bigint) qualified, cast(sum(CASE WHEN label_status <> 'pending' THEN matched ELSE 0 END) AS bigint) matched, count(CASE WHEN label_status = 'pending' THEN 1 END) = 0 gate_open FROM
+  (SELECT g.case_id, g.label_status, count(f.url) n, count(CASE WHEN f.url = rtrim(g.url, '/') THEN 1 END) matched FROM gold_urls g LEFT JOIN (SELECT case_id, {CANON_FOUND} url FROM found_urls) f ON f.case_id = g.case_id GROUP BY g.case_id, g.label_status) x""")
+def _(found, gold):
+    rows = gold.groupBy("case_id", "label_status").agg(F.collect_set("url").alias("gold_urls"))
+    return t.holdout_score(found, rows).select("total_cases", "reviewed", "hits", "no_hits", "matched_hits", "qualified", "matched", "gate_open")
 
 
 @query("provider_usage", "events", "SELECT user_id % 10 provider, count(*) calls, count(CASE WHEN event_type = 'purchase' THEN 1 END) successes, count(CASE WHEN event_type = 'view' THEN 1 END) empty_calls, count(CASE WHEN event_type = 'error' THEN 1 END) failures, round(sum(value), 2) cost FROM events GROUP BY 1")
@@ -279,11 +282,12 @@ def _(s):
     return s.groupBy(verdict.alias("verdict")).agg(c("n"))
 
 
-@query("attempt_no", "events", "SELECT event_id, coalesce(m, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) attempt_no FROM (SELECT * FROM events WHERE event_id % 2 = 1) e LEFT JOIN (SELECT user_id, count(*) m FROM events WHERE event_id % 2 = 0 GROUP BY user_id) o ON o.user_id = e.user_id")
-def _(e):
-    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(c("m"))
-    new = e.where("event_id % 2 = 1").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return new.join(old, "user_id", "left").select("event_id", (F.coalesce("m", F.lit(0)) + F.col("k")).alias("attempt_no"))
+@query("attempt_no", "sources tasks", """SELECT t.task_id, coalesce(success_count + failure_count, 0) + row_number() OVER (PARTITION BY t.entity_id ORDER BY t.created_at, t.task_id) attempt_no FROM tasks t LEFT JOIN (SELECT entity_id, sum(success_count) success_count, sum(failure_count) failure_count FROM sources GROUP BY entity_id) o ON o.entity_id = t.entity_id""")
+def _(o, x):
+    """Tasks are new attempts of their entity; its sources count the attempts that there were."""
+    before = o.groupBy("entity_id").agg(F.sum(F.col("success_count") + F.col("failure_count")).alias("m"))
+    k = F.row_number().over(Window.partitionBy("entity_id").orderBy("created_at", "task_id"))
+    return x.withColumn("k", k).join(before, "entity_id", "left").select("task_id", (F.coalesce("m", F.lit(0)) + F.col("k")).cast("long").alias("attempt_no"))
 
 
 @query("latest_run", "transitions", "SELECT task_id, status, seq FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) n FROM transitions) x WHERE n = 1")

@@ -104,6 +104,15 @@ FRAMES: dict[str, str] = {
     "named": f"SELECT doc_id, names, known FROM order_values JOIN {ph.values(ph.ALIASES, 'names', 'known')} c ON k = doc_id % {len(ph.ALIASES)}",
     "phrased": f"SELECT doc_id, y AS year, name, operator, country, domain AS site, fiscal, replace(phrases, '{{Y}}', y) wanted FROM order_values JOIN {ph.values(ph.PHRASED, 'name', 'operator', 'country', 'domain', 'fiscal', 'phrases')} c ON k = doc_id % {len(ph.PHRASED)}",
     "about": f"SELECT doc_id, y AS year, 'Dam ' || n AS name, replace(replace(replace(text, '{{Y}}', y), '{{V}}', v), '{{N}}', 'Dam ' || n) text, CASE asked WHEN 'disclosure' THEN 'calendar_year' ELSE asked END period_type, asked = 'disclosure' disclosure, reason, score, scope FROM order_values JOIN {ph.values(ph.RELEVANCES, 'text', 'asked', 'reason', 'score', 'scope')} c ON k = doc_id % {len(ph.RELEVANCES)}",
+    "fact_sentences": f"SELECT doc_id, nth, replace(replace(replace(sentence, '{{Y}}', y), '{{Z}}', z), '{{V}}', v) snippet FROM order_values JOIN {ph.values(ph.SENTENCES, 'txt', 'nth', 'sentence')} c ON txt = doc_id % {len(ph.FACT_TEXTS)}",
+    "answers": f"SELECT doc_id, replace(body, '{{V}}', v) body, valid, flags FROM order_values JOIN {ph.values(ph.ANSWERS, 'body', 'valid', 'flags')} c ON k = doc_id % {len(ph.ANSWERS)}",
+    "locators": f"SELECT doc_id, locator, nullif(page, -1) page, nullif(table_ref, '') table_ref FROM order_values JOIN {ph.values(ph.LOCATORS, 'locator', 'page', 'table_ref')} c ON k = doc_id % {len(ph.LOCATORS)}",
+    "raw_rows": """SELECT c_custkey, ' ' || c_name || ' ' AS name, CASE c_custkey % 7 WHEN 0 THEN 'Retired' WHEN 1 THEN 'mothballed' WHEN 2 THEN 'construction' WHEN 3 THEN '' ELSE ' Operating' END status, CASE WHEN c_custkey % 11 = 5 THEN 'n/a' ELSE cast(c_acctbal / 5 AS string) END capacity, n_name country,
+        CASE WHEN c_custkey % 13 = 6 THEN '' ELSE 'U' || cast(c_custkey AS string) END unit, 'L' || cast(c_custkey % 100 AS string) AS location, cast(c_custkey % 200 - 98 AS string) latitude, cast(c_custkey % 380 - 185 AS string) longitude FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "known_entities": "SELECT entity_id, title a, nullif(source_type, 'other') status FROM sources UNION ALL SELECT entity_id, canonical_name, status FROM projects",
+    "new_entities": "SELECT entity_id, canonical_name a, status FROM stations",
+    "found_urls": """SELECT o_orderkey case_id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://wrong.example/' || cast(o_orderkey AS string) ELSE 'HTTPS://H' || cast(o_custkey AS string) || '.example//r/?utm_source=a' END url FROM orders UNION ALL SELECT o_orderkey, 'https://h' || cast(o_custkey AS string) || '.example/r' FROM orders WHERE o_orderkey % 4 = 0""",
+    "gold_urls": """SELECT o_orderkey case_id, CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed_no_hit' ELSE 'confirmed_hit' END label_status, CASE WHEN o_orderkey % 5 > 1 THEN 'https://h' || cast(o_custkey AS string) || '.example/r/' END url FROM orders""",
     "linked_pages": """SELECT page_id, url, html || '<p><a href="/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf">Report</a> <a href="/press/' || cast(page_id AS string) || '">News</a> <a href="/data.csv?v=2">t</a> <a href="https://other.example/' || cast(page_id % 3 AS string) || '.xlsx">x</a></p>' html FROM pages""",
     "candidate_urls": """SELECT page_id, url, page_id % 7 rank_no, cast(page_id % 11 AS double) / 10 score, CASE page_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type FROM pages
         UNION ALL SELECT page_id + 1000000, upper(substr(url, 1, 7)) || substr(url, 8) || '#x', 3, cast(page_id % 5 AS double) / 5, 'search' FROM pages WHERE page_id % 2 = 0""",

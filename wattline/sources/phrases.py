@@ -148,6 +148,24 @@ RELEVANCES = [
 ]
 
 
+#: text of FACT_TEXTS, order of the fact, its sentence
+SENTENCES = [
+    (0, 0, "Plant annual generation in {Y} was {V} GWh."), (0, 1, "Net generation in {Z} was {V} MWh."), (1, 0, "The station delivered {V} GWh, reported for {Y}."), (2, 0, "In {Y} and {Z} the cascade made {V} MWh overall."), (2, 1, "Other {V} kWh."),
+    (3, 0, "{Y}年发电量预计 {V} 万千瓦时"), (4, 0, "Installed capacity {V} MW in {Y}."), (6, 0, "FY{Y} gross generation {V} TWh"), (7, 0, "Quarterly note: Q2 {Y} net generation {V} GWh"), (8, 0, "{Y} annual report of generation; {V} GWh in {Z} or {Y}"),
+]
+#: a model's answer ({V}: a number), whether it keeps to the contract, flags of its candidates
+ANSWERS = [
+    ('{"candidates": [{"period_label": "2020", "period_type": "calendar_year", "generation_gwh": {V}, "metric": "gross_generation", "unit_raw": "GWh", "snippet": "annual generation"}]}', True, "LLM_SOURCED"),
+    ('{"candidates": [{"generation_gwh": {V}, "bogus": 1}]}', False, ""), ('{"candidates": [', False, ""), ('{"candidates": [], "note": "x"}', False, ""), ('{"candidates": []}', True, ""), ('{}', True, ""),
+    ('{"candidates": [{"generation_gwh": -{V}}]}', False, ""), ('{"candidates": [{"confidence": 1.5}]}', False, ""), ('{"candidates": [{"metric": "heat"}]}', False, ""), ('[]', False, ""), ('{"candidates": [{"generation_gwh": "many"}]}', False, ""),
+    ('{"candidates": [{"value_type": "forecast", "measurement_scope": "group", "unit_raw": "MW", "period_type": "calendar_year", "period_label": "2020"}]}', True, "LLM_SOURCED,FORECAST_SUSPECT,SCOPE_NOT_PLANT,METRIC_UNCLEAR,UNIT_NOT_ENERGY,CAPACITY_SUSPECT,PERIOD_UNCLEAR"),
+]
+#: locator; page (negative for none), table
+LOCATORS = [
+    ("page[3].table[1].row[4].col[2]", 3, "table[1].row[4].col[2]"), ("page[12].ocr", 12, ""), ("table[0].row[2]", -1, "table[0].row[2]"), ("text", -1, ""), ("see page 4 of table 2", -1, ""), ("x page[7]", 7, ""), ("PAGE[5].TABLE[2]", 5, "TABLE[2]"), ("page[3-4].table[1]", -1, "table[1]"),
+]
+
+
 def values(rows: list[tuple] | list[str], *names: str) -> str:
     """A numbered VALUES table that Spark and DuckDB both read."""
 

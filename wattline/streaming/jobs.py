@@ -9,46 +9,67 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _admit(times: list[float], window: list[float], limit: int, seconds: float) -> list[bool]:
-    """Admit a call if fewer than `limit` admitted calls lie in the `seconds` before it; `window` is updated."""
+QUOTA = "event_id long, key string, ts timestamp, status string, admitted boolean"
+
+
+def _admit(rows: pd.DataFrame, state: dict, limit: int, seconds: float, budget: int, failures: int) -> list[str]:
+    """What becomes of each call, in order; state is updated: times of admitted calls, the request, its calls and its failures in a row."""
     out = []
-    for t in times:
+    for request, ts, failed in zip(rows.request, rows.ts, rows.failed, strict=True):
+        if request != state["request"]:
+            state |= {"request": request, "calls": 0, "failed": 0}
+        t, window = ts.timestamp(), state["times"]
         while window and window[0] <= t - seconds:
             window.pop(0)
-        out.append(len(window) < limit)
-        if out[-1]:
+        verdict = "budget_exhausted" if state["calls"] >= budget else "circuit_open" if state["failed"] >= failures else "rate_limited" if len(window) >= limit else "admitted"
+        if verdict == "admitted":
             window.append(t)
+            state["calls"] += 1
+            state["failed"] = state["failed"] + 1 if failed else 0
+        out.append(verdict)
     return out
 
 
-def quota_admit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds: float = 3600.0) -> DataFrame:
-    """event_id, key, ts, admitted. The state of a key is at most `limit` times, in a stream and in a batch."""
-    rows = calls.select(F.col(key).cast("string").alias("key"), "event_id", "ts")
-    schema = "event_id long, key string, ts timestamp, admitted boolean"
+def quota_admit(calls: DataFrame, limit: int = 3, seconds: float = 3600.0, budget: int = 1 << 30, failures: int = 1 << 30) -> DataFrame:
+    """event_id, key, ts, status, admitted of calls (key, request, event_id, ts, failed).
+
+    A call is admitted if its request has fewer than `budget` admitted calls, fewer than `failures` of them failed last in a row, and fewer than
+    `limit` admitted calls of the key lie in the `seconds` before it. A key's requests follow one another. The state of a key is
+    at most `limit` times and three numbers, in a stream and in a batch; a key's calls are judged in order, so one key is one task's work.
+    """
+    rows = calls.select(F.col("key").cast("string").alias("key"), F.col("request").cast("string").alias("request"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "failed")
+    fresh = lambda: {"times": [], "request": None, "calls": 0, "failed": 0}
 
-    def judged(frame: pd.DataFrame, window: list[float]) -> pd.DataFrame:
-        ok = _admit([t.timestamp() for t in frame.ts], window, limit, seconds)
-        return pd.DataFrame({"event_id": frame.event_id, "key": frame.key, "ts": frame.ts, "admitted": ok})
+    def judged(frame: pd.DataFrame, state: dict) -> pd.DataFrame:
+        status = _admit(frame, state, limit, seconds, budget, failures)
+        return pd.DataFrame({"event_id": frame.event_id, "key": frame.key, "ts": frame.ts, "status": status, "admitted": [s == "admitted" for s in status]})
 
     def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key and time: one key's window is held at a time, whatever the number of its rows."""
-        now, window = None, []
+        """Rows come sorted by key and time: one key's state is held at a time, whatever the number of its rows."""
+        now, state = None, fresh()
         for frame in frames:
             for key, part in frame.groupby("key", sort=False):
                 if key != now:
-                    now, window = key, []
-                yield judged(part, window)
+                    now, state = key, fresh()
+                yield judged(part, state)
 
     if not calls.isStreaming:
-        return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(in_order, schema)
+        return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(in_order, QUOTA)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = list(state.get[0]) if state.exists else []
-        out = judged(pd.concat(frames).assign(key=key[0]).sort_values(["ts", "event_id"]), window)
-        state.update((window,))
+        own = dict(zip(("times", "request", "calls", "failed"), state.get, strict=True)) if state.exists else fresh()
+        own["times"] = list(own["times"])
+        out = judged(pd.concat(frames).assign(key=key[0]).sort_values(["ts", "event_id"]), own)
+        state.update((own["times"], own["request"], own["calls"], own["failed"]))
         yield out
 
-    return rows.groupBy("key").applyInPandasWithState(step, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, QUOTA, "times array<double>, request string, calls long, failed long", "append", GroupStateTimeout.NoTimeout)
+
+
+def provider_calls(events: DataFrame) -> DataFrame:
+    """Calls by the given table: a user is a provider, an hour of its events a request, an error a failure."""
+    ts = F.col("ts").cast("timestamp")
+    return events.select(F.col("user_id").alias("key"), F.date_trunc("hour", ts).cast("string").alias("request"), "event_id", ts.alias("ts"), (F.col("event_type") == "error").alias("failed"))
 
 
 def leases(events: DataFrame) -> DataFrame:
