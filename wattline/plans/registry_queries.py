@@ -152,14 +152,17 @@ def _(r):
     return r.select("review_id", F.coalesce("task_id", F.concat(F.lit("backfill::"), "entity_id", F.lit("::"), "fact_key")).alias("task_id"))
 
 
-@query("identity_profile", "stations sources", r"""SELECT s.entity_id, coalesce(string_agg(DISTINCT regexp_extract(url, '^https?://([^/]+)', 1), ',' ORDER BY regexp_extract(url, '^https?://([^/]+)', 1)), '') domains FROM stations s LEFT JOIN
-  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY last_success DESC NULLS LAST, url) n FROM sources WHERE source_type = 'official' AND success_count > 0) x WHERE n <= 8) o ON o.entity_id = s.entity_id GROUP BY s.entity_id""")
-def _(s, o):
-    w = Window.partitionBy("entity_id").orderBy(F.desc_nulls_last("last_success"), "url")
-    last = o.where("source_type = 'official' and success_count > 0").withColumn("n", F.row_number().over(w)).where("n <= 8")
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    per = last.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set(host)), ",").alias("domains"))
-    return s.select("entity_id").join(per, "entity_id", "left").select("entity_id", F.coalesce("domains", F.lit("")).alias("domains"))
+@query("identity_profile", "stations publisher_sources discoveries", r"""WITH_ known AS (SELECT entity_id, url, 0 r, n FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY last_success DESC NULLS LAST, url) n FROM publisher_sources WHERE source_type = 'official' AND success_count > 0) x WHERE n <= 8
+    UNION ALL SELECT entity_id, url, 1, n FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY updated_at DESC NULLS LAST, url) n FROM discoveries WHERE source_type = 'official' AND status = 'accepted') y WHERE n <= 8),
+  sites AS (SELECT entity_id, string_agg(site, ',' ORDER BY r, n) domains FROM (SELECT entity_id, site, min(r) r, arg_min(n, (r, n)) n FROM (SELECT *, regexp_replace(regexp_extract(url, '^https://([^/]+)', 1), '^www\.', '') site FROM known) k GROUP BY entity_id, site) z GROUP BY entity_id),
+  entries AS (SELECT entity_id, string_agg(url, ',' ORDER BY r, n) urls FROM (SELECT entity_id, url, min(r) r, arg_min(n, (r, n)) n FROM known GROUP BY entity_id, url) k GROUP BY entity_id),
+  pubs AS (SELECT p.entity_id, string_agg(DISTINCT 'publisher_' || substr(sha256(regexp_replace(regexp_extract(url, '^https://([^/]+)', 1), '^www\.', '') || chr(31) || lower(country)), 1, 20), ',' ORDER BY 'publisher_' || substr(sha256(regexp_replace(regexp_extract(url, '^https://([^/]+)', 1), '^www\.', '') || chr(31) || lower(country)), 1, 20)) ids
+    FROM publisher_sources p JOIN stations s ON s.entity_id = p.entity_id WHERE source_type = 'official' AND success_count > 0 GROUP BY p.entity_id)
+  SELECT s.entity_id, coalesce(domains, '') domains, coalesce(urls, '') urls, coalesce(ids, '') publishers, canonical_name || '|' || lower(operator) AS names FROM stations s LEFT JOIN sites d ON d.entity_id = s.entity_id LEFT JOIN entries e ON e.entity_id = s.entity_id LEFT JOIN pubs p ON p.entity_id = s.entity_id""".replace("WITH_", ","))
+def _(s, o, d):
+    out = rg.identity_profiles(s, o, d, rg.publisher_profiles(o, s)[1])
+    joined = lambda c, by: F.array_join(c, by)
+    return out.select("entity_id", joined("official_domains", ",").alias("domains"), joined("official_entry_urls", ",").alias("urls"), joined("publisher_profile_ids", ",").alias("publishers"), joined("names", "|").alias("names"))
 
 
 @query("countries", "stations", "SELECT country, count(*) n FROM stations WHERE country <> '' GROUP BY country")
@@ -237,13 +240,15 @@ def _(s):
     return s.groupBy(F.regexp_extract("url", r"^https?://(?:www\.)?([^/]+)", 1).alias("domain")).agg(c("n"), F.array_join(F.sort_array(F.collect_set("source_type")), ",").alias("kinds"))
 
 
-@query("publisher_profiles", "sources stations", r"""SELECT regexp_extract(url, '^https?://([^/]+)', 1) domain, country, min(title) title, round(max(source_reliability_score), 6) reliability, cast(max(success_count) AS bigint) successes, max(last_success) last_success,
-  string_agg(DISTINCT regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[0-9]{4}', '{year}', 'g'), ',') paths FROM sources o JOIN stations s ON s.entity_id = o.entity_id WHERE source_type = 'official' AND success_count > 0 GROUP BY 1, 2""")
+SEEN = r"""(SELECT p.*, country, regexp_replace(regexp_extract(url, '^https://([^/]+)', 1), '^www\.', '') site, regexp_replace(regexp_replace(url, '^https://[^/]+', ''), '[0-9]{4}', '{year}') path FROM publisher_sources p JOIN stations s ON s.entity_id = p.entity_id WHERE source_type = 'official' AND success_count > 0)"""
+
+
+@query("publisher_profiles", "publisher_sources stations", f"""SELECT 'publisher_' || substr(sha256(a.site || chr(31) || lower(a.country)), 1, 20) id, a.site AS domain, a.country, canonical_name, language, round(reliability, 6) reliability, successes, last_success, paths, 'site:' || a.site || ' ' || canonical_name || ' {{year}} annual report' pattern FROM
+  (SELECT site, country, arg_min(coalesce(nullif(trim(publisher), ''), site), (last_success, source_id)) canonical_name, arg_max(language, (last_success, source_id)) FILTER (WHERE language IS NOT NULL) language, max(greatest(0.0e0, least(1.0e0, source_reliability_score))) reliability, max(success_count) successes, max(last_success) last_success FROM {SEEN} x GROUP BY site, country) a
+  JOIN (SELECT site, country, string_agg(path, ',' ORDER BY n) paths FROM (SELECT *, row_number() OVER (PARTITION BY site, country ORDER BY seen, path) n FROM (SELECT site, country, path, min((last_success, source_id)) seen FROM {SEEN} x GROUP BY site, country, path) y) z WHERE n <= 12 GROUP BY site, country) b ON b.site = a.site AND b.country = a.country""")
 def _(o, s):
-    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), "[0-9]{4}", "{year}")
-    rows = o.where("source_type = 'official' and success_count > 0").join(s.select("entity_id", "country"), "entity_id")
-    out = rows.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("domain"), "country")
-    return out.agg(F.min("title").alias("title"), F.round(F.max("source_reliability_score"), 6).alias("reliability"), F.max("success_count").cast("long").alias("successes"), F.max("last_success").alias("last_success"), F.array_join(F.slice(F.sort_array(F.collect_set(path)), 1, 12), ",").alias("paths"))
+    out = rg.publisher_profiles(o, s)[0]
+    return out.select(F.col("publisher_profile_id").alias("id"), "domain", "country", "canonical_name", "language", F.round("reliability_score", 6).alias("reliability"), F.col("success_count").alias("successes"), "last_success", F.array_join("report_paths", ",").alias("paths"), F.col("search_pattern").alias("pattern"))
 
 
 @query("source_reliability", "events", """SELECT user_id, round(list_reduce(list_prepend(0.5e0, list(CASE WHEN event_type = 'error' THEN -0.1e0 ELSE 0.05e0 END ORDER BY ts, event_id)), lambda a, x: CASE WHEN x > 0 THEN least(1.0e0, a + x) ELSE greatest(0.0e0, a + x) END), 6) score,
