@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattline.llm.common import utf8
+from wattline.llm.common import stored, utf8
 from wattline.llm.shingles import word_hashes
 from wattline.llm.toxicity import _curve, bounded
 
 DIM = 1 << 18
+MOST_FEATURES = 1 << 25  # of all texts that are fitted on: 128 MB on the driver
 REPEATS = (2, 3, 5)
 
 
@@ -92,7 +93,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
 
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = 4_000, penalty: float = 1.0) -> Model:
-    """Fit on at most about `sample` labelled rows (text, label 0 or 1, key for the choice of rows)."""
+    """Fit on at most about `sample` labelled rows (text, label 0 or 1, key for the choice of rows), fewer if they have more than MOST_FEATURES features."""
     rows = bounded(labelled.where(f"{label} in (0, 1)").select(text, F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("k")), F.col("k"), sample)
 
     def found(batches):
@@ -100,7 +101,11 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "label", key: st
             got = [f.astype(np.int32) for f in features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["f", "label", "k"])
 
-    got = rows.mapInArrow(found, "f array<int>, label int, k long").toArrow().sort_by("k")
+    made = stored(rows.mapInArrow(found, "f array<int>, label int, k long"), "features")
+    total = made.agg(F.sum(F.size("f"))).first()[0] or 0
+    if total > MOST_FEATURES:
+        made = made.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(MOST_FEATURES / total * (1 << 30)))
+    got = made.toArrow().sort_by("k")
     f = [np.asarray(x.values) for x in got.column("f")]
     y = np.where(np.asarray(got.column("label")) == 1, 1.0, -1.0)
     if len(set(y.tolist())) < 2:
