@@ -352,3 +352,28 @@ def relevance(candidates: DataFrame) -> DataFrame:
 
 
 SEEN = ("alias", "has_year", "has_generation", "has_report", "excluded", "period_scope", "scope_evidence", "evidence")
+
+
+# ---- whose figure it is -----------------------------------------------------------------------
+
+#: Addresses of one country's sources, countries whose sources speak only of themselves, and words that name a country.
+SOURCE_HOME = {"US": "eia.gov", "CN": "stats.gov.cn|.cn/", "BR": ".gov.br"}
+OWN_ONLY = ("US", "CN", "BR", "CA", "IN")
+COUNTRY_WORDS = {"US": "united states|u.s.|usa|american|eia-", "CN": "china|chinese|中国|中华|prc", "BR": "brazil|brazilian|brasil"}
+
+
+def source_country(url: Column) -> Column:
+    """The country whose source this is, where the address says so."""
+    hit = lambda words: reduce(Column.__or__, [url.contains(w) for w in words.split("|")])
+    return F.coalesce(*[F.when(hit(words), F.lit(k)) for k, words in SOURCE_HOME.items()])
+
+
+def country_conflict(country: Column, url: Column, text: Column) -> Column:
+    """Why a source or a text cannot be about an entity of this country: source_country, text_country or null."""
+    home, low = source_country(url), F.lower(F.coalesce(text, F.lit("")))
+    names = {k: reduce(Column.__or__, [low.contains(w) for w in words.split("|")]) for k, words in COUNTRY_WORDS.items()}
+    other = (
+        (country == "US") & names["CN"] & ~names["US"] | (country == "CN") & names["US"] & ~names["CN"]
+        | (country == "BR") & (names["US"] | names["CN"]) & ~names["BR"]
+    )
+    return F.when(home.isin(*OWN_ONLY) & (home != country), "source_country").when(F.coalesce(other, F.lit(False)), "text_country")

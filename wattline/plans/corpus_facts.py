@@ -366,11 +366,9 @@ def _(pages, _expected):
     return fa.extract_tables(parsed, "doc_id", "names").select("doc_id", "locator", "period_label", "value_raw", "unit_raw", F.round("generation_gwh", 6).alias("gwh"), "metric", "measurement_scope")
 
 
-@query("entity_country_conflict", "stations sources", "SELECT s.entity_id, (url LIKE '%.gov/%' AND country <> 'NATION_1') conflict FROM stations s JOIN sources o ON o.entity_id = s.entity_id")
-def _(s, o):
-    markers = s.sparkSession.createDataFrame([("authority", "NATION_1")], "class string, home string")
-    rows = s.join(o, "entity_id").withColumn("class", tx.link_class(F.col("url"))).join(F.broadcast(markers), "class", "left")
-    return rows.select("entity_id", (F.col("home").isNotNull() & (F.col("home") != F.col("country"))).alias("conflict"))
+@query("entity_country_conflict", "homes", "SELECT doc_id, why FROM homes")
+def _(h):
+    return h.select("doc_id", di.country_conflict(F.col("country"), F.col("url"), F.col("text")).alias("why"))
 
 
 LINKED = """, found AS (SELECT page_id, url, nth, href, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^([^/?#]*//[^/?#]*)', 1) || href END full_url FROM (SELECT page_id, url, 1 nth, '/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf' href FROM pages

@@ -66,8 +66,8 @@ def _(x):
 @query("prefer_target", "candidates", """SELECT candidate_id FROM (SELECT candidate_id, substr(entity_id, 1, 1) = '7' hit, max(CASE WHEN substr(entity_id, 1, 1) = '7' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, period_label) any_hit FROM candidates) x WHERE hit OR any_hit = 0""")
 def _(x):
     hit = F.substring("entity_id", 1, 1) == "7"
-    some = x.groupBy("document_id", "period_label").agg(F.max(hit).alias("some"))
-    return x.join(some, ["document_id", "period_label"]).where(hit | ~F.col("some")).select("candidate_id")
+    some = F.max(hit).over(Window.partitionBy("document_id", "period_label"))
+    return x.withColumn("some", some).where(hit | ~F.col("some")).select("candidate_id")
 
 
 @query("ingest_contract", "records stations", """SELECT id, array_to_string(list_filter([CASE WHEN s.entity_id IS NULL THEN 'unknown_entity' END, CASE WHEN period_type <> 'calendar_year' THEN 'period_type' END, CASE WHEN value_type <> 'actual' THEN 'value_type' END,
@@ -243,12 +243,12 @@ def _(s):
 SEEN = r"""(SELECT p.*, country, regexp_replace(regexp_extract(url, '^https://([^/]+)', 1), '^www\.', '') site, regexp_replace(regexp_replace(url, '^https://[^/]+', ''), '[0-9]{4}', '{year}') path FROM publisher_sources p JOIN stations s ON s.entity_id = p.entity_id WHERE source_type = 'official' AND success_count > 0)"""
 
 
-@query("publisher_profiles", "publisher_sources stations", f"""SELECT 'publisher_' || substr(sha256(a.site || chr(31) || lower(a.country)), 1, 20) id, a.site AS domain, a.country, canonical_name, language, round(reliability, 6) reliability, successes, last_success, paths, 'site:' || a.site || ' ' || canonical_name || ' {{year}} annual report' pattern FROM
+@query("publisher_profiles", "publisher_sources stations", f"""SELECT 'publisher_' || substr(sha256(a.site || chr(31) || lower(a.country)), 1, 20) id, a.site AS domain, a.country, canonical_name, language, round(reliability, 4) reliability, successes, last_success, paths, 'site:' || a.site || ' ' || canonical_name || ' {{year}} annual report' pattern FROM
   (SELECT site, country, arg_min(coalesce(nullif(trim(publisher), ''), site), (last_success, source_id)) canonical_name, arg_max(language, (last_success, source_id)) FILTER (WHERE language IS NOT NULL) language, max(greatest(0.0e0, least(1.0e0, source_reliability_score))) reliability, max(success_count) successes, max(last_success) last_success FROM {SEEN} x GROUP BY site, country) a
   JOIN (SELECT site, country, string_agg(path, ',' ORDER BY n) paths FROM (SELECT *, row_number() OVER (PARTITION BY site, country ORDER BY seen, path) n FROM (SELECT site, country, path, min((last_success, source_id)) seen FROM {SEEN} x GROUP BY site, country, path) y) z WHERE n <= 12 GROUP BY site, country) b ON b.site = a.site AND b.country = a.country""")
 def _(o, s):
     out = rg.publisher_profiles(o, s)[0]
-    return out.select(F.col("publisher_profile_id").alias("id"), "domain", "country", "canonical_name", "language", F.round("reliability_score", 6).alias("reliability"), F.col("success_count").alias("successes"), "last_success", F.array_join("report_paths", ",").alias("paths"), F.col("search_pattern").alias("pattern"))
+    return out.select(F.col("publisher_profile_id").alias("id"), "domain", "country", "canonical_name", "language", F.round("reliability_score", 4).alias("reliability"), F.col("success_count").alias("successes"), "last_success", F.array_join("report_paths", ",").alias("paths"), F.col("search_pattern").alias("pattern"))
 
 
 @query("source_reliability", "events", """SELECT user_id, round(list_reduce(list_prepend(0.5e0, list(CASE WHEN event_type = 'error' THEN -0.1e0 ELSE 0.05e0 END ORDER BY ts, event_id)), lambda a, x: CASE WHEN x > 0 THEN least(1.0e0, a + x) ELSE greatest(0.0e0, a + x) END), 6) score,

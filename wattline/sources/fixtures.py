@@ -117,6 +117,7 @@ FRAMES: dict[str, str] = {
         'https://www.p' || cast(s_suppkey % 3 AS string) || '.example/r' || cast(s_suppkey % 5 AS string) || '/' || cast(2010 + s_suppkey % 9 AS string) || '.pdf' url, CASE WHEN s_suppkey % 6 = 5 THEN 'other' ELSE 'official' END source_type, s_acctbal / 8000 source_reliability_score, cast(s_suppkey % 5 AS int) success_count,
         cast('2024-01-' || lpad(cast(1 + s_suppkey % 28 AS string), 2, '0') || ' 00:00:00' AS timestamp) last_success FROM supplier""",
     "discoveries": """SELECT cast(o_custkey AS string) entity_id, 'https://d' || cast(o_orderkey % 4 AS string) || '.example/e' || cast(o_orderkey AS string) url, CASE WHEN o_orderkey % 5 = 0 THEN 'reference' ELSE 'official' END source_type, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'discovered' END status, o_orderdate updated_at FROM orders""",
+    "homes": f"SELECT doc_id, country, url, text, nullif(why, '') why FROM order_values JOIN {ph.values(ph.HOMES, 'country', 'url', 'text', 'why')} c ON k = doc_id % {len(ph.HOMES)}",
     "linked_pages": """SELECT page_id, url, html || '<p><a href="/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf">Report</a> <a href="/press/' || cast(page_id AS string) || '">News</a> <a href="/data.csv?v=2">t</a> <a href="https://other.example/' || cast(page_id % 3 AS string) || '.xlsx">x</a></p>' html FROM pages""",
     "candidate_urls": """SELECT page_id, url, page_id % 7 rank_no, cast(page_id % 11 AS double) / 10 score, CASE page_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type FROM pages
         UNION ALL SELECT page_id + 1000000, upper(substr(url, 1, 7)) || substr(url, 8) || '#x', 3, cast(page_id % 5 AS double) / 5, 'search' FROM pages WHERE page_id % 2 = 0""",

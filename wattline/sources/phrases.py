@@ -166,6 +166,14 @@ LOCATORS = [
 ]
 
 
+#: country of the entity, address, text; why they do not go together ('' if they do)
+HOMES = [
+    ("US", "https://www.eia.gov/x", "", ""), ("CN", "https://www.eia.gov/x", "", "source_country"), ("CN", "https://a.cn/x", "中国 dam", ""), ("BR", "https://a.cn/x", "", "source_country"), ("BR", "https://aneel.gov.br/x", "", ""), ("FR", "https://aneel.gov.br/x", "", "source_country"),
+    ("US", "https://worldbank.org/x", "A dam in China", "text_country"), ("US", "https://worldbank.org/x", "China and the USA", ""), ("CN", "https://worldbank.org/x", "An American dam", "text_country"), ("BR", "https://worldbank.org/x", "of the United States", "text_country"),
+    ("BR", "https://worldbank.org/x", "Chinese firm in Brasil", ""), ("FR", "https://worldbank.org/x", "A dam in China", ""), ("US", "https://worldbank.org/x", "", ""), ("US", "https://stats.gov.cn/", "", "source_country"),
+]
+
+
 def values(rows: list[tuple] | list[str], *names: str) -> str:
     """A numbered VALUES table that Spark and DuckDB both read."""
 
