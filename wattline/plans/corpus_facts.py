@@ -85,14 +85,27 @@ def _(u):
     return u.select("page_id", F.round(F.least(F.lit(1.0), 0.65 * F.col("score") + 0.35 * relevance), 4).alias("score"))
 
 
-@query("html_text", "pages")
+def decoded(x: str) -> str:
+    """SQL for the character references that pages use; the ampersand's last."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&#x27;", "\'\'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+BARE = "html"
+for _tag in ("script", "style", "head", "noscript", "table"):
+    BARE = f"regexp_replace({BARE}, '(?s)<{_tag}[ >].*?</{_tag}>', ' ', 'g')"
+BARE = f"regexp_replace(regexp_replace({BARE}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@query("html_text", "pages", f"""SELECT page_id, trim(regexp_replace({decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '[[:space:]]+', ' ', 'g')) title, trim(regexp_replace({decoded(BARE)}, '[[:space:]]+', ' ', 'g')) AS text, true ok FROM pages""")
 def _(p):
     return ex.parse_pages(p.select("page_id", "html")).select("page_id", "parsed.title", "parsed.text", "parsed.ok")
 
 
-@query("html_links", "pages")
+@query("html_links", "pages", f"""SELECT page_id, k AS nth, {decoded("hrefs[k + 1]")} href FROM (SELECT page_id, hrefs, unnest(range(len(hrefs))) k FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) hrefs FROM pages) x) y""")
 def _(p):
-    return ex.parse_pages(p.select("page_id", "html")).select("page_id", F.posexplode("parsed.links").alias("at", "href"))
+    return ex.parse_pages(p.select("page_id", "html")).select("page_id", F.posexplode("parsed.links").alias("nth", "href"))
 
 
 @query("html_tables", "fact_pages", r"""SELECT doc_id, headers, row_text FROM (SELECT doc_id, doc_id % 5 AS k, name, regexp_extract(html, '([3-8]{7})', 1) v, regexp_extract(html, '((?:19|20)[0-9]{2})(?: report|<| gen| ann)', 1) y FROM fact_pages) p JOIN
