@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattline.llm.common import SHINGLE, SIMILAR, components, mixed, stored, text_key, utf8
+from wattline.llm.common import SHINGLE, SIMILAR, broadcast_rows, components, mixed, stored, text_key, utf8
 from wattline.llm.shingles import PIECE, set_keys, sets, shingle_hashes
 
 BLOCK = 512  # representatives compared in one task
 BLOCK_SHINGLES = 1 << 21  # of one block on the average: 16 MB
 STRICT = 12  # rows of a band within large families
+FEW = 100_000  # keys of texts that are broadcast to find them; beyond that texts are joined by key
 
 
 @dataclass(frozen=True)
@@ -212,7 +213,7 @@ def _decide(batches, similar: float) -> Iterator[pa.RecordBatch]:
 def _stars(banded: DataFrame, keys: list[str]) -> DataFrame:
     """Each set with the least set of each of its bands, as pairs a, b."""
     least = banded.groupBy(*keys).agg(F.min(F.struct("s1", "s2")).alias("b"), F.max(F.struct("s1", "s2")).alias("top")).where("b <> top").select(*keys, "b")
-    return stored(banded.join(least, keys).select(F.struct("s1", "s2").alias("a"), "b").where("a <> b").distinct(), "stars")
+    return stored(banded.join(least.hint("merge"), keys).select(F.struct("s1", "s2").alias("a"), "b").where("a <> b").distinct(), "stars")
 
 
 def similar_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, similar: float = SIMILAR, recall: float = 1 - 1e-6, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -232,8 +233,8 @@ def similar_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     def whole(some: DataFrame) -> DataFrame:
         """some (s1, s2 and more, once each) with the shingles of these sets."""
-        holder = members.join(some, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-        full = source.join(holder, ["k1", "k2"], "left_semi").select("t").mapInArrow(lambda it: _arrays(it, words), "s1 long, s2 long, set binary")
+        holder = stored(members.join(some, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2"), "holder")
+        full = source.join(broadcast_rows(holder, FEW), ["k1", "k2"], "left_semi").select("t").mapInArrow(lambda it: _arrays(it, words), "s1 long, s2 long, set binary")
         return full.join(some, ["s1", "s2"]).dropDuplicates(["s1", "s2"])
 
     size = reps.select("s1", "s2", "copies", "size")
