@@ -65,7 +65,7 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], first: Column,
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(*keys, "__part", before.alias("__start"))
     own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
-    return placed.withColumn("__own", own).join(starts, [*keys, "__part"]).withColumn(name, (F.col("__start") + F.col("__own")).cast("long")).drop("__part", "__own", "__start")
+    return placed.withColumn("__own", own).join(starts, [*keys, "__part"]).select(*rows.columns, (F.col("__start") + F.col("__own")).cast("long").alias(name))
 
 
 def rank_by(rows: DataFrame, *keys: str, k: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
