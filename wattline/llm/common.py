@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BUCKET_BYTES, MOST_BUCKETS = 1 << 25, 100_000  # of one bucket; the number that Spark allows
+BUCKET_BYTES, MOST_BUCKETS = 1 << 24, 100_000  # of one bucket; the number that Spark allows
 
 
 def bucketed(df: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
