@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Text is split into words at these bytes (space and \t to \r), as the contracts say.
 SPACE = " \t\n\x0b\x0c\r"
@@ -31,12 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: a cut of the lineage that survives lost executors."""
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """df written once to the shared folder and read back (with `schema`, if given): a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 BUCKET_BYTES, MOST_BUCKETS = 1 << 24, 100_000  # of one bucket; the number that Spark allows

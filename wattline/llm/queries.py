@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wattline.llm import bpe_tree, decontaminate, histogram_shards, jaccard_join, license_scan, nbsvm, perplexity, suffix_dedup, toxicity, word_pieces
+from wattline.llm import bpe_tree, decontaminate, histogram_shards, jaccard_join, language_crf, license_scan, nbsvm, perplexity, ranked_search, suffix_dedup, toxicity, whitening, word_pieces
 from wattline.llm.common import broadcast_rows, stored, text_key
 
 SHARDS = 40
@@ -114,9 +114,38 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_perplexity, op3_word_pieces, op4_toxicity, op5_decontaminate, op6_license_scan, op7_nbsvm, op8_ngram_join, op9_suffix_dedup, op10_bpe_tree)}
+def op11_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents. Null texts and texts without a letter are `und` with score 0; a null doc_id is neither held out nor learned
+    from; repeated rows are labelled alike; very long texts are read whole; an empty table gives no rows; without a language to learn all are `und`.
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    out = language_crf.label_words(docs.select("doc_id", "text"), language_crf.learn(docs.where(part != 1)))
+    return out.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item. Null, empty and termless texts are in no list and have none; repeated rows are ranked each;
+    equal scores by ascending doc_id, null last; very long texts are read whole; an empty table on either side gives no rows.
+    """
+    return ranked_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings. Rows without a vector or with an unusable entry are dropped; equal vectors count once in the fit, and each
+    of their rows is returned; components without variance have no rows; an empty table gives no rows.
+    """
+    out = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    each = F.posexplode("w").alias("at", "whitened")
+    rows = out.select(F.col("row.vec_id").alias("vec_id"), "n", "deviation", "explained", "identity_error", each)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_perplexity, op3_word_pieces, op4_toxicity, op5_decontaminate, op6_license_scan, op7_nbsvm, op8_ngram_join, op9_suffix_dedup, op10_bpe_tree, op11_language_crf, op12_pair_maxscore, op13_block_whitening)}
 _SHINGLES = "unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) s"
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op5_decontaminate": rf"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') w FROM documents),
   b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') w FROM benchmark),
@@ -130,4 +159,14 @@ ORACLES: dict[str, str] = {
   r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
   SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) class_id, coalesce(l.n_links, 0) n_links, coalesce(l.n_copies, 0) n_copies
   FROM documents LEFT JOIN (SELECT a, count(*) n_links, count(CASE WHEN same THEN 1 END) n_copies FROM e GROUP BY a) l ON l.a = doc_id""",
+    "op12_pair_maxscore": f"""WITH d AS (SELECT row_number() OVER () r, doc_id, {_TERMS} t FROM documents),
+  b AS (SELECT row_number() OVER () i, item_id, {_TERMS} t FROM benchmark),
+  q AS (SELECT i, w, count(*) k FROM (SELECT i, unnest(t) w FROM b) x GROUP BY i, w),
+  s AS (SELECT count(*) n, CAST(sum(len(t)) AS BIGINT) l FROM d WHERE len(t) > 0),
+  p AS (SELECT r, w, count(*) tf FROM (SELECT r, unnest(t) w FROM d) x WHERE w IN (SELECT w FROM q) GROUP BY r, w),
+  f AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) g FROM (SELECT w, count(*) df FROM p GROUP BY w) x, s),
+  e AS (SELECT p.r, p.w, f.g * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(t) * n) // l))) v FROM p JOIN f ON f.w = p.w JOIN d ON d.r = p.r, s),
+  z AS (SELECT i, r, CAST(sum(k * v) AS BIGINT) score FROM q JOIN e ON e.w = q.w GROUP BY i, r),
+  o AS (SELECT i, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) rank FROM z JOIN d ON d.r = z.r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o JOIN b ON b.i = o.i WHERE rank <= 20""",
 }
