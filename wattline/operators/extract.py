@@ -276,16 +276,3 @@ def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame
     rows = F.sort_array(F.collect_list(F.struct("at", "cells")))
     out = cells.withColumn("block", island).groupBy(doc, page, "block").agg(rows.alias("r"))
     return out.select(doc, page, "block", F.element_at("r", 1)["cells"].alias("header"), F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["cells"]).alias("rows"))
-
-
-def extract_rows(lines: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
-    """Station rows in linear text: name, quarter, change, annual, change. names: key, name. Only the annual value is a fact."""
-    hit = lines.join(names, "key").where(F.instr(F.col(text), F.col("name")) > 0)
-    rest = F.filter(F.split(F.trim(F.expr(f"substr({text}, instr({text}, name) + length(name))")), r"\s+"), lambda x: x != "")
-    return hit.where(F.size(rest) >= 4).select("key", "name", tx.parse_number(F.get(rest, F.lit(2))).alias("annual"))
-
-
-def sentence_context(text: Column, word: str, longest: int = 500, around: int = 48) -> Column:
-    """The sentence around the first hit of a literal word, or `around` characters on both sides of it if the sentence is too long."""
-    sentence = F.trim(F.regexp_extract(text, rf"([^.!?\n]*{word}[^.!?\n]*)", 1))
-    return F.when(F.length(sentence) <= longest, sentence).otherwise(F.regexp_extract(text, rf"(.{{0,{around}}}{word}.{{0,{around}}})", 1))

@@ -7,6 +7,7 @@ Python only finds where figures are: years, values and units with their sentence
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,7 +26,7 @@ YEAR = re.compile(r"(?<!\d)(?:19|20)\d{2}(?!\d)")
 HEAD_YEAR = re.compile(r"((?:19|20)\d{2})\s*(?:年|年度|annual|year)[^。！？.!?]{0,36}(?:发电量|generation|geração|produ[cç][aã]o)", re.I)
 HEAD_WHOLE = re.compile(r"全年|年度|annual|anual|full\s+year|calendar\s+year", re.I)
 YEAR_HEAD, WHOLE_HEAD = 1200, 1600  # characters that count as the head
-ENDS = "。！？；.!?;"
+END = re.compile("[。！？；.!?;]")
 LONGEST, AROUND = 500, 48  # of a sentence; on both sides where it is longer
 #: Words of a column of generation, and of one that is not about amounts.
 GENERATION_HEAD, CHANGE_HEAD = "发电量|generation|generated|output", "同比|增长|change|growth|%"
@@ -35,11 +36,18 @@ DECIMAL_COMMA = "produção|geração|usina|relatório|atingiu|suprimento|energi
 FACILITY = ("hydroelectricplant", "hydropowerplant", "hydroelectricstation", "hydropowerstation", "powerplant", "powerstation", "水电站", "水电厂", "电站")
 
 
-def sentence(text: str, start: int, end: int) -> str:
-    """The sentence around a place, or what is near if that is long."""
-    left = max(text.rfind(mark, 0, start) for mark in ENDS) + 1
-    right = min((at for mark in ENDS if (at := text.find(mark, end)) >= 0), default=len(text))
-    return text[left : right + 1].strip() if right - left <= LONGEST else text[max(0, start - AROUND) : end + AROUND]
+class Sentences:
+    """The sentences of a text. Its ends are found once, so that each question is a search among them."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, [m.start() for m in END.finditer(text)]
+
+    def around(self, start: int, end: int) -> str:
+        """The sentence around a place, or what is near if that is long."""
+        i, j = bisect_left(self.ends, start), bisect_left(self.ends, end)
+        left = self.ends[i - 1] + 1 if i else 0
+        right = self.ends[j] if j < len(self.ends) else len(self.text)
+        return self.text[left : right + 1].strip() if right - left <= LONGEST else self.text[max(0, start - AROUND) : end + AROUND]
 
 
 def figures(text: str) -> list[tuple[int, str | None, str, str, str]]:
@@ -48,17 +56,22 @@ def figures(text: str) -> list[tuple[int, str | None, str, str, str]]:
     A value that follows a year within 40 characters has that year. Any other has the text's only year, else the
     only year of its sentence, else the year that the text's head is about.
     """
-    out, taken = [], []
-    for m in DATED.finditer(text):
-        out.append((m.start(2), m[1], m[2], m[3], sentence(text, m.start(), m.end())))
-        taken.append((m.start(2), m.end(3)))
-    bare = [m for m in BARE.finditer(text) if not any(a <= m.start() < b for a, b in taken)]
+    sentences = Sentences(text)
+    dated = list(DATED.finditer(text))
+    out = [(m.start(2), m[1], m[2], m[3], sentences.around(m.start(), m.end())) for m in dated]
+    starts, ends = [m.start(2) for m in dated], [m.end(3) for m in dated]  # in order, and apart
+
+    def taken(at: int) -> bool:
+        i = bisect_right(starts, at) - 1
+        return i >= 0 and at < ends[i]
+
+    bare = [m for m in BARE.finditer(text) if not taken(m.start())]
     if bare:
         years = list(dict.fromkeys(YEAR.findall(text)))
         head = HEAD_YEAR.search(text[:YEAR_HEAD])
         for m in bare:
-            near = sentence(text, m.start(), m.end())
-            own = set(YEAR.findall(near))
+            near = sentences.around(m.start(), m.end())
+            own = set(YEAR.findall(near)) if len(years) != 1 else ()
             year = years[0] if len(years) == 1 else own.pop() if len(own) == 1 else head[1] if head else None
             out.append((m.start(), year, m[1], m[2], near))
     return sorted(out)
@@ -153,9 +166,12 @@ def extract_tables(parsed: DataFrame, doc_id: str, names: str | None = None) ->
 
 
 def extract_all(parsed: DataFrame, doc_id: str, names: str | None = None) -> DataFrame:
-    """Facts of the text and of the tables of parsed pages."""
-    texts = extract_text(parsed.select(doc_id, F.col("parsed.text").alias("text")), doc_id, "text")
-    return texts.unionByName(extract_tables(parsed, doc_id, names))
+    """Facts of the text and of the tables of parsed pages, and, where names are given, of rows of stations in the text."""
+    from wattline.operators.station_rows import extract_rows  # it builds on this module
+
+    texts = parsed.select(doc_id, *([names] if names else []), F.col("parsed.text").alias("text"))
+    out = extract_text(texts, doc_id, "text").unionByName(extract_tables(parsed, doc_id, names))
+    return out.unionByName(extract_rows(texts, doc_id, "text", names)) if names else out
 
 
 def locator_meta(locator: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from wattline.functions import text as tx
 from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, registry as rg, trust as t
+from wattline.operators.station_rows import extract_rows
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
 from wattline.streaming import jobs
@@ -108,7 +109,7 @@ def _(p):
     return ex.parse_pages(p.select("page_id", "html")).select("page_id", F.posexplode("parsed.links").alias("nth", "href"))
 
 
-@query("html_tables", "fact_pages", r"""SELECT doc_id, headers, row_text FROM (SELECT doc_id, doc_id % 5 AS k, name, regexp_extract(html, '([3-8]{7})', 1) v, regexp_extract(html, '((?:19|20)[0-9]{2})(?: report|<| gen| ann)', 1) y FROM fact_pages) p JOIN
+@query("html_tables", "fact_pages", r"""SELECT doc_id, headers, row_text FROM (SELECT doc_id, doc_id % 6 AS k, name, regexp_extract(html, '([3-8]{7})', 1) v, regexp_extract(html, '((?:19|20)[0-9]{2})(?: report|<| gen| ann)', 1) y FROM fact_pages) p JOIN
   (SELECT * FROM (VALUES (0, 'Station|Y Generation (GWh)|Y Generation change %', 'N Hydropower Station|V|3'), (0, 'Station|Y Generation (GWh)|Y Generation change %', 'Other dam|55|1'), (1, 'Plant|Output MWh|Output 第一季度 MWh', 'N|V|7'),
    (2, '', 'In Y annual generation|V GWh'), (3, 'Plant|Season 季度', 'N|V'), (4, 'N|Y generation GWh', 'N|V')) t(tk, h, r)) t ON tk = k, LATERAL (SELECT replace(replace(h, 'Y', y), 'N', name) headers, replace(replace(replace(r, 'Y', y), 'V', v), 'N', name) row_text) z""")
 def _(s):
@@ -449,15 +450,16 @@ def _(s):
     return out.select("doc_id", F.array_join("header", "|").alias("header"), F.array_join(F.element_at("rows", 1), "|").alias("first_row"))
 
 
-@query("extract_rows", "orders customer", "SELECT o_orderkey AS id, c_name AS name, o_totalprice annual FROM orders JOIN customer ON c_custkey = o_custkey")
-def _(o, c):
-    line = F.concat_ws("  ", F.lit("1"), "c_name", F.lit("10.5"), F.lit("1.2"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("3.4"))
-    lines = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("key"), line.alias("text"), "c_name")
-    return ex.extract_rows(lines.select("key", "text"), lines.select("key", F.col("c_name").alias("name"))).select(F.col("key").alias("id"), "name", "annual")
+@query("extract_rows", "row_texts row_facts", "SELECT doc_id, nth, 'text.station_row[' || station || ']' locator, period_label, value_raw, unit_raw, round(gwh, 6) gwh, 'gross_generation' metric, 'calendar_year' period_type FROM row_facts")
+def _(rows, _expected):
+    """Several stations, forms of a name, names that are part of others, texts without year, unit or whole year."""
+    out = extract_rows(rows.select("doc_id", "text", F.split("names", "[|]").alias("names")), "doc_id", "text", "names")
+    return out.select("doc_id", F.col("at").alias("nth"), "locator", "period_label", "value_raw", "unit_raw", F.round("generation_gwh", 6).alias("gwh"), "metric", "period_type")
 
 
 @query("extract_all", "fact_pages page_facts", """SELECT doc_id, locator, period_label, unit_raw, round(gwh, 6) gwh FROM page_facts
-  UNION ALL SELECT doc_id, 'text', regexp_extract(html, '<p>In ([0-9]+)', 1), 'GWh', cast(regexp_extract(html, 'generation ([0-9]+) GWh</p>', 1) AS double) FROM fact_pages WHERE doc_id % 5 = 4""")
+  UNION ALL SELECT doc_id, 'text', regexp_extract(html, '<p>In ([0-9]+)', 1), 'GWh', cast(regexp_extract(html, 'generation ([0-9]+) GWh</p>', 1) AS double) FROM fact_pages WHERE doc_id % 6 = 4
+  UNION ALL SELECT doc_id, 'text.station_row[' || name || ']', regexp_extract(html, 'year ([0-9]+)', 1), 'GWh', cast(regexp_extract(html, '2% ([0-9]+)', 1) AS double) FROM fact_pages WHERE doc_id % 6 = 5""")
 def _(pages, _expected):
     parsed = ex.parse_pages(pages.select("doc_id", F.array("name").alias("names"), "html"))
     return fa.extract_all(parsed, "doc_id", "names").select("doc_id", "locator", "period_label", "unit_raw", F.round("generation_gwh", 6).alias("gwh"))

@@ -82,6 +82,7 @@ FACT_PAGES = [
     "<table><tr><td>In {Y} annual generation</td><td>{V} GWh</td></tr></table>",
     "<table><tr><th>Plant</th><th>Season 季度</th></tr><tr><td>{N}</td><td>{V}</td></tr></table>",
     "<p>In {Z} net generation {V} GWh</p><table><tr><th>{N}</th><th>{Y} generation GWh</th></tr><tr><td>{N}</td><td>{V}</td></tr></table>",
+    "<p>Full year {Y}, in GWh</p><p>{N} 1 2% {V} -4%</p><p>Another 1 2 3 4</p>",
 ]
 #: page, locator, year, unit, GWh of one, metric, scope: facts of tables
 PAGE_FACTS = [
@@ -174,6 +175,26 @@ HOMES = [
 ]
 
 
+#: names joined by |, text with rows of stations
+ROW_TEXTS = [
+    ("长江三峡水电站|{N}", "2020年发电量情况：全年 亿千瓦时 电站 {N} 1.5 2% {V} -3.1% 三峡电站 12 1 {V}.5 4 合计 1 2 3 4"),
+    ("{N} Dam", "Annual generation, GWh, {Y} {N} 10 -2.5 {V} 3.4% Old{N} 1 2 77 4 {N}x 1 2 88 4 {N} Dam 5 6 {V} 7"),
+    ("{N}|{N} station", "{N} station 1 2 {V} 3 full year MWh"),
+    ("{N}", "{N} 10 -2.5 {V} 3.4 of {Y} in GWh"),
+    ("{N}", "Full year, {Y}: {N} 10 -2.5 {V} 3.4"),
+    ("", "Full year, GWh {Y}: {N} 10 -2.5 {V} 3.4"),
+    ("Belo Monte Power Plant|{N}", "Full year {Z}, MWh.\n\nBelo Monte  1,5\t-20%  {V}  +  then Belo Monte 1 2 {V} 4 and {N} 9 8 {V}.25 6; {N} 9 8 7"),
+    ("Unit|Unit 7", "annual report {Y} kWh Unit 7 1 2 {V} 4"),
+]
+#: case, order, station, year, value, unit, GWh of one
+ROW_FACTS = [
+    (0, 0, "{N}", "2020", "{V}", "亿千瓦时", 100.0), (0, 1, "三峡电站", "2020", "{V}.5", "亿千瓦时", 100.0),
+    (1, 0, "{N} Dam", "Y", "{V}", "GWh", 1.0),
+    (6, 0, "{N}", "Z", "{V}.25", "MWh", 0.001), (6, 1, "Belo Monte", "Z", "{V}", "MWh", 0.001),
+    (7, 0, "Unit 7", "Y", "{V}", "kWh", 0.000001), (7, 1, "Unit", "Y", "2", "kWh", 0.000001),
+]
+
+
 def values(rows: list[tuple] | list[str], *names: str) -> str:
     """A numbered VALUES table that Spark and DuckDB both read."""
 
