@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import text as tx
 from wattline.operators import discovery as di
+from wattline.operators.relevance import relevance
 from wattline.plans.registry import query
 
 MOST_BYTES = 300_000
@@ -85,7 +86,7 @@ def _(s):
     return rows.select("url", "year", F.explode(di.report_urls(F.regexp_extract("url", "^(https?://[^/]+)", 1), C("year"))).alias("report"))
 
 
-@query("relevance", "about", "SELECT doc_id, reason, score, scope, score > 0 eligible FROM about")
+@query("relevance", "about", "SELECT doc_id, reason, score, scope, score > 0 eligible, nullif(lower(why), '') scope_evidence, nullif(lower(shown), '') evidence FROM about")
 def _(a):
-    out = di.relevance(a.select("doc_id", "text", di.station_aliases(F.array("name")).alias("names"), "year", "period_type", "disclosure"))
-    return out.select("doc_id", "reason", F.round("score", 6).alias("score"), C("period_scope").alias("scope"), "eligible")
+    out = relevance(a.select("doc_id", "text", di.station_aliases(F.array("name")).alias("names"), "year", "period_type", "disclosure"))
+    return out.select("doc_id", "reason", F.round("score", 6).alias("score"), C("period_scope").alias("scope"), "eligible", "scope_evidence", "evidence")

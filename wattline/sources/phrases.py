@@ -139,14 +139,22 @@ PHRASED = [
     ("Usina Hidrelétrica Itaipu", "", "Brazil", "", False, "Itaipu {Y} geração anual|Itaipu {Y} relatório anual geração"), ("Atatürk", "DSI", "Türkiye", "", False, "\"Atatürk\" {Y} yıllık elektrik üretimi|\"Atatürk\" {Y} yıllık faaliyet raporu üretim|\"DSI\" {Y} yıllık üretim raporu \"Atatürk\""),
     ("Aswan", "", "Egypt", "", False, "\"Aswan\" {Y} إنتاج الكهرباء السنوي|\"Aswan\" {Y} التقرير السنوي إنتاج الكهرباء"),
 ]
-#: text, kind of period asked for; reason, score, scope
+#: text, kind of period asked for; reason, score, scope, the word that tells it ('' for none), what shows it ('' for none, {T}: the whole text); {F}: many words that say nothing
 RELEVANCES = [
-    ("{N}: annual generation in {Y} was {V} GWh", "calendar_year", "confirmed", 1.0, "annual"), ("{N}: annual generation in {Y} was {V} GWh", "fiscal_year", "unclear_period", 0.0, "annual"), ("Another dam: annual generation in {Y}", "calendar_year", "no_name", 0.0, "annual"),
-    ("{N} annual generation", "calendar_year", "no_year", 0.0, "annual"), ("{N} in {Y}: a fine view", "calendar_year", "no_year", 0.0, "unknown"), ("{N} energia gerada no primeiro trimestre, {Y}", "calendar_year", "partial_period", 0.0, "partial"),
-    ("{N} fiscal year {Y}: electricity generation of {V} GWh", "calendar_year", "fiscal_period", 0.0, "fiscal_year"), ("{N} fiscal year {Y}: electricity generation of {V} GWh", "fiscal_year", "confirmed", 1.0, "fiscal_year"),
-    ("{N} 招标: {Y} 发电量", "calendar_year", "excluded", 0.0, "unknown"), ("{N} annual report, 招标: full year {Y} electricity generation", "calendar_year", "confirmed", 1.0, "annual"), ("{N} electricity generation of {Y}", "calendar_year", "unclear_period", 0.0, "unknown"),
-    ("{N} gerou {V} GWh em {Y}, notícia de 5 de maio de 1984", "calendar_year", "confirmed", 1.0, "annual"), ("{N} gerou {V} GWh em janeiro de {Y}", "calendar_year", "partial_period", 0.0, "partial"), ("{Y}年发电量完成情况公告：全年发电量 {V}", "disclosure", "disclosure", 0.72, "annual"),
-]
+    ("{N}: annual generation in {Y} was {V} GWh", "calendar_year", "confirmed", 1.0, "annual", "annual", "{T}"), ("{N}: annual generation in {Y} was {V} GWh", "fiscal_year", "unclear_period", 0.0, "annual", "annual", "{T}"),
+    ("Another dam: annual generation in {Y}", "calendar_year", "no_name", 0.0, "annual", "annual", "{T}"), ("{N} annual generation", "calendar_year", "no_year", 0.0, "annual", "annual", "{T}"), ("{N} in {Y}: a fine view", "calendar_year", "no_year", 0.0, "unknown", "", ""),
+    ("{N} energia gerada no primeiro trimestre, {Y}", "calendar_year", "partial_period", 0.0, "partial", "trimestre", "{T}"), ("{N} fiscal year {Y}: electricity generation of {V} GWh", "calendar_year", "fiscal_period", 0.0, "fiscal_year", "fiscal year", "{T}"),
+    ("{N} fiscal year {Y}: electricity generation of {V} GWh", "fiscal_year", "confirmed", 1.0, "fiscal_year", "fiscal year", "{T}"), ("{N} 招标: {Y} 发电量", "calendar_year", "excluded", 0.0, "unknown", "", "{T}"),
+    ("{N} annual report, 招标: full year {Y} electricity generation", "calendar_year", "confirmed", 1.0, "annual", "annual", "{T}"), ("{N} electricity generation of {Y}", "calendar_year", "unclear_period", 0.0, "unknown", "", "{T}"),
+    ("{N} gerou {V} GWh em {Y}, notícia de 5 de maio de 1984", "calendar_year", "confirmed", 1.0, "annual", "em {Y}", "{T}"), ("{N} gerou {V} GWh em janeiro de {Y}", "calendar_year", "partial_period", 0.0, "partial", "em janeiro", "{T}"),
+    ("{Y}年发电量完成情况公告：全年发电量 {V}", "disclosure", "disclosure", 0.72, "annual", "全年", "{T}"),
+    ("{N} produced much. {F} In {Y} the {N} plant, for the full year, generated {V} GWh. Then it rained.", "calendar_year", "confirmed", 1.0, "annual", "full year", "{Y} the {N} plant, for the full year, generated {V} GWh. Then it rained."),
+    ("{N} produced much in the first trimestre. {F} {Y}年{N}全年发电量 {V}。后来。", "calendar_year", "confirmed", 1.0, "annual", "全年", "{Y}年{N}全年发电量 {V}。"),
+    ("{N} generated {V} GWh in {Z}/{Y}. {F} It was generated for the year.", "fiscal_year", "confirmed", 1.0, "fiscal_year", "{Z}/{Y}", "{N} generated {V} GWh in {Z}/{Y}."), ("The defyant {N} produced {V} GWh of {Y}", "fiscal_year", "unclear_period", 0.0, "unknown", "", "{T}"),
+    ("{N} produced {V}. {F} Annual figures of {Y}.", "calendar_year", "no_year", 0.0, "unknown", "", "Annual figures of {Y}."), ("", "calendar_year", "no_name", 0.0, "unknown", "", ""),
+]
+#: Words that say nothing, to part what stands before and after them by some 1,200 characters.
+FILLER = "calm water lay beside old stone walls and birds " * 25
 
 
 #: text of FACT_TEXTS, order of the fact, its sentence
