@@ -253,21 +253,6 @@ def promotion_gates(review_required: bool = True) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(n)) for n, g in gates.items()]))
 
 
-def merge_sources(rows: DataFrame) -> DataFrame:
-    """rows (url, rank, id, score, source_type) by canonical URL: the first row's url stays; score and type are those of the best row
-    (a score, the greater score, the higher kind of source; of equals the first); other spellings are aliases (the first 20), in order
-    of rank and id. Aggregations only: one URL may have any number of rows."""
-    tier = F.when(F.col("source_type") == "official", 3).when(F.col("source_type") == "authority", 2).when(F.col("source_type") == "reference", 1).otherwise(0)
-    order = F.struct("rank", "id")
-    keyed = rows.select("*", tx.canonical_url(F.col("url")).alias("canonical"), order.alias("at"), F.struct(F.col("score").isNotNull(), F.coalesce("score", F.lit(0.0)), tier).alias("quality"))
-    first = keyed.groupBy("canonical").agg(F.min_by("url", "at").alias("url"), F.max("quality").alias("quality"), F.count("*").alias("rows"))
-    best = keyed.groupBy("canonical", "quality").agg(F.min_by(F.struct("score", "source_type"), "at").alias("best"))
-    spellings = keyed.groupBy("canonical", "url").agg(F.min("at").alias("at")).groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("at", "url"))).alias("seen"))
-    out = first.join(best, ["canonical", "quality"]).join(spellings, "canonical")
-    others = F.slice(F.filter(F.transform("seen", lambda x: x["url"]), lambda u: u != F.col("url")), 1, 20)
-    return out.select("canonical", "url", F.col("best.score").alias("score"), F.col("best.source_type").alias("source_type"), others.alias("alias_urls"), "rows")
-
-
 def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """Runs of lines with two or more cells (cut at tabs or two spaces) are tables: doc, page, block, header, rows."""
     lines = pages.select(doc, page, F.posexplode(F.split(text, "\n")).alias("at", "line"))

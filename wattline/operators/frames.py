@@ -135,9 +135,13 @@ def merge_page_tables(pages: DataFrame, doc: str, page: str, signature: str) ->
 
 
 def best_sources(sources: DataFrame, tasks: DataFrame, as_of: Column, k: int = 5, verified_only: bool = False) -> DataFrame:
-    """Per task the k best sources of its entity and metric that did not just fail repeatedly."""
+    """Per task the k best sources of its entity and metric that did not just fail repeatedly.
+
+    tasks: task_id, entity_id, metric, year. sources: entity_id, covered_metric, covered_year, source_reliability_score, success_count,
+    failure_count, last_success, last_failure, source_id, url.
+    """
     days = lambda c: F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(c)) / 86400)
-    rows = tasks.join(sources, "entity_id").where(F.col("covered_year").isNull() | (F.col("covered_year") == F.col("year")))
+    rows = tasks.join(sources.withColumnRenamed("covered_metric", "metric"), ["entity_id", "metric"]).where(F.col("covered_year").isNull() | (F.col("covered_year") == F.col("year")))
     rows = rows.where(~((F.col("failure_count") >= 3) & F.coalesce(days(F.col("last_failure")) < 7, F.lit(False))))
     if verified_only:
         rows = rows.where((F.col("success_count") > 0) & F.coalesce(days(F.col("last_success")) <= 90, F.lit(False)))

@@ -91,3 +91,18 @@ def identity_profiles(stations: DataFrame, sources: DataFrame, discoveries: Data
         "official_domains": F.array_distinct(F.filter(F.transform("urls", tx.publisher_domain), lambda d: d != "")), "official_entry_urls": F.array_distinct("urls"),
         "publisher_profile_ids": F.coalesce("publisher_profile_ids", none), "names": F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce(tx.aliases(F.col("aliases")), none))),
     }).drop("urls")
+
+
+def known_report_urls(profiles: DataFrame, years: list[str]) -> DataFrame:
+    """domain, year, url of reports that a publisher may have for other years: the paths of its known reports with the year put in.
+
+    profiles: as publisher_profiles gives (domain, report_paths). A path may be a whole address; only addresses of the publisher's own domain
+    or below it stay, each once.
+    """
+    rows = profiles.select("domain", F.explode("report_paths").alias("path")).where(F.trim("path") != "")
+    each = rows.select("domain", "path", F.explode(F.array(*map(F.lit, years))).alias("year"))
+    path = F.replace(F.trim("path"), F.lit("{year}"), F.col("year"))
+    whole = F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), path).otherwise(F.concat(F.lit("https://"), "domain", F.when(path.startswith("/"), "").otherwise("/"), path))
+    out = each.select("domain", "year", tx.canonical_url(whole).alias("url"))
+    host = tx.publisher_domain(F.col("url"))
+    return out.where((host == F.col("domain")) | F.endswith(host, F.concat(F.lit("."), "domain"))).distinct()

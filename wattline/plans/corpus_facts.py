@@ -54,32 +54,6 @@ def _(s):
     return s.select("url", F.inline(F.array(tx.link_class(F.col("url"), words))))
 
 
-@query("known_report_urls", "sources", "SELECT DISTINCT replace(replace(url, '2019', y.year), '{year}', y.year) report FROM sources CROSS JOIN (SELECT unnest(['2017', '2021']) AS year) y WHERE source_type = 'official'")
-def _(s):
-    rows = s.where("source_type = 'official'").select("url", F.explode(F.array(F.lit("2017"), F.lit("2021"))).alias("year"))
-    return rows.select(F.replace("url", F.lit("2019"), F.col("year")).alias("report")).distinct()
-
-
-@query("merge_sources", "candidate_urls", f"""SELECT canonical, arg_min(url, rn) url, round(arg_min(score, best), 6) score, arg_min(source_type, best) source_type, count(*) AS rows, coalesce(string_agg(CASE WHEN first_of AND rn > 1 THEN url END, '|' ORDER BY rn), '') others FROM
-  (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY rank_no, page_id) rn, row_number() OVER (PARTITION BY canonical ORDER BY score DESC, CASE source_type WHEN 'official' THEN 3 WHEN 'authority' THEN 2 ELSE 0 END DESC, rank_no, page_id) best,
-    row_number() OVER (PARTITION BY canonical, url ORDER BY rank_no, page_id) = 1 first_of FROM (SELECT *, {CANON} canonical FROM candidate_urls) y) x GROUP BY canonical""")
-def _(u):
-    out = ex.merge_sources(u.select("url", F.col("rank_no").alias("rank"), F.col("page_id").alias("id"), "score", "source_type"))
-    return out.select("canonical", "url", F.round("score", 6).alias("score"), "source_type", "rows", F.array_join("alias_urls", "|").alias("others"))
-
-
-@query("normalize_sources", "candidate_urls", f"SELECT page_id, canonical FROM (SELECT page_id, lower(rtrim({CANON}, '/')) canonical, row_number() OVER (PARTITION BY lower(rtrim({CANON}, '/')) ORDER BY score DESC, page_id) n FROM candidate_urls) x WHERE n = 1")
-def _(u):
-    rows = u.withColumn("canonical", F.lower(F.regexp_replace(tx.canonical_url(F.col("url")), "/+$", "")))
-    return t.latest(rows, ["canonical"], F.desc("score"), F.col("page_id")).select("page_id", "canonical")
-
-
-@query("union_channels", "candidate_urls sources", f"SELECT channel, count(*) n, count(DISTINCT canonical) distinct_urls FROM (SELECT 'pages' channel, {CANON} canonical FROM candidate_urls UNION ALL SELECT 'registry', {CANON} FROM sources) x GROUP BY channel")
-def _(u, s):
-    both = u.select("url", F.lit("pages").alias("channel")).unionByName(s.select("url", "title", F.lit("registry").alias("channel")), allowMissingColumns=True)
-    return both.groupBy("channel").agg(F.count("*").alias("n"), F.count_distinct(tx.canonical_url(F.col("url"))).alias("distinct_urls"))
-
-
 @query("combined_score", "candidate_urls", "SELECT page_id, round(least(1.0e0, 0.65e0 * score + 0.35e0 * coalesce(CASE WHEN page_id % 3 <> 0 THEN score END, 0)), 4) score FROM candidate_urls")
 def _(u):
     relevance = F.coalesce(F.when(F.col("page_id") % 3 != 0, F.col("score")), F.lit(0.0))
@@ -227,12 +201,6 @@ def _(r):
     return rows.select("review_id", F.when(F.col("n") == 1, F.col("fact_key")).otherwise(F.concat_ws("#", "fact_key", "candidate_id")).alias("fact_key"), F.when(F.col("n") > 1, "CONFLICT_CANDIDATE").otherwise(F.col("reason")).alias("reason"))
 
 
-@query("record_history", "records", "SELECT id, entity_id, round(lag(generation_gwh) OVER (PARTITION BY entity_id, period_label ORDER BY created_at, id), 4) old_gwh, round(generation_gwh, 4) new_gwh FROM records")
-def _(r):
-    w = Window.partitionBy("entity_id", "period_label").orderBy("created_at", "id")
-    return r.select("id", "entity_id", F.round(F.lag("generation_gwh").over(w), 4).alias("old_gwh"), F.round("generation_gwh", 4).alias("new_gwh"))
-
-
 @query("generate_tasks", "stations projects", """SELECT entity_id || '::' || kind || '::' || period task_id, priority_tier, collection_priority FROM (SELECT * FROM stations ORDER BY priority_tier, collection_priority, entity_id LIMIT 40) s CROSS JOIN (SELECT * FROM (VALUES ('station_generation', '1999'), ('station_generation', '2000'), ('station_capacity', '-')) k(kind, period)) y
   UNION ALL SELECT entity_id || '::' || kind || '::-', NULL, NULL FROM projects CROSS JOIN (SELECT unnest(['project_status', 'project_commissioning']) AS kind) y""")
 def _(s, p):
@@ -329,11 +297,6 @@ def _(x):
     return t.ranked(stations.unionByName(projects), ["entity_type"], order, F.col("collection_priority") * 1e9 - F.coalesce("capacity_mw", F.lit(-1e6)), "place").select("entity_type", "entity_id", "place")
 
 
-@query("export_ranking", "records", f"SELECT to_json({{'rank': rank, 'entity_id': entity_id}}) line FROM (SELECT entity_id, row_number() OVER (ORDER BY generation_gwh DESC, entity_id, id) AS rank FROM records WHERE {RULE} AND period_label = '1998') x WHERE rank <= 100")
-def _(r):
-    return t.top_n(t.trusted(r), "1998").select(F.to_json(F.struct("rank", "entity_id")).alias("line"))
-
-
 @query("quota_admit", "events")
 def _(e):
     return jobs.quota_admit(jobs.provider_calls(e), budget=4, failures=2)
@@ -485,6 +448,4 @@ _id("id_review", f"'rv_' || substr(sha1(entity_id || '::generation::' || {_FACT_
 _id("id_lead", "'lead_' || substr(sha256(entity_id || chr(31) || coalesce(evidence_id, '') || chr(31) || source_id), 1, 20)", lambda: tx.stable_id("lead_", _K("entity_id"), _K("evidence_id"), _K("source_id")))
 _id("id_candidate_source", "'cs_' || substr(sha256(source_id || chr(31) || entity_id), 1, 20)", lambda: tx.stable_id("cs_", _K("source_id"), _K("entity_id")))
 _id("id_attempt", "'att_' || substr(sha256(source_id || chr(31) || cast(id AS string)), 1, 20)", lambda: tx.stable_id("att_", _K("source_id"), _K("id").cast("string")))
-_id("id_candidate", "'cand_' || substr(sha256(entity_id || chr(31) || period_label || chr(31) || candidate_id), 1, 20)", lambda: tx.stable_id("cand_", _K("entity_id"), _K("period_label"), _K("candidate_id")))
 _id("lineage_hash", "sha256(candidate_id || '::' || coalesce(evidence_id, '') || '::' || source_id)", lambda: F.sha2(F.concat_ws("::", "candidate_id", F.coalesce("evidence_id", F.lit("")), "source_id"), 256))
-_id("candidate_hash", "sha256(candidate_id || '|' || entity_id || '|' || metric || '|' || period_label)", lambda: F.sha2(F.concat_ws("|", "candidate_id", "entity_id", "metric", "period_label"), 256))

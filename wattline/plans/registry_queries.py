@@ -41,12 +41,6 @@ def _(s):
     return s.where((F.col("canonical_name") == "Customer#000000042") | F.col("aliases").ilike("%000000043%")).select("entity_id")
 
 
-@query("entity_match_list", "projects stations", r"""SELECT p.entity_id project_id, s.entity_id station_id FROM projects p JOIN stations s ON lower(trim(regexp_replace(p.canonical_name, '\s+', ' ', 'g'))) = lower(trim(regexp_replace(s.canonical_name, '\s+', ' ', 'g')))""")
-def _(p, s):
-    key = F.lower(F.trim(F.regexp_replace("canonical_name", r"\s+", " ")))
-    return p.select(F.col("entity_id").alias("project_id"), key.alias("k")).join(s.select(F.col("entity_id").alias("station_id"), key.alias("k")), "k").select("project_id", "station_id")
-
-
 @query("registry_checks", "stations", "SELECT entity_id, (latitude IS NULL OR latitude BETWEEN -90 AND 90) AND (longitude IS NULL OR longitude BETWEEN -180 AND 180) AND (capacity_mw IS NULL OR capacity_mw >= 0) ok FROM stations")
 def _(s):
     free = lambda n, test: F.col(n).isNull() | test
@@ -63,13 +57,6 @@ def _(x):
     return x.groupBy(F.col("generation_gwh").isNull().alias("noise")).agg(c("n"))
 
 
-@query("prefer_target", "candidates", """SELECT candidate_id FROM (SELECT candidate_id, substr(entity_id, 1, 1) = '7' hit, max(CASE WHEN substr(entity_id, 1, 1) = '7' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, period_label) any_hit FROM candidates) x WHERE hit OR any_hit = 0""")
-def _(x):
-    hit = F.substring("entity_id", 1, 1) == "7"
-    some = F.max(hit).over(Window.partitionBy("document_id", "period_label"))
-    return x.withColumn("some", some).where(hit | ~F.col("some")).select("candidate_id")
-
-
 @query("ingest_contract", "records stations", """SELECT id, array_to_string(list_filter([CASE WHEN s.entity_id IS NULL THEN 'unknown_entity' END, CASE WHEN period_type <> 'calendar_year' THEN 'period_type' END, CASE WHEN value_type <> 'actual' THEN 'value_type' END,
   CASE WHEN NOT regexp_full_match(period_label, '[0-9]{4}') THEN 'period_label' END, CASE WHEN generation_gwh IS NULL OR generation_gwh < 0 THEN 'value' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') errors
   FROM records r LEFT JOIN stations s ON s.entity_id = r.entity_id AND s.status = 'operating'""")
@@ -281,12 +268,6 @@ def _(e):
     return e.groupBy((F.col("user_id") % 10).alias("provider")).agg(c("calls"), k("purchase").alias("successes"), k("view").alias("empty_calls"), k("error").alias("failures"), F.round(F.sum("value"), 2).alias("cost"))
 
 
-@query("gt_source_audit", "sources", "SELECT CASE WHEN failure_count > success_count THEN 'inaccessible' WHEN url LIKE '%.org/%' THEN 'homepage' WHEN success_count > 0 THEN 'direct_evidence' ELSE 'unverified' END verdict, count(*) n FROM sources GROUP BY 1")
-def _(s):
-    verdict = F.when(F.col("failure_count") > F.col("success_count"), "inaccessible").when(F.col("url").like("%.org/%"), "homepage").when(F.col("success_count") > 0, "direct_evidence").otherwise("unverified")
-    return s.groupBy(verdict.alias("verdict")).agg(c("n"))
-
-
 @query("attempt_no", "sources tasks", """SELECT t.task_id, coalesce(success_count + failure_count, 0) + row_number() OVER (PARTITION BY t.entity_id ORDER BY t.created_at, t.task_id) attempt_no FROM tasks t LEFT JOIN (SELECT entity_id, sum(success_count) success_count, sum(failure_count) failure_count FROM sources GROUP BY entity_id) o ON o.entity_id = t.entity_id""")
 def _(o, x):
     """Tasks are new attempts of their entity; its sources count the attempts that there were."""
@@ -308,18 +289,13 @@ def _(h):
     return fr.illegal_transitions(h, "task_id", ["ts", "seq"]).select("task_id", "seq", "before", "status")
 
 
-@query("document_versions", "versions", "SELECT 'doc_' || substr(sha1(url || '::' || content_hash), 1, 16) document_id, url, row_number() OVER (PARTITION BY url ORDER BY fetched_at, content_hash) AS version FROM (SELECT url, content_hash, min(fetched_at) fetched_at FROM versions GROUP BY 1, 2) x")
-def _(v):
-    return fr.assign_versions(v).select("document_id", "url", "version")
-
-
 BEST = """SELECT task_id, url, rank FROM (SELECT t.task_id, s.url, row_number() OVER (PARTITION BY t.task_id ORDER BY CASE WHEN covered_year IS NOT NULL THEN 0 ELSE 1 END, source_reliability_score DESC, last_success DESC NULLS LAST, source_id, url) AS rank
-  FROM tasks t JOIN sources s ON s.entity_id = t.entity_id WHERE (covered_year IS NULL OR cast(covered_year AS string) = target_period) AND NOT (failure_count >= 3 AND last_failure IS NOT NULL AND floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_failure)) / 86400) < 7)) x WHERE rank <= 5"""
+  FROM tasks t JOIN sources s ON s.entity_id = t.entity_id AND covered_metric = CASE WHEN task_id LIKE '%4' THEN 'net_generation' ELSE 'gross_generation' END WHERE (covered_year IS NULL OR cast(covered_year AS string) = target_period) AND NOT (failure_count >= 3 AND last_failure IS NOT NULL AND floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_failure)) / 86400) < 7)) x WHERE rank <= 5"""
 
 
 @query("best_sources", "sources tasks", BEST)
 def _(s, t):
-    tasks = t.select("task_id", "entity_id", F.col("target_period").cast("int").alias("year"))
+    tasks = t.select("task_id", "entity_id", F.col("target_period").cast("int").alias("year"), F.when(F.col("task_id").endswith("4"), "net_generation").otherwise("gross_generation").alias("metric"))
     return fr.best_sources(s, tasks, F.lit(AS_OF).cast("timestamp")).select("task_id", "url", "rank")
 
 

@@ -53,7 +53,7 @@ FRAMES: dict[str, str] = {
         'https://example.org/' || cast(s_suppkey AS string) original_url, CASE s_suppkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' ELSE 'csv' END content_kind,
         cast(s_suppkey * 100 + 7 AS bigint) file_size FROM supplier""",
     "sources": """SELECT 'src_' || cast(s_suppkey % 100 AS string) source_id, s_name title, 'https://s' || cast(s_suppkey AS string) || CASE s_suppkey % 3 WHEN 0 THEN '.gov' WHEN 1 THEN '.org' ELSE '.com' END || '/annual/2019.pdf' url,
-        cast(s_suppkey AS string) entity_id, CASE s_suppkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type, 'gross_generation' covered_metric,
+        cast(s_suppkey AS string) entity_id, CASE s_suppkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type, CASE WHEN s_suppkey % 5 = 2 THEN 'net_generation' ELSE 'gross_generation' END covered_metric,
         CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE cast(1995 + s_suppkey % 7 AS int) END covered_year, (s_acctbal + 1000) / 11000 source_reliability_score,
         coalesce(ok, 0) success_count, coalesce(bad, 0) failure_count, last_ok last_success, last_bad last_failure
         FROM supplier LEFT JOIN (SELECT user_id % 100 uid, sum(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END) ok, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) bad,
@@ -122,6 +122,19 @@ FRAMES: dict[str, str] = {
     "discoveries": """SELECT cast(o_custkey AS string) entity_id, 'https://d' || cast(o_orderkey % 4 AS string) || '.example/e' || cast(o_orderkey AS string) url, CASE WHEN o_orderkey % 5 = 0 THEN 'reference' ELSE 'official' END source_type, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'discovered' END status, o_orderdate updated_at FROM orders""",
     "homes": f"SELECT doc_id, country, url, text, nullif(why, '') why FROM order_values JOIN {ph.values(ph.HOMES, 'country', 'url', 'text', 'why')} c ON k = doc_id % {len(ph.HOMES)}",
     "linked_pages": """SELECT page_id, url, html || '<p><a href="/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf">Report</a> <a href="/press/' || cast(page_id AS string) || '">News</a> <a href="/data.csv?v=2">t</a> <a href="https://other.example/' || cast(page_id % 3 AS string) || '.xlsx">x</a></p>' html FROM pages""",
+    "named_stations": """SELECT cast(c_custkey AS string) entity_id, c_name canonical_name, CASE WHEN c_custkey % 3 = 0 THEN ' River  Dam ' || cast(c_custkey AS string) END local_name,
+        CASE WHEN c_custkey % 4 = 1 THEN 'Old Mill ' || cast(c_custkey % 50 AS string) || '； M' || cast(c_custkey AS string) || '|K' ELSE '' END aliases FROM customer""",
+    "asked_names": """SELECT o_orderkey ask_id, CASE o_orderkey % 8 WHEN 0 THEN upper(c_name) || ' ' WHEN 1 THEN 'river dam  ' || cast(o_custkey AS string) WHEN 2 THEN 'Old Mill ' || cast(o_custkey % 50 AS string) WHEN 3 THEN substr(c_name, 10) WHEN 4 THEN 'VER DAM ' || cast(o_custkey AS string)
+        WHEN 5 THEN 'm' || cast(o_custkey AS string) WHEN 6 THEN '#00' ELSE 'nowhere ' || cast(o_custkey AS string) END AS name FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "mentions": """SELECT l_orderkey document_id, l_linenumber nth, l_partkey part, CASE WHEN l_orderkey % 5 = 0 THEN 'ab' ELSE 'Big-Dam ' || cast(l_orderkey % 50 AS string) || '|大坝' END names, CASE WHEN l_orderkey % 4 = 0 OR l_linenumber % 3 = 1 THEN 'Other plant' WHEN l_linenumber % 3 = 2 THEN 'the BIG DAM (' || cast(l_orderkey % 50 AS string) || ')' END snippet,
+        CASE WHEN l_linenumber = 5 THEN NULL WHEN l_linenumber < 4 THEN 5.0e0 ELSE cast(l_quantity AS double) END generation_gwh, CASE WHEN l_linenumber % 2 = 0 THEN 'GWH' ELSE 'GWh' END unit_raw, CASE l_linenumber % 4 WHEN 2 THEN NULL WHEN 3 THEN '' ELSE '2020' END period_label FROM lineitem""",
+    "gold_cases": """SELECT o_orderkey case_id, c_name || CASE WHEN o_orderkey % 3 = 0 THEN ' Hydroelectric-Station' ELSE ' of Avon' END canonical_name, cast(year(o_orderdate) AS int) AS year, 'https://s' || cast(o_custkey AS string) || '.example' || CASE o_orderkey % 5 WHEN 0 THEN '/' WHEN 1 THEN '/en/' WHEN 2 THEN '/en/report' ELSE '/r.pdf?x=/' END source_url FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "gold_probes": """SELECT o_orderkey case_id, CASE o_orderkey % 7 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'requires_browser' ELSE 'reachable' END access, CASE WHEN o_orderkey % 11 = 3 THEN 'https://moved.example/ZH' ELSE '' END final_url,
+        CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'GENERATED in ' || cast(year(o_orderdate) AS string) || ' by Avon' WHEN 2 THEN '发电量 ' || cast(year(o_orderdate) AS string) || ' station' ELSE 'avon, generation of 1901' END preview FROM orders WHERE o_orderkey % 13 <> 2""",
+    "found_sources": """SELECT page_id id, cast(page_id % 7 AS int) AS rank, 'https://h' || cast(page_id % 23 AS string) || '.example/r' home, CASE page_id % 3 WHEN 0 THEN 'https://h' || cast(page_id % 23 AS string) || '.example/r' WHEN 1 THEN 'HTTPS://H' || cast(page_id % 23 AS string) || '.example//r/' ELSE 'https://h' || cast(page_id % 23 AS string) || '.example/r?utm_source=a' END url,
+        CASE WHEN page_id % 5 = 0 THEN 'https://f' || cast(page_id % 400 AS string) || '.example/doc' ELSE '' END final_url, CASE WHEN page_id % 13 = 4 THEN 'https://c' || cast(page_id % 3 AS string) || '.example/x' END canonical_url,
+        CASE WHEN page_id % 6 = 1 THEN cast(page_id % 11 AS double) / 8 END combined_score, CASE WHEN page_id % 6 = 2 THEN 0.5e0 END estimated_reliability, CASE page_id % 5 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' WHEN 2 THEN '' WHEN 3 THEN 'reference' ELSE 'unknown' END source_type,
+        CASE page_id % 3 WHEN 0 THEN 'program_search_result' WHEN 1 THEN 'official_site_explorer' END discovery_method, CASE WHEN page_id % 4 = 1 THEN 'reason ' || cast(page_id AS string) END match_reason, CASE WHEN page_id % 2 = 0 THEN 'Title ' || cast(page_id AS string) ELSE '' END title FROM pages""",
     "candidate_urls": """SELECT page_id, url, page_id % 7 rank_no, cast(page_id % 11 AS double) / 10 score, CASE page_id % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'authority' ELSE 'other' END source_type FROM pages
         UNION ALL SELECT page_id + 1000000, upper(substr(url, 1, 7)) || substr(url, 8) || '#x', 3, cast(page_id % 5 AS double) / 5, 'search' FROM pages WHERE page_id % 2 = 0""",
 }
