@@ -27,6 +27,11 @@ def clean_bool(c: Column) -> Column:
     return F.coalesce(F.lower(clean(c)).isin("1", "true", "yes", "y", "t"), F.lit(False))
 
 
+def raw_record_hash(fields: list[Column]) -> Column:
+    """SHA-256 of the cleaned fields joined by bars; missing ones are empty."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.trim(f), F.lit("")) for f in fields]), 256)
+
+
 def turbines(c: Column) -> Column:
     """'20' -> 20; '32 x 700 MW; 2 x 50 MW' -> 34; null if any part is not a count."""
     parts = F.transform(F.split(F.lower(c), ";"), lambda p: F.nullif(F.regexp_extract(p, r"^\s*(\d+)\s*(?:x.*)?$", 1), F.lit("")).try_cast("int"))

@@ -76,11 +76,11 @@ def fold_reliability(events: DataFrame, key: str, order: list[str], ok: Column,
     same = F.struct(F.lit(0.0).alias("shift"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
     step = lambda good: F.struct(F.when(good, 0.05).otherwise(-0.10).alias("shift"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     day = F.aggregate(F.sort_array(F.collect_list(F.struct(*order, "__wl_ok"))), same, lambda f, x: _then(f, step(x["__wl_ok"])))
-    days = rows.groupBy(key, "__wl_day").agg(day.alias("f"), F.count_if("__wl_ok").alias("good"), F.count_if(~F.col("__wl_ok")).alias("bad"))
+    days = rows.groupBy(key, "__wl_day").agg(day.alias("f"), F.count_if("__wl_ok").alias("good"), F.count_if(~F.col("__wl_ok")).alias("bad"), F.max(F.when(F.col("__wl_ok"), F.col(order[0]))).alias("last_good"), F.max(F.when(~F.col("__wl_ok"), F.col(order[0]))).alias("last_bad"))
     whole = F.aggregate(F.sort_array(F.collect_list(F.struct("__wl_day", "f"))), same, lambda f, x: _then(f, x["f"]))
-    out = days.groupBy(key).agg(whole.alias("f"), F.sum("good").alias("success_count"), F.sum("bad").alias("failure_count"))
+    out = days.groupBy(key).agg(whole.alias("f"), F.sum("good").alias("success_count"), F.sum("bad").alias("failure_count"), F.max("last_good").alias("last_success"), F.max("last_bad").alias("last_failure"))
     score = F.least(F.col("f.high"), F.greatest(F.col("f.low"), F.lit(initial) + F.col("f.shift")))
-    return out.select(key, score.alias("score"), "success_count", "failure_count")
+    return out.select(key, score.alias("score"), "success_count", "failure_count", "last_success", "last_failure")
 
 
 def generate_tasks(stations: DataFrame, projects: DataFrame, years: list[str], station_limit: int | None = None, project_limit: int | None = None) -> DataFrame:

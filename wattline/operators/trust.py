@@ -40,6 +40,14 @@ def trusted_chain(records: DataFrame, candidates: DataFrame, links: DataFrame, e
     return chain.join(e, ["evidence_id", "document_id"]).join(d, ["document_id", "content_hash"])
 
 
+def browse(records: DataFrame, entity_id: str | None = None, year: str | None = None, value_type: str | None = None, published_only: bool = False) -> DataFrame:
+    """Records that fit the filters; published ones are the trusted set, which holds actual values alone."""
+    rows = trusted(records, year=year) if published_only else records if year is None else records.where(F.col("period_label") == year)
+    if entity_id is not None:
+        rows = rows.where(F.col("entity_id") == entity_id)
+    return rows if value_type is None else rows.where(F.col("value_type") == value_type)
+
+
 def top_n(rows: DataFrame, year: str, n: int = 100) -> DataFrame:
     best = rows.where(F.col("period_label") == year).orderBy(F.desc("generation_gwh"), "entity_id", "id").limit(n)
     rank = F.row_number().over(Window.orderBy(F.desc("generation_gwh"), "entity_id", "id"))  # over the n rows that are left

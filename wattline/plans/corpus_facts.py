@@ -139,12 +139,6 @@ def _(s):
     return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
 
 
-@query("clean_cols", "projects", r"SELECT entity_id, nullif(trim(canonical_name), '') name, regexp_replace(regexp_replace(upper(canonical_name), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') slug, regexp_replace(lower(canonical_name), '[^a-z0-9]', '', 'g') compact FROM projects")
-def _(p):
-    n = F.col("canonical_name")
-    return p.select("entity_id", tx.clean(n).alias("name"), tx.slug(n).alias("slug"), tx.compact_name(n).alias("compact"))
-
-
 @query("turbines", "part", "SELECT p_partkey, cast(p_size + p_size % 5 AS int) n FROM part")
 def _(p):
     s = F.concat(F.col("p_size").cast("string"), F.lit(" x 700 MW; "), (F.col("p_size") % 5).cast("string"), F.lit(" X 50 MW"))
@@ -174,12 +168,6 @@ def _(p):
     return p.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("hash"), F.octet_length("html").cast("long").alias("file_size"))
 
 
-@query("raw_record_hash", "stations", "SELECT entity_id, sha256(coalesce(trim(canonical_name), '') || '|' || coalesce(trim(country), '') || '|' || coalesce(trim(status), '')) hash FROM stations")
-def _(s):
-    parts = [F.coalesce(F.trim(x), F.lit("")) for x in ("canonical_name", "country", "status")]
-    return s.select("entity_id", F.sha2(F.concat_ws("|", *parts), 256).alias("hash"))
-
-
 PROJECT_ISSUES = """[CASE WHEN status IS NULL OR status = '' THEN 'MISSING_REQUIRED_FIELD:medium' WHEN status NOT IN ('newly_commissioned', 'under_construction', 'approved', 'announced') THEN 'PROJECT_STATUS_CONFLICT:medium' END, CASE WHEN capacity_mw < 0 THEN 'VALUE_OUT_OF_RANGE:high' END,
   CASE WHEN status = 'newly_commissioned' AND commissioning_year IS NULL THEN 'PROJECT_DATE_CONFLICT:medium' END, CASE WHEN status = 'newly_commissioned' AND commissioning_year > 2010 THEN 'PROJECT_DATE_CONFLICT:high' END]"""
 VARIED = """(SELECT entity_id, capacity_mw, CASE WHEN length(canonical_name) % 2 = 1 THEN '' WHEN capacity_mw < 1000 THEN 'mothballed' ELSE status END status, CASE WHEN capacity_mw > 8000 THEN NULL ELSE commissioning_year + 40 END commissioning_year FROM projects)"""
@@ -244,12 +232,6 @@ def _(old, new):
     return fr.upsert(old, new, ["entity_id"])
 
 
-@query("task_upsert", ENTITIES, UP.format("CASE WHEN o.entity_id IS NULL THEN n.status ELSE o.status END"))
-def _(old, new):
-    """The old status stays, even none."""
-    return fr.upsert(old, new, ["entity_id"], {"status": fr.keep_old})
-
-
 @query("review_upsert", ENTITIES, UP.format("coalesce(o.status, n.status)"))
 def _(old, new):
     """The first status that is known stays."""
@@ -261,11 +243,6 @@ def _(old, new):
     return fr.upsert(old, new, ["entity_id"], {"status": fr.survives("official", "authority")})
 
 
-@query("lead_upsert", ENTITIES, UP.format("CASE WHEN n.entity_id IS NULL OR o.status = 'authority' THEN o.status ELSE n.status END"))
-def _(old, new):
-    return fr.upsert(old, new, ["entity_id"], {"status": fr.survives("authority")})
-
-
 @query("merge_page_tables", "lineitem", """SELECT doc, signature, cast(island AS bigint) island, min(page) first_page, max(page) last_page, count(*) pages FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY page) island FROM (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR lag(page) OVER w <> page - 1 OR lag(signature) OVER w <> signature THEN 1 ELSE 0 END fresh
   FROM (SELECT l_orderkey doc, l_linenumber page, min(l_returnflag) signature FROM lineitem GROUP BY 1, 2) p WINDOW w AS (PARTITION BY doc ORDER BY page)) q) z GROUP BY doc, signature, island""")
 def _(x):

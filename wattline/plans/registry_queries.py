@@ -22,15 +22,6 @@ def _(s):
     return page.crossJoin(hit.agg(c("total"))).select("entity_id", "canonical_name", "total")  # one row on the right
 
 
-@query("global_search", "stations projects tasks", """SELECT * FROM (SELECT 'station' kind, entity_id id FROM stations WHERE canonical_name ILIKE '%0001%' ORDER BY entity_id LIMIT 3) a UNION ALL SELECT * FROM (SELECT 'project', entity_id FROM projects WHERE canonical_name ILIKE '%0001%' ORDER BY entity_id LIMIT 3) b
-  UNION ALL SELECT * FROM (SELECT 'task', task_id FROM tasks WHERE task_id ILIKE '%0001%' ORDER BY task_id LIMIT 3) d""")
-def _(s, p, t):
-    def hits(df, name, kind, key):
-        return df.where(F.col(name).ilike("%0001%")).orderBy(key).limit(3).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
-
-    return hits(s, "canonical_name", "station", "entity_id").union(hits(p, "canonical_name", "project", "entity_id")).union(hits(t, "task_id", "task", "task_id"))
-
-
 @query("projects_by_status", "projects", "SELECT entity_id, status, round(capacity_mw, 2) capacity_mw FROM projects WHERE status = 'approved' AND commissioning_year BETWEEN 1955 AND 2010 ORDER BY capacity_mw DESC NULLS LAST, entity_id")
 def _(p):
     return p.where("status = 'approved' and commissioning_year between 1955 and 2010").select("entity_id", "status", F.round("capacity_mw", 2).alias("capacity_mw"))
@@ -47,11 +38,6 @@ def _(s):
     return s.select("entity_id", (free("latitude", F.col("latitude").between(-90, 90)) & free("longitude", F.col("longitude").between(-180, 180)) & free("capacity_mw", F.col("capacity_mw") >= 0)).alias("ok"))
 
 
-@query("cancel_by_prefix", "tasks", "SELECT task_id, CASE WHEN status NOT IN ('success', 'cancelled') THEN 'cancelled' ELSE status END status FROM tasks WHERE task_id LIKE 'T12%' OR entity_id LIKE 'T12%'")
-def _(t):
-    return t.where(F.col("task_id").startswith("T12") | F.col("entity_id").startswith("T12")).select("task_id", F.when(~F.col("status").isin("success", "cancelled"), "cancelled").otherwise(F.col("status")).alias("status"))
-
-
 @query("noise_split", "candidates", "SELECT generation_gwh IS NULL noise, count(*) n FROM candidates GROUP BY 1")
 def _(x):
     return x.groupBy(F.col("generation_gwh").isNull().alias("noise")).agg(c("n"))
@@ -98,29 +84,12 @@ def _(link):
     return link.join(gone, ["project_id", "station_id", "link_type"], "left_anti").select("project_id", "station_id")
 
 
-@query("status_history", "transitions tasks", "SELECT t.task_id, seq, t.status, k.entity_type FROM transitions t LEFT JOIN tasks k ON k.task_id = 'T' || t.task_id")
-def _(h, k):
-    return h.join(k.select(F.expr("substr(task_id, 2)").alias("task_id"), "entity_type"), "task_id", "left").select("task_id", "seq", "status", "entity_type")
-
-
 @query("task_entity_name", "tasks stations projects", "SELECT task_id, coalesce(s.canonical_name, p.canonical_name) name FROM tasks t LEFT JOIN stations s ON t.entity_type = 'station' AND s.entity_id = t.entity_id LEFT JOIN projects p ON t.entity_type = 'project' AND p.entity_id = t.entity_id")
 def _(t, s, p):
     names = s.select(F.lit("station").alias("entity_type"), "entity_id", "canonical_name").union(p.select(F.lit("project"), "entity_id", "canonical_name"))
     return t.join(names, ["entity_type", "entity_id"], "left").select("task_id", F.col("canonical_name").alias("name"))
 
 
-@query("review_list", "reviews candidates stations", "SELECT review_id, round(generation_gwh, 4) gwh, coalesce(canonical_name, r.entity_id) label FROM reviews r JOIN candidates c ON c.candidate_id = r.candidate_id LEFT JOIN stations s ON s.entity_id = r.entity_id WHERE r.status = 'open'")
-def _(r, x, s):
-    rows = r.where("status = 'open'").join(x.select("candidate_id", "generation_gwh"), "candidate_id").join(s.select("entity_id", "canonical_name"), "entity_id", "left")
-    return rows.select("review_id", F.round("generation_gwh", 4).alias("gwh"), F.coalesce("canonical_name", "entity_id").alias("label"))
-
-
-@query("review_detail", "reviews candidate_evidence evidence", "SELECT review_id, min(e.evidence_id) evidence_id, arg_min(e.page_number, e.evidence_id) page_number FROM reviews r JOIN candidate_evidence ce ON ce.candidate_id = r.candidate_id JOIN evidence e ON e.evidence_id = ce.evidence_id GROUP BY review_id")
-def _(r, ce, e):
-    rows = r.select("review_id", "candidate_id").join(ce, "candidate_id").join(e.select("evidence_id", "page_number"), "evidence_id")
-    return rows.groupBy("review_id").agg(F.min("evidence_id").alias("evidence_id"), F.min_by("page_number", "evidence_id").alias("page_number"))
-
-
 @query("authority_sources", "stations", "SELECT entity_id, CASE country WHEN 'NATION_1' THEN 'https://stats.gov.example' WHEN 'NATION_2' THEN 'https://energy.gov.example' ELSE 'https://international.example' END site, CASE WHEN country IN ('NATION_1', 'NATION_2') THEN 0.95e0 ELSE 0.8e0 END reliability FROM stations")
 def _(s):
     rules = s.sparkSession.createDataFrame([("NATION_1", "https://stats.gov.example", 0.95), ("NATION_2", "https://energy.gov.example", 0.95)], "country string, site string, reliability double")
@@ -134,11 +103,6 @@ def _(s):
     return rg.first_hint(s, rules, "entity_id", "canonical_name")
 
 
-@query("backfill_task", "reviews", "SELECT review_id, coalesce(task_id, 'backfill::' || entity_id || '::' || fact_key) task_id FROM reviews")
-def _(r):
-    return r.select("review_id", F.coalesce("task_id", F.concat(F.lit("backfill::"), "entity_id", F.lit("::"), "fact_key")).alias("task_id"))
-
-
 @query("identity_profile", "stations publisher_sources discoveries", r"""WITH_ known AS (SELECT entity_id, url, 0 r, n FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY last_success DESC NULLS LAST, url) n FROM publisher_sources WHERE source_type = 'official' AND success_count > 0) x WHERE n <= 8
     UNION ALL SELECT entity_id, url, 1, n FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY updated_at DESC NULLS LAST, url) n FROM discoveries WHERE source_type = 'official' AND status = 'accepted') y WHERE n <= 8),
   sites AS (SELECT entity_id, string_agg(site, ',' ORDER BY r, n) domains FROM (SELECT entity_id, site, min(r) r, arg_min(n, (r, n)) n FROM (SELECT *, regexp_replace(regexp_extract(url, '^https://([^/]+)', 1), '^www\.', '') site FROM known) k GROUP BY entity_id, site) z GROUP BY entity_id),
@@ -157,16 +121,6 @@ def _(s):
     return s.where("country <> ''").groupBy("country").agg(c("n"))
 
 
-@query("registry_stats", "stations", "SELECT count(*) total, count(CASE WHEN priority_tier = 'A' THEN 1 END) tier_a, count(CASE WHEN priority_tier = 'B' THEN 1 END) tier_b, count(CASE WHEN status = 'operating' THEN 1 END) operating, round(sum(capacity_mw), 2) capacity FROM stations")
-def _(s):
-    return s.agg(c("total"), F.count_if(F.col("priority_tier") == "A").alias("tier_a"), F.count_if(F.col("priority_tier") == "B").alias("tier_b"), F.count_if(F.col("status") == "operating").alias("operating"), F.round(F.sum("capacity_mw"), 2).alias("capacity"))
-
-
-@query("project_stats", "projects", "SELECT status, count(*) n, round(sum(capacity_mw), 2) capacity FROM projects GROUP BY status")
-def _(p):
-    return p.groupBy("status").agg(c("n"), F.round(F.sum("capacity_mw"), 2).alias("capacity"))
-
-
 @query("link_stats", "links", "SELECT link_type, count(*) n, count(DISTINCT project_id) projects, count(DISTINCT station_id) stations FROM links GROUP BY link_type")
 def _(link):
     return link.groupBy("link_type").agg(c("n"), F.count_distinct("project_id").alias("projects"), F.count_distinct("station_id").alias("stations"))
@@ -192,11 +146,6 @@ def _(a, r, t):
     return a.agg(c("documents"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).crossJoin(r.agg(c("records"))).crossJoin(t.agg(c("tasks")))
 
 
-@query("status_overview", "tasks", "SELECT status, count(*) n FROM tasks GROUP BY status")
-def _(t):
-    return t.groupBy("status").agg(c("n"))
-
-
 @query("review_queue_stats", "reviews", "SELECT status, fact_type, count(*) n FROM reviews GROUP BY status, fact_type")
 def _(r):
     return r.groupBy("status", "fact_type").agg(c("n"))
@@ -239,18 +188,12 @@ def _(o, s):
 
 
 @query("source_reliability", "events", """SELECT user_id, round(list_reduce(list_prepend(0.5e0, list(CASE WHEN event_type = 'error' THEN -0.1e0 ELSE 0.05e0 END ORDER BY ts, event_id)), lambda a, x: CASE WHEN x > 0 THEN least(1.0e0, a + x) ELSE greatest(0.0e0, a + x) END), 6) score,
-  count(CASE WHEN event_type <> 'error' THEN 1 END) success_count, count(CASE WHEN event_type = 'error' THEN 1 END) failure_count FROM events WHERE event_type <> 'signup' GROUP BY user_id""")
+  count(CASE WHEN event_type <> 'error' THEN 1 END) success_count, count(CASE WHEN event_type = 'error' THEN 1 END) failure_count, max(CASE WHEN event_type <> 'error' THEN ts END) last_success, max(CASE WHEN event_type = 'error' THEN ts END) last_failure FROM events WHERE event_type <> 'signup' GROUP BY user_id""")
 def _(e):
     out = fr.fold_reliability(e.where("event_type <> 'signup'"), "user_id", ["ts", "event_id"], F.col("event_type") != "error")
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("seed_profile", "stations", "SELECT 'tier' dim, priority_tier v, count(*) n FROM stations GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM stations GROUP BY 2 UNION ALL SELECT 'country', country, count(*) FROM stations GROUP BY 2")
-def _(s):
-    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(x).alias("v")) for d, x in (("tier", "priority_tier"), ("status", "status"), ("country", "country"))])).alias("x")
-    return s.select(dims).groupBy("x.dim", "x.v").agg(c("n"))
-
-
 CANON_FOUND = "regexp_replace(regexp_replace(lower(regexp_replace(url, '[?].*$', '')), '([^:])/+', '\\1/', 'g'), '/$', '')"
 
 
@@ -305,11 +248,6 @@ def _(s):
     return s.withColumn("n", F.row_number().over(w)).where("n <= 10").select("entity_id", "url")
 
 
-@query("discovery_list", "candidate_urls", "SELECT source_type, page_id FROM (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY score DESC, page_id) n FROM candidate_urls) x WHERE n <= 20")
-def _(u):
-    return u.withColumn("n", F.row_number().over(Window.partitionBy("source_type").orderBy(F.desc("score"), "page_id"))).where("n <= 20").select("source_type", "page_id")
-
-
 @query("station_picker", "stations", "SELECT entity_id, country FROM stations ORDER BY CASE country WHEN 'NATION_1' THEN 0 WHEN 'NATION_2' THEN 1 ELSE 2 END, capacity_mw DESC NULLS LAST, canonical_name LIMIT 50")
 def _(s):
     return s.orderBy(F.when(F.col("country") == "NATION_1", 0).when(F.col("country") == "NATION_2", 1).otherwise(2), F.desc_nulls_last("capacity_mw"), "canonical_name").limit(50).select("entity_id", "country")

@@ -187,15 +187,6 @@ def _(g, r):
     return g.join(r, g.case_id == r.id).select("case_id", F.round(acc, 4).alias("accuracy"))
 
 
-@query("bench_metrics", "ground_truth records", f"""SELECT period_label, count(*) cases, round(avg(CASE WHEN e <= 0.05e0 THEN 1.0e0 ELSE 0.0e0 END), 6) pass_rate, round(avg({ACC}), 4) mean_accuracy, round(median({ACC}), 4) median_accuracy
-  FROM (SELECT g.period_label, abs(generation_gwh - expected) / expected e FROM ground_truth g JOIN records r ON r.id = g.case_id) x GROUP BY period_label""")
-def _(g, r):
-    e = F.abs(F.col("generation_gwh") - F.col("expected")) / F.col("expected")
-    acc = F.when(e <= 0.05, 1.0).when(e <= 0.1, 0.9).when(e <= 0.2, 0.7).otherwise(F.greatest(F.lit(0.0), 1 - e))
-    rows = g.join(r.drop("period_label"), g.case_id == r.id).select("period_label", acc.alias("a"), (e <= 0.05).cast("double").alias("ok"))
-    return rows.groupBy("period_label").agg(F.count("*").alias("cases"), F.round(F.avg("ok"), 6).alias("pass_rate"), F.round(F.avg("a"), 4).alias("mean_accuracy"), F.round(F.percentile("a", 0.5), 4).alias("median_accuracy"))
-
-
 @query("bench_legacy", "ground_truth records", """SELECT count(*) cases, round(100.0e0 * count(generation_gwh) / count(*), 4) coverage_pct, count(CASE WHEN abs(generation_gwh - expected) < 0.1e0 THEN 1 END) exact, count(CASE WHEN abs(generation_gwh - expected) / expected < 0.05e0 THEN 1 END) close,
   round(avg(abs(generation_gwh - expected) / expected * 100), 4) mean_error_pct FROM ground_truth g LEFT JOIN (SELECT * FROM records WHERE publication_status = 'publishable') r ON r.id = g.case_id""")
 def _(g, r):
@@ -227,9 +218,12 @@ def _(e, a):
     return e.where("document_id is not null").join(a, ["document_id", "content_hash"], "left_anti").select("evidence_id", "document_id")
 
 
-@query("browse_records", "records", f"SELECT id, entity_id, period_label FROM records WHERE {RULE} AND period_label = '1997' ORDER BY id LIMIT 200")
+@query("browse_records", "records", f"SELECT * FROM (SELECT 'published' AS mode, id, entity_id, period_label FROM records WHERE {RULE} AND period_label = '1997' ORDER BY id LIMIT 200) a UNION ALL SELECT * FROM (SELECT 'all', id, entity_id, period_label FROM records WHERE period_label = '1997' AND value_type = 'forecast' ORDER BY id LIMIT 200) b")
 def _(r):
-    return t.trusted(r, year="1997").orderBy("id").limit(200).select("id", "entity_id", "period_label")
+    """A page of the published records of a year, one of all its forecasts, and of published forecasts, of which there are none."""
+    modes = {"published": t.browse(r, year="1997", published_only=True), "all": t.browse(r, year="1997", value_type="forecast"), "none": t.browse(r, year="1997", value_type="forecast", published_only=True)}
+    pages = [df.orderBy("id").limit(200).select(F.lit(mode).alias("mode"), "id", "entity_id", "period_label") for mode, df in modes.items()]
+    return pages[0].union(pages[1]).union(pages[2])
 
 
 @query("recent_records", "records stations", "SELECT r.id, s.canonical_name FROM records r LEFT JOIN stations s ON s.entity_id = r.entity_id ORDER BY r.updated_at DESC, r.id DESC LIMIT 4")

@@ -122,6 +122,19 @@ FRAMES: dict[str, str] = {
     "discoveries": """SELECT cast(o_custkey AS string) entity_id, 'https://d' || cast(o_orderkey % 4 AS string) || '.example/e' || cast(o_orderkey AS string) url, CASE WHEN o_orderkey % 5 = 0 THEN 'reference' ELSE 'official' END source_type, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'discovered' END status, o_orderdate updated_at FROM orders""",
     "homes": f"SELECT doc_id, country, url, text, nullif(why, '') why FROM order_values JOIN {ph.values(ph.HOMES, 'country', 'url', 'text', 'why')} c ON k = doc_id % {len(ph.HOMES)}",
     "linked_pages": """SELECT page_id, url, html || '<p><a href="/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf">Report</a> <a href="/press/' || cast(page_id AS string) || '">News</a> <a href="/data.csv?v=2">t</a> <a href="https://other.example/' || cast(page_id % 3 AS string) || '.xlsx">x</a></p>' html FROM pages""",
+    "source_list": "SELECT source_id, min(title) title, min(url) url, CASE WHEN source_id LIKE '%3' THEN 'upload' ELSE 'http' END access_method FROM sources GROUP BY source_id",
+    "asked_tasks": "SELECT task_id, 'generation' task_type, CASE WHEN task_id LIKE '%5' THEN 'https://user.example' WHEN task_id LIKE '%6' THEN '' END user_specified_source FROM tasks WHERE task_id NOT LIKE '%9'",
+    "review_candidates": "SELECT candidate_id, CASE WHEN task_id LIKE '%8' THEN NULL ELSE task_id END task_id, entity_id, period_label, generation_gwh, document_id, snippet, CASE WHEN candidate_id LIKE '%7' THEN 'auto_search' ELSE 'rule' END extraction_method FROM candidates WHERE candidate_id NOT LIKE '%70'",
+    "review_rows": """SELECT review_id, candidate_id, entity_id, status, reason, task_id, created_at, CASE WHEN review_id LIKE '%1' THEN '{"validation_issues":[{"code":"A","severity":"high"},{"code":"B","severity":"low"}],"candidate":{"flags":["OCR_DERIVED","X"]}}' WHEN review_id LIKE '%2' THEN 'not json' WHEN review_id LIKE '%3' THEN '{"candidate":{},"evidence_metadata":{"page":"3"}}' END payload FROM reviews""",
+    "shown_evidence": "SELECT evidence_id, document_id, CASE WHEN evidence_id LIKE '%2' THEN NULL ELSE 'shown ' || evidence_id END snippet, CASE WHEN evidence_id LIKE '%3' THEN NULL ELSE page_number END page_number, CASE WHEN evidence_id LIKE '%1' THEN NULL ELSE 'T0' END task_id FROM evidence",
+    "task_records": "SELECT id, candidate_id, CASE WHEN id % 2 = 0 THEN NULL ELSE 'T' || cast(id AS string) END task_id FROM records",
+    "known_tasks": "SELECT task_id, entity_id, priority_tier, status, attempts, CASE WHEN task_id LIKE '%2' THEN 'manual' WHEN task_id LIKE '%3' THEN NULL ELSE 'auto' END source_type, CASE WHEN task_id LIKE '%2' THEN 'https://old.example' END user_specified_source FROM tasks",
+    "created_tasks": """SELECT CASE WHEN task_id LIKE '%1' THEN 'N' ELSE '' END || task_id task_id, 'E' || entity_id entity_id, 'Z' priority_tier, 'pending' status, 0 attempts, CASE WHEN task_id LIKE '%24' OR task_id LIKE '%2' THEN 'manual' ELSE 'auto' END source_type, 'https://new.example' user_specified_source FROM tasks WHERE task_id NOT LIKE '%6'""",
+    "lead_results": """SELECT page_id, 'T' || cast(page_id % 20 AS string) task_id, 'p' || cast(page_id % 2 AS string) provider, 'dam' AS query, CASE WHEN page_id % 9 = 8 THEN 'ftp://x' WHEN page_id % 3 = 0 THEN 'https://L' || cast(page_id % 30 AS string) || '.example/' ELSE ' https://l' || cast(page_id % 30 AS string) || '.example' END url, cast(1 + page_id % 5 AS int) AS rank, 'Title ' || cast(page_id AS string) title, 'About' snippet FROM pages""",
+    "seed_rows": """SELECT trim(status) status, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'tech' || cast(c_custkey % 3 AS string) END technology, CASE WHEN c_custkey % 19 = 3 THEN '' ELSE country END country, CASE c_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'D' END priority_tier, location location_id, unit unit_id, CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE name END canonical_name,
+        try_cast(capacity AS double) capacity_mw, try_cast(latitude AS double) latitude, try_cast(longitude AS double) longitude, c_custkey % 3 = 0 needs_review FROM raw_rows""",
+    "eval_cases": """SELECT o_orderkey case_id, o_orderkey % 2 = 0 source_discovered, o_orderkey % 3 = 0 acquisition_success, o_orderkey % 5 <> 0 parse_success, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END extraction_success, o_orderkey % 6 <> 1 entity_match, o_orderkey % 8 = 0 year_match, o_orderkey % 9 <> 2 unit_match, o_orderkey % 10 < 7 overall_pass,
+        cast(o_orderkey % 21 AS double) / 20 value_accuracy, CASE o_orderkey % 10 WHEN 7 THEN 'extraction' WHEN 8 THEN 'parse' WHEN 9 THEN 'extraction' END error_stage FROM orders""",
     "named_stations": """SELECT cast(c_custkey AS string) entity_id, c_name canonical_name, CASE WHEN c_custkey % 3 = 0 THEN ' River  Dam ' || cast(c_custkey AS string) END local_name,
         CASE WHEN c_custkey % 4 = 1 THEN 'Old Mill ' || cast(c_custkey % 50 AS string) || '； M' || cast(c_custkey AS string) || '|K' ELSE '' END aliases FROM customer""",
     "asked_names": """SELECT o_orderkey ask_id, CASE o_orderkey % 8 WHEN 0 THEN upper(c_name) || ' ' WHEN 1 THEN 'river dam  ' || cast(o_custkey AS string) WHEN 2 THEN 'Old Mill ' || cast(o_custkey % 50 AS string) WHEN 3 THEN substr(c_name, 10) WHEN 4 THEN 'VER DAM ' || cast(o_custkey AS string)
