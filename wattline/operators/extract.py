@@ -251,13 +251,3 @@ def promotion_gates(review_required: bool = True) -> Column:
         "evidence": F.col("has_evidence"), "review": F.col("review_status") == "approved" if review_required else F.lit(True),
     }
     return F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(n)) for n, g in gates.items()]))
-
-
-def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """Runs of lines with two or more cells (cut at tabs or two spaces) are tables: doc, page, block, header, rows."""
-    lines = pages.select(doc, page, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    cells = lines.withColumn("cells", F.filter(F.split(F.trim("line"), r"\t|\s{2,}"), lambda c: c != "")).where(F.size("cells") >= 2)
-    island = F.col("at") - F.row_number().over(Window.partitionBy(doc, page).orderBy("at"))
-    rows = F.sort_array(F.collect_list(F.struct("at", "cells")))
-    out = cells.withColumn("block", island).groupBy(doc, page, "block").agg(rows.alias("r"))
-    return out.select(doc, page, "block", F.element_at("r", 1)["cells"].alias("header"), F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["cells"]).alias("rows"))

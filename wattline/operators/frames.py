@@ -125,15 +125,6 @@ def illegal_transitions(history: DataFrame, key: str, order: list[str]) -> DataF
     return history.withColumn("before", before).where("before is not null and before <> status").where(~F.array_contains(F.element_at(legal, F.col("before")), F.col("status")))
 
 
-def merge_page_tables(pages: DataFrame, doc: str, page: str, signature: str) -> DataFrame:
-    """Tables on consecutive pages with the same header are one: gaps and islands by page and signature."""
-    w = Window.partitionBy(doc).orderBy(page)
-    new = (F.lag(page).over(w).isNull() | (F.lag(page).over(w) != F.col(page) - 1) | (F.lag(signature).over(w) != F.col(signature))).cast("int")
-    rows = pages.withColumn("__wl_new", new)
-    island = F.sum("__wl_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("island", island).groupBy(doc, "island", signature).agg(F.min(page).alias("first_page"), F.max(page).alias("last_page"), F.count("*").alias("pages"))
-
-
 def best_sources(sources: DataFrame, tasks: DataFrame, as_of: Column, k: int = 5, verified_only: bool = False) -> DataFrame:
     """Per task the k best sources of its entity and metric that did not just fail repeatedly.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wattline.functions import text as tx
-from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, registry as rg, trust as t
+from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, layout as la, registry as rg, trust as t
 from wattline.operators.station_rows import extract_rows
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
@@ -243,13 +243,6 @@ def _(old, new):
     return fr.upsert(old, new, ["entity_id"], {"status": fr.survives("official", "authority")})
 
 
-@query("merge_page_tables", "lineitem", """SELECT doc, signature, cast(island AS bigint) island, min(page) first_page, max(page) last_page, count(*) pages FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY page) island FROM (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR lag(page) OVER w <> page - 1 OR lag(signature) OVER w <> signature THEN 1 ELSE 0 END fresh
-  FROM (SELECT l_orderkey doc, l_linenumber page, min(l_returnflag) signature FROM lineitem GROUP BY 1, 2) p WINDOW w AS (PARTITION BY doc ORDER BY page)) q) z GROUP BY doc, signature, island""")
-def _(x):
-    pages = x.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).agg(F.min("l_returnflag").alias("signature"))
-    return fr.merge_page_tables(pages, "doc", "page", "signature")
-
-
 @query("sheet_union", "stations projects", "SELECT entity_id, 'stations' _sheet, latitude FROM stations UNION ALL SELECT entity_id, 'projects', NULL FROM projects")
 def _(s, p):
     return s.select("entity_id", F.lit("stations").alias("_sheet"), "latitude").unionByName(p.select("entity_id", F.lit("projects").alias("_sheet")), allowMissingColumns=True)
@@ -383,11 +376,19 @@ def _(texts, _expected):
     return fa.text_figures(texts, ["doc_id"], "text").select("doc_id", F.col("at").alias("nth"), "snippet")
 
 
-@query("layout_tables", "sentences", "SELECT doc_id, 'year|value' header, want_year || '|' || want_value AS first_row FROM sentences")
-def _(s):
-    page = F.concat(F.lit("Report\nyear  value\n"), "want_year", F.lit("   "), "want_value", F.lit("\n\nnotes follow"))
-    out = ex.layout_tables(s.select("doc_id", F.lit(1).alias("page"), page.alias("text")), "doc_id", "page", "text")
-    return out.select("doc_id", F.array_join("header", "|").alias("header"), F.array_join(F.element_at("rows", 1), "|").alias("first_row"))
+@query("layout_tables", "layout_pages layout_found", "SELECT doc_id, first_page, last_page, headers, cells FROM layout_found")
+def _(pages, _expected):
+    """Tables with headers of two lines, tables that go on with and without a header, two on a page, texts that are none."""
+    merged, _, _ = la.page_tables(pages, "doc_id", "page", "text")
+    return merged.select("doc_id", "first_page", "last_page", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))
+
+
+@query("merge_page_tables", "layout_pages layout_notes", "SELECT doc_id, previous_page, page, reasons FROM layout_notes")
+def _(pages, _expected):
+    """Why tables on neighbouring pages are not one."""
+    _, breaks, refused = la.page_tables(pages, "doc_id", "page", "text")
+    both = breaks.unionByName(refused.withColumn("previous_page", F.lit(0)))
+    return both.select("doc_id", "previous_page", "page", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("extract_rows", "row_texts row_facts", "SELECT doc_id, nth, 'text.station_row[' || station || ']' locator, period_label, value_raw, unit_raw, round(gwh, 6) gwh, 'gross_generation' metric, 'calendar_year' period_type FROM row_facts")

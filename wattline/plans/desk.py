@@ -52,12 +52,12 @@ LEAD = "'lead_' || substr(sha256(task_id || chr(31) || provider || chr(31) || qu
 
 
 @query("lead_upsert", "lead_results", f""", l AS (SELECT *, {LEAD} lead_id FROM lead_results WHERE lower(trim(url)) LIKE 'http%'), k AS (SELECT DISTINCT lead_id, CASE WHEN page_id % 6 = 0 THEN 'rejected' ELSE 'fetched' END status FROM l WHERE page_id % 3 = 0)
-  SELECT 'lead' AS what, l.lead_id, l.task_id || ' ' || trim(l.url) key, CASE WHEN k.status = 'rejected' THEN 'rejected' ELSE 'discovered' END status FROM l LEFT JOIN k ON k.lead_id = l.lead_id
+  SELECT DISTINCT 'lead' AS what, l.lead_id, l.task_id || ' ' || trim(l.url) key, CASE WHEN k.status = 'rejected' THEN 'rejected' ELSE 'discovered' END status FROM l LEFT JOIN k ON k.lead_id = l.lead_id
   UNION ALL SELECT 'address', arg_min(lead_id, (rank, lead_id)), task_id || ' ' || lower(rtrim(trim(url), '/')), NULL FROM l GROUP BY task_id, lower(rtrim(trim(url), '/'))""")
 def _(results):
     """A third of the leads are known, some of them rejected."""
     rank = C("rank").cast("string")
-    known = results.where("page_id % 3 = 0 and page_id % 9 <> 8").select(tx.stable_id("lead_", C("task_id"), C("provider"), C("query"), F.trim("url"), rank).alias("lead_id"), "task_id", "provider", "query", F.trim("url").alias("url"), "rank", F.lit("old").alias("title"), "snippet", F.when(C("page_id") % 6 == 0, "rejected").otherwise("fetched").alias("status"))
+    known = results.where("page_id % 3 = 0 and page_id % 9 <> 8").select(tx.stable_id("lead_", C("task_id"), C("provider"), C("query"), F.trim("url"), rank).alias("lead_id"), "task_id", "provider", "query", F.trim("url").alias("url"), "rank", F.lit("old").alias("title"), "snippet", F.when(C("page_id") % 6 == 0, "rejected").otherwise("fetched").alias("status")).distinct()
     leads, first = dk.record_leads(known, results.drop("page_id"))
     own = leads.select(F.lit("lead").alias("what"), "lead_id", F.concat_ws(" ", "task_id", "url").alias("key"), "status")
     return own.union(first.select(F.lit("address"), "lead_id", F.concat_ws(" ", "task_id", "key"), F.lit(None).cast("string")))

@@ -100,6 +100,9 @@ FRAMES: dict[str, str] = {
     "page_facts": f"SELECT doc_id, locator, CASE yr WHEN 'Y' THEN y WHEN 'Z' THEN z END period_label, v value_raw, unit unit_raw, cast(v AS double) * factor gwh, metric, nullif(scope, '') measurement_scope FROM order_values JOIN {ph.values(ph.PAGE_FACTS, 'page', 'locator', 'yr', 'unit', 'factor', 'metric', 'scope')} c ON page = doc_id % {len(ph.FACT_PAGES)}",
     "row_texts": f"SELECT doc_id, replace(names, '{{N}}', n) names, replace(replace(replace(replace(text, '{{Y}}', y), '{{Z}}', z), '{{V}}', v), '{{N}}', n) text FROM order_values JOIN {ph.values(ph.ROW_TEXTS, 'names', 'text')} c ON k = doc_id % {len(ph.ROW_TEXTS)}",
     "row_facts": f"SELECT doc_id, nth, replace(station, '{{N}}', n) station, CASE yr WHEN 'Y' THEN y WHEN 'Z' THEN z ELSE yr END period_label, replace(val, '{{V}}', v) value_raw, unit unit_raw, cast(replace(val, '{{V}}', v) AS double) * factor gwh FROM order_values JOIN {ph.values(ph.ROW_FACTS, 'txt', 'nth', 'station', 'yr', 'val', 'unit', 'factor')} c ON txt = doc_id % {len(ph.ROW_TEXTS)}",
+    "layout_pages": f"SELECT doc_id, page, replace(replace(replace(replace(text, '{{Y}}', y), '{{Z}}', z), '{{V}}', v), '{{N}}', n) text FROM order_values JOIN {ph.values(ph.LAYOUT_PAGES, 'txt', 'page', 'text')} c ON txt = doc_id % 6",
+    "layout_found": f"SELECT doc_id, first_page, last_page, replace(replace(headers, '{{Y}}', y), '{{Z}}', z) headers, replace(replace(replace(cells, '{{Y}}', y), '{{V}}', v), '{{N}}', n) cells FROM order_values JOIN {ph.values(ph.LAYOUT_TABLES, 'txt', 'first_page', 'last_page', 'headers', 'cells')} c ON txt = doc_id % 6",
+    "layout_notes": f"SELECT doc_id, previous_page, page, reasons FROM order_values JOIN {ph.values(ph.LAYOUT_NOTES, 'txt', 'previous_page', 'page', 'reasons')} c ON txt = doc_id % 6",
     "fetch_log": f"SELECT page_id, status, ctype, replace(replace(replace(replace(replace(body, '{{BIG}}', repeat('x', 300001)), '{{L}}', chr(10)), '{{C3}}', chr(3)), '{{C4}}', chr(4)), '{{B}}', html) body, expected, code, kind FROM pages JOIN {ph.values(ph.FETCHES, 'status', 'ctype', 'body', 'expected', 'code', 'kind')} c ON k = page_id % {len(ph.FETCHES)}",
     "probe_log": f"SELECT event_id, nullif(status, -1) status, ctype, document_type, 'https://x.example' || tail url, access, state FROM events JOIN {ph.values(ph.PROBES, 'status', 'ctype', 'document_type', 'tail', 'access', 'state')} c ON k = event_id % {len(ph.PROBES)}",
     "rated_sources": f"SELECT doc_id, 'Big Dam ' || n AS name, y AS year, r.url, r.source_type, r.score reliability, replace(replace(f.url, '{{Y}}', y), '{{S}}', lower(replace('Big Dam ' || n, ' ', ''))) fit_url, f.document_type, replace(replace(preview, '{{Y}}', y), '{{N}}', 'Big Dam ' || n) preview, f.score fit, g.url guess_url, g.document_type guess_type, channel, depth, g.score guess FROM order_values JOIN {ph.values(ph.RELIABILITY, 'url', 'source_type', 'score')} r ON r.k = doc_id % {len(ph.RELIABILITY)} JOIN {ph.values(ph.FITS, 'url', 'document_type', 'preview', 'score')} f ON f.k = doc_id % {len(ph.FITS)} JOIN {ph.values(ph.GUESSES, 'url', 'document_type', 'channel', 'depth', 'score')} g ON g.k = doc_id % {len(ph.GUESSES)}",

@@ -203,6 +203,24 @@ ROW_FACTS = [
 ]
 
 
+#: case, page, text of a page with its layout
+LAYOUT_PAGES = [
+    (0, 1, "Report\nStation   Generation\n  Name      GWh\n{N}  {V}   \nOther  1,5\n\nfoot"), (0, 2, "Station  Generation\nName  GWh\nThird\t{V}"),
+    (1, 1, "Station  {Y} GWh\n{N}  {V}"), (1, 2, "Station  {Z} GWh\n{N}  {V}"),
+    (2, 1, "Year  Output MWh\n{Y}  {V}"), (2, 2, "{N}  {V}\nplain words here\n{N} a  {V}\n{N} b  {V}"), (2, 3, "Quarter Q2 notes\n{N}  {V}"), (2, 4, "{N}  {V}"),
+    (3, 1, "Just text.\nNo  table words\n"), (3, 2, "Station  GWh\n{N}  {V}"), (3, 4, "Station  GWh\n{N}  {V}"), (3, 5, "{N}  {V}\n{N}  only words"), (3, 6, "name  1\n{N} c  2"),
+    (4, 1, "Station  GWh\n{N}  {V}\n\nStation  Output  GWh\n{N}  1"), (4, 2, "Station  Output\n{N}  {V}"), (4, 3, "Stations  Output\n{N}  {V}"),
+    (5, 1, ""), (5, 2, "Station  GWh"), (5, 3, "alpha  1\nbeta  2"),
+]
+#: case, first page, last page, headers, rows
+LAYOUT_TABLES = [
+    (0, 1, 2, "Station Name|Generation GWh", "{N}|{V};Other|1,5;Third|{V}"), (1, 1, 1, "Station|{Y} GWh", "{N}|{V}"), (1, 2, 2, "Station|{Z} GWh", "{N}|{V}"), (2, 1, 2, "Year|Output MWh", "{Y}|{V};{N} a|{V};{N} b|{V}"),
+    (3, 2, 2, "Station|GWh", "{N}|{V}"), (3, 4, 6, "Station|GWh", "{N}|{V};{N}|{V};{N} c|2"), (4, 1, 1, "Station|GWh", "{N}|{V}"), (4, 1, 1, "Station|Output|GWh", "{N}|1|"), (4, 2, 2, "Station|Output", "{N}|{V}"), (4, 3, 3, "Stations|Output", "{N}|{V}"),
+]
+#: case, page before, page, reasons (of pages that do not go on the page before is 0)
+LAYOUT_NOTES = [(1, 1, 2, "year_changed"), (2, 0, 3, "period_changed"), (4, 1, 2, "column_count_changed,unit_changed"), (4, 2, 3, "header_changed")]
+
+
 def values(rows: list[tuple] | list[str], *names: str) -> str:
     """A numbered VALUES table that Spark and DuckDB both read."""
 
