@@ -64,7 +64,7 @@ def _quoted(text: Column) -> Column:
 
 
 def json_number(x: Column) -> Column:
-    """A double in the shortest form, as Python writes it: 1e16 and more, and less than 0.0001, with an exponent of two digits at least."""
+    """A double in the JVM's shortest form, written as Python does: 1e16 and more, and less than 0.0001, with an exponent of two digits at least."""
     text = F.upper(x.cast("string"))
     digits, power = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.?0*$", ""), F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
     sign = F.when(x < 0, "-").otherwise("")
@@ -93,11 +93,11 @@ def json_list(items: Column, quote: bool = True, tight: bool = False) -> Column:
     return F.concat(F.lit("["), F.array_join(own, "," if tight else ", "), F.lit("]"))
 
 
-def json_cell(df: DataFrame, name: str) -> Column:
+def json_cell(df: DataFrame, name: str, tight: bool = False) -> Column:
     """A column of a frame as JSON, by its type."""
     kind = df.schema[name].dataType.simpleString()
     c = F.col(name)
-    return json_number(c) if kind in ("double", "float") else c.cast("string") if kind in ("int", "bigint", "smallint", "boolean") else json_list(c) if kind.startswith("array") else _quoted(c.cast("string"))
+    return json_number(c) if kind in ("double", "float") else c.cast("string") if kind in ("int", "bigint", "smallint", "boolean") else json_list(c, tight=tight) if kind.startswith("array") else _quoted(c.cast("string"))
 
 
 #: What an approval is bound to.
@@ -121,7 +121,7 @@ def candidate_hash(candidates: DataFrame, links: DataFrame, evidence: DataFrame)
 
 def candidate_id(candidates: DataFrame, fields: list[str]) -> Column:
     """cand_ and 24 digits of the SHA-256 of the canonical JSON, without blanks and with nulls, of a candidate's own fields and its document."""
-    whole = canonical_json({c: json_cell(candidates, c) for c in fields}, keep_null=True, tight=True)
+    whole = canonical_json({c: json_cell(candidates, c, tight=True) for c in fields}, keep_null=True, tight=True)
     return F.concat(F.lit("cand_"), F.substring(F.sha2(whole, 256), 1, 24))
 
 

@@ -146,50 +146,6 @@ def station_aliases(names: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(trimmed, forms)))
 
 
-#: Countries of a language family.
-FAMILIES = {
-    "portuguese": ("brazil", "brasil", "portugal"), "turkish": ("turkey", "türkiye", "turkiye"),
-    "arabic": ("egypt", "مصر", "sudan", "السودان", "iraq", "العراق", "syria", "سوريا", "morocco", "المغرب", "algeria", "الجزائر"),
-}
-#: Phrases of a language family: of the station twice, of its operator, and of a site that is known.
-PHRASES = {
-    "chinese": ("{N} {Y} 完成发电量", "{N} {Y} 全年 发电量", "{O} {Y} 发电量完成情况公告"),
-    "portuguese": ("{N} {Y} geração anual", "{N} {Y} relatório anual geração", "{O} {Y} geração {N}"),
-    "turkish": ('"{N}" {Y} yıllık elektrik üretimi', '"{N}" {Y} yıllık faaliyet raporu üretim', '"{O}" {Y} yıllık üretim raporu "{N}"'),
-    "arabic": ('"{N}" {Y} إنتاج الكهرباء السنوي', '"{N}" {Y} التقرير السنوي إنتاج الكهرباء', '"{O}" {Y} التقرير السنوي إنتاج "{N}"'),
-    "other": ('"{N}" {Y} annual generation', '"{N}" {Y} annual report generation', '"{O}" {Y} annual report "{N}" generation'),
-}
-NO_OPERATOR, KNOWN_SITE = "{N} {Y} 发电量 年度报告", 'site:{D} "{N}" {Y} annual generation'
-FISCAL = {"chinese": " 财政年度", "arabic": " 财政年度"}
-
-
-def query_variants(name: Column, operator: Column, country: Column, year: Column, domains: Column, fiscal: Column, most: int = 3) -> Column:
-    """Search phrases for a station's generation of a year, by language family; the first `most` different ones."""
-    home = F.lower(F.trim(F.coalesce(country, F.lit(""))))
-    family = F.when(name.rlike(r"[一-鿿]"), "chinese")
-    for kind, homes in FAMILIES.items():
-        family = family.when(home.isin(*homes) | (name.rlike(r"[؀-ۿ]") if kind == "arabic" else F.lit(False)), kind)
-    family = family.otherwise("other")
-    own = F.when(family == "portuguese", F.regexp_replace(name, r"(?i)^(?:usina\s+hidrel[eé]trica|central\s+hidrel[eé]trica)\s+", "")).otherwise(name)
-
-    def filled(template: str, fiscal_word: Column, domain: Column | None = None) -> Column:
-        out = F.lit(template)
-        parts = {"{N}": own, "{O}": F.coalesce(operator, F.lit("")), "{Y}": F.concat(year, fiscal_word)} | ({"{D}": domain} if domain is not None else {})
-        for mark, value in parts.items():
-            out = F.replace(out, F.lit(mark), value)
-        return out
-
-    lists = None
-    has_operator = F.coalesce(operator, F.lit("")) != ""
-    for kind, (one, two, by_operator) in PHRASES.items():
-        word = F.when(fiscal, FISCAL.get(kind, " fiscal year")).otherwise("")
-        last = F.when(has_operator, filled(by_operator, word)).otherwise(filled(NO_OPERATOR, word) if kind == "chinese" else F.lit(None))
-        these = F.array(filled(one, word), filled(two, word), last)
-        lists = F.when(family == kind, these) if lists is None else lists.when(family == kind, these)
-    sites = F.transform(F.coalesce(domains, F.array().cast("array<string>")), lambda d: filled(KNOWN_SITE, F.lit(""), F.regexp_replace(F.lower(F.trim(d)), r"^www\.", "")))
-    return F.slice(F.array_distinct(F.array_compact(F.concat(lists, sites))), 1, most)
-
-
 #: Where sites keep annual reports.
 REPORT_PATHS = (
     "annual-report-{Y}.pdf", "reports/{Y}/annual-report.pdf", "investor-relations/reports/{Y}", "en/reports/{Y}", "about-us/annual-reports/{Y}",

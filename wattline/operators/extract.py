@@ -213,16 +213,6 @@ def validate_projects(projects: DataFrame, year: int) -> DataFrame:
     return projects.withColumn("issues", F.array_compact(F.array(*issues)))
 
 
-def csv_rows(docs: DataFrame, doc_id: str, body: str, schema: str) -> DataFrame:
-    """doc_id, nth and the columns of schema of each row of a CSV text after its header; blank lines and a byte order mark do not count.
-
-    Quoted commas and quotes are read; a line end inside quotes ends the row. Missing cells are null.
-    """
-    lines = F.filter(F.split(F.regexp_replace(body, "^\ufeff", ""), r"\r?\n"), lambda x: F.trim(x) != "")
-    rows = docs.select(doc_id, F.posexplode(lines).alias("nth", "line")).where("nth > 0")
-    return rows.select(doc_id, "nth", F.from_csv("line", schema, {"escape": '"'}).alias("r")).select(doc_id, "nth", "r.*")
-
-
 def record_confidence() -> Column:
     """0.8 if passed, else 0.6 less 0.3 for each high and 0.1 for each medium issue; 0.1 more for evidence, 0.05 for its page; averaged
     with the extractor's (0.5 if unknown), within 0 and 1."""

@@ -22,8 +22,8 @@ QUALITY = "struct<known:int,score:double,kind:int,method:int,reason:int>"
 
 def first_score(columns: list[str]) -> Column:
     """The first number among the fields that may hold a score, within 0 and 1."""
-    own = [F.col(c).try_cast("double") for c in SCORES if c in columns]
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(*own, F.lit(None).cast("double")))) if own else F.lit(None).cast("double")
+    own = F.coalesce(*[F.col(c).try_cast("double") for c in SCORES if c in columns], F.lit(None).cast("double"))
+    return F.when(own.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), own)))
 
 
 def _rank(value: Column, ranks: dict[str, int]) -> Column:

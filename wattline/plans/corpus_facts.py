@@ -9,6 +9,7 @@ from wattline.operators import discovery as di, extract as ex, facts as fa, fram
 from wattline.operators.station_rows import extract_rows
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
+from wattline.sources.files import csv_rows, read_seed, scratch
 from wattline.streaming import jobs
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -97,11 +98,12 @@ def _(e):
     return e.select("event_id", parsed.isNotNull().alias("ok"), F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
 
 
-@query("csv_doc_table", "order_values", """SELECT doc_id, nth, name, amount, note FROM (SELECT doc_id, 1 nth, 'Dam, ' || n AS name, v AS amount, 'a "b" c' note FROM order_values UNION ALL SELECT doc_id, 2, n, z, NULL FROM order_values) x""")
+@query("csv_doc_table", "order_values", """SELECT doc_id, nth, name, amount, note FROM (SELECT doc_id, 1 nth, 'Dam, ' || n AS name, v AS amount, 'a "b" c' note FROM order_values UNION ALL SELECT doc_id, 2, n, z, NULL FROM order_values UNION ALL SELECT doc_id, 3, 'line' || chr(10) || n || chr(10) || chr(10) || 'end "', y, 'x,' || chr(10) || '"' FROM order_values WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END, NULL, v, NULL FROM order_values) x""")
 def _(s):
-    """Quoted commas and quotes, a byte order mark, blank lines and a short row."""
-    body = F.concat(F.lit("\ufeffname,amount,note\r\n\""), F.lit("Dam, "), "n", F.lit('",'), "v", F.lit(',"a ""b"" c"\n\n  \n'), "n", F.lit(","), "z", F.lit("\n"))
-    return ex.csv_rows(s.select("doc_id", body.alias("body")), "doc_id", "body", "name string, amount string, note string")
+    """Quoted commas, quotes and line ends, a byte order mark, blank lines and a short row."""
+    more = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"line\n'), "n", F.lit('\n\nend """,'), "y", F.lit(',"x,\n"""\r\n'))).otherwise("")
+    body = F.concat(F.lit("\ufeffname,amount,note\r\n\""), F.lit("Dam, "), "n", F.lit('",'), "v", F.lit(',"a ""b"" c"\n\n  \n'), "n", F.lit(","), "z", F.lit("\n"), more, F.lit('"",'), "v", F.lit(',""'))
+    return csv_rows(s.select("doc_id", body.alias("body")), "doc_id", "body", "name string, amount string, note string")
 
 
 FACT_COLUMNS = "period_label, value_raw, unit_raw, round(gwh, 6) gwh, metric, value_type, measurement_scope, period_type, flags"
@@ -288,11 +290,22 @@ def _(e):
     return jobs.idempotent_ingest(e.union(e.where("event_id % 3 = 0"))).select("event_id", "user_id")
 
 
-@query("seed_scan", "customer", "SELECT c_custkey, nullif(trim(c_name), '') name, c_acctbal capacity, true ok FROM customer")
+SEEDS = """(SELECT c_custkey, CASE WHEN c_custkey % 31 = 7 THEN '' ELSE 'E' || cast(c_custkey AS string) END entity_id, CASE WHEN c_custkey % 37 = 8 THEN ' ' WHEN c_custkey % 5 = 0 THEN 'The "' || c_name || '",' || chr(10) || 'east' ELSE ' ' || c_name || ' ' END canonical_name,
+  CASE WHEN c_custkey % 4 = 1 THEN 'n/a' ELSE cast(c_acctbal AS string) END capacity_mw, cast(c_custkey % 99 AS string) latitude, cast(1950 + c_custkey % 70 AS string) || '.0' commissioning_year, CASE WHEN c_custkey % 2 = 0 THEN '2 x 50 MW; 3' ELSE 'many' END turbines, CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' END needs_review FROM customer)"""
+
+
+@query("seed_scan", "customer", f"""SELECT entity_id, canonical_name, capacity_mw, latitude, commissioning_year, turbines, needs_review, why FROM (SELECT nullif(trim(entity_id), '') entity_id, nullif(trim(canonical_name), '') canonical_name, try_cast(capacity_mw AS double) capacity_mw, cast(latitude AS double) latitude, cast(cast(commissioning_year AS double) AS int) commissioning_year,
+  CASE WHEN turbines = 'many' THEN NULL ELSE 5 END turbines, coalesce(needs_review, '') = 'Yes' needs_review, NULL why FROM {SEEDS} s) x WHERE entity_id IS NOT NULL AND canonical_name IS NOT NULL AND latitude <= 90
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN trim(entity_id) = '' THEN 'entity_id' WHEN trim(canonical_name) = '' THEN 'canonical_name' ELSE 'place' END FROM {SEEDS} s WHERE trim(entity_id) = '' OR trim(canonical_name) = '' OR cast(latitude AS int) > 90""")
 def _(x):
-    """All columns as strings, typed by field; a row whose number does not parse is a reject (ok false)."""
-    raw = x.select("c_custkey", F.from_csv(F.concat_ws(",", "c_name", F.col("c_acctbal").cast("string")), "name string, capacity string").alias("r"))
-    return raw.select("c_custkey", tx.clean(F.col("r.name")).alias("name"), tx.clean_float(F.col("r.capacity")).alias("capacity"), tx.clean_float(F.col("r.capacity")).isNotNull().alias("ok"))
+    """The table as CSV files, read back: names with quotes, commas and line ends, bad numbers, rows that must not be loaded."""
+    path = scratch(x.sparkSession, "seed")
+    x.createOrReplaceTempView("wattline_seed_rows")
+    rows = x.sparkSession.sql(f"SELECT * FROM {SEEDS.replace('FROM customer)', 'FROM wattline_seed_rows)')} s")
+    rows.drop("c_custkey").write.option("header", True).option("escape", '"').csv(path)
+    loaded, rejects = read_seed(x.sparkSession, path)
+    fields = ["entity_id", "canonical_name", "capacity_mw", "latitude", "commissioning_year", "turbines", "needs_review"]
+    return loaded.select(*fields, F.lit(None).cast("string").alias("why")).union(rejects.select(*[F.lit(None).cast(loaded.schema[c].dataType) for c in fields], "why"))
 
 
 @query("locator_meta", "locators", "SELECT doc_id, page, table_ref FROM locators")

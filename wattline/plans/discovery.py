@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattline.functions import text as tx
-from wattline.operators import discovery as di
+from wattline.operators import discovery as di, search_phrases as sp
 from wattline.operators.relevance import relevance
 from wattline.plans.registry import query
 
@@ -73,10 +73,17 @@ def _(n, s):
     return both
 
 
-@query("query_variants", "phrased", "SELECT doc_id, wanted FROM phrased")
+@query("query_variants", "phrased", """SELECT 'first' AS step, doc_id, wanted FROM phrased UNION ALL SELECT 'boolean', doc_id, '"' || name || '" ' || CASE WHEN doc_id % 4 = 0 THEN 'Brazil ' WHEN doc_id % 4 = 1 THEN 'Peru ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE year || ' ' END || CASE WHEN doc_id % 2 = 0 THEN '(generation OR "electricity production" OR output) (GWh OR TWh OR "billion kWh")' ELSE '(capacity OR "installed capacity" OR power) (MW OR GW OR megawatt)' END FROM phrased
+  UNION ALL SELECT 'again', doc_id, next_ones FROM phrased WHERE failure IS NOT NULL""")
 def _(p):
+    """First phrases, phrases in boolean form, and phrases after attempts that failed."""
     sites = F.when(C("site") != "", F.array("site"))
-    return p.select("doc_id", F.array_join(di.query_variants(C("name"), C("operator"), C("country"), C("year"), sites, C("fiscal")), "|").alias("wanted"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["query"]), "|")
+    first = p.select(F.lit("first").alias("step"), "doc_id", joined(sp.query_variants(C("name"), C("operator"), C("country"), C("year"), sites, C("fiscal"), C("metric"), C("standard"))).alias("wanted"))
+    code = F.when(C("doc_id") % 4 == 0, "BR").when(C("doc_id") % 4 == 1, "Peru")
+    boolean = sp.boolean_query(C("name"), code, F.when(C("doc_id") % 3 != 0, C("year")), F.when(C("doc_id") % 2 == 0, "generation").otherwise("capacity"))
+    again = sp.rewrite_after_failure(C("name"), C("operator"), C("country"), C("year"), sites, C("fiscal"), C("metric"), C("failure"), F.split("tried", "[|]"))
+    return first.union(p.select(F.lit("boolean"), "doc_id", boolean)).union(p.where("failure is not null").select(F.lit("again"), "doc_id", joined(again)))
 
 
 @query("report_urls", "sources", """SELECT url, y.year, regexp_extract(url, '^(https?://[^/]+)', 1) || '/' || replace(p.path, '{Y}', y.year) report FROM sources CROSS JOIN (SELECT unnest(['2018', '2019', '2020']) AS year) y CROSS JOIN (SELECT unnest(['annual-report-{Y}.pdf', 'reports/{Y}/annual-report.pdf', 'investor-relations/reports/{Y}',

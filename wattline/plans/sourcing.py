@@ -44,7 +44,7 @@ def _(cases, probes):
     return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
 
 
-FOUND = """SELECT *, coalesce(canonical_url, home) canonical, greatest(0, least(1, coalesce(combined_score, estimated_reliability))) score FROM found_sources"""
+FOUND = """SELECT *, coalesce(canonical_url, home) canonical, CASE WHEN coalesce(combined_score, estimated_reliability) IS NOT NULL THEN greatest(0, least(1, coalesce(combined_score, estimated_reliability))) END score FROM found_sources"""
 QUALITY = """SELECT *, CASE WHEN score IS NULL THEN 0 ELSE 1000000000 + cast(score * 1000 AS bigint) * 10000 END + CASE source_type WHEN 'official' THEN 3000 WHEN 'authority' THEN 2000 WHEN 'reference' THEN 1000 ELSE 0 END
   + CASE discovery_method WHEN 'official_site_explorer' THEN 20 WHEN 'program_search_result' THEN 10 ELSE 0 END + CASE WHEN match_reason IS NOT NULL THEN 1 ELSE 0 END q FROM found"""
 

@@ -107,7 +107,7 @@ FRAMES: dict[str, str] = {
     "probe_log": f"SELECT event_id, nullif(status, -1) status, ctype, document_type, 'https://x.example' || tail url, access, state FROM events JOIN {ph.values(ph.PROBES, 'status', 'ctype', 'document_type', 'tail', 'access', 'state')} c ON k = event_id % {len(ph.PROBES)}",
     "rated_sources": f"SELECT doc_id, 'Big Dam ' || n AS name, y AS year, r.url, r.source_type, r.score reliability, replace(replace(f.url, '{{Y}}', y), '{{S}}', lower(replace('Big Dam ' || n, ' ', ''))) fit_url, f.document_type, replace(replace(preview, '{{Y}}', y), '{{N}}', 'Big Dam ' || n) preview, f.score fit, g.url guess_url, g.document_type guess_type, channel, depth, g.score guess FROM order_values JOIN {ph.values(ph.RELIABILITY, 'url', 'source_type', 'score')} r ON r.k = doc_id % {len(ph.RELIABILITY)} JOIN {ph.values(ph.FITS, 'url', 'document_type', 'preview', 'score')} f ON f.k = doc_id % {len(ph.FITS)} JOIN {ph.values(ph.GUESSES, 'url', 'document_type', 'channel', 'depth', 'score')} g ON g.k = doc_id % {len(ph.GUESSES)}",
     "named": f"SELECT doc_id, names, known FROM order_values JOIN {ph.values(ph.ALIASES, 'names', 'known')} c ON k = doc_id % {len(ph.ALIASES)}",
-    "phrased": f"SELECT doc_id, y AS year, name, operator, country, domain AS site, fiscal, replace(phrases, '{{Y}}', y) wanted FROM order_values JOIN {ph.values(ph.PHRASED, 'name', 'operator', 'country', 'domain', 'fiscal', 'phrases')} c ON k = doc_id % {len(ph.PHRASED)}",
+    "phrased": f"SELECT doc_id, y AS year, name, standard, operator, country, domain AS site, fiscal, metric, replace(phrases, '{{Y}}', y) wanted, nullif(failure, '') failure, replace(tried, '{{Y}}', y) tried, replace(next_ones, '{{Y}}', y) next_ones FROM order_values JOIN {ph.values(ph.PHRASED, 'name', 'standard', 'operator', 'country', 'domain', 'fiscal', 'metric', 'phrases', 'failure', 'tried', 'next_ones')} c ON k = doc_id % {len(ph.PHRASED)}",
     "about": f"""SELECT *, replace(word, '{{Y}}', year) why, replace(proof, '{{T}}', text) shown FROM (SELECT doc_id, y AS year, 'Dam ' || n AS name, replace(replace(replace(replace(replace(text, '{{F}}', '{ph.FILLER.strip()}.'), '{{Y}}', y), '{{Z}}', z), '{{V}}', v), '{{N}}', 'Dam ' || n) text, CASE asked WHEN 'disclosure' THEN 'calendar_year' ELSE asked END period_type, asked = 'disclosure' disclosure, reason, score, scope,
         replace(word, '{{Z}}', z) word, replace(replace(replace(replace(proof, '{{Y}}', y), '{{Z}}', z), '{{V}}', v), '{{N}}', 'Dam ' || n) proof FROM order_values JOIN {ph.values(ph.RELEVANCES, 'text', 'asked', 'reason', 'score', 'scope', 'word', 'proof')} c ON k = doc_id % {len(ph.RELEVANCES)}) x""",
     "fact_sentences": f"SELECT doc_id, nth, replace(replace(replace(sentence, '{{Y}}', y), '{{Z}}', z), '{{V}}', v) snippet FROM order_values JOIN {ph.values(ph.SENTENCES, 'txt', 'nth', 'sentence')} c ON txt = doc_id % {len(ph.FACT_TEXTS)}",

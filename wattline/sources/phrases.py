@@ -131,13 +131,17 @@ ALIASES = [
     ("Three Gorges Dam Hydroelectric Station|三峡水电站", "Three Gorges Dam Hydroelectric Station|three|gorges|Three Gorges|三峡水电站|三峡电站"), ("Itaipu Binacional", "Itaipu Binacional|itaipu|binacional"), ("长江葛洲坝水电厂", "长江葛洲坝水电厂|葛洲坝水电厂|葛洲坝电站"),
     (" Belo Monte Power Plant ||Ab", "Belo Monte Power Plant|belo|monte|Belo Monte"), ("Atatürk HES", "Atatürk HES|atatürk"), ("", ""), ("Rio", "Rio"),
 ]
-#: name, operator, country, known domain, fiscal year; the phrases joined by |
+#: name, standard name, operator, country, known domain, fiscal year, metric; the phrases joined by |; a failure ('' for none), what was tried, the next phrases
 PHRASED = [
-    ("Hoover Dam", "USBR", "United States", "", False, "\"Hoover Dam\" {Y} annual generation|\"Hoover Dam\" {Y} annual report generation|\"USBR\" {Y} annual report \"Hoover Dam\" generation"),
-    ("Hoover Dam", "", "United States", "www.USBR.gov", True, "\"Hoover Dam\" {Y} fiscal year annual generation|\"Hoover Dam\" {Y} fiscal year annual report generation|site:usbr.gov \"Hoover Dam\" {Y} annual generation"),
-    ("三峡电站", "长江电力", "China", "", False, "三峡电站 {Y} 完成发电量|三峡电站 {Y} 全年 发电量|长江电力 {Y} 发电量完成情况公告"), ("三峡电站", "", "China", "", True, "三峡电站 {Y} 财政年度 完成发电量|三峡电站 {Y} 财政年度 全年 发电量|三峡电站 {Y} 财政年度 发电量 年度报告"),
-    ("Usina Hidrelétrica Itaipu", "", "Brazil", "", False, "Itaipu {Y} geração anual|Itaipu {Y} relatório anual geração"), ("Atatürk", "DSI", "Türkiye", "", False, "\"Atatürk\" {Y} yıllık elektrik üretimi|\"Atatürk\" {Y} yıllık faaliyet raporu üretim|\"DSI\" {Y} yıllık üretim raporu \"Atatürk\""),
-    ("Aswan", "", "Egypt", "", False, "\"Aswan\" {Y} إنتاج الكهرباء السنوي|\"Aswan\" {Y} التقرير السنوي إنتاج الكهرباء"),
+    ("Hoover Dam", "Hoover Dam", "USBR", "United States", "", False, "generation", "\"Hoover Dam\" {Y} annual generation|\"Hoover Dam\" {Y} annual report generation|\"USBR\" {Y} annual report \"Hoover Dam\" generation", "no results", "", "\"Hoover Dam\" {Y} annual generation filetype:pdf|\"Hoover Dam\" {Y} operating statistics report"),
+    ("Hoover Dam", "Hoover", "", "United States", "www.USBR.gov", True, "generation", "\"Hoover Dam\" {Y} fiscal year annual generation|\"Hoover\" {Y} fiscal year annual report generation|site:usbr.gov \"Hoover Dam\" {Y} annual generation", "all IRRELEVANT", "x", "\"Hoover Dam\" {Y} fiscal year annual report generation|site:usbr.gov \"Hoover Dam\" {Y} annual generation"),
+    ("三峡电站", "三峡电站", "长江电力", "China", "", False, "generation", "三峡电站 {Y} 完成发电量|三峡电站 {Y} 全年 发电量|长江电力 {Y} 发电量完成情况公告", "empty", "三峡电站 {Y} 年度报告 发电量", "三峡电站 {Y} 公告 全年 发电量 pdf"),
+    ("三峡电站", "三峡电站", "", "China", "", True, "generation", "三峡电站 {Y} 财政年度 完成发电量|三峡电站 {Y} 财政年度 全年 发电量|三峡电站 {Y} 财政年度 发电量 年度报告", "不相关", "", "三峡电站 {Y} 财政年度 发电量 年度报告"),
+    ("Usina Hidrelétrica Itaipu", "Itaipu", "", "Brazil", "", False, "generation", "Itaipu {Y} geração anual|Itaipu {Y} relatório anual geração", "HTTP 429", "", ""),
+    ("Atatürk", "Atatürk", "DSI", "Türkiye", "", False, "generation", "\"Atatürk\" {Y} yıllık elektrik üretimi|\"Atatürk\" {Y} yıllık faaliyet raporu üretim|\"DSI\" {Y} yıllık üretim raporu \"Atatürk\"", "irrelevant", "\"Atatürk\" {Y} yıllık faaliyet raporu üretim", "\"DSI\" {Y} yıllık üretim raporu \"Atatürk\""),
+    ("Aswan", "Aswan", "", "Egypt", "", False, "generation", "\"Aswan\" {Y} إنتاج الكهرباء السنوي|\"Aswan\" {Y} التقرير السنوي إنتاج الكهرباء", "", "", ""),
+    ("Belo Monte", "Belo Monte Dam", "Norte Energia", "Brazil", "www.norte.example", True, "capacity", "\"Belo Monte\" {Y} fiscal year installed capacity MW|\"Belo Monte Dam\" {Y} fiscal year capacity report|site:norte.example \"Belo Monte\" {Y} capacity report", "nothing", "", "\"Belo Monte\" {Y} filetype:pdf installed capacity|\"Belo Monte\" {Y} official capacity data"),
+    ("Belo Monte", "Belo Monte", "", "Peru", "", False, "capacity", "\"Belo Monte\" {Y} installed capacity MW|\"Belo Monte\" {Y} capacity report", "ineligible", "", ""),
 ]
 #: text, kind of period asked for; reason, score, scope, the word that tells it ('' for none), what shows it ('' for none, {T}: the whole text); {F}: many words that say nothing
 RELEVANCES = [

@@ -30,12 +30,15 @@ def _admit(rows: pd.DataFrame, state: dict, limit: int, seconds: float, budget:
     return out
 
 
-def quota_admit(calls: DataFrame, limit: int = 3, seconds: float = 3600.0, budget: int = 1 << 30, failures: int = 1 << 30) -> DataFrame:
+def quota_admit(calls: DataFrame, limit: int = 3, seconds: float = 3600.0, budget: int = 1 << 30, failures: int = 1 << 30, delay: str = "1 hour") -> DataFrame:
     """event_id, key, ts, status, admitted of calls (key, request, event_id, ts, failed).
 
     A call is admitted if its request has fewer than `budget` admitted calls, fewer than `failures` of them failed last in a row, and fewer than
     `limit` admitted calls of the key lie in the `seconds` before it. A key's requests follow one another. The state of a key is
-    at most `limit` times and three numbers, in a stream and in a batch; a key's calls are judged in order, so one key is one task's work.
+    at most `limit` times and three numbers; a key's calls are judged in order, so one key is one task's work.
+
+    A stream judges in event time: calls wait in the key's state until the watermark, `delay` behind the latest call, has passed them, so it does not matter how
+    micro-batches deal them out; those that come later than that are not judged. What waits is at most the calls of a key within the delay.
     """
     rows = calls.select(F.col("key").cast("string").alias("key"), F.col("request").cast("string").alias("request"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "failed")
     fresh = lambda: {"times": [], "request": None, "calls": 0, "failed": 0}
@@ -57,13 +60,26 @@ def quota_admit(calls: DataFrame, limit: int = 3, seconds: float = 3600.0, budge
         return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(in_order, QUOTA)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = dict(zip(("times", "request", "calls", "failed"), state.get, strict=True)) if state.exists else fresh()
-        own["times"] = list(own["times"])
-        out = judged(pd.concat(frames).assign(key=key[0]).sort_values(["ts", "event_id"]), own)
-        state.update((own["times"], own["request"], own["calls"], own["failed"]))
-        yield out
-
-    return rows.groupBy("key").applyInPandasWithState(step, QUOTA, "times array<double>, request string, calls long, failed long", "append", GroupStateTimeout.NoTimeout)
+        own, waiting = fresh(), []
+        if state.exists:
+            times, request, count, failed, *columns = state.get
+            own = {"times": list(times), "request": request, "calls": count, "failed": failed}
+            waiting = list(zip(*columns, strict=True))
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += list(zip(frame.ts.astype("datetime64[us]").astype("int64").tolist(), frame.event_id.tolist(), frame.request.tolist(), frame.failed.tolist(), strict=True))
+        waiting.sort(key=lambda x: x[:2])
+        passed = sum(x[0] <= state.getCurrentWatermarkMs() * 1000 for x in waiting)
+        if passed:
+            ready = pd.DataFrame(waiting[:passed], columns=["ts", "event_id", "request", "failed"])
+            yield judged(ready.assign(ts=pd.to_datetime(ready.ts, unit="us"), key=key[0]), own)
+        left = waiting[passed:]
+        state.update((own["times"], own["request"], own["calls"], own["failed"], *([x[i] for x in left] for i in range(4))))
+        if left:
+            state.setTimeoutTimestamp(left[0][0] // 1000 + 1)
+
+    kind = "times array<double>, request string, calls long, failed long, wait_ts array<long>, wait_id array<long>, wait_request array<string>, wait_failed array<boolean>"
+    return rows.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(step, QUOTA, kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def provider_calls(events: DataFrame) -> DataFrame:
