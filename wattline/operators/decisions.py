@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattline.functions import text as tx
+from wattline.operators.archive import candidate_hash
 from wattline.operators.extract import promotion_gates
 from wattline.operators.trust import latest
+from wattline.sources.files import written
 
-#: What of a candidate an approval is about.
-HASHED = ("document_id", "entity_id", "extraction_method", "extractor", "generation_gwh", "locator", "measurement_scope", "metric", "normalized_unit", "period_label", "period_type", "snippet", "source_id", "unit_raw", "value_raw", "value_type")
 FACT = ("entity_id", "fact_type", "fact_key")
 NATURAL_KEY = ("entity_id", "period_type", "period_label", "value_type", "measurement_scope")
 
@@ -19,15 +19,11 @@ def approval_hashes(candidates: DataFrame, links: DataFrame, evidence: DataFrame
 
     Null where a candidate has no evidence, or evidence is not that of its document's stored version: such a candidate cannot be approved.
     """
-    fields = [c for c in HASHED if c in candidates.columns]
-    value = lambda c: F.round(c, 4).cast("decimal(20,4)").cast("string") if c == "generation_gwh" else F.col(c).cast("string")
-    own = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), value(c)) for c in fields])
     stored = documents.select("document_id", F.col("content_hash").alias("stored_hash"))
     versions = links.join(evidence.select("evidence_id", "document_id", "content_hash"), "evidence_id", "left").join(stored, "document_id", "left")
-    whole = F.coalesce(F.col("content_hash") == F.col("stored_hash"), F.lit(False))
-    seen = versions.groupBy("candidate_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "evidence_id", "document_id", "content_hash"))), ",").alias("seen"), F.min(whole).alias("whole"))
-    out = candidates.select("candidate_id", own.alias("own")).join(seen, "candidate_id", "left")
-    return out.select("candidate_id", F.when(F.col("whole"), F.sha2(F.concat_ws("#", "own", "seen"), 256)).alias("candidate_hash"))
+    whole = versions.groupBy("candidate_id").agg(F.min(F.coalesce(F.col("content_hash") == F.col("stored_hash"), F.lit(False))).alias("whole"))
+    hashed = candidate_hash(candidates, links, evidence.select("evidence_id", "document_id", "content_hash"))
+    return hashed.join(whole, "candidate_id", "left").select("candidate_id", F.when(F.col("whole"), F.col("candidate_hash")).alias("candidate_hash"))
 
 
 def approval_reuse(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -101,6 +97,16 @@ def judged(decisions: DataFrame, reviews: DataFrame, candidates: DataFrame) -> D
     return rows.withColumn("outcome", outcome).drop("turn", "status", "approved_hash", "candidate_hash", "refused")
 
 
+def apply_decisions(decisions: DataFrame, reviews: DataFrame, candidates: DataFrame, judged_candidates: DataFrame, records: DataFrame, tasks: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """Everything that decisions change, from one table of verdicts that is stored once: verdicts, reviews, events, candidates, records, tasks.
+
+    reviews and judged_candidates: as `judged` takes them; candidates, records and tasks: the tables that change.
+    """
+    verdicts = written(judged(decisions, reviews, judged_candidates), "verdicts")
+    after = decided_reviews(verdicts, reviews)
+    return {"verdicts": verdicts, "reviews": after, "events": decision_events(verdicts), "candidates": decided_candidates(verdicts, candidates), "records": decided_records(verdicts, records, as_of), "tasks": decided_tasks(verdicts, after, tasks)}
+
+
 def decided_reviews(verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
     """reviews with their new status: the decision (cancelled for cancel), invalidated where the candidate has changed."""
     done = verdicts.where("outcome in ('applied', 'not_promotable')").select("review_id", F.when(F.col("decision") == "cancel", "cancelled").otherwise(F.col("decision")).alias("__new"))

@@ -108,39 +108,38 @@ def _queued(r, hashes):
     return r.join(hashes, "candidate_id", "left").withColumn("approved_hash", F.when(last == "3", None).when(last == "7", "stale").otherwise(F.col("candidate_hash"))).drop("candidate_hash")
 
 
-def _verdicts(d, rv, x, s, t, r, ce, e, a):
+def _applied(d, rv, x, s, t, r, ce, e, a):
     hashes = de.approval_hashes(x, ce, e, a)
     rows = ready(x, s, t, r, ce, e, reviewed=False).join(hashes, "candidate_id")
-    return de.judged(d, _queued(rv, hashes), rows)
+    return de.apply_decisions(d, _queued(rv, hashes), x, rows, r, t, F.lit(AS_OF).cast("timestamp"))
 
 
 @query("decision_outcomes", DECIDE, DECIDED + "SELECT decision_id, review_id, outcome FROM verdicts")
 def _(d, rv, x, s, t, r, ce, e, a, _w):
-    return _verdicts(d, rv, x, s, t, r, ce, e, a).select("decision_id", "review_id", "outcome")
+    return _applied(d, rv, x, s, t, r, ce, e, a)["verdicts"].select("decision_id", "review_id", "outcome")
 
 
 @query("apply_decisions", DECIDE, DECIDED + """SELECT t.task_id, CASE WHEN t.status IN ('success', 'cancelled') THEN t.status WHEN broken > 0 THEN 'failed' WHEN o.task_id IS NULL AND final IS NOT NULL THEN CASE WHEN final = 'approve' THEN 'success' ELSE 'failed' END ELSE t.status END status FROM tasks t
   LEFT JOIN (SELECT task_id, count(CASE WHEN outcome IN ('no_hash', 'changed', 'not_promotable') THEN 1 END) broken, last(CASE WHEN outcome = 'applied' AND decision IN ('approve', 'reject') THEN decision END ORDER BY decided_at, decision_id) FILTER (WHERE outcome = 'applied' AND decision IN ('approve', 'reject')) final FROM verdicts WHERE task_id IS NOT NULL GROUP BY task_id) v ON v.task_id = t.task_id
   LEFT JOIN (SELECT DISTINCT task_id FROM items WHERE status = 'open') o ON o.task_id = t.task_id""")
 def _(d, rv, x, s, t, r, ce, e, a, _w):
-    v = _verdicts(d, rv, x, s, t, r, ce, e, a)
-    return de.decided_tasks(v, de.decided_reviews(v, rv), t).select("task_id", "status")
+    return _applied(d, rv, x, s, t, r, ce, e, a)["tasks"].select("task_id", "status")
 
 
 @query("decided_reviews", DECIDE, DECIDED + "SELECT review_id, status FROM items")
 def _(d, rv, x, s, t, r, ce, e, a, _w):
-    return de.decided_reviews(_verdicts(d, rv, x, s, t, r, ce, e, a), rv).select("review_id", "status")
+    return _applied(d, rv, x, s, t, r, ce, e, a)["reviews"].select("review_id", "status")
 
 
 @query("decision_events", DECIDE, DECIDED + """SELECT 'evt_' || substr(sha1(review_id || '::' || decision), 1, 16) event_id, review_id, candidate_id, CASE decision WHEN 'cancel' THEN 'cancel' ELSE 'decide' END AS action, nullif(decision, 'cancel') decision, reviewer, CASE WHEN decision <> 'approve' THEN reason END reason
   FROM verdicts WHERE outcome = 'applied' AND decision <> 'request_more_evidence'""")
 def _(d, rv, x, s, t, r, ce, e, a, _w):
-    return de.decision_events(_verdicts(d, rv, x, s, t, r, ce, e, a))
+    return _applied(d, rv, x, s, t, r, ce, e, a)["events"]
 
 
 @query("decided_candidates", DECIDE, DECIDED + """SELECT c.candidate_id, coalesce(n.status, c.review_status) review_status FROM candidates c LEFT JOIN (SELECT candidate_id, CASE decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END status FROM verdicts WHERE outcome = 'applied' AND decision <> 'request_more_evidence') n ON n.candidate_id = c.candidate_id""")
 def _(d, rv, x, s, t, r, ce, e, a, _w):
-    return de.decided_candidates(_verdicts(d, rv, x, s, t, r, ce, e, a), x).select("candidate_id", "review_status")
+    return _applied(d, rv, x, s, t, r, ce, e, a)["candidates"].select("candidate_id", "review_status")
 
 
 @query("decided_records", DECIDE, DECIDED + f""", steps AS (SELECT entity_id, period_label, coalesce(value_type, 'actual') value_type, list({{'d': decision, 'e': first_evidence}} ORDER BY decided_at, decision_id) ds FROM verdicts WHERE outcome = 'applied' AND decision <> 'request_more_evidence' GROUP BY 1, 2, 3),
@@ -150,8 +149,7 @@ def _(d, rv, x, s, t, r, ce, e, a, _w):
   SELECT id, now.p publication_status, now.r review_status, now.v validation_status, now.e evidence_id, CASE WHEN now.d = 'touched' THEN TIMESTAMP '{AS_OF}' ELSE updated_at END updated_at FROM folded
   UNION ALL SELECT id, publication_status, review_status, validation_status, evidence_id, updated_at FROM records r WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.entity_id = r.entity_id AND s.period_label = r.period_label AND s.value_type = r.value_type)""")
 def _(d, rv, x, s, t, r, ce, e, a, _w):
-    out = de.decided_records(_verdicts(d, rv, x, s, t, r, ce, e, a), r, F.lit(AS_OF).cast("timestamp"))
-    return out.select("id", "publication_status", "review_status", "validation_status", "evidence_id", "updated_at")
+    return _applied(d, rv, x, s, t, r, ce, e, a)["records"].select("id", "publication_status", "review_status", "validation_status", "evidence_id", "updated_at")
 
 
 APPROVED = "reviews candidates candidate_evidence evidence archive whole_chains"

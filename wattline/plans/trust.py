@@ -28,7 +28,7 @@ def _(r):
     return t.trusted(r).select("id", "entity_id", "period_label", F.round("generation_gwh", 4).alias("gwh"))
 
 
-@query("trust_violations", "records", """SELECT id, array_to_string(list_filter([CASE WHEN value_type <> 'actual' THEN 'value_type' END, CASE WHEN period_type <> 'calendar_year' THEN 'period_type' END,
+@query("trust_violations", "records", """SELECT id, array_to_string(list_filter([CASE WHEN value_type <> 'actual' THEN 'value_type' END, CASE WHEN period_type <> 'calendar_year' THEN 'period_type' END, CASE WHEN measurement_scope <> 'plant' THEN 'measurement_scope' END, CASE WHEN metric <> 'gross_generation' THEN 'metric' END, CASE WHEN normalized_unit <> 'gwh' THEN 'normalized_unit' END,
   CASE WHEN validation_status <> 'passed' THEN 'validation_status' END, CASE WHEN publication_status <> 'publishable' THEN 'publication_status' END, CASE WHEN review_status <> 'approved' THEN 'review_status' END,
   CASE WHEN evidence_id IS NULL THEN 'evidence_id' END, CASE WHEN confidence >= 0.7e0 THEN NULL ELSE 'confidence' END], lambda x: x IS NOT NULL), ',') violations FROM records""")
 def _(r):

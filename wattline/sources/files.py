@@ -45,6 +45,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(at or tempfile.mkdtemp(prefix='spark-wattline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for what several results are made of."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv_rows(docs: DataFrame, doc_id: str, body: str, schema: str) -> DataFrame:
     """doc_id, nth (from 1) and the columns of schema of each row of a CSV text after its header; blank lines and a byte order mark do not count.
 

@@ -24,7 +24,7 @@ FRAMES: dict[str, str] = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "records": """SELECT o_orderkey id, cast(o_custkey AS string) entity_id,
         CASE WHEN o_orderkey % 10 = 1 THEN 'fiscal_year' ELSE 'calendar_year' END period_type, cast(year(o_orderdate) AS string) period_label,
-        CASE WHEN o_orderkey % 10 = 0 THEN 'forecast' ELSE 'actual' END value_type, 'plant' measurement_scope, 'gross_generation' metric, 'gwh' normalized_unit,
+        CASE WHEN o_orderkey % 10 = 0 THEN 'forecast' ELSE 'actual' END value_type, CASE WHEN o_orderkey % 37 = 1 THEN 'region' ELSE 'plant' END measurement_scope, CASE WHEN o_orderkey % 19 = 1 THEN 'net_generation' ELSE 'gross_generation' END metric, CASE WHEN o_orderkey % 59 = 3 THEN 'mwh' ELSE 'gwh' END normalized_unit,
         o_totalprice / 100 generation_gwh, 'src_' || cast(o_orderkey % 100 AS string) source_id,
         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'E' || cast(o_orderkey AS string) || '-1' END evidence_id, 'C' || cast(o_orderkey AS string) candidate_id,
         cast(6 - cast(substr(o_orderpriority, 1, 1) AS int) AS double) / 5 confidence,
