@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattline.llm.common import stored
 
-#: Bytes of query texts that one pass over the documents serves; their terms are broadcast.
-CHUNK = 1 << 23
+#: Bytes of query texts (and of each query besides) that one pass over the documents serves; their terms are broadcast.
+CHUNK, EACH = 1 << 23, 64
 PIECE = 1 << 20
 #: Terms are runs of these bytes; A to Z are lower-cased.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -228,9 +228,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = 20, text: str = "text",
     longs. Only the named columns are read, so others of any name are safe; an empty table on either side gives no rows.
     Items are served in passes of about CHUNK bytes of text (a longer item has a pass of its own).
     """
-    spark = docs.sparkSession
-    rows = items.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = items.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text <> ''")
+    size = rows.agg(F.sum(F.octet_length("text") + EACH)).first()[0] or 0
     passes = size // CHUNK + 1
     parts = [_pass(docs, rows.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i), top, text, key) for i in range(passes)]
     out = parts[0]
