@@ -186,13 +186,16 @@ def _first(text: Column, rules: dict[str, str], default: str | None) -> Column:
     return out.otherwise(default)
 
 
+#: Names of months; they may be cut to three letters.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS).replace("(?:)?", "")
 #: What says which period a figure is about; the first that is found counts.
 PERIOD = {
     "rolling_12_months": r"rolling\s*12\s*months?|trailing\s*12\s*months?|滚动\s*12\s*个?月",
     "ytd": r"\bytd\b|year[- ]to[- ]date|年初至今|截至.{0,12}(?:累计|发电)",
     "quarter": r"\bQ[1-4]\b|第?[一二三四1-4]季度",
     "fiscal_year": r"\bFY\s?\d{2,4}\b|财年|财政年度|fiscal\s+year|\b(?:19|20)\d{2}\s*[/–—-]\s*(?:19|20)\d{2}\b",
-    "month": r"(?:19|20)\d{2}[-/.年]\s*(?:0?[1-9]|1[0-2])\s*月?|\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b",
+    "month": rf"(?:19|20)\d{{2}}[-/.年]\s*(?:0?[1-9]|1[0-2])\s*月?|\b(?:{MONTH})\b",
 }
 #: What names a metric.
 METRIC = {
@@ -214,7 +217,7 @@ SCOPE = {
     "plant": "station|plant|单站|本站|该电站|电站|usina|hidrelétrica|hidreletrica|hydroelectric",
 }
 #: Words for a whole year.
-FULL_YEAR = r"全年|年度|annual(?:ly)?|anual(?:mente)?|full\s+year|calendar\s+year|yearly"
+FULL_YEAR = r"全年|年度|全年度|annual(?:ly)?|anual(?:mente)?|full\s+year|calendar\s+year|yearly"
 
 
 def period_type(text: Column) -> Column:

@@ -18,6 +18,7 @@ from wattline.functions import text as tx
 
 #: Units that follow a value, longer ones first where one begins another.
 UNIT = "GWh|MWh|kWh|TWh|亿千瓦时|亿度|万千瓦时|万度|千瓦时|兆瓦时|度|GW|MW|kW|兆瓦|千瓦|万千瓦"
+#: A value with its unit, and one that follows a year within 40 characters without a digit.
 FIGURE = rf"(\d[\d.,]*)\s*({UNIT})"
 DATED = re.compile(rf"((?:19|20)\d{{2}})\s*年?[^\d]{{0,40}}?{FIGURE}")
 BARE = re.compile(FIGURE)

@@ -36,13 +36,13 @@ def split_registry(built: DataFrame) -> tuple[DataFrame, DataFrame]:
 def by_country(stations: DataFrame, rules: DataFrame, default: Column) -> DataFrame:
     """stations with the columns of the rule for their country, else the struct `default`. rules: country and the columns of default."""
     names = [c for c in rules.columns if c != "country"]
-    joined = stations.join(F.broadcast(rules), "country", "left")  # a table of countries
+    joined = stations.join(rules, "country", "left")
     return joined.select(*stations.columns, *[F.coalesce(rules[c], default[c]).alias(c) for c in names])
 
 
 def first_hint(stations: DataFrame, rules: DataFrame, key: str, name: str) -> DataFrame:
     """key, hint: of the rules (n, country, word, hint) for a station's country whose word is in its name, the first."""
-    hits = stations.join(F.broadcast(rules), "country").where(F.contains(F.col(name), F.col("word"))).groupBy(key).agg(F.min_by("hint", "n").alias("hint"))
+    hits = stations.join(rules, "country").where(F.contains(F.col(name), F.col("word"))).groupBy(key).agg(F.min_by("hint", "n").alias("hint"))
     return stations.select(key).join(hits, key, "left")
 
 
