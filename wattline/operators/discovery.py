@@ -191,7 +191,12 @@ def source_country(url: Column) -> Column:
 
 def country_conflict(country: Column, url: Column, text: Column) -> Column:
     """Why a source or a text cannot be about an entity of this country: source_country, text_country or null."""
-    home, low = source_country(url), F.lower(F.coalesce(text, F.lit("")))
+    return home_conflict(country, source_country(url), text)
+
+
+def home_conflict(country: Column, home: Column, text: Column) -> Column:
+    """The same by the country whose source it is, null where that is not known."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     names = {k: reduce(Column.__or__, [low.contains(w) for w in words]) for k, words in COUNTRY_WORDS.items()}
     other = (
         (country == "US") & names["CN"] & ~names["US"] | (country == "CN") & names["US"] & ~names["CN"]

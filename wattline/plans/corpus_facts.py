@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from wattline.functions import text as tx
-from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, layout as la, registry as rg, trust as t
+from wattline.operators import discovery as di, extract as ex, facts as fa, frames as fr, layout as la, lookup as lo, registry as rg, trust as t
 from wattline.operators.station_rows import extract_rows
 from wattline.plans.registry import query
 from wattline.plans.trust import RULE
@@ -326,9 +326,17 @@ def _(pages, _expected):
     return fa.extract_tables(parsed, "doc_id", "names").select("doc_id", "locator", "period_label", "value_raw", "unit_raw", F.round("generation_gwh", 6).alias("gwh"), "metric", "measurement_scope")
 
 
-@query("entity_country_conflict", "homes", "SELECT doc_id, why FROM homes")
+@query("entity_country_conflict", "homes", """SELECT doc_id, CASE WHEN doc_id % 40 = 33 THEN 'unknown_source' WHEN doc_id % 40 = 34 THEN 'unknown_entity' WHEN doc_id % 40 = 35 AND country <> 'US' THEN 'source_country' WHEN doc_id % 40 = 35 AND why = 'source_country' AND country = 'US' THEN NULL ELSE why END why, doc_id % 40 <> 34 AND doc_id % 40 <> 33 AND doc_id % 3 = 0 AS named FROM homes""")
 def _(h):
-    return h.select("doc_id", di.country_conflict(F.col("country"), F.col("url"), F.col("text")).alias("why"))
+    """Candidates with a source and evidence of their own; some have no known source or entity, some an address of evidence in another country."""
+    k = F.col("doc_id") % 40
+    ident = F.col("doc_id").cast("string")
+    candidates = h.select("doc_id", ident.alias("entity_id"), ident.alias("source_id"), ident.alias("evidence_id"))
+    stations = h.where(k != 34).select(ident.alias("entity_id"), "country", F.concat(F.lit(" Big  Dam No. "), ident).alias("canonical_name"))
+    sources = h.where(k != 33).select(ident.alias("source_id"), "url", F.when(F.col("doc_id") % 3 == 0, "the BIG DAM no. 7").otherwise("a page").alias("title"))
+    evidence = h.select(ident.alias("evidence_id"), F.col("text").alias("snippet"), F.when(k == 35, "https://www.eia.gov/other").otherwise(F.col("url")).alias("source_url"))
+    out = lo.attribution(candidates, stations, sources, evidence, di.source_country, di.home_conflict)
+    return out.select("doc_id", "why", F.coalesce("named", F.lit(False)).alias("named"))
 
 
 LINKED = """, found AS (SELECT page_id, url, nth, href, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^([^/?#]*//[^/?#]*)', 1) || href END full_url FROM (SELECT page_id, url, 1 nth, '/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf' href FROM pages

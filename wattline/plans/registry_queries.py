@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from wattline.operators import frames as fr, registry as rg, trust as t
+from wattline.operators import frames as fr, lookup as lo, registry as rg, trust as t
 from wattline.operators.trust import latest
 from wattline.plans.registry import query
 
@@ -15,21 +15,21 @@ def c(*names):
     return F.count("*").alias(*names)
 
 
-@query("entity_search", "stations", "SELECT entity_id, canonical_name, count(*) OVER () total FROM stations WHERE (canonical_name ILIKE '%00012%' OR aliases ILIKE '%00012%') AND status = 'operating' AND capacity_mw BETWEEN 10 AND 19000 ORDER BY canonical_name, entity_id LIMIT 20 OFFSET 5")
-def _(s):
-    hit = s.where((F.col("canonical_name").ilike("%00012%") | F.col("aliases").ilike("%00012%")) & (F.col("status") == "operating") & F.col("capacity_mw").between(10, 19000))
-    page = hit.orderBy("canonical_name", "entity_id").offset(5).limit(20)
-    return page.crossJoin(hit.agg(c("total"))).select("entity_id", "canonical_name", "total")  # one row on the right
+@query("entity_search", "named_stations stations", """SELECT entity_id, canonical_name, count(*) OVER () total FROM (SELECT n.*, s.status, s.capacity_mw, s.country FROM named_stations n JOIN stations s ON s.entity_id = n.entity_id) x WHERE (canonical_name ILIKE '%mill 1%' OR aliases ILIKE '%mill 1%' OR coalesce(local_name, '') ILIKE '%mill 1%') AND status = 'operating' AND capacity_mw BETWEEN 10 AND 19000 ORDER BY canonical_name, entity_id LIMIT 20 OFFSET 5""")
+def _(n, s):
+    rows = n.join(s.select("entity_id", "status", "capacity_mw", "country"), "entity_id")
+    return lo.search_entities(rows, "MILL 1", status="operating", least=10, most=19000, limit=20, offset=5).select("entity_id", "canonical_name", "total")
 
 
 @query("projects_by_status", "projects", "SELECT entity_id, status, round(capacity_mw, 2) capacity_mw FROM projects WHERE status = 'approved' AND commissioning_year BETWEEN 1955 AND 2010 ORDER BY capacity_mw DESC NULLS LAST, entity_id")
 def _(p):
-    return p.where("status = 'approved' and commissioning_year between 1955 and 2010").select("entity_id", "status", F.round("capacity_mw", 2).alias("capacity_mw"))
+    return lo.projects_by_status(p, "approved", first=1955, last=2010).select("entity_id", "status", F.round("capacity_mw", 2).alias("capacity_mw"))
 
 
-@query("entity_by_name", "stations", "SELECT entity_id FROM stations WHERE canonical_name = 'Customer#000000042' OR aliases ILIKE '%000000043%'")
+@query("entity_by_name", "stations", "SELECT 'exact' AS how, entity_id FROM stations WHERE canonical_name = 'Customer#000000042' UNION ALL SELECT 'fuzzy', entity_id FROM stations WHERE canonical_name ILIKE '%#00000004%' OR aliases ILIKE '%#00000004%'")
 def _(s):
-    return s.where((F.col("canonical_name") == "Customer#000000042") | F.col("aliases").ilike("%000000043%")).select("entity_id")
+    found = lambda how, df: df.select(F.lit(how).alias("how"), "entity_id")
+    return found("exact", lo.by_name(s, "Customer#000000042")).union(found("fuzzy", lo.by_name(s, "CUSTOMER#00000004", fuzzy=True)))
 
 
 @query("registry_checks", "stations", "SELECT entity_id, (latitude IS NULL OR latitude BETWEEN -90 AND 90) AND (longitude IS NULL OR longitude BETWEEN -180 AND 180) AND (capacity_mw IS NULL OR capacity_mw >= 0) ok FROM stations")
@@ -43,13 +43,11 @@ def _(x):
     return x.groupBy(F.col("generation_gwh").isNull().alias("noise")).agg(c("n"))
 
 
-@query("ingest_contract", "records stations", """SELECT id, array_to_string(list_filter([CASE WHEN s.entity_id IS NULL THEN 'unknown_entity' END, CASE WHEN period_type <> 'calendar_year' THEN 'period_type' END, CASE WHEN value_type <> 'actual' THEN 'value_type' END,
-  CASE WHEN NOT regexp_full_match(period_label, '[0-9]{4}') THEN 'period_label' END, CASE WHEN generation_gwh IS NULL OR generation_gwh < 0 THEN 'value' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') errors
-  FROM records r LEFT JOIN stations s ON s.entity_id = r.entity_id AND s.status = 'operating'""")
-def _(r, s):
-    known = s.where("status = 'operating'").select("entity_id", F.lit(1).alias("known"))
-    rules = {"unknown_entity": F.col("known").isNull(), "period_type": F.col("period_type") != "calendar_year", "value_type": F.col("value_type") != "actual", "period_label": ~F.col("period_label").rlike("^[0-9]{4}$"), "value": F.col("generation_gwh").isNull() | (F.col("generation_gwh") < 0), "confidence": ~F.col("confidence").between(0, 1)}
-    return r.join(known, "entity_id", "left").select("id", F.array_join(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()])), ",").alias("errors"))
+@query("ingest_contract", "import_rows stations", """SELECT row, array_to_string(list_filter([CASE WHEN trim(entity_id) = '' THEN 'no_entity_id' END, CASE WHEN trim(period_label) = '' THEN 'no_period_label' END, CASE WHEN trim(generation_gwh) = '' THEN 'no_generation_gwh' END, CASE WHEN trim(unit_raw) = '' THEN 'no_unit_raw' END, CASE WHEN s_id IS NULL THEN 'unknown_entity' END, CASE WHEN NOT regexp_full_match(trim(period_label), '[0-9]{4}') THEN 'period_label' END,
+  CASE WHEN trim(period_type) <> 'calendar_year' THEN 'period_type' END, CASE WHEN lower(trim(value_type)) <> 'actual' THEN 'value_type' END, CASE WHEN lower(trim(measurement_scope)) <> 'plant' THEN 'measurement_scope' END, CASE WHEN lower(trim(metric)) <> 'gross_generation' THEN 'metric' END, CASE WHEN trim(generation_gwh) <> '' AND coalesce(try_cast(trim(generation_gwh) AS double), -1) < 0 THEN 'value' END,
+  CASE WHEN trim(unit_raw) NOT IN ('GWh', '万千瓦时') THEN 'unit' END, CASE WHEN trim(confidence) <> '' AND NOT coalesce(try_cast(trim(confidence) AS double) BETWEEN 0 AND 1, false) THEN 'confidence' END], lambda x: x IS NOT NULL), ',') errors FROM import_rows i LEFT JOIN (SELECT entity_id s_id FROM stations) s ON s.s_id = trim(i.entity_id)""")
+def _(rows, s):
+    return lo.check_import(rows, s).select("row", F.array_join("errors", ",").alias("errors"))
 
 
 AUTO = """FROM projects p JOIN stations s ON lower(trim(p.canonical_name)) = lower(trim(s.canonical_name)) AND p.commissioning_year = s.commissioning_year WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.project_id = p.entity_id AND l.station_id = s.entity_id)"""
@@ -57,10 +55,7 @@ AUTO = """FROM projects p JOIN stations s ON lower(trim(p.canonical_name)) = low
 
 @query("auto_link", "projects stations links", "SELECT p.entity_id project_id, s.entity_id station_id, cast(p.commissioning_year AS string) || '-01-01' effective_date " + AUTO)
 def _(p, s, link):
-    a = p.select(F.col("entity_id").alias("project_id"), F.lower(F.trim("canonical_name")).alias("k"), "commissioning_year")
-    b = s.select(F.col("entity_id").alias("station_id"), F.lower(F.trim("canonical_name")).alias("k"), "commissioning_year")
-    new = a.join(b, ["k", "commissioning_year"]).join(link, ["project_id", "station_id"], "left_anti")
-    return new.select("project_id", "station_id", F.concat(F.col("commissioning_year").cast("string"), F.lit("-01-01")).alias("effective_date"))
+    return lo.auto_link(p, s, link)
 
 
 @query("station_projects", "links projects", "SELECT station_id, project_id, link_type, status FROM links l JOIN projects p ON p.entity_id = l.project_id")
@@ -248,9 +243,9 @@ def _(s):
     return s.withColumn("n", F.row_number().over(w)).where("n <= 10").select("entity_id", "url")
 
 
-@query("station_picker", "stations", "SELECT entity_id, country FROM stations ORDER BY CASE country WHEN 'NATION_1' THEN 0 WHEN 'NATION_2' THEN 1 ELSE 2 END, capacity_mw DESC NULLS LAST, canonical_name LIMIT 50")
-def _(s):
-    return s.orderBy(F.when(F.col("country") == "NATION_1", 0).when(F.col("country") == "NATION_2", 1).otherwise(2), F.desc_nulls_last("capacity_mw"), "canonical_name").limit(50).select("entity_id", "country")
+@query("station_picker", "stations named_stations", "SELECT s.entity_id, country, coalesce(nullif(trim(local_name), ''), n.canonical_name) label FROM stations s JOIN named_stations n ON n.entity_id = s.entity_id ORDER BY CASE country WHEN 'NATION_1' THEN 0 WHEN 'NATION_2' THEN 1 ELSE 2 END, capacity_mw DESC NULLS LAST, n.canonical_name, s.entity_id LIMIT 50")
+def _(s, n):
+    return lo.station_picker(s.join(n.select("entity_id", "local_name"), "entity_id"), ["NATION_1", "NATION_2"], 50).select("entity_id", "country", "label")
 
 
 @query("pending_queue", "tasks", "SELECT task_id FROM tasks WHERE status = 'pending' ORDER BY priority_tier, collection_priority NULLS LAST, created_at, task_id LIMIT 100")
@@ -268,9 +263,9 @@ def _(r):
     return r.where("status = 'open'").orderBy(F.desc("created_at"), "review_id").limit(50).select("review_id")
 
 
-@query("paged", "stations", "SELECT entity_id FROM stations ORDER BY canonical_name, entity_id LIMIT 25 OFFSET 75")
+@query("paged", "stations", "SELECT entity_id, count(*) OVER () total FROM stations ORDER BY canonical_name, entity_id LIMIT 25 OFFSET 75")
 def _(s):
-    return s.orderBy("canonical_name", "entity_id").offset(75).limit(25).select("entity_id")
+    return lo.paged(s, ["canonical_name", "entity_id"], 25, 75).select("entity_id", "total")
 
 
 @query("sample_cases", "stations", "SELECT entity_id, y.year FROM (SELECT entity_id FROM stations WHERE capacity_mw > 100 ORDER BY md5('7' || entity_id), entity_id LIMIT 30) s CROSS JOIN (SELECT unnest(['1996', '1997', '1998']) AS year) y")
