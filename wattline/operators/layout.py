@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wattline.sources.files import written
+
 #: What a number is, words of tables, those that make a table one, first cells of headers.
 NUMBER = r"(?<![A-Za-z])[-+]?\d+(?:[.,]\d+)?"
 HINTS = ["year", "annual", "generation", "output", "gwh", "mwh", "station", "全年", "年度", "发电", "电站", "总量", "同比", "统计"]
@@ -55,23 +57,21 @@ def layout_tables(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame
     have a row with a number, and a strong word or a column for years in its header. Short rows are filled up.
     """
     lines = _lines(pages, doc, page, text).where((F.size("cells") >= 2) & (F.col("line").rlike(NUMBER) | _any(F.lower("line"), HINTS)))
+    first = F.lower(F.get("cells", F.lit(0)))
+    is_data = ~(first.isin(*FIRST_CELLS) | reduce(Column.__or__, [first.startswith(w) for w in FIRST_WORDS])) & (_numeric(_rest(F.col("cells"))) > 0)
+    lines = lines.withColumns({"data": is_data, "figures": _numeric(F.col("cells")) > 0})
     island = F.col("at") - F.row_number().over(Window.partitionBy(doc, page).orderBy("at"))
-    blocks = lines.withColumn("island", island).groupBy(doc, page, "island").agg(F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "cells"))).alias("b")).where(F.size("b") >= 2)
-    blocks = blocks.withColumn("b", F.transform("b", lambda x: x["cells"]))
-
-    def is_data(row: Column) -> Column:
-        first = F.lower(F.get(row, F.lit(0)))
-        return ~(first.isin(*FIRST_CELLS) | reduce(Column.__or__, [first.startswith(w) for w in FIRST_WORDS])) & (_numeric(_rest(row)) > 0)
-
-    data = F.filter(F.sequence(F.lit(1), F.size("b") - 1), lambda i: is_data(F.get("b", i)))
-    blocks = blocks.withColumn("from", F.coalesce(F.get(data, F.lit(0)), F.lit(1))).withColumn("width", F.array_max(F.transform("b", F.size)))
+    places = lambda c: F.sort_array(F.collect_list(F.when(F.col(c), F.col("at"))))
+    blocks = lines.withColumn("island", island).groupBy(doc, page, "island").agg(F.min("at").alias("at"), F.max(F.size("cells")).alias("width"), places("data").alias("data"), places("figures").alias("figures"), F.sort_array(F.collect_list(F.struct("at", "cells"))).alias("b"))
+    begin = F.coalesce(F.get(F.filter("data", lambda x: x > F.col("at")), F.lit(0)) - F.col("at"), F.lit(1))
+    blocks = blocks.where(F.size("b") >= 2).select(doc, page, "at", "width", "figures", begin.alias("from"), F.transform("b", lambda x: x["cells"]).alias("b"))
+    blocks = blocks.where(F.exists("figures", lambda x: x >= F.col("at") + F.col("from")))
     heads = F.slice("b", 1, F.col("from"))
     column = lambda c: F.array_join(F.array_distinct(F.filter(F.transform(heads, lambda r: F.get(r, c)), lambda x: F.coalesce(x, F.lit("")) != "")), " ")
     filled = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("width") - F.size(r)))
     tables = blocks.select(doc, page, "at", F.transform(F.sequence(F.lit(0), F.col("width") - 1), column).alias("headers"), F.transform(F.slice("b", F.col("from") + 1, F.size("b")), filled).alias("rows"))
     words = F.lower(F.array_join("headers", " "))
-    meant = _any(words, STRONG) | F.exists("headers", lambda h: F.lower(F.trim(h)).rlike(YEAR_CELL))
-    kept = tables.where(F.exists("rows", lambda r: _numeric(r) > 0) & meant)
+    kept = tables.where(_any(words, STRONG) | F.exists("headers", lambda h: F.lower(F.trim(h)).rlike(YEAR_CELL)))
     return kept.withColumn("nth", F.row_number().over(Window.partitionBy(doc, page).orderBy("at")) - 1).select(doc, page, "nth", "headers", "rows")
 
 
@@ -142,7 +142,7 @@ def merge_page_tables(tables: DataFrame, doc: str, page: str) -> tuple[DataFrame
 
 def page_tables(pages: DataFrame, doc: str, page: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all tables of documents, over their pages; breaks between neighbours; refused continuations). pages: one row for each page of a document."""
-    tables = layout_tables(pages, doc, page, text)
+    tables = written(layout_tables(pages, doc, page, text), "tables")
     on, refused = continued(pages, tables, doc, page, text)
     merged, breaks = merge_page_tables(tables.unionByName(on), doc, page)
     return merged, breaks, refused
