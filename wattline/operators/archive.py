@@ -54,13 +54,9 @@ def record_history(records: DataFrame, key: list[str], order: list[str], values:
 
 
 def _quoted(text: Column) -> Column:
-    """A JSON string as Python's json writes it with ensure_ascii=False: quotes, backslashes and control characters are escaped, nothing else."""
-    out = text
-    for char, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        out = F.replace(out, F.lit(char), F.lit(mark))
-    for code in [c for c in range(32) if chr(c) not in "\n\r\t\b\f"]:
-        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A JSON string as Python's json writes it with ensure_ascii=False, but that the nine control characters whose code has a letter keep it upper-case."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
 
 
 def json_number(x: Column) -> Column:
