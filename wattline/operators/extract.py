@@ -123,7 +123,7 @@ def document_links(pages: DataFrame, page: str = "page_id", year: int | None = N
     """page, at, href, full (the absolute address) of the links that look like documents or reports: the first `most` of each page, by place.
 
     pages: page, url and `parsed`. A link is read as an absolute http URL; it has the suffix of a document or a term of reports in
-    URL or text. If a year is wanted, it or one next to it is in URL or text, or suffix and term both are. The page
+    URL or text (of which the first 500 characters count, as the rules say). If a year is wanted, it or one next to it is in URL or text, or suffix and term both are. The page
     itself and repeats of a URL do not count.
     """
     links = pages.select(page, "url", F.posexplode(F.arrays_zip(F.col("parsed.links").alias("href"), F.col("parsed.link_texts").alias("text"))).alias("at", "x"))

@@ -343,10 +343,12 @@ LINKED = """, found AS (SELECT page_id, url, nth, href, CASE WHEN href LIKE 'htt
   UNION ALL SELECT page_id, url, 2, '/data.csv?v=2' FROM pages UNION ALL SELECT page_id, url, 3, 'https://other.example/' || cast(page_id % 3 AS string) || '.xlsx' FROM pages) z) """
 
 
-@query("link_filter", "linked_pages pages", LINKED + "SELECT page_id, href FROM found")
+@query("link_filter", "linked_pages pages", LINKED + """SELECT 'any' AS wanted, page_id, href FROM found UNION ALL SELECT 'year', page_id, '/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf' FROM pages UNION ALL SELECT 'year', page_id, '/y/2018/x.csv' FROM pages UNION ALL SELECT 'year', page_id, '/report/z' FROM pages""")
 def _(p, _pages):
-    """Links of a page that look like documents or reports: eight for each page, by place. Pages have no year of a task."""
-    return ex.document_links(ex.parse_pages(p)).select("page_id", "href")
+    """Links of a page that look like documents or reports, eight for each page, by place; and, with more links, those that may be of 2019."""
+    more = F.lit('<a href="/y/2018/x.csv">t</a><a href="/y/2016/x.csv">t</a><a href="/report/z">of 2020</a><a href="/report/w">of 2021</a>')
+    dated = ex.document_links(ex.parse_pages(p.withColumn("html", F.concat("html", more))), year=2019)
+    return ex.document_links(ex.parse_pages(p)).select(F.lit("any").alias("wanted"), "page_id", "href").union(dated.select(F.lit("year"), "page_id", "href"))
 
 
 @query("expand_attachments", "linked_pages pages", LINKED + r"""SELECT page_id, full_url url, url parent_url, CASE WHEN full_url LIKE '%.pdf' THEN 'pdf' WHEN full_url LIKE '%.xlsx' THEN 'excel' ELSE 'csv' END document_type, 'cand_' || substr(sha256(trim(url) || chr(31) || full_url), 1, 20) id FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, nth) k
