@@ -227,14 +227,17 @@ def _(h):
     return fr.illegal_transitions(h, "task_id", ["ts", "seq"]).select("task_id", "seq", "before", "status")
 
 
-BEST = """SELECT task_id, url, rank FROM (SELECT t.task_id, s.url, row_number() OVER (PARTITION BY t.task_id ORDER BY CASE WHEN covered_year IS NOT NULL THEN 0 ELSE 1 END, source_reliability_score DESC, last_success DESC NULLS LAST, source_id, url) AS rank
-  FROM tasks t JOIN sources s ON s.entity_id = t.entity_id AND covered_metric = CASE WHEN task_id LIKE '%4' THEN 'net_generation' ELSE 'gross_generation' END WHERE (covered_year IS NULL OR cast(covered_year AS string) = target_period) AND NOT (failure_count >= 3 AND last_failure IS NOT NULL AND floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_failure)) / 86400) < 7)) x WHERE rank <= 5"""
+BEST = """SELECT '{0}' AS mode, task_id, url, rank FROM (SELECT t.task_id, s.url, row_number() OVER (PARTITION BY t.task_id ORDER BY CASE WHEN covered_year IS NOT NULL THEN 0 ELSE 1 END, source_reliability_score DESC, last_success DESC NULLS LAST, source_id, url) AS rank
+  FROM source_tasks t JOIN station_sources s ON s.entity_id = t.entity_id AND covered_metric = metric WHERE (covered_year IS NULL OR covered_year = year) AND NOT (failure_count >= 3 AND last_failure IS NOT NULL AND floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_failure)) / 86400) < 7) {1}) x WHERE rank <= {2}"""
+VERIFIED = "AND success_count > 0 AND last_success IS NOT NULL AND floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_success)) / 86400) <= 90"
 
 
-@query("best_sources", "sources tasks", BEST)
-def _(s, t):
-    tasks = t.select("task_id", "entity_id", F.col("target_period").cast("int").alias("year"), F.when(F.col("task_id").endswith("4"), "net_generation").otherwise("gross_generation").alias("metric"))
-    return fr.best_sources(s, tasks, F.lit(AS_OF).cast("timestamp")).select("task_id", "url", "rank")
+@query("best_sources", "station_sources source_tasks", BEST.format("any", "", 5) + " UNION ALL " + BEST.format("verified", VERIFIED, 2))
+def _(s, tasks):
+    """The five best sources of each task, and the two best that were verified lately; metrics, years, failures and ties vary."""
+    as_of = F.lit(AS_OF).cast("timestamp")
+    found = [fr.best_sources(s, tasks, as_of, k, only).select(F.lit(mode).alias("mode"), "task_id", "url", "rank") for mode, k, only in (("any", 5, False), ("verified", 2, True))]
+    return found[0].union(found[1])
 
 
 @query("entity_sources", "sources", "SELECT entity_id, url FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY source_reliability_score DESC, last_success DESC NULLS LAST, url) n FROM sources) x WHERE n <= 10")

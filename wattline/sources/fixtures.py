@@ -125,6 +125,10 @@ FRAMES: dict[str, str] = {
     "discoveries": """SELECT cast(o_custkey AS string) entity_id, 'https://d' || cast(o_orderkey % 4 AS string) || '.example/e' || cast(o_orderkey AS string) url, CASE WHEN o_orderkey % 5 = 0 THEN 'reference' ELSE 'official' END source_type, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'discovered' END status, o_orderdate updated_at FROM orders""",
     "homes": f"SELECT doc_id, country, url, text, nullif(why, '') why FROM order_values JOIN {ph.values(ph.HOMES, 'country', 'url', 'text', 'why')} c ON k = doc_id % {len(ph.HOMES)}",
     "linked_pages": """SELECT page_id, url, html || '<p><a href="/files/annual-report-' || cast(page_id % 40 AS string) || '.pdf">Report</a> <a href="/press/' || cast(page_id AS string) || '">News</a> <a href="/data.csv?v=2">t</a> <a href="https://other.example/' || cast(page_id % 3 AS string) || '.xlsx">x</a></p>' html FROM pages""",
+    "station_sources": """SELECT 'ss_' || cast(c_custkey AS string) source_id, cast(cast(floor(c_custkey / 10) AS bigint) AS string) entity_id, 'https://s' || cast(c_custkey AS string) || '.example/' url, CASE WHEN c_custkey % 4 = 1 THEN 'net_generation' ELSE 'gross_generation' END covered_metric, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE cast(1992 + c_custkey % 7 AS int) END covered_year,
+        cast(c_custkey % 5 AS double) / 5 source_reliability_score, cast(c_custkey % 4 AS int) success_count, cast(c_custkey % 6 AS int) failure_count, CASE WHEN c_custkey % 4 > 0 THEN cast('2023-' || CASE WHEN c_custkey % 7 < 4 THEN '12' ELSE '07' END || '-' || lpad(cast(1 + c_custkey % 28 AS string), 2, '0') || ' 00:00:00' AS timestamp) END last_success,
+        CASE WHEN c_custkey % 6 > 0 THEN cast('2024-01-' || lpad(cast(1 + c_custkey % 28 AS string), 2, '0') || ' 00:00:00' AS timestamp) END last_failure FROM customer""",
+    "source_tasks": "SELECT 'T' || cast(o_orderkey AS string) task_id, cast(cast(floor(o_custkey / 10) AS bigint) AS string) entity_id, CASE WHEN o_orderkey % 5 = 3 THEN 'net_generation' ELSE 'gross_generation' END metric, cast(year(o_orderdate) AS int) AS year FROM orders",
     "source_list": "SELECT source_id, min(title) title, min(url) url, CASE WHEN source_id LIKE '%3' THEN 'upload' ELSE 'http' END access_method FROM sources GROUP BY source_id",
     "asked_tasks": "SELECT task_id, 'generation' task_type, CASE WHEN task_id LIKE '%5' THEN 'https://user.example' WHEN task_id LIKE '%6' THEN '' END user_specified_source FROM tasks WHERE task_id NOT LIKE '%9'",
     "review_candidates": "SELECT candidate_id, CASE WHEN task_id LIKE '%8' THEN NULL ELSE task_id END task_id, entity_id, period_label, generation_gwh, document_id, snippet, CASE WHEN candidate_id LIKE '%7' THEN 'auto_search' ELSE 'rule' END extraction_method FROM candidates WHERE candidate_id NOT LIKE '%70'",
