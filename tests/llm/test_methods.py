@@ -202,6 +202,7 @@ COLUMNS = {
     "op1_histogram_shards": "doc_id size text_crc32 law shard slot grown_shard", "op2_perplexity": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op3_word_pieces": "doc_id n_words n_tokens n_unknown",
     "op4_toxicity": "doc_id held_out score predicted", "op5_decontaminate": "doc_id item_id n_item n_found", "op6_license_scan": "doc_id template", "op7_nbsvm": "doc_id held_out score predicted", "op8_ngram_join": "doc_id class_id n_links n_copies",
     "op9_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op10_bpe_tree": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_language_crf": "doc_id held_out lang_pred score", "op12_pair_maxscore": "item_id rank doc_id score", "op13_block_whitening": "vec_id component n deviation whitened explained identity_error",
 }
 
 
@@ -210,7 +211,9 @@ def test_query(spark, key):
     out = queries.QUERIES[key](spark, DATA)
     rows = out.toPandas()
     assert set(COLUMNS[key].split()) <= set(out.columns)
-    if key not in ("op5_decontaminate", "op6_license_scan"):
+    if key == "op13_block_whitening":
+        assert sorted(rows.vec_id) == sorted(16 * [r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]) and rows.identity_error.max() < 1e-4
+    elif key not in ("op5_decontaminate", "op6_license_scan", "op12_pair_maxscore"):
         assert sorted(rows.doc_id) == sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
     if key in queries.ORACLES:
         con = duckdb.connect()
@@ -224,7 +227,12 @@ def test_query(spark, key):
     if "held_out" in out.columns:
         import zlib
 
-        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.itertuples())
+        n, held = (3, 1) if key == "op11_language_crf" else (5, 0)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == held) for r in rows.itertuples())
+    if key == "op11_language_crf":
+        lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+        held_out = rows[rows.held_out]
+        assert rows.score.between(0, 1).all() and (held_out.lang_pred == held_out.doc_id.map(lang)).mean() >= 0.95
 
 
 def test_labels_outside_the_fold(spark, tmp_path):
