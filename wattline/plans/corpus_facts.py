@@ -84,7 +84,7 @@ def _(p):
     return ex.parse_pages(p.select("page_id", "html")).select("page_id", F.posexplode("parsed.links").alias("nth", "href"))
 
 
-@query("html_tables", "fact_pages", r"""SELECT doc_id, headers, row_text FROM (SELECT doc_id, doc_id % 6 AS k, name, regexp_extract(html, '([3-8]{7})', 1) v, regexp_extract(html, '((?:19|20)[0-9]{2})(?: report|<| gen| ann)', 1) y FROM fact_pages) p JOIN
+@query("html_tables", "fact_pages", r"""SELECT doc_id, headers, row_text FROM (SELECT doc_id, doc_id % 6 AS k, 'Dam ' || n AS name, v, y FROM order_values) p JOIN
   (SELECT * FROM (VALUES (0, 'Station|Y Generation (GWh)|Y Generation change %', 'N Hydropower Station|V|3'), (0, 'Station|Y Generation (GWh)|Y Generation change %', 'Other dam|55|1'), (1, 'Plant|Output MWh|Output 第一季度 MWh', 'N|V|7'),
    (2, '', 'In Y annual generation|V GWh'), (3, 'Plant|Season 季度', 'N|V'), (4, 'N|Y generation GWh', 'N|V')) t(tk, h, r)) t ON tk = k, LATERAL (SELECT replace(replace(h, 'Y', y), 'N', name) headers, replace(replace(replace(r, 'Y', y), 'V', v), 'N', name) row_text) z""")
 def _(s):
