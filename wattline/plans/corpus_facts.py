@@ -74,7 +74,16 @@ for _tag in ("script", "style", "head", "noscript", "table"):
 BARE = f"regexp_replace(regexp_replace({BARE}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g')"
 
 
-@query("html_text", "pages", f"""SELECT page_id, trim(regexp_replace({decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '[[:space:]]+', ' ', 'g')) title, trim(regexp_replace({decoded(BARE)}, '[[:space:]]+', ' ', 'g')) AS text, true ok FROM pages""")
+def text_decoded(x: str) -> str:
+    """SQL for the character references in text, where old names and numbers need no semicolon: a title may be cut inside one."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    for number, digit in (("39", "0-9"), ("[xX]27", "0-9A-Fa-f")):
+        x = rf"regexp_replace({x}, '&#0*{number}(?:;|([^;{digit}])|$)', '''\1', 'g')"
+    return f"regexp_replace(replace(replace({x}, '&mdash;', '—'), '&hellip;', '…'), '&amp;?', '&', 'g')"
+
+
+@query("html_text", "pages", f"""SELECT page_id, trim(regexp_replace({text_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '[[:space:]]+', ' ', 'g')) title, trim(regexp_replace({text_decoded(BARE)}, '[[:space:]]+', ' ', 'g')) AS text, true ok FROM pages""")
 def _(p):
     return ex.parse_pages(p.select("page_id", "html")).select("page_id", "parsed.title", "parsed.text", "parsed.ok")
 
