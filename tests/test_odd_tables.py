@@ -27,7 +27,7 @@ def odd(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("key", ["html_tables", "html_text", "rank_sources"])
+@pytest.mark.parametrize("key", ["html_tables", "html_text", "rank_sources", "relevance"])
 def test_odd_tables(spark, odd, key):
     folder, con = odd
     frame, want = catalog.QUERIES[key](spark, folder), con.sql(catalog.ORACLES[key])
