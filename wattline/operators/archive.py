@@ -54,14 +54,17 @@ def record_history(records: DataFrame, key: list[str], order: list[str], values:
 
 
 def _quoted(text: Column) -> Column:
-    """A JSON string as Python's json writes it with ensure_ascii=False, but that the nine control characters whose code has a letter keep it upper-case."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+    """A JSON string as Python's json writes it with ensure_ascii=False, but that the nine control characters whose code has a letter keep it upper-case.
+
+    Text of printable ASCII without quotes and backslashes, which is most, stays as it is; Spark's JSON writer is asked for the rest."""
+    listed = F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
+    return F.when(text.rlike(r"^[ !#-\[\]-~]*\z"), F.concat(F.lit('"'), text, F.lit('"'))).when(text.isNotNull(), listed)
 
 
 def json_number(x: Column) -> Column:
     """A double in the JVM's shortest form, written as Python does: 1e16 and more, and less than 0.0001, with an exponent of two digits at least."""
-    text = F.upper(x.cast("string"))
+    plain = x.cast("string")
+    text = F.upper(plain)
     digits, power = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.?0*$", ""), F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
     sign = F.when(x < 0, "-").otherwise("")
     bare = F.replace(digits, F.lit("."), F.lit(""))
@@ -70,7 +73,7 @@ def json_number(x: Column) -> Column:
     two = lambda p: F.lpad(p.cast("string"), F.greatest(F.lit(2), F.length(p.cast("string"))), F.lit("0"))
     exp = F.concat(digits, F.when(power < 0, F.concat(F.lit("e-"), two(-power))).otherwise(F.concat(F.lit("e+"), two(power))))
     spelled = F.when(power >= 16, exp).when(power >= 0, up).when(power >= -4, down).otherwise(exp)
-    return F.when(power.isNull(), text).otherwise(F.concat(sign, spelled))
+    return F.when(plain.rlike(r"^[-0-9.]+\z"), plain).when(power.isNull(), text).otherwise(F.concat(sign, spelled))
 
 
 def canonical_json(fields: dict[str, Column], keep_null: bool = False, tight: bool = False) -> Column:
@@ -102,17 +105,28 @@ APPROVED_FIELDS = [
 ]
 
 
-def candidate_hash(candidates: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
+def candidate_hash(candidates: DataFrame, links: DataFrame, evidence: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """candidate_id, candidate_hash: SHA-256 of the canonical JSON of a candidate's fields that are not null, its evidence ids and their versions, both sorted.
 
     links: candidate_id, evidence_id; evidence: evidence_id, document_id, content_hash. Columns that candidates lack count as null. A candidate without evidence has no list of it.
+    With documents (document_id, content_hash) also `whole`, whether all evidence linked is there, of its document's stored version (null without links), and `evidence_id`, the first linked one that exists.
     """
-    version = canonical_json({"content_hash": _quoted(F.col("content_hash")), "document_id": _quoted(F.col("document_id")), "evidence_id": _quoted(F.col("evidence_id"))})
-    seen = links.join(evidence, "evidence_id").groupBy("candidate_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("ids"), F.sort_array(F.collect_set(version)).alias("versions"))
+    own = evidence.select("evidence_id", "document_id", "content_hash", F.lit(True).alias("there"))
+    both = links.select("candidate_id", "evidence_id").join(own, "evidence_id", "inner" if documents is None else "left")
+    whole = []
+    if documents is not None:
+        stored = documents.select("document_id", F.col("content_hash").alias("stored_hash"))
+        both = both.join(stored, "document_id", "left")
+        whole = [F.min(F.coalesce(F.col("content_hash") == F.col("stored_hash"), F.lit(False))).alias("whole")]
+    item = F.when(F.col("there"), F.struct("evidence_id", "document_id", "content_hash"))
+    seen = both.groupBy("candidate_id").agg(F.collect_set(item).alias("items"), *whole)
     rows = candidates.join(seen, "candidate_id", "left")
+    some = F.when(F.col("items").isNotNull() & (F.size("items") > 0), F.col("items"))
+    ids = F.sort_array(F.array_distinct(F.transform(some, lambda x: x["evidence_id"])))
+    versions = F.sort_array(F.array_distinct(F.transform(some, lambda x: canonical_json({c: _quoted(x[c]) for c in ("content_hash", "document_id", "evidence_id")}))))
     fields = {c: json_cell(candidates, c) for c in APPROVED_FIELDS if c in candidates.columns}
-    fields |= {"evidence_ids": json_list(F.col("ids")), "evidence_versions": json_list(F.col("versions"), quote=False)}
-    return rows.select("candidate_id", F.sha2(canonical_json(fields), 256).alias("candidate_hash"))
+    fields |= {"evidence_ids": json_list(ids), "evidence_versions": json_list(versions, quote=False)}
+    return rows.select("candidate_id", F.sha2(canonical_json(fields), 256).alias("candidate_hash"), *(["whole", F.array_min(ids).alias("evidence_id")] if whole else []))
 
 
 def candidate_id(candidates: DataFrame, fields: list[str]) -> Column:

@@ -15,15 +15,12 @@ NATURAL_KEY = ("entity_id", "period_type", "period_label", "value_type", "measur
 
 
 def approval_hashes(candidates: DataFrame, links: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """candidate_id, candidate_hash: a hash of the candidate, its evidence and the documents' versions.
+    """candidate_id, candidate_hash: a hash of the candidate, its evidence and the documents' versions; and evidence_id, the first linked evidence that exists.
 
-    Null where a candidate has no evidence, or evidence is not that of its document's stored version: such a candidate cannot be approved.
+    The hash is null where a candidate has no evidence, or evidence is not that of its document's stored version: such a candidate cannot be approved.
     """
-    stored = documents.select("document_id", F.col("content_hash").alias("stored_hash"))
-    versions = links.join(evidence.select("evidence_id", "document_id", "content_hash"), "evidence_id", "left").join(stored, "document_id", "left")
-    whole = versions.groupBy("candidate_id").agg(F.min(F.coalesce(F.col("content_hash") == F.col("stored_hash"), F.lit(False))).alias("whole"))
-    hashed = candidate_hash(candidates, links, evidence.select("evidence_id", "document_id", "content_hash"))
-    return hashed.join(whole, "candidate_id", "left").select("candidate_id", F.when(F.col("whole"), F.col("candidate_hash")).alias("candidate_hash"))
+    hashed = candidate_hash(candidates, links, evidence, documents)
+    return hashed.select("candidate_id", F.when(F.col("whole"), F.col("candidate_hash")).alias("candidate_hash"), "evidence_id")
 
 
 def approval_reuse(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -46,7 +43,12 @@ def approval_invalidate(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
 def promotable(candidates: DataFrame, links: DataFrame, evidence: DataFrame, review_required: bool = True) -> DataFrame:
     """Validated candidates with `evidence_id` (the first linked one that exists) and `refused`: why not (missing fields, a blocking issue, failed gates), in order."""
     first = links.join(evidence.select("evidence_id"), "evidence_id", "left_semi").groupBy("candidate_id").agg(F.min("evidence_id").alias("evidence_id"))
-    rows = candidates.join(first, "candidate_id", "left").withColumn("has_evidence", F.col("evidence_id").isNotNull())
+    return refusals(candidates.join(first, "candidate_id", "left"), review_required)
+
+
+def refusals(candidates: DataFrame, review_required: bool = True) -> DataFrame:
+    """Validated candidates that have their `evidence_id` (null without), with has_evidence and `refused`, as `promotable` gives them."""
+    rows = candidates.withColumn("has_evidence", F.col("evidence_id").isNotNull())
     needed = ("entity_id", "period_type", "period_label", "value_type", "measurement_scope", "generation_gwh")
     missing = [F.when(F.col(c).isNull(), F.lit(f"no_{c}")) for c in needed]
     why = F.array_compact(F.array(*missing, F.when(F.col("blocking"), F.lit("blocked"))))

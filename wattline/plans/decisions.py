@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline.operators import decisions as de, extract as ex
 from wattline.plans.registry import query
+from wattline.sources.files import written
 
 AS_OF = "2024-01-31 00:00:00"
 CASES = "candidates stations tasks records"
@@ -69,10 +70,9 @@ PROMO = CASES + " candidate_evidence evidence whole_chains"
 REFUSED = f""", refusals AS (SELECT v.*, w.first_evidence, w.whole, len({GATED}) + len(list_filter([value_type, measurement_scope, cast(generation_gwh AS string)], lambda x: x IS NULL)) + CASE WHEN blocking THEN 1 ELSE 0 END refused FROM valid v LEFT JOIN whole_chains w ON w.candidate_id = v.candidate_id) """
 
 
-def ready(x, s, t, r, ce, e, reviewed=True):
-    """Candidates, validated without regard to what is published, and why they may not be promoted. Unreviewed ones count as approved, as a decision would make them."""
-    rows = ex.validate_candidates(flagged(x), s, t)
-    return de.promotable(rows if reviewed else rows.withColumn("review_status", F.lit("approved")), ce, e)
+def ready(x, s, t, r, ce, e):
+    """Candidates, validated without regard to what is published, and why they may not be promoted."""
+    return de.promotable(ex.validate_candidates(flagged(x), s, t), ce, e)
 
 
 FRESH = VALID.replace("EXISTS (SELECT 1 FROM records r WHERE r.publication_status = 'publishable' AND r.entity_id = c.entity_id AND r.period_label = c.period_label AND r.value_type = c.value_type AND r.measurement_scope = c.measurement_scope) there", "false there")
@@ -105,12 +105,19 @@ DECIDED = FRESH + JUDGED
 def _queued(r, hashes):
     """reviews with the hash under which they were queued."""
     last = F.substring("review_id", -1, 1)
-    return r.join(hashes, "candidate_id", "left").withColumn("approved_hash", F.when(last == "3", None).when(last == "7", "stale").otherwise(F.col("candidate_hash"))).drop("candidate_hash")
+    return r.join(hashes.select("candidate_id", "candidate_hash"), "candidate_id", "left").withColumn("approved_hash", F.when(last == "3", None).when(last == "7", "stale").otherwise(F.col("candidate_hash"))).drop("candidate_hash")
+
+
+def _hashed(x, ce, e, a):
+    """candidates and their hashes, both stored once: items and candidates need them."""
+    x = written(x, "candidates")
+    return x, written(de.approval_hashes(x, ce, e, a), "hashes")
 
 
 def _applied(d, rv, x, s, t, r, ce, e, a):
-    hashes = de.approval_hashes(x, ce, e, a)
-    rows = ready(x, s, t, r, ce, e, reviewed=False).join(hashes, "candidate_id")
+    x, hashes = _hashed(x, ce, e, a)
+    checked = ex.validate_candidates(flagged(x), s, t).withColumn("review_status", F.lit("approved"))  # as a decision would make them
+    rows = de.refusals(checked.join(hashes, "candidate_id"))
     return de.apply_decisions(d, _queued(rv, hashes), x, rows, r, t, F.lit(AS_OF).cast("timestamp"))
 
 
@@ -164,14 +171,14 @@ def _facts(x, hashes):
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, fact_type, fact_key ORDER BY created_at DESC, review_id DESC) n FROM reviews WHERE status = 'approved') z WHERE n = 1 AND fact_type = 'generation') r
   ON r.entity_id = c.entity_id AND r.fact_key = c.entity_id || '|' || c.period_label LEFT JOIN whole_chains w ON w.candidate_id = c.candidate_id""")
 def _(rv, x, ce, e, a, _w):
-    hashes = de.approval_hashes(x, ce, e, a)
+    x, hashes = _hashed(x, ce, e, a)
     return de.approval_reuse(_queued(rv, hashes), _facts(x, hashes))
 
 
 @query("approval_invalidate", APPROVED, f"""SELECT DISTINCT r.review_id FROM reviews r LEFT JOIN whole_chains o ON o.candidate_id = r.candidate_id JOIN candidates c ON r.entity_id = c.entity_id AND r.fact_type = 'generation' AND r.fact_key = c.entity_id || '|' || c.period_label
   JOIN whole_chains w ON w.candidate_id = c.candidate_id AND w.whole = 1 WHERE r.status = 'approved' AND {LAST.replace('review_id', 'r.review_id')} <> '3' AND ({LAST.replace('review_id', 'r.review_id')} = '7' OR (coalesce(o.whole, 0) = 1 AND r.candidate_id <> c.candidate_id))""")
 def _(rv, x, ce, e, a, _w):
-    hashes = de.approval_hashes(x, ce, e, a)
+    x, hashes = _hashed(x, ce, e, a)
     return de.approval_invalidate(_queued(rv, hashes), _facts(x, hashes))
 
 
