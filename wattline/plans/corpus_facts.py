@@ -411,16 +411,15 @@ def _(texts, _expected):
 @query("layout_tables", "layout_pages layout_found", "SELECT doc_id, first_page, last_page, headers, cells FROM layout_found")
 def _(pages, _expected):
     """Tables with headers of two lines, tables that go on with and without a header, two on a page, texts that are none."""
-    merged, _, _ = la.page_tables(pages, "doc_id", "page", "text")
+    merged, _ = la.page_tables(pages, "doc_id", "page", "text")
     return merged.select("doc_id", "first_page", "last_page", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))
 
 
 @query("merge_page_tables", "layout_pages layout_notes", "SELECT doc_id, previous_page, page, reasons FROM layout_notes")
 def _(pages, _expected):
     """Why tables on neighbouring pages are not one."""
-    _, breaks, refused = la.page_tables(pages, "doc_id", "page", "text")
-    both = breaks.unionByName(refused.withColumn("previous_page", F.lit(0)))
-    return both.select("doc_id", "previous_page", "page", F.array_join("reasons", ",").alias("reasons"))
+    _, notes = la.page_tables(pages, "doc_id", "page", "text")
+    return notes.select("doc_id", F.coalesce("previous_page", F.lit(0)).alias("previous_page"), "page", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("extract_rows", "row_texts row_facts", "SELECT doc_id, nth, 'text.station_row[' || station || ']' locator, period_label, value_raw, unit_raw, round(gwh, 6) gwh, 'gross_generation' metric, 'calendar_year' period_type FROM row_facts")
