@@ -2,7 +2,7 @@
 
 import pytest
 
-from wattline.operators import layout as la
+from wattline.operators import extract as ex, facts as fa, layout as la
 
 
 def plan(df):
@@ -41,3 +41,15 @@ def test_layout_runs(spark):
     tables, notes = la.page_tables(spark.createDataFrame(pages, "doc int, page int, text string"), "doc", "page", "text")
     assert sorted((r.doc, r.first_page, r.last_page, r.rows) for r in tables.collect()) == [(1, 1, 2, [["A", "1"], ["B", "2"]]), (2, 1, 1, [["1999", "1"]])]
     assert notes.count() == 0
+
+
+def test_pages_are_parsed_once(spark):
+    """Facts of text, tables and station rows come from one pass: a page is parsed once, and searched once."""
+    html = "<p>In 2020 net generation 5 GWh</p><table><tr><th>Plant</th><th>2019 generation GWh</th></tr><tr><td>A dam</td><td>7</td></tr></table>"
+    pages = spark.createDataFrame([(1, ["A dam"], html), (2, None, None)], "doc_id int, names array<string>, html string")
+    parsed = ex.parse_pages(pages)
+    tables, everything = fa.extract_tables(parsed, "doc_id", "names"), fa.extract_all(parsed, "doc_id", "names")
+    assert plan(tables).count("MapInArrow") == plan(everything).count("MapInArrow") == 2
+    assert ("table[0].row[0].col[1]", "2019", "7", "GWh") in {(r.locator, r.period_label, r.value_raw, r.unit_raw) for r in tables.collect()}
+    assert ("text", "2020", "5", "GWh") in {(r.locator, r.period_label, r.value_raw, r.unit_raw) for r in everything.collect()}
+    assert tables.count() == fa.extract_tables(parsed, "doc_id").count()

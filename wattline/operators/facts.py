@@ -78,6 +78,12 @@ def figures(text: str) -> list[tuple[int, str | None, str, str, str]]:
     return sorted(out)
 
 
+def quoted(text: str) -> list[tuple[int, str | None, str, str, str, str]]:
+    """FOUND of each figure in a text, by place."""
+    hint = " 年度/全年" if HEAD_WHOLE.search(text[:WHOLE_HEAD]) else ""
+    return [(at, year, value, unit, near, (near + hint).strip()) for at, (_, year, value, unit, near) in enumerate(figures(text))]
+
+
 def text_figures(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, at, period_label, value_raw, unit_raw, snippet, context of each figure in a text, by place."""
 
@@ -85,20 +91,21 @@ def text_figures(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
         for batch in batches:
             which, rows = [], []
             for i, t in enumerate(batch.column(len(keys))):
-                t = t.as_py() or ""
-                hint = " 年度/全年" if HEAD_WHOLE.search(t[:WHOLE_HEAD]) else ""
-                for at, (_, year, value, unit, near) in enumerate(figures(t)):
-                    which.append(i)
-                    rows.append((at, year, value, unit, near, (near + hint).strip()))
+                found = quoted(t.as_py() or "")
+                which += [i] * len(found)
+                rows += found
             own = batch.select(range(len(keys))).take(pa.array(which, pa.int64()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int32(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keys, *FOUND])
+            yield pa.RecordBatch.from_arrays([*own.columns, *_columns(rows, 6)], names=[*keys, *FOUND])
 
     schema = docs.select(*keys).withColumn("at", F.lit(0)).withColumns({c: F.lit(None).cast("string") for c in FOUND[1:]}).schema
     return docs.select(*keys, text).mapInArrow(run, schema)
 
 
+def _columns(rows: list[tuple], n: int) -> list[pa.Array]:
+    """n columns of rows: numbers, then texts."""
+    return [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * n, [pa.int32(), *[pa.string()] * (n - 1)], strict=True)]
+
+
 FOUND = ("at", "period_label", "value_raw", "unit_raw", "snippet", "context")
 
 
@@ -143,36 +150,60 @@ def extract_tables(parsed: DataFrame, doc_id: str, names: str | None = None) ->
     parsed: doc_id, `parsed` (as parse_pages gives), `names` (an array; none: every row is a target's). The header
     gives the unit; it, or the caption and the other headers, the year. Columns of change, growth and quarters are left out.
     """
+    return _page_facts(parsed, doc_id, names, F.col("parsed.tables"), F.lit(None).cast("array<string>"))
+
+
+def extract_all(parsed: DataFrame, doc_id: str, names: str | None = None) -> DataFrame:
+    """Facts of the text and of the tables of parsed pages, and, where names are given, of rows of stations in the text. A page is parsed once."""
+    from wattline.operators.station_rows import row_forms  # it builds on this module
+
+    whole = F.struct(F.array().cast("array<string>").alias("headers"), F.array(F.array("parsed.text")).alias("rows"), F.lit(None).cast("string").alias("caption"))
+    forms = row_forms(F.col(names)) if names else F.lit(None).cast("array<string>")
+    return _page_facts(parsed, doc_id, names, F.concat(F.array(whole), F.coalesce("parsed.tables", F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>"))), forms, 1)
+
+
+def _page_facts(parsed: DataFrame, doc_id: str, names: str | None, tables: Column, forms: Column, texts: int = 0) -> DataFrame:
+    """Facts of tables, the first `texts` of which are whole texts as tables of one cell.
+
+    What may have figures are rows of one frame: whole texts, rows of tables as texts, and cells that are read already. So the pages are read once.
+    """
+    from wattline.operators.station_rows import quoted_rows  # it builds on this module
+
     wanted = F.col(names) if names else F.lit(None).cast("array<string>")
-    tables = parsed.select(doc_id, wanted.alias("names"), F.posexplode("parsed.tables").alias("t", "table"))
-    rows = tables.select(doc_id, "names", "t", F.col("table.headers").alias("headers"), F.col("table.caption").alias("caption"), F.posexplode("table.rows").alias("r", "row"))
-    head = F.array_join("headers", " ")
-    at_row = F.format_string("table[%d].row[%d]", "t", "r")
-    as_text = rows.select(doc_id, at_row.alias("locator"), F.concat(head, F.lit(" "), F.array_join("row", " ")).alias("text"))
-    in_rows = classified(text_figures(as_text, [doc_id, "locator"], "text"))
-    label = F.get("row", F.lit(0))
-    cells = rows.where((F.size("headers") > 0) & _is_target(label, F.col("names"))).select(doc_id, "t", "r", "caption", head.alias("head"), label.alias("label"), F.posexplode(F.arrays_zip("headers", "row")).alias("c", "x"))
-    header = F.lower("x.headers")
-    cells = cells.where(header.rlike(GENERATION_HEAD) & ~header.rlike(CHANGE_HEAD) & (tx.period_type(F.col("x.headers")) != "quarter"))
+    tables = parsed.select(doc_id, wanted.alias("names"), forms.alias("forms"), F.posexplode(tables).alias("p", "table")).withColumn("t", F.col("p") - texts)
+    rows = tables.select(doc_id, "names", F.when(F.col("t") < 0, F.col("forms")).alias("forms"), "t", F.col("table.headers").alias("headers"), F.col("table.caption").alias("caption"), F.posexplode("table.rows").alias("r", "row"))
+    rows = rows.withColumns({"head": F.array_join("headers", " "), "label": F.get("row", F.lit(0))})
+    # the row itself comes first, then its cells if it is a target's
+    own = F.array(F.struct(F.lit(None).cast("string").alias("headers"), F.lit(None).cast("string").alias("row")))
+    target = (F.col("t") >= 0) & (F.size("headers") > 0) & _is_target(F.col("label"), F.col("names"))
+    parts = rows.select(doc_id, "forms", "t", "r", "caption", "head", "label", "row", F.posexplode(F.when(target, F.concat(own, F.arrays_zip("headers", "row"))).otherwise(own)).alias("c", "x")).withColumn("c", F.col("c") - 1)
+    is_row, header = F.col("c") < 0, F.lower("x.headers")
+    parts = parts.where(is_row | header.rlike(GENERATION_HEAD) & ~header.rlike(CHANGE_HEAD) & (tx.period_type(F.col("x.headers")) != "quarter"))
     value = F.regexp_extract(F.replace(F.col("x.row"), F.lit(" "), F.lit("")), r"(\d[\d,]*(?:\.\d+)?)", 1)
     unit = F.regexp_extract("x.headers", f"(?<![季年月度])({UNIT})", 1)
     years = [tx.find_years(c) for c in (F.col("x.headers"), F.concat_ws(" ", F.coalesce("caption", F.lit("")), "head"))]
-    year = F.coalesce(F.get(years[0], F.lit(0)), F.get(years[1], F.lit(0)))
+    cell = F.when(~is_row, F.struct(F.coalesce(F.get(years[0], F.lit(0)), F.get(years[1], F.lit(0))).alias("year"), value.alias("value"), unit.alias("unit")))
+    parts = parts.withColumn("cell", cell).where(is_row | F.col("cell.year").isNotNull() & (F.col("cell.value") != "") & (F.col("cell.unit") != ""))
     caption = F.when(F.coalesce(F.col("caption"), F.lit("")) != "", F.concat(F.lit("（"), "caption", F.lit("）"))).otherwise("")
-    found = cells.withColumns({"period_label": year, "value_raw": value, "unit_raw": unit}).where("period_label is not null and value_raw <> '' and unit_raw <> ''")
     # Fixed value: the form in which a cell is quoted; its word for a station makes the scope that of a plant
-    context = F.concat(F.lit("表格 "), (F.col("t") + 1).cast("string"), caption, F.lit("：电站名称="), "label", F.lit("；"), "x.headers", F.lit("="), "value_raw", F.lit(" "), "unit_raw")
-    found = found.select(doc_id, F.format_string("table[%d].row[%d].col[%d]", "t", "r", "c").alias("locator"), F.lit(0).alias("at"), "period_label", "value_raw", "unit_raw", context.alias("snippet"), context.alias("context"))
-    return in_rows.unionByName(classified(found))
+    context = F.concat(F.lit("表格 "), (F.col("t") + 1).cast("string"), caption, F.lit("：电站名称="), "label", F.lit("；"), "x.headers", F.lit("="), "cell.value", F.lit(" "), "cell.unit")
+    locator = F.when(F.col("t") < 0, F.lit("text")).when(is_row, F.format_string("table[%d].row[%d]", "t", "r")).otherwise(F.format_string("table[%d].row[%d].col[%d]", "t", "r", "c"))
+    text = F.when(F.col("t") < 0, F.col("label")).when(is_row, F.concat("head", F.lit(" "), F.array_join("row", " ")))
+    parts = parts.select(doc_id, locator.alias("locator"), is_row.alias("is_row"), text.alias("text"), "forms", F.col("cell.year").alias("period_label"), F.col("cell.value").alias("value_raw"), F.col("cell.unit").alias("unit_raw"), F.when(~is_row, context).alias("context"))
 
-
-def extract_all(parsed: DataFrame, doc_id: str, names: str | None = None) -> DataFrame:
-    """Facts of the text and of the tables of parsed pages, and, where names are given, of rows of stations in the text."""
-    from wattline.operators.station_rows import extract_rows  # it builds on this module
-
-    texts = parsed.select(doc_id, *([names] if names else []), F.col("parsed.text").alias("text"))
-    out = extract_text(texts, doc_id, "text").unionByName(extract_tables(parsed, doc_id, names))
-    return out.unionByName(extract_rows(texts, doc_id, "text", names)) if names else out
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, rows = [], []
+            for i, (at, row, t, forms, *cell, context) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 9)), strict=True)):
+                found = [(*x, at) for x in quoted(t or "")] if row else [(0, *cell, context, context, at)]
+                if forms:
+                    found += quoted_rows(t or "", tuple(forms), at)
+                which += [i] * len(found)
+                rows += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *_columns(rows, 7)], names=[doc_id, *FOUND, "locator"])
+
+    schema = parts.select(doc_id).withColumn("at", F.lit(0)).withColumns({c: F.lit(None).cast("string") for c in (*FOUND[1:], "locator")}).schema
+    return classified(parts.mapInArrow(run, schema))
 
 
 def locator_meta(locator: Column) -> tuple[Column, Column]:

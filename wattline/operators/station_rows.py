@@ -83,6 +83,15 @@ def station_rows(text: str, forms: tuple[str, ...]) -> list[tuple[str, str, str,
     return out
 
 
+def quoted_rows(text: str, forms: tuple[str, ...], locator: str) -> list[tuple[int, str, str, str, str, str, str]]:
+    """FOUND and locator of each station row of a text."""
+    # The forms in which a row is quoted; their words make it a whole year's generation
+    return [
+        (at, year, value, unit, f"{year}年全年表格行：{station} {figures}；全年总发电量 {value} {unit}", f"{year}年全年 {station} 完成发电量 {value} {unit}", f"{locator}.station_row[{station}]")
+        for at, (station, year, value, unit, figures) in enumerate(station_rows(text, forms))
+    ]
+
+
 def extract_rows(docs: DataFrame, doc_id: str, text: str, names: str, locator: str = "text") -> DataFrame:
     """Facts of station rows, in the columns of `facts.extract_text`. `names`: an array of the names of the document's station.
 
@@ -93,11 +102,9 @@ def extract_rows(docs: DataFrame, doc_id: str, text: str, names: str, locator: s
         for batch in batches:
             which, rows = [], []
             for i, (t, forms) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for at, (station, year, value, unit, figures) in enumerate(station_rows(t or "", tuple(forms or ()))):
-                    which.append(i)
-                    # The forms in which a row is quoted; their words make it a whole year's generation
-                    context = f"{year}年全年 {station} 完成发电量 {value} {unit}"
-                    rows.append((at, year, value, unit, f"{year}年全年表格行：{station} {figures}；全年总发电量 {value} {unit}", context, f"{locator}.station_row[{station}]"))
+                found = quoted_rows(t or "", tuple(forms or ()), locator)
+                which += [i] * len(found)
+                rows += found
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             own = batch.column(0).take(pa.array(which, pa.int64()))
             yield pa.RecordBatch.from_arrays([own, *(pa.array(c, k) for c, k in zip(cols, [pa.int32(), *[pa.string()] * 6], strict=True))], names=[doc_id, *FOUND, "locator"])
