@@ -2,7 +2,7 @@
 
 import pytest
 
-from wattline.operators import extract as ex, facts as fa, layout as la
+from wattline.operators import extract as ex, facts as fa, layout as la, trust as t
 
 
 def plan(df):
@@ -53,3 +53,18 @@ def test_pages_are_parsed_once(spark):
     assert ("table[0].row[0].col[1]", "2019", "7", "GWh") in {(r.locator, r.period_label, r.value_raw, r.unit_raw) for r in tables.collect()}
     assert ("text", "2020", "5", "GWh") in {(r.locator, r.period_label, r.value_raw, r.unit_raw) for r in everything.collect()}
     assert tables.count() == fa.extract_tables(parsed, "doc_id").count()
+
+
+def test_rows_are_ranked_from_one_table(spark):
+    """What is ranked is made once, not again for counts, cuts and numbers."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).selectExpr("id", "cast(id as string) entity_id", "'y' y", "cast(id % 7 as double) generation_gwh").repartition(4)
+    out = t.rank_by(rows.mapInArrow(run, rows.schema), "y", part_rows=300).collect()
+    assert sorted(r["rank"] for r in out) == list(range(1, 1001))
+    assert seen.value == 1000

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattline.functions import text as tx
 from wattline.functions.spec import TrustSpec
+from wattline.sources.files import written
 
 CHAIN_KEYS = ("entity_id", "period_type", "period_label", "value_type", "measurement_scope", "metric", "normalized_unit", "generation_gwh")
 
@@ -58,11 +59,12 @@ PART_ROWS = 1_000_000  # ranked in one task
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], first: Column, name: str = "rank", part_rows: int = PART_ROWS) -> DataFrame:
-    """rows with `name`: 1, 2, ... within keys, in the given order; no task ranks more than about `part_rows` rows of a key.
+    """rows with `name`: 1, 2, ... within keys, in the given order; no task ranks more than about `part_rows` rows of a key. rows are stored once.
 
     first: a number by which the order begins, ascending. Large keys are cut at its percentiles; rows are numbered within
     a part and the sizes of the parts before it are added. Equal values of `first` stay in one part.
     """
+    rows = written(rows, "ranked")  # they are counted, cut and numbered
     most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = -(-most // part_rows)
     if parts <= 1:

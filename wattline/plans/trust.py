@@ -42,7 +42,8 @@ def _(*f):
 
 @query("rank_by_year", CHAIN, CHAINED + "SELECT id, entity_id, period_label, round(generation_gwh, 4) gwh, row_number() OVER (PARTITION BY period_label ORDER BY generation_gwh DESC, entity_id, id) AS rank FROM ok")
 def _(*f):
-    return t.rank_by(ok(*f), "period_label").select("id", "entity_id", "period_label", F.round("generation_gwh", 4).alias("gwh"), "rank")
+    rows = ok(*f).select("id", "entity_id", "period_label", "generation_gwh")
+    return t.rank_by(rows, "period_label").select("id", "entity_id", "period_label", F.round("generation_gwh", 4).alias("gwh"), "rank")
 
 
 @query("rank_by_country", CHAIN + " stations", CHAINED + """SELECT * FROM (SELECT id, ok.entity_id, country, round(generation_gwh, 4) gwh, row_number() OVER (PARTITION BY country ORDER BY generation_gwh DESC, ok.entity_id, id) AS rank
