@@ -2,7 +2,7 @@
 
 import pytest
 
-from wattline.operators import extract as ex, facts as fa, layout as la, trust as t
+from wattline.operators import desk as dk, extract as ex, facts as fa, layout as la, trust as t
 
 
 def plan(df):
@@ -68,3 +68,21 @@ def test_rows_are_ranked_from_one_table(spark):
     out = t.rank_by(rows.mapInArrow(run, rows.schema), "y", part_rows=300).collect()
     assert sorted(r["rank"] for r in out) == list(range(1, 1001))
     assert seen.value == 1000
+
+
+def test_review_detail_shuffles(spark):
+    """What documents say of evidence is joined last, and an evidence is gathered once."""
+    make = spark.createDataFrame
+    reviews = make([("r1", "c1", "open", None, None), ("r2", "c2", "open", None, None)], "review_id string, candidate_id string, status string, reason string, payload string")
+    candidates = make([("c1", "s1", "own"), ("c2", "s1", "own")], "candidate_id string, entity_id string, snippet string")
+    links = make([("c1", "e2"), ("c1", "e1")], "candidate_id string, evidence_id string")
+    evidence = make([("e1", "d1", None, 4), ("e2", "d2", "two", 5)], "evidence_id string, document_id string, snippet string, page_number int")
+    documents = make([("d1", "q", "pdf")], "document_id string, source_id string, content_kind string")
+    sources = make([("q", "Title", "u")], "source_id string, title string, url string")
+    stations = make([("s1", "S", "X", 1.0)], "entity_id string, canonical_name string, country string, capacity_mw double")
+    out = dk.review_detail(reviews, candidates, links, evidence, documents, sources, stations)
+    assert "min_by" not in plan(out)
+    got = {r.review_id: r for r in out.collect()}
+    assert [e.evidence_id for e in got["r1"].evidences] == ["e1", "e2"] and got["r1"].evidences[1].source_title is None
+    assert (got["r1"].snippet, got["r1"].page_number, got["r1"].source_title, got["r1"].content_kind) == ("own", 4, "Title", "pdf")
+    assert (got["r2"].snippet, got["r2"].page_number, got["r2"].evidences) == ("own", None, [])

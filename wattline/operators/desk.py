@@ -38,16 +38,18 @@ def review_detail(reviews: DataFrame, candidates: DataFrame, links: DataFrame, e
     The first evidence's PRIMARY fields stand instead of the candidate's where they are not null. The payload is JSON: validation_issues, the candidate's flags, evidence_metadata; what is
     not JSON says nothing. Reviews without a candidate go.
     """
-    known = evidence.join(documents.select("document_id", "source_id", "content_kind"), "document_id", "left").join(sources.select("source_id", F.col("title").alias("source_title"), F.col("url").alias("source_url")), "source_id", "left")
-    each = links.join(known, "evidence_id").select("candidate_id", F.struct("evidence_id", *PRIMARY).alias("e"))
-    seen = each.groupBy("candidate_id").agg(F.sort_array(F.collect_list("e")).alias("evidences"), F.min_by("e", "e.evidence_id").alias("first"))
+    origin = documents.select("document_id", "source_id", "content_kind").join(sources.select("source_id", F.col("title").alias("source_title"), F.col("url").alias("source_url")), "source_id", "left")
+    shown = [c for c in PRIMARY if c in evidence.columns]
+    # what documents say is laid beside evidence last, so that it is shuffled once; the first evidence is the first of the array
+    each = links.join(evidence.select("evidence_id", "document_id", *shown), "evidence_id").join(origin, "document_id", "left").select("candidate_id", F.struct("evidence_id", *PRIMARY).alias("e"))
+    seen = each.groupBy("candidate_id").agg(F.sort_array(F.collect_list("e")).alias("evidences"))
     rows = reviews.select("review_id", "candidate_id", F.col("status").alias("review_status"), F.col("reason").alias("review_reason"), "payload").join(candidates.drop("review_status"), "candidate_id")
     rows = rows.join(seen, "candidate_id", "left").join(stations.select("entity_id", "canonical_name", "country", "capacity_mw"), "entity_id", "left")
-    first = {c: F.coalesce(F.col(f"first.{c}"), *([F.col(c)] if c in candidates.columns else [])).alias(c) for c in PRIMARY}
+    first = {c: F.coalesce(F.get("evidences", F.lit(0))[c], *([F.col(c)] if c in candidates.columns else [])).alias(c) for c in PRIMARY}
     payload = F.from_json("payload", "validation_issues array<struct<code:string,severity:string>>, candidate struct<flags:array<string>>, evidence_metadata map<string,string>")
     none = F.array().cast("array<string>")
     rows = rows.withColumn("p", payload)
-    kept = [c for c in rows.columns if c not in (*PRIMARY, "payload", "p", "first", "evidences")]
+    kept = [c for c in rows.columns if c not in (*PRIMARY, "payload", "p", "evidences")]
     return rows.select(
         *kept, *first.values(), F.coalesce("evidences", F.expr(f"cast(array() as {seen.schema['evidences'].dataType.simpleString()})")).alias("evidences"),
         F.coalesce("p.validation_issues", F.expr("cast(array() as array<struct<code:string,severity:string>>)")).alias("validation_issues"), F.coalesce("p.candidate.flags", none).alias("candidate_flags"), F.col("p.evidence_metadata").alias("evidence_metadata"),
