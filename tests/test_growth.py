@@ -1,8 +1,9 @@
 """Queries whose work or shuffles grew too fast: what they shuffle, and how often they do the same work."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from wattline.operators import desk as dk, extract as ex, facts as fa, layout as la, trust as t
+from wattline.operators import desk as dk, extract as ex, facts as fa, layout as la, search_phrases as sp, trust as t
 
 
 def plan(df):
@@ -86,3 +87,13 @@ def test_review_detail_shuffles(spark):
     assert [e.evidence_id for e in got["r1"].evidences] == ["e1", "e2"] and got["r1"].evidences[1].source_title is None
     assert (got["r1"].snippet, got["r1"].page_number, got["r1"].source_title, got["r1"].content_kind) == ("own", 4, "Title", "pdf")
     assert (got["r2"].snippet, got["r2"].page_number, got["r2"].evidences) == ("own", None, [])
+
+
+def test_phrases_are_made_once(spark):
+    """Phrases are not made again for each phrase they are compared with; braces in a name stay."""
+    row = spark.createDataFrame([("A {Y}", "Op", "Peru", "2020")], "name string, operator string, country string, year string")
+    none = F.lit(None).cast("array<string>")
+    column = sp.query_variants(F.col("name"), F.col("operator"), F.col("country"), F.col("year"), none, F.lit(False))
+    out = row.select(column.alias("q"))
+    assert [x["query"] for x in out.first().q] == ['"A {Y}" 2020 annual generation', '"A {Y}" 2020 annual report generation', '"Op" 2020 annual report "A {Y}" generation']
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("operator_annual_disclosure") < 40

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -41,7 +43,15 @@ PHRASE = "array<struct<query:string,family:string>>"
 
 
 def _filled(template: str, **parts: Column) -> Column:
-    return reduce(lambda c, kv: F.replace(c, F.lit("{" + kv[0] + "}"), kv[1]), parts.items(), F.lit(template))
+    """The template with its parts put in; null if one of `parts` is, whether it is in the template or not."""
+    pieces = [parts[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{([A-Z])\}", template)) if x != ""]
+    absent = [F.when(v.isNotNull(), F.lit("")) for k, v in parts.items() if "{" + k + "}" not in template]
+    return F.concat(*pieces, *absent)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _phrases(templates: list[tuple[str, str]], **parts: Column) -> Column:
@@ -70,7 +80,7 @@ def query_variants(name: Column, operator: Column, country: Column, year: Column
     canonical: the station's standard name, where that is another one. domains: sites that are known to be its operator's.
     """
     metric, canonical = F.coalesce(metric, F.lit("generation")) if metric is not None else F.lit("generation"), name if canonical is None else F.coalesce(canonical, name)
-    tongue, capacity = language(name, country), metric == "capacity"
+    capacity = metric == "capacity"
     short = F.trim(F.regexp_replace(name, r"(?i)^(?:usina\s+hidrel[eé]trica|central\s+hidrel[eé]trica)\s+", ""))
     who = F.trim(F.coalesce(operator, F.lit("")))
 
@@ -82,17 +92,16 @@ def query_variants(name: Column, operator: Column, country: Column, year: Column
         kept = F.filter(found, lambda x, i: F.when(x["family"] == "operator_annual_disclosure", who != "").when((i == 3) & (x["family"] == last), who == "").otherwise(True))
         return kept
 
-    lists = reduce(lambda c, kind: c.when(tongue == kind, of(kind)), list(GENERATION)[1:], F.when(tongue == "chinese", of("chinese")))
+    by_language = lambda tongue: reduce(lambda c, kind: c.when(tongue == kind, of(kind)), list(GENERATION)[1:], F.when(tongue == "chinese", of("chinese")))
     sized = _phrases(CAPACITY, N=name, C=canonical, Y=F.concat(year, F.when(fiscal, " fiscal year").otherwise("")))
     sites = F.filter(F.transform(F.coalesce(domains, F.array().cast("array<string>")), lambda d: F.regexp_replace(F.lower(F.trim(d)), r"^www\.", "")), lambda d: d != "")
     site = F.transform(sites, lambda d: F.struct(F.when(capacity, _filled(SITE["capacity"], D=d, N=name, Y=year)).otherwise(_filled(SITE["generation"], D=d, N=name, Y=year)).alias("query"), F.lit("verified_site_report_index").alias("family")))
-    return F.slice(first_of_each(F.concat(F.when(capacity, sized).otherwise(lists), site)), 1, max(1, min(most, 5)))
+    return F.slice(first_of_each(F.concat(F.when(capacity, sized).otherwise(_bound(language(name, country), by_language)), site)), 1, max(1, min(most, 5)))
 
 
 def first_of_each(phrases: Column) -> Column:
     """Phrases without those whose query came before."""
-    queries = F.transform(phrases, lambda x: x["query"])
-    return F.filter(phrases, lambda x, i: F.array_position(queries, x["query"]) == i + 1)
+    return _bound(phrases, lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["query"]), x["query"]) == i + 1))
 
 
 def rewrite_after_failure(name: Column, operator: Column, country: Column, year: Column, domains: Column, fiscal: Column, metric: Column, failure: Column, attempted: Column, most: int = 2) -> Column:
@@ -106,7 +115,7 @@ def rewrite_after_failure(name: Column, operator: Column, country: Column, year:
     again = F.when(metric == "capacity", _phrases(AGAIN["capacity"], N=name, Y=year)).when(is_chinese(name), _phrases(AGAIN["chinese"], N=name, Y=year)).otherwise(_phrases(AGAIN["other"], N=name, Y=year))
     found = F.when(_any_of(code, NETWORK), F.expr(f"cast(array() as {PHRASE})")).when(_any_of(code, IRRELEVANT), other).otherwise(again)
     tried = F.transform(F.coalesce(attempted, F.array().cast("array<string>")), lambda q: F.trim(q))
-    return F.slice(F.filter(found, lambda x: ~F.array_contains(tried, x["query"])), 1, max(1, min(most, 2)))
+    return F.slice(_bound(tried, lambda known: F.filter(found, lambda x: ~F.array_contains(known, x["query"]))), 1, max(1, min(most, 2)))
 
 
 def boolean_query(name: Column, country: Column, year: Column, metric: Column) -> Column:
