@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattline.operators import desk as dk, extract as ex, facts as fa, layout as la, search_phrases as sp, trust as t
+from wattline.plans import catalog
 
 
 def plan(df):
@@ -97,3 +98,31 @@ def test_phrases_are_made_once(spark):
     out = row.select(column.alias("q"))
     assert [x["query"] for x in out.first().q] == ['"A {Y}" 2020 annual generation', '"A {Y}" 2020 annual report generation', '"Op" 2020 annual report "A {Y}" generation']
     assert out._jdf.queryExecution().optimizedPlan().toString().count("operator_annual_disclosure") < 40
+
+
+def test_scores_shuffle_no_issues(spark):
+    """Lines of orders are not sorted, nor joined to candidates for a document that nobody asks for; what is shuffled is a number, not the issues."""
+    made = plan(catalog.QUERIES["score_record"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in made and "issues#" not in made and made.count("l_orderkey#") > 0
+    assert "l_suppkey#" not in made
+
+
+def test_rule_scores(spark):
+    """The number is that of the issues."""
+    schema = "candidate_id int, entity_id string, task_id string, period_type string, period_label string, value_type string, measurement_scope string, metric string, normalized_unit string, generation_gwh double, confidence double, flags array<string>"
+    good = {"candidate_id": 0, "entity_id": "s", "task_id": "t", "period_type": "calendar_year", "period_label": "2020", "value_type": "actual", "measurement_scope": "plant", "metric": "gross_generation", "normalized_unit": "gwh", "generation_gwh": 1.0, "confidence": 0.9, "flags": ["OCR_DERIVED"]}
+    odd = [{}, {"confidence": 0.5}, {"confidence": None}, {"flags": None}, {"flags": ["X", None, "CAPACITY_SUSPECT"]}, {"flags": ["UNIT_UNCLEAR", "PERIOD_UNCLEAR"]}, {"period_label": "20201"}, {"period_label": "2019, 2020, 2019"}, {"period_label": "2019-2021", "task_id": None}, {"period_label": "FY2019"}, {"period_label": None, "value_type": None, "metric": None},
+           {"normalized_unit": None, "metric": "net_generation", "value_type": "forecast"}, {"entity_id": None, "generation_gwh": -1.0}, {"generation_gwh": 1e9}, {"period_type": "fiscal_year"}, {"period_type": None, "task_id": "f"}, {"entity_id": "known", "value_type": None}, {k: None for k in good}]
+    rows = [tuple((good | x | {"candidate_id": i}).values()) for i, x in enumerate(odd)]
+    stations = spark.createDataFrame([("s", 1.0), ("known", None)], "entity_id string, capacity_mw double")
+    tasks = spark.createDataFrame([("t", "2020", "calendar_year"), ("f", "2020", "fiscal_year")], "task_id string, target_period string, task_period_type string")
+    there = spark.createDataFrame([("known", "2020", None, "plant")] * 2, "entity_id string, period_label string, value_type string, measurement_scope string")
+    asked = (spark.createDataFrame(rows, schema), stations, tasks, there)
+    none = {k: F.lit(None).cast("boolean") for k in ("has_evidence", "has_page")}
+    want = ex.validate_candidates(*asked).withColumns(none)
+    got = {r.candidate_id: r.x for r in ex.rule_scores(*asked).withColumns(none).select("candidate_id", ex.record_confidence(F.col("rule_score")).alias("x")).collect()}
+    assert got == {r.candidate_id: r.x for r in want.select("candidate_id", ex.record_confidence().alias("x")).collect()}
+    codes = {r.candidate_id: [f"{i.code}:{i.severity}:{i.field}" for i in r.issues] for r in want.collect()}
+    assert codes[0] == codes[3] == codes[6] == codes[7] == [] and codes[1] == ["LOW_CONFIDENCE:medium:confidence"] and codes[8] == [] and codes[9] == ["YEAR_MISMATCH:high:period_label"]
+    assert codes[4] == ["CAPACITY_GENERATION_CONFLICT:high:unit_raw"] and codes[16] == ["ACTUAL_FORECAST_MIXED:medium:value_type", "DUPLICATE_RECORD:medium:"]
+    assert len(got) == len(odd) and got[0] == 0.85 and got[1] == 0.65 and got[2] == 0.65

@@ -6,6 +6,7 @@ import pytest
 from test_queries import DATA, TABLES, rows
 from wattline.operators import matching as ma
 from wattline.plans import catalog
+from wattline.sources import fixtures as fx
 
 #: The years that orders ask for stand at the end, inside and at the beginning of the names' digits.
 ODD = {
@@ -37,6 +38,24 @@ def test_odd_tables(spark, odd, key):
     assert got == expected
 
 
+@pytest.mark.parametrize("name", sorted(fx.SPARK_FRAMES))
+def test_frames_of_spark(spark, tmp_path, name):
+    """Frames that Spark makes in its own way are those of the SQL: repeated lines, and nulls in every key."""
+    con, source = duckdb.connect(), f"'{DATA}/lineitem.parquet'"
+    lines = f"""SELECT * REPLACE (cast(row_number() OVER () AS double) AS l_extendedprice) FROM (SELECT * FROM {source} UNION ALL SELECT * REPLACE (CASE WHEN l_partkey % 2 = 0 THEN l_suppkey END AS l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey END AS l_partkey,
+        CASE WHEN l_partkey % 5 <> 1 THEN l_orderkey END AS l_orderkey, CASE WHEN l_partkey % 7 = 2 THEN NULL WHEN l_partkey % 7 = 3 THEN -1 WHEN l_partkey % 7 = 4 THEN 14 ELSE l_linenumber END AS l_linenumber, CASE WHEN l_partkey % 4 <> 1 THEN l_shipdate END AS l_shipdate) FROM {source}) x"""
+    orders = f"SELECT * REPLACE (CASE WHEN o_orderkey % 9 = 4 THEN NULL WHEN o_orderkey % 9 = 5 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey) FROM '{DATA}/orders.parquet' UNION ALL SELECT * FROM '{DATA}/orders.parquet' WHERE o_orderkey % 11 = 3"
+    for t, sql in (("lineitem", lines), ("orders", orders)):
+        con.sql(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    frame, want = fx.frame(spark, str(tmp_path), name), con.sql(fx.with_(name) + f"SELECT * FROM {name}")
+    assert sorted(frame.columns) == sorted(want.columns)
+    got, expected = rows(frame.columns, frame.collect()), rows(list(want.columns), want.fetchall())
+    assert len(got) == len(expected) > 1000
+    assert set(got) ^ set(expected) == set()
+    assert got == expected
+
+
 def test_names_asked_for_often(spark):
     """Many that ask for a name of many stations are no row for each pair; together both tables are all pairs. Parts are found by runs of each length."""
     stations = spark.createDataFrame([(f"s{i}", "Old Mill", None, f"River Dam Number {i}|Xy{i}") for i in range(40)], "entity_id string, canonical_name string, local_name string, aliases string")

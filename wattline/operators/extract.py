@@ -141,19 +141,11 @@ def document_links(pages: DataFrame, page: str = "page_id", year: int | None = N
     return once.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("at"))).where(F.col("n") <= most).select(page, "at", "href", "full")
 
 
-def _issue(code: str, severity: str, field: str, test: Column) -> Column:
-    return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field")))
-
-
 DUPLICATE_KEY = ("entity_id", "period_label", "value_type", "measurement_scope")
 
 
-def validate_candidates(candidates: DataFrame, stations: DataFrame, tasks: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
-    """candidates with `issues` (code, severity, field; in the order of the rules), `passed` (nothing but low confidence), `blocking` (an issue is high), `severity` (the highest).
-
-    candidates have `flags`, an array. stations: entity_id, capacity_mw. tasks: task_id, target_period, task_period_type: what was
-    asked for; without it a calendar year is. existing: facts that are there already, by DUPLICATE_KEY.
-    """
+def _tested(candidates: DataFrame, stations: DataFrame, tasks: DataFrame | None, existing: DataFrame | None) -> tuple[DataFrame, list[tuple[str, str, str, str]]]:
+    """candidates with a boolean column for each rule of validation, and the rules in their order: column, code, severity, field."""
     rows = candidates.join(stations.select("entity_id", "capacity_mw"), "entity_id", "left")
     if tasks is not None:
         rows = rows.join(tasks.select("task_id", "target_period", "task_period_type"), "task_id", "left")
@@ -165,34 +157,61 @@ def validate_candidates(candidates: DataFrame, stations: DataFrame, tasks: DataF
         same = reduce(Column.__and__, [(F.col(k).eqNullSafe(F.col(f"__{k}")) if k != "entity_id" else F.col(k) == F.col(f"__{k}")) for k in DUPLICATE_KEY])
         rows = rows.join(own, same, "left").drop(*[f"__{k}" for k in DUPLICATE_KEY])
         there = F.col("__there")
-    flag = lambda *names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
+    flag = lambda *names: reduce(Column.__or__, [F.coalesce(F.array_contains("flags", n), F.lit(False)) for n in names])
     gwh, metric, kind, asked = (F.col(c) for c in ("generation_gwh", "metric", "value_type", "task_period_type"))
-    years = tx.find_years(F.col("period_label"))
+    rows = rows.withColumn("__years", tx.find_years(F.col("period_label")))  # once for both uses
+    years = F.col("__years")
     fiscal = F.col("period_type").eqNullSafe("fiscal_year")
-    issues = [
-        _issue("UNIT_UNCLEAR", "high", "normalized_unit", ~F.col("normalized_unit").eqNullSafe("gwh")),
-        _issue("UNIT_UNCLEAR", "high", "unit_raw", flag("UNIT_UNCLEAR")),
-        _issue("CAPACITY_GENERATION_CONFLICT", "high", "unit_raw", flag("UNIT_NOT_ENERGY", "CAPACITY_SUSPECT")),
-        _issue("VALUE_OUT_OF_RANGE", "high", "generation_gwh", gwh < 0),
-        _issue("METRIC_UNCLEAR", "high", "metric", metric.isNull() | (metric == "unknown")),
-        _issue("METRIC_MISMATCH", "high", "metric", ~metric.isin("unknown", "gross_generation")),
-        _issue("ACTUAL_FORECAST_MIXED", "high", "value_type", kind == "forecast"),
-        _issue("ACTUAL_FORECAST_MIXED", "medium", "value_type", kind.isNull()),
-        _issue("ENTITY_AMBIGUOUS", "high", "measurement_scope", F.col("measurement_scope").isin("region", "complex", "group")),
-        _issue("YEAR_MISMATCH", "high", "period_label", (F.size(years) > 0) & ~F.array_contains(years, F.col("target_period"))),
-        _issue("YEAR_MISMATCH", "medium", "period_type", (F.coalesce(asked, F.lit("calendar_year")) == "calendar_year") & fiscal),
-        _issue("PERIOD_AMBIGUOUS", "high", "period_type", (asked == "fiscal_year") & ~fiscal),
-        _issue("PERIOD_AMBIGUOUS", "medium", "period_type", flag("PERIOD_UNCLEAR")),
-        _issue("CAPACITY_GENERATION_CONFLICT", "high", "generation_gwh", (gwh > 0) & (F.col("capacity_mw") != 0) & (gwh > tx.capacity_ceiling(F.col("capacity_mw")))),
-        _issue("DUPLICATE_RECORD", "medium", "", there),
-        _issue("LOW_CONFIDENCE", "medium", "confidence", F.col("confidence") < 0.55),
+    rules = [
+        ("UNIT_UNCLEAR", "high", "normalized_unit", ~F.col("normalized_unit").eqNullSafe("gwh")),
+        ("UNIT_UNCLEAR", "high", "unit_raw", flag("UNIT_UNCLEAR")),
+        ("CAPACITY_GENERATION_CONFLICT", "high", "unit_raw", flag("UNIT_NOT_ENERGY", "CAPACITY_SUSPECT")),
+        ("VALUE_OUT_OF_RANGE", "high", "generation_gwh", gwh < 0),
+        ("METRIC_UNCLEAR", "high", "metric", metric.isNull() | (metric == "unknown")),
+        ("METRIC_MISMATCH", "high", "metric", ~metric.isin("unknown", "gross_generation")),
+        ("ACTUAL_FORECAST_MIXED", "high", "value_type", kind == "forecast"),
+        ("ACTUAL_FORECAST_MIXED", "medium", "value_type", kind.isNull()),
+        ("ENTITY_AMBIGUOUS", "high", "measurement_scope", F.col("measurement_scope").isin("region", "complex", "group")),
+        ("YEAR_MISMATCH", "high", "period_label", (F.size(years) > 0) & ~F.array_contains(years, F.col("target_period"))),
+        ("YEAR_MISMATCH", "medium", "period_type", (F.coalesce(asked, F.lit("calendar_year")) == "calendar_year") & fiscal),
+        ("PERIOD_AMBIGUOUS", "high", "period_type", (asked == "fiscal_year") & ~fiscal),
+        ("PERIOD_AMBIGUOUS", "medium", "period_type", flag("PERIOD_UNCLEAR")),
+        ("CAPACITY_GENERATION_CONFLICT", "high", "generation_gwh", (gwh > 0) & (F.col("capacity_mw") != 0) & (gwh > tx.capacity_ceiling(F.col("capacity_mw")))),
+        ("DUPLICATE_RECORD", "medium", "", there),
+        ("LOW_CONFIDENCE", "medium", "confidence", F.col("confidence") < 0.55),
     ]
-    out = rows.withColumn("issues", F.array_compact(F.array(*issues))).drop("__there", "target_period", "task_period_type")
-    has = lambda level: F.exists("issues", lambda x: x["severity"] == level)
-    return out.withColumns({
-        "passed": ~F.exists("issues", lambda x: x["code"] != "LOW_CONFIDENCE"), "blocking": has("high"),
-        "severity": F.when(has("high"), "high").when(has("medium"), "medium").when(F.size("issues") > 0, "low"),
-    })
+    tests = {f"__{i}": F.coalesce(test, F.lit(False)) for i, (*_, test) in enumerate(rules)}
+    return rows.withColumns(tests).drop("__there", "__years", "target_period", "task_period_type"), [(f"__{i}", *rule) for i, (*rule, _) in enumerate(rules)]
+
+
+def _passed(rules: list[tuple[str, str, str, str]]) -> Column:
+    return ~reduce(Column.__or__, [F.col(c) for c, code, *_ in rules if code != "LOW_CONFIDENCE"])
+
+
+def _issue(code: str, severity: str, field: str, test: Column) -> Column:
+    return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field")))
+
+
+def validate_candidates(candidates: DataFrame, stations: DataFrame, tasks: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """candidates with `issues` (code, severity, field; in the order of the rules), `passed` (nothing but low confidence), `blocking` (an issue is high), `severity` (the highest).
+
+    candidates have `flags`, an array. stations: entity_id, capacity_mw. tasks: task_id, target_period, task_period_type: what was
+    asked for; without it a calendar year is. existing: facts that are there already, by DUPLICATE_KEY.
+    """
+    rows, rules = _tested(candidates, stations, tasks, existing)
+    issues = [_issue(code, severity, field, F.col(c)) for c, code, severity, field in rules]
+    has = {level: reduce(Column.__or__, [F.col(c) for c, _, severity, _ in rules if severity == level]) for level in ("high", "medium")}
+    return rows.withColumns({
+        "issues": F.array_compact(F.array(*issues)), "passed": _passed(rules), "blocking": has["high"],
+        "severity": F.when(has["high"], "high").when(has["medium"], "medium"),
+    }).drop(*[c for c, *_ in rules])
+
+
+def rule_scores(candidates: DataFrame, stations: DataFrame, tasks: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """candidates with `rule_score`: 0.8 if validate_candidates would pass them, else 0.6 less 0.3 for each high and 0.1 for each medium issue."""
+    rows, rules = _tested(candidates, stations, tasks, existing)
+    count = {level: reduce(Column.__add__, [F.col(c).cast("int") for c, _, severity, _ in rules if severity == level]) for level in ("high", "medium")}
+    return rows.withColumn("rule_score", F.when(_passed(rules), 0.8).otherwise(0.6 - 0.3 * count["high"] - 0.1 * count["medium"])).drop(*[c for c, *_ in rules])
 
 
 #: States of a project.
@@ -213,11 +232,11 @@ def validate_projects(projects: DataFrame, year: int) -> DataFrame:
     return projects.withColumn("issues", F.array_compact(F.array(*issues)))
 
 
-def record_confidence() -> Column:
-    """0.8 if passed, else 0.6 less 0.3 for each high and 0.1 for each medium issue; 0.1 more for evidence, 0.05 for its page; averaged
+def record_confidence(rules: Column | None = None) -> Column:
+    """0.8 if passed, else 0.6 less 0.3 for each high and 0.1 for each medium issue (or `rules`, the same as a number); 0.1 more for evidence, 0.05 for its page; averaged
     with the extractor's (0.5 if unknown), within 0 and 1."""
     loss = F.aggregate("issues", F.lit(0.0), lambda a, x: a + F.when(x["severity"] == "high", 0.3).when(x["severity"] == "medium", 0.1).otherwise(0.0))
-    own = F.when(F.col("passed"), 0.8).otherwise(0.6 - loss)
+    own = F.when(F.col("passed"), 0.8).otherwise(0.6 - loss) if rules is None else rules
     own += F.when(F.col("has_evidence"), 0.1).otherwise(0.0) + F.when(F.col("has_page"), 0.05).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (own + F.coalesce(F.col("confidence"), F.lit(0.5))) / 2)), 6)
 

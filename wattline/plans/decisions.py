@@ -31,8 +31,8 @@ def flagged(x):
     return x.withColumn("flags", F.filter(F.split("flags", ","), lambda f: f != ""))
 
 
-def valid(x, s, t, r):
-    return ex.validate_candidates(flagged(x), s, t, r.where("publication_status = 'publishable'"))
+def valid(x, s, t, r, judge=ex.validate_candidates):
+    return judge(flagged(x), s, t, r.where("publication_status = 'publishable'"))
 
 
 @query("validate_candidates", CASES, VALID + "SELECT candidate_id, array_to_string(issues, ',') issues, passed, blocking, CASE WHEN blocking THEN 'high' WHEN len(issues) > 0 THEN 'medium' END severity FROM valid")
@@ -46,7 +46,8 @@ def _(x, s, t, r):
   LEFT JOIN (SELECT ce.candidate_id cid, max(page_number) pages FROM candidate_evidence ce JOIN evidence e ON e.evidence_id = ce.evidence_id GROUP BY 1) p ON p.cid = v.candidate_id""")
 def _(x, s, t, r, ce, e):
     found = ce.join(e.select("evidence_id", "page_number"), "evidence_id").groupBy("candidate_id").agg(F.lit(True).alias("has_evidence"), (F.max("page_number") > 0).alias("has_page"))
-    return valid(x, s, t, r).join(found, "candidate_id", "left").select("candidate_id", ex.record_confidence().alias("score"))
+    rated = valid(x, s, t, r, ex.rule_scores).select("candidate_id", "confidence", "rule_score")  # a number is shuffled, not the issues
+    return rated.join(found, "candidate_id", "left").select("candidate_id", ex.record_confidence(F.col("rule_score")).alias("score"))
 
 
 @query("needs_review", CASES, VALID + """SELECT candidate_id, flags LIKE '%OCR_DERIVED%' OR coalesce(priority_tier, '') = 'A' OR len(list_filter(issues, lambda x: x LIKE '%:high:%' OR (x NOT LIKE 'METRIC%' AND x NOT LIKE 'VALUE%'))) > 0 review FROM valid""")
