@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators import desk as dk, extract as ex, facts as fa, layout as la, search_phrases as sp, trust as t
+from wattline.operators import desk as dk, extract as ex, facts as fa, layout as la, relevance as rl, search_phrases as sp, trust as t
 from wattline.plans import catalog
 
 
@@ -126,3 +126,46 @@ def test_rule_scores(spark):
     assert codes[0] == codes[3] == codes[6] == codes[7] == [] and codes[1] == ["LOW_CONFIDENCE:medium:confidence"] and codes[8] == [] and codes[9] == ["YEAR_MISMATCH:high:period_label"]
     assert codes[4] == ["CAPACITY_GENERATION_CONFLICT:high:unit_raw"] and codes[16] == ["ACTUAL_FORECAST_MIXED:medium:value_type", "DUPLICATE_RECORD:medium:"]
     assert len(got) == len(odd) and got[0] == 0.85 and got[1] == 0.65 and got[2] == 0.65
+
+
+#: text, names, year; name, year is near, generation, report, excluded, scope, its word, evidence
+ABOUT = [
+    ("Dam One in 2020: annual", ["Dam One"], "2020", "dam one", False, False, False, False, "annual", "annual", None),
+    ("generated 5 GWh. Calm", ["Dam One"], "2020", None, False, True, False, False, "unknown", None, "generated 5 gwh."),
+    ("FY 2020", None, "2020", None, False, False, False, False, "unknown", None, None),
+    ("全年发电量 7。later", ["x", "later"], "2020", "later", False, True, False, False, "annual", "全年", "全年发电量 7。"),
+    (None, ["Dam One"], None, None, False, False, False, False, "unknown", None, None),
+    ("招标 annual report", [], "", None, False, False, True, True, "annual", "annual", None),
+    ("2019/2020 FY generated", [None, "", "x"], "2020", None, True, True, False, False, "fiscal_year", "fy", "2019/2020 fy generated"),
+    ("2019 –  2020\ngenerated", ["a", "2019"], "2020", "a", True, True, False, False, "fiscal_year", "2019 – 2020", "2019 – 2020 generated"),
+    ("In 2020 for the full year it generated. A 7", ["it"], "2020", "it", True, True, False, False, "annual", "full year", "2020 for the full year it generated. a 7"),
+    ("7。", ["2020"], "2020", None, False, False, False, False, "unknown", None, None),
+]
+
+
+@pytest.mark.parametrize("together", [1, 30, 2_000_000])
+def test_texts_are_asked_together(monkeypatch, together):
+    """What is asked of the tables of offsets does not grow with the number of texts, and no window reaches into the next text."""
+    monkeypatch.setattr(rl, "TOGETHER", together)
+    calls, search = [], rl.np.searchsorted
+    monkeypatch.setattr(rl.np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+
+    def look(rows):
+        parts = [rl.look_at(*(list(c) for c in list(zip(*rows[own], strict=True))[:3])) for own in rl._together([r[0] for r in rows])]
+        return [tuple(x) for p in parts for x in zip(*p, strict=True)]
+
+    assert look(ABOUT) == [r[3:] for r in ABOUT]
+    once = len(calls)
+    assert look(ABOUT * 50) == [r[3:] for r in ABOUT] * 50
+    assert together < 2_000_000 or len(calls) == 2 * once
+    assert look(ABOUT[::-1]) == [r[3:] for r in ABOUT[::-1]]
+
+
+def test_relevance_of_odd_rows(spark):
+    """Null texts, names and years; partitions without rows; nulls in arrays."""
+    rows = [(i, *r[:3], "calendar_year", False) for i, r in enumerate(ABOUT)]
+    asked = spark.createDataFrame(rows, "id int, text string, names array<string>, year string, period_type string, disclosure boolean").repartition(16, "id")
+    got = {r.id: (r.period_scope, r.scope_evidence, r.evidence, r.reason, r.text) for r in rl.relevance(asked).collect()}
+    why = ["no_year", "no_name", "no_name", "no_year", "no_name", "excluded", "no_name", "fiscal_period", "confirmed", "no_name"]
+    assert got == {i: (*r[8:], why[i], r[0]) for i, r in enumerate(ABOUT)}
+    assert rl.relevance(asked.where("id < 0")).count() == 0
